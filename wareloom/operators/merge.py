@@ -120,6 +120,10 @@ def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int
     data = data_columns(src)
     ok, bad = split_null_keys(src.select(*data), keys)
     dd = dedup_last(ok, keys, order_by)
+    extra = [c for c in (order_by or []) if c not in tgt.columns]   # ordering-only columns
+    if extra:
+        dd = dd.drop(*extra)
+        data = [c for c in data if c not in extra]
     s = dd.withColumn("RWHKEY", row_hash(dd.drop("_dups"), order=hash_order or data))
     cls = classify(s, tgt, keys).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -307,5 +311,8 @@ def versioned_upsert(src: DataFrame, tgt: DataFrame, key: str, compare_cols: lis
 
 
 def version_history(df: DataFrame, key: str, value, flag: str = "curflg", order: str = "recupdt") -> DataFrame:
-    """VER-2: closed versions of one code, newest first."""
-    return df.filter((F.col(key) == F.lit(value)) & (F.col(flag) == "N")).orderBy(F.col(order).desc())
+    """VER-2: closed versions of one code (``value``) or of every code (``value=None``), newest first."""
+    out = df.filter(F.col(flag) == "N")
+    if value is not None:
+        out = out.filter(F.col(key) == F.lit(value))
+    return out.orderBy(F.col(key), F.col(order).desc())
