@@ -67,8 +67,9 @@ def abs_(v) -> Column:
 
 
 def round_(v, n: int = 0, as_double: bool = True) -> Column:
-    """FN-8: half-even rounding. On doubles the binary value decides ties (2.675 -> 2.67 in
-    floating point); pass decimals with ``as_double=False`` for exact decimal ties."""
+    """FN-8: half-even rounding. Spark rounds a double by its shortest decimal text, so
+    ``2.675`` gives 2.68 where Python's binary rounding gives 2.67 (known difference, T8);
+    values that are decimals (``as_double=False``) round exactly half-even."""
     c = _c(v).cast("double") if as_double else _c(v)
     return F.bround(c, n)
 
