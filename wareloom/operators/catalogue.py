@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..types import ColumnSpec, schema_from_spec
+from ..session import local_rows
 
 GENERIC = "GENERIC"
 # Default rendering of the core generic codes per database
@@ -39,7 +40,7 @@ CATALOGUE_SCHEMA = "prtyp string, prcd string, prdesc string, prval string, dbty
 
 def matrix_frame(spark: SparkSession) -> DataFrame:
     rows = [(code, db, vals[i]) for code, vals in MATRIX.items() for i, db in enumerate(MATRIX_DATABASES)]
-    return spark.createDataFrame(rows, "prcd string, dbtyp string, matrix_value string")
+    return local_rows(spark, rows, "prcd string, dbtyp string, matrix_value string")
 
 
 def catalogue_for(cat: DataFrame, db: str) -> DataFrame:
@@ -75,7 +76,7 @@ def clone_catalogue(cat: DataFrame, db: str, overrides: dict[str, str] | None =
     have = cat.filter((F.upper("dbtyp") == dbu) & (F.col("curflg") == "Y")).select("prcd").distinct() \
               .withColumn("_have", F.lit(True))
     m = matrix.filter(F.col("dbtyp") == dbu).select(F.col("prcd").alias("_mc"), "matrix_value")
-    ov = spark.createDataFrame(list((overrides or {}).items()), "_oc string, override_value string")
+    ov = local_rows(spark, list((overrides or {}).items()), "_oc string, override_value string")
     x = gen.join(have, "prcd", "left").join(F.broadcast(m), F.col("prcd") == F.col("_mc"), "left") \
            .join(F.broadcast(ov), F.col("prcd") == F.col("_oc"), "left")
     return x.select("prtyp", "prcd", "prdesc",

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_partitions
+from ..session import cut_lineage
+from ..session import local_rows
 
 _POS_MASK = (1 << 33) - 1   # monotonically_increasing_id keeps the row position in the low 33 bits
 
@@ -29,8 +30,9 @@ def number_rows(df: DataFrame, order_by, col: str = "rn", start: int = 1,
     unique order for a deterministic result)."""
     spark = df.sparkSession
     order = _cols(order_by)
-    n = num_partitions or shuffle_partitions(spark)
-    tagged = (df.repartitionByRange(n, *order)
+    # without an explicit count AQE may merge small neighbouring ranges (order is kept)
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    tagged = (ranged
                 .sortWithinPartitions(*order)
                 .withColumn("_wl_pid", F.spark_partition_id())
                 .withColumn("_wl_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
@@ -44,7 +46,7 @@ def number_rows(df: DataFrame, order_by, col: str = "rn", start: int = 1,
     if not offsets:
         return tagged.drop("_wl_pid", "_wl_pos").withColumn(col, F.lit(None).cast("long"))
     # Bounded by the number of partitions, so broadcasting it is safe.
-    off = spark.createDataFrame(offsets, "_wl_pid int, _wl_off long")
+    off = local_rows(spark, offsets, "_wl_pid int, _wl_off long")
     return (tagged.join(F.broadcast(off), "_wl_pid")
                   .withColumn(col, (F.col("_wl_off") + F.col("_wl_pos")).cast("long"))
                   .drop("_wl_pid", "_wl_pos", "_wl_off"))

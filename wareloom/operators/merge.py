@@ -26,6 +26,7 @@ from ..functions.hashing import row_hash
 from ..functions.scalars import HIGH_DATE, ts_lit
 from .changes import CHANGED, NEW, UNCHANGED, classify, current
 from .keys import assign_skey, max_key
+from ..session import local_rows
 
 DIM, FCT, MRT, NRM = "DIM", "FCT", "MRT", "NRM"
 # System columns of mapped targets, in table order.
@@ -73,7 +74,7 @@ def target_schema(data_schema: T.StructType, kind: str = DIM) -> T.StructType:
 
 
 def empty_target(spark, data_schema: T.StructType, kind: str = DIM) -> DataFrame:
-    return spark.createDataFrame([], target_schema(data_schema, kind))
+    return local_rows(spark, [], target_schema(data_schema, kind))
 
 
 def split_null_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

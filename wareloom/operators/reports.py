@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import field_alias, json_safe
+from ..session import local_rows
 
 PREVIEW_MIN, PREVIEW_MAX = 1, 1000          # fixed values: preview row clamp
 EXPORT_MIN, EXPORT_MAX, EXPORT_DEFAULT = 1, 2000, 500
@@ -96,7 +97,7 @@ def describe_query(spark: SparkSession, sql: str, args: dict | None = None) -> D
         p = f.dataType.precision if isinstance(f.dataType, T.DecimalType) else None
         s = f.dataType.scale if isinstance(f.dataType, T.DecimalType) else None
         rows.append((i + 1, f.name, f.dataType.simpleString(), p, s, f.nullable))
-    return spark.createDataFrame(rows, "position int, name string, type string, precision int, scale int, nullable boolean")
+    return local_rows(spark, rows, "position int, name string, type string, precision int, scale int, nullable boolean")
 
 
 def snapshot(df: DataFrame, path: str) -> str:

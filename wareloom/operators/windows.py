@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_partitions
+from ..session import cut_lineage
 
 _POS_MASK = (1 << 33) - 1
 
@@ -61,10 +61,11 @@ def number_within_groups(df: DataFrame, keys: list[str], order, col: str = "seq"
                          num_partitions: int | None = None) -> DataFrame:
     """1-based ordinal inside each group in ``order`` without sorting a group in one task."""
     spark = df.sparkSession
-    n = num_partitions or shuffle_partitions(spark)
     order = _cols(order)
     kcols = [F.col(k) for k in keys]
-    tagged = (df.repartitionByRange(n, *kcols, *order).sortWithinPartitions(*kcols, *order)
+    ranged = df.repartitionByRange(num_partitions, *kcols, *order) if num_partitions else \
+        df.repartitionByRange(*kcols, *order)
+    tagged = (ranged.sortWithinPartitions(*kcols, *order)
                 .withColumn("_wl_pid", F.spark_partition_id())
                 .withColumn("_wl_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
     tagged = cut_lineage(tagged)

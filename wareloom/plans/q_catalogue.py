@@ -14,6 +14,7 @@ from ..types import ColumnSpec
 from .q_merges import PART_TARGET_SQL, part_target
 from .registry import query
 from .tables import portable, table
+from ..session import local_rows
 
 # Sample catalogue rows (code, value, database).
 SAMPLE = [
@@ -40,7 +41,7 @@ UNION ALL SELECT DISTINCT 'Datatype', 'STRING' || CAST(p_size AS VARCHAR), 'Stri
 
 
 def catalogue(spark, sf_dir):
-    sample = spark.createDataFrame([("Datatype", c, f"{c} type", v, d, "Y") for c, v, d in SAMPLE], CT.CATALOGUE_SCHEMA)
+    sample = local_rows(spark, [("Datatype", c, f"{c} type", v, d, "Y") for c, v, d in SAMPLE], CT.CATALOGUE_SCHEMA)
     sizes = table(spark, sf_dir, "part").select("p_size").distinct()
     code = F.concat(F.lit("STRING"), F.col("p_size").cast("string"))
     desc = F.concat(F.lit("String of "), (F.col("p_size") * 10).cast("string"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import merge as M
+from ..session import cut_lineage
 from .registry import query
 from .tables import (CUSTOMER_COLS, SQL_CUSTOMER_CHANGES, SQL_CUSTOMER_MAPPED, T0, TS, customer_changes, table,
                      customer_mapped, portable, sql_hash)
@@ -15,8 +16,9 @@ _CUST_HASH = sql_hash(CUSTOMER_COLS)
 
 
 def customer_dimension(spark, sf_dir):
-    """Target at T0: every customer loaded once into a type-2 dimension."""
-    return M.initial_load(customer_mapped(spark, sf_dir), KEYS, T0, kind=M.DIM).target
+    """Target at T0: every customer loaded once into a type-2 dimension, written as a table
+    (a merge reads its target from storage, not from the lineage that produced it)."""
+    return cut_lineage(M.initial_load(customer_mapped(spark, sf_dir), KEYS, T0, kind=M.DIM).target, "customer_dim")
 
 
 def _sql_dim_at_t0(base: str, cols: list[str], key: str, hash_expr: str, kind: str = "DIM") -> str:
@@ -168,7 +170,7 @@ def _orders_batch(spark, sf_dir):
                                            ORDER_COLS, "o_orderkey", _ORDER_HASH, 1, "FCT"), ("o_totalprice",)))
 def fact_merge_orders(spark, sf_dir):
     """SCD-4: fact table merged by key (no validity columns, no CURFLG filter)."""
-    tgt = M.initial_load(_orders_mapped(spark, sf_dir), ["o_orderkey"], T0, kind=M.FCT).target
+    tgt = cut_lineage(M.initial_load(_orders_mapped(spark, sf_dir), ["o_orderkey"], T0, kind=M.FCT).target, "orders_fct")
     return portable(M.fact_merge(_orders_batch(spark, sf_dir), tgt, ["o_orderkey"], TS).target)
 
 

@@ -73,3 +73,18 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def local_rows(spark: SparkSession, rows, schema) -> DataFrame:
+    """A small DataFrame of literal rows built JVM-side (no Python worker, no RDD).
+
+    Used for metadata only: per-partition offsets, fixed lookup values, one-row logs."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    st = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    rows = list(rows)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])
+    arr = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)])
+                    for r in rows])
+    return spark.range(1).select(F.explode(arr).alias("_r")).select("_r.*")

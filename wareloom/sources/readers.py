@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from ..session import local_rows
 
 # Delimiters tried in order on the first line; default when none occurs.
 DELIMITERS = ("\t", ",", ";", "|")
@@ -167,7 +168,7 @@ def parse_lines(lines: DataFrame, sep: str | None = None, header: bool = True, q
     first = lines.orderBy("file", "line_no").select("value").first() if "line_no" in lines.columns \
         else lines.select("value").first()
     if first is None:
-        return lines.sparkSession.createDataFrame([], "value string")
+        return local_rows(lines.sparkSession, [], "value string")
     text = first["value"]
     sep = sep or sniff_delimiter(text)
     names = [n.strip().strip(quote) for n in text.split(sep)] if header else \

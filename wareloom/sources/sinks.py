@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators.columns import json_safe
 from ..session import ensure_checkpoint_dir
 from ..types import ColumnSpec, schema_from_spec
+from ..session import local_rows
 
 FORMATS = ("CSV", "TXT", "JSON", "XML", "PARQUET")
 EXTENSIONS = {"CSV": "csv", "TXT": "txt", "JSON": "json", "XML": "xml", "PARQUET": "parquet"}
@@ -35,7 +36,7 @@ def create_table(spark: SparkSession, path: str, spec: list[ColumnSpec], kind: s
     if kind:
         from ..operators.merge import target_schema
         schema = target_schema(schema, kind)
-    df = spark.createDataFrame([], schema)
+    df = local_rows(spark, [], schema)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -104,7 +105,7 @@ class SnapshotTable:
         try:
             return self.spark.read.schema("version long, committed_at string").json(self.log)
         except Exception:  # no log yet
-            return self.spark.createDataFrame([], "version long, committed_at string")
+            return local_rows(self.spark, [], "version long, committed_at string")
 
     def latest_version(self) -> int | None:
         r = self.versions().agg(F.max("version").alias("v")).first()
@@ -125,6 +126,6 @@ class SnapshotTable:
         if self.has_version(version):
             return False
         df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
-        self.spark.createDataFrame([(int(version), committed_at)], "version long, committed_at string") \
+        local_rows(self.spark, [(int(version), committed_at)], "version long, committed_at string") \
             .coalesce(1).write.mode("append").json(self.log)
         return True

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..operators import merge as M
 from ..sources.sinks import SnapshotTable
+from ..session import local_rows
 
 PROGRESS_SCHEMA = "batch_id long, source_rows long, target_rows long, error_rows long"
 
@@ -62,7 +63,7 @@ def merge_stream(spark: SparkSession, stream: DataFrame, target: SnapshotTable,
         committed = target.commit(res.target, version)
         if committed:
             c = res.counters()
-            spark.createDataFrame([(int(batch_id), int(c.get("source_rows", 0)), int(c.get("target_rows", 0)),
+            local_rows(spark, [(int(batch_id), int(c.get("source_rows", 0)), int(c.get("target_rows", 0)),
                                     int(c.get("error_rows", 0)))], PROGRESS_SCHEMA) \
                  .coalesce(1).write.mode("append").parquet(progress_dir)
         res.release()
