@@ -132,6 +132,8 @@ def parse_timestamp(c: Column) -> Column:
 def convert(c: Column, src_type: T.DataType, dtype: T.DataType) -> Column:
     """PRJ-7 for one value: text in DATE/TIMESTAMP columns is parsed over a format list;
     everything else goes through ``try_cast`` so a bad value becomes NULL (see DQ-5)."""
+    if isinstance(src_type, T.StringType) and isinstance(dtype, T.StringType):
+        return c
     if isinstance(src_type, T.StringType):
         c = F.nullif(F.trim(c), F.lit(""))
         c = F.when(~F.lower(c).isin("nan", "none", "null"), c)
@@ -170,3 +172,36 @@ def json_safe(df: DataFrame) -> DataFrame:
 def field_alias(alias: str | None, name: str | None, position: int) -> str:
     """PRJ-9: alias, else field name, else COLUMN_<n> (1-based)."""
     return alias or name or f"COLUMN_{position}"
+
+
+def transform_file(df: DataFrame, spec: list[ColumnSpec], user: str | None = None, ts=None) -> DataFrame:
+    """File-load transform in one projection (PRJ-2, PRJ-4, PRJ-3, PRJ-6).
+
+    Every spec column takes, in this order: its formula (``ColumnSpec.formula`` is a function of
+    a context that maps the upper-cased source *and* target names to the raw source values),
+    else the mapped source value (trimmed, empty text -> NULL), else NULL; then its default
+    fills a NULL. Audit columns are stamped last (only NULLs filled)."""
+    up = _lookup(df)
+    ctx: dict[str, Column] = {}
+    for c in spec:
+        if c.source and c.source.upper() in up:
+            raw = F.col(up[c.source.upper()])
+            ctx[c.source.upper()] = raw
+            ctx[c.target.upper()] = raw
+    cols = []
+    for c in spec:
+        if c.audit:
+            continue
+        if c.formula is not None:
+            v = c.formula(ctx) if callable(c.formula) and not isinstance(c.formula, Column) else c.formula
+        elif c.source and c.source.upper() in up:
+            src = up[c.source.upper()]
+            v = clean_text(F.col(src)) if isinstance(df.schema[src].dataType, T.StringType) else F.col(src)
+        else:
+            v = F.lit(None).cast("string")
+        if c.default is not None:
+            v = F.coalesce(v, F.lit(c.default))
+        cols.append(v.alias(c.target))
+    out = df.select(*cols)
+    audit = [c.target for c in spec if c.audit]
+    return stamp_audit(out, audit, user, ts) if audit and ts is not None else out

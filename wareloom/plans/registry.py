@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
-_MODULES = ("q_merges", "q_columns", "q_quality", "q_runlog", "q_reports", "q_catalogue", "q_text",
+_MODULES = ("q_merges", "q_columns", "q_quality", "q_runlog", "q_reports", "q_catalogue", "q_text", "q_flows",
             "q_io", "q_stream")
 
 
