@@ -17,7 +17,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +25,7 @@ from ..functions.hashing import row_hash
 from ..functions.scalars import HIGH_DATE, ts_lit
 from .changes import CHANGED, NEW, UNCHANGED, classify, current
 from .keys import assign_skey, max_key
-from ..session import local_rows
+from ..session import cut_lineage, local_rows
 
 DIM, FCT, MRT, NRM = "DIM", "FCT", "MRT", "NRM"
 # System columns of mapped targets, in table order.
@@ -126,7 +125,9 @@ def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int
         dd = dd.drop(*extra)
         data = [c for c in data if c not in extra]
     s = dd.withColumn("RWHKEY", row_hash(dd.drop("_dups"), order=hash_order or data))
-    cls = classify(s, tgt, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    # classified source feeds the key numbering, the expiry join and the counters: written once
+    # to the shared folder so a lost executor re-reads it instead of re-running the lookup join
+    cls = cut_lineage(classify(s, tgt, keys), "classified")
 
     tgt_data = data_columns(tgt)
     types = {f.name: f.dataType for f in tgt.schema.fields}
@@ -187,7 +188,7 @@ def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int
     rejected = {"error_rows": F.count(F.lit(1)), "source_rows": F.count(F.lit(1))}
     summary = (_metrics(cls, m).unionByName(_metrics(bad, rejected))
                .groupBy("metric").agg(F.sum("value").cast("long").alias("value")))
-    return MergeResult(snapshot, summary, bad, (cls,))
+    return MergeResult(snapshot, summary, bad)
 
 
 def scd1_merge(src, tgt, keys, ts, **kw) -> MergeResult:

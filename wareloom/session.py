@@ -27,6 +27,8 @@ def get_spark(master: str | None = None, app: str = "wareloom",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+        # MAX(SKEY) and similar answered from Parquet footers where the scan allows it
+        "spark.sql.parquet.aggregatePushdown": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
