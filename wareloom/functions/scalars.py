@@ -30,7 +30,21 @@ def day_label(ts) -> Column:
 
 def seconds_between(start, end) -> Column:
     """FN-21: fractional seconds from ``start`` to ``end``."""
-    return (F.unix_micros(_c(end).cast("timestamp")) - F.unix_micros(_c(start).cast("timestamp"))) / F.lit(1e6)
+    return micros_between(start, end) / F.lit(1e6)
+
+
+def micros_between(start, end) -> Column:
+    """Exact microseconds from ``start`` to ``end`` on wall-clock timestamps (no time-zone or
+    daylight-saving shift, whatever the session time zone)."""
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
+
+
+EPOCH = "1970-01-01 00:00:00"
+
+
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock timestamp."""
+    return micros_between(F.lit(EPOCH).cast("timestamp_ntz"), ts)
 
 
 def add_seconds(ts, seconds) -> Column:

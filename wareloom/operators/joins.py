@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import epoch_micros
+
 
 def with_count(df: DataFrame, child: DataFrame, key: str | list[str], cond: Column | None = None,
                child_key: str | list[str] | None = None, out: str = "cnt") -> DataFrame:
@@ -61,7 +63,7 @@ def match_within(left: DataFrame, right: DataFrame, key: str, left_ts: str, righ
     us = seconds * 1_000_000
 
     def epoch(c):
-        return F.unix_micros(F.col(c).cast("timestamp"))
+        return epoch_micros(F.col(c))
     lb = left.withColumn("_b0", F.floor(epoch(left_ts) / F.lit(us)))
     lb = lb.withColumn("_b", F.explode(F.array(F.col("_b0") - 1, F.col("_b0"), F.col("_b0") + 1))).drop("_b0")
     rb = right.withColumn("_b", F.floor(epoch(right_ts) / F.lit(us)))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import day_label, seconds_between, ts_lit
+from ..functions.scalars import day_label, micros_between, seconds_between, ts_lit
 from .filters import in_period
 
 # Process status codes.
@@ -21,7 +21,7 @@ RUN_KEYS = ["sessionid", "prcid"]
 
 
 def duration_us(start="strtdt", end="enddt") -> Column:
-    return F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))
+    return micros_between(start, end)
 
 
 def runs_with_process(log: DataFrame, proc: DataFrame) -> DataFrame:
