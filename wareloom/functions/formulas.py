@@ -157,6 +157,13 @@ CATALOGUE = {
 REPORT_CATALOGUE = {k: v for k, v in CATALOGUE.items() if k not in ("TRIM", "SUBSTRING", "REPLACE")}
 
 
+def register_formula(name: str, fn, report: bool = False) -> None:
+    """UD-3: add a Column-returning function to the catalogue (looked up case-insensitively)."""
+    CATALOGUE[name.upper()] = fn
+    if report:
+        REPORT_CATALOGUE[name.upper()] = fn
+
+
 def call(name: str, *args, catalogue: dict | None = None) -> Column:
     fn = (catalogue or CATALOGUE).get(str(name).upper())
     if fn is None:

@@ -84,3 +84,31 @@ def norm_upper(v) -> Column:
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
+
+
+def label_case(c, mapping: dict, default=None) -> Column:
+    """FN-23: ``CASE WHEN c = k THEN v …`` labels / flags from a mapping."""
+    out = F.lit(default)
+    for k, v in reversed(list(mapping.items())):
+        out = F.when(_c(c) == F.lit(k), F.lit(v)).otherwise(out)
+    return out
+
+
+def nvl(*cols) -> Column:
+    """FN-24: first non-NULL value (``COALESCE`` / ``NVL``)."""
+    return F.coalesce(*[_c(c) for c in cols])
+
+
+def day_of(ts) -> Column:
+    """FN-26: date part of a timestamp (``DATE(ts)`` / ``TRUNC(ts)``)."""
+    return F.to_date(_c(ts))
+
+
+def md5_text(v) -> Column:
+    """FN-29: MD5 of text (hex)."""
+    return F.md5(_c(v).cast("string"))
+
+
+def sha256_of(v) -> Column:
+    """FN-30: SHA-256 of bytes or text (hex)."""
+    return F.sha2(_c(v), 256)

@@ -106,7 +106,7 @@ def _metrics(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
 
 def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int = 2, kind: str = DIM,
               order_by: list[str] | None = None, hash_order: list[str] | None = None) -> MergeResult:
-    """SCD-1 / SCD-2 / SCD-3 (run as type 1) / SCD-4 (``kind`` FCT or MRT) merge.
+    """SCD-1 / SCD-2 / SCD-3 (run as type 1) / SCD-4 (``kind`` FCT or MRT) merge with SCD-5 counters.
 
     ``src`` holds the mapped data columns (already named like the target). ``ts`` is the
     run time: inserted rows get FROMDT=RECCRDT=RECUPDT=ts; type-2 expiry sets TODT=ts,

@@ -53,7 +53,7 @@ def mapping_totals(maps: DataFrame, jobs: DataFrame, flows: DataFrame, scheds: D
 
 
 def job_overview(log: DataFrame, proc: DataFrame) -> DataFrame:
-    """AG-2: per job: runs, average source rows, CEIL(average target rows), max / min seconds."""
+    """AG-2: per job: runs, average source rows, CEIL(average target rows) (FN-22), max / min seconds."""
     x = runs_with_process(log, proc)
     return x.groupBy("mapref").agg(
         F.count("mapref").alias("times_processed"),
@@ -204,3 +204,25 @@ def group_order_keys(details: DataFrame) -> DataFrame:
 def seconds(start="strtdt", end="enddt") -> Column:
     """FN-21"""
     return seconds_between(start, end)
+
+
+ERROR_KEYS = ["sessionid", "prcid", "mapref", "jobid"]
+
+
+def log_with_errors(proc: DataFrame, log: DataFrame, err: DataFrame) -> DataFrame:
+    """JN-4: process log ⟕ job log ⟕ errors, each on (job, session, process, mapping); a failed
+    run fans out to one row per error."""
+    keys = ["jobid", "sessionid", "prcid", "mapref"]
+    lg = log.select(*keys, *[c for c in log.columns if c not in keys])
+    return proc.join(lg, keys, "left").join(err, ERROR_KEYS, "left")
+
+
+def job_history(log: DataFrame, proc: DataFrame, err: DataFrame) -> DataFrame:
+    """JN-5: job log ⋈ process log ⟕ errors. A run is identified by (job, session, process); the
+    job id alone would pair every run of a job with every other run of it."""
+    return log.join(proc, ["jobid", "sessionid", "prcid"]).join(err, ERROR_KEYS, "left")
+
+
+def runs_with_config(runs: DataFrame, cfg: DataFrame, key: str = "flupldref") -> DataFrame:
+    """JN-10: file-load runs ⟕ their load configuration (filters applied afterwards, FLT-3)."""
+    return runs.join(cfg, key, "left")

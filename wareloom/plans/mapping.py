@@ -20,6 +20,7 @@ class Combination:
     exec_seq: int = 0
     has_key: bool = True
     order_by: list[str] | None = None
+    hook: object | None = None      # UD-1: DataFrame -> DataFrame applied to the source before the merge
 
 
 @dataclass
@@ -37,7 +38,8 @@ def combination_order(combs: list[Combination]) -> list[Combination]:
 
 def run_mapping(mapping: Mapping, tgt: DataFrame, ts, truncate: bool = False,
                 materialise: bool = True) -> tuple[DataFrame, list[DataFrame]]:
-    """SCD-6 / LD-5: fold the merges of all combinations over the target.
+    """SCD-6 / LD-5: fold the merges of all combinations over the target (UD-1 hooks applied
+    to each combination's source as ``DataFrame.transform``).
 
     Between steps the intermediate snapshot is written to the shared checkpoint folder so the
     next merge reads a short lineage (and a lost executor recomputes from there).
@@ -48,7 +50,8 @@ def run_mapping(mapping: Mapping, tgt: DataFrame, ts, truncate: bool = False,
     summaries = []
     ordered = combination_order(mapping.combinations)
     for i, comb in enumerate(ordered):
-        res = M.scd_merge(comb.source, tgt, mapping.keys, ts, scd_type=comb.scd_type, kind=mapping.kind,
+        src = comb.source.transform(comb.hook) if comb.hook is not None else comb.source
+        res = M.scd_merge(src, tgt, mapping.keys, ts, scd_type=comb.scd_type, kind=mapping.kind,
                           order_by=comb.order_by)
         summaries.append(res.summary)
         tgt = res.target

@@ -22,7 +22,8 @@ SELECT c_custkey,
        c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS note
 FROM customer""")
 def map_columns_fallback(spark, sf_dir):
-    """PRJ-1: mapped column, per-value fallback to the target-named column, NULL when absent."""
+    """PRJ-1: mapped column, per-value fallback to the target-named column, NULL when absent
+    (FLT-1 current-row filter and FLT-2 null-key split are part of every merge query)."""
     c = table(spark, sf_dir, "customer")
     src = c.select("c_custkey", F.col("c_name").alias("CUST_NAME"),
                    F.when(F.col("c_custkey") % 7 == 0, F.lit(None)).otherwise(F.upper("c_name")).alias("alt_name"),
@@ -75,7 +76,8 @@ SELECT p_partkey,
        replace(p_brand, 'Brand#', 'B-') AS f_replace
 FROM part""")
 def formula_text(spark, sf_dir):
-    """FN-1 … FN-6, FN-9 … FN-11 as Column builders."""
+    """FN-1 CONCAT, FN-2 COALESCE, FN-3 SPLIT, FN-4 UPPER, FN-5 LOWER, FN-6 TRIM, FN-9 LEN,
+    FN-10 SUBSTRING, FN-11 REPLACE as Column builders (UD-3: looked up by name in the catalogue)."""
     p = table(spark, sf_dir, "part")
     return p.select(
         "p_partkey",
@@ -88,7 +90,7 @@ def formula_text(spark, sf_dir):
         fx.len_("p_name").alias("f_len"),
         fx.len_(F.when(F.col("p_size") >= 10, F.col("p_brand"))).alias("f_len_null"),
         fx.substring("p_name", 2, 4).alias("f_sub"), fx.substring("p_name", 6).alias("f_sub_tail"),
-        fx.replace("p_brand", "Brand#", "B-").alias("f_replace"))
+        fx.call("replace", "p_brand", "Brand#", "B-").alias("f_replace"))
 
 
 _DIV = "((l_orderkey % 7) - 3)"
@@ -105,7 +107,8 @@ SELECT l_orderkey, l_linenumber,
        -l_quantity AS n_neg
 FROM lineitem""")
 def formula_numeric(spark, sf_dir):
-    """FN-7, FN-8 (decimal ties), FN-12 … FN-16."""
+    """FN-7 ABS, FN-8 ROUND (decimal ties), FN-12 plus, FN-13 minus / times, FN-14 divide,
+    FN-15 floored modulo, FN-16 unary minus, FN-17 constants and names."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         "l_orderkey", "l_linenumber",

@@ -62,7 +62,8 @@ SELECT CAST(p_partkey AS BIGINT) AS part_id, trim('  ' || p_name || ' ') AS part
        CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price, 'SYSTEM' AS CRTDBY, TIMESTAMP '{TS}' AS CRTDDT
 FROM part WHERE length(p_name) <= 10""")
 def file_load_flow(spark, sf_dir):
-    """§3.2 end to end: the loaded table (created from the spec, then appended)."""
+    """§3.2 end to end: TY-1 spec types, PRJ-4 formulas over the raw row, PRJ-3 defaults, PRJ-6
+    audit, PRJ-7 typing, DQ-2/4/5 rejects, SNK-1 table created from the spec, LD-1 append."""
     ok, _ = _file_checked(spark, sf_dir)
     created = SK.create_table(spark, SK.scratch_dir(spark, "created"), [c for c in FILE_SPEC])
     loaded = M.load(ok.drop("rwndx"), created, "INSERT")
@@ -114,7 +115,8 @@ UNION ALL SELECT 'error_rows', 0
 UNION ALL SELECT 'rejected_precision', count(*) FROM rej""")
 def mapping_job_flow(spark, sf_dir):
     """§3.1 end to end: parameterised SQL source, resume after key 100 (AUTO -> KEY), column
-    mapping, precision check, user hook, type-2 merge; returns the run counters."""
+    mapping, precision check, user hook, type-2 merge; returns the run counters
+    (SRC-9, INC-4, PRJ-1, DQ-3, UD-1, SCD-2, SCD-5)."""
     views(spark, sf_dir, ["customer"])
     src = RD.sql_source(spark, _MAP_SQL, {"skip_nation": 24})
     src = resume(src, ["CUST_ID"], ResumeState("AUTO", "100"))

@@ -146,7 +146,8 @@ def sql_source_params(spark, sf_dir):
 
 @query("read_any_routing", PART_SQL)
 def read_any_routing(spark, sf_dir):
-    """SRC-6: the reader is chosen by the file extension (.tsv -> delimited, tab sniffed)."""
+    """SRC-6 / UD-2: the reader is chosen by the file extension (.tsv -> delimited, tab sniffed);
+    extensions can be registered with ``readers.register_reader``."""
     d = SK.scratch_dir(spark, "routing")
     path = os.path.join(d, "part.tsv")
     table(spark, sf_dir, "part").write.option("header", "true").option("sep", "\t").csv(path)

@@ -71,7 +71,7 @@ _TGT_SQL = _sql_dim_at_t0(SQL_CUSTOMER_MAPPED, CUSTOMER_COLS, "c_custkey", _CUST
 
 @query("scd2_customer", _money(sql_scd(SQL_CUSTOMER_CHANGES, _TGT_SQL, CUSTOMER_COLS, "c_custkey", _CUST_HASH, 2)))
 def scd2_customer(spark, sf_dir):
-    """SCD-2 + HSH-1 + JN-1 + HSH-3 + KEY-1 on customer."""
+    """SCD-2 + HSH-1 + JN-1 + HSH-3 + KEY-1 (new keys from KEY-2 max + 1) on customer."""
     tgt = customer_dimension(spark, sf_dir)
     return portable(M.scd2_merge(customer_changes(spark, sf_dir), tgt, KEYS, TS).target)
 
@@ -242,10 +242,20 @@ def part_incoming(spark, sf_dir):
                     (F.col("p_retailprice") * 1.1).cast("decimal(18,2)").alias("p_retailprice"))
 
 
+_LOAD_DOCS = {
+    "INSERT": "LD-1 append (LD-6 column alignment, audit stamps overwritten at load).",
+    "TRUNCATE_LOAD": "LD-2 truncate-load: the target is replaced by the file.",
+    "UPSERT": "LD-3 upsert by key over JN-12 full merge join: matched rows take the file's non-key values, "
+              "created-by / created-date kept; LD-4: without a key the upsert appends.",
+    "IF_ABSENT": "LD-7 insert if absent: only keys missing from the target are added (anti join).",
+}
+
+
 def _load(mode, keys=None):
     def run(spark, sf_dir):
         return portable(M.load(part_incoming(spark, sf_dir), part_target(spark, sf_dir), mode, keys=keys,
                                user="SYSTEM", ts=TS))
+    run.__doc__ = _LOAD_DOCS[mode] + (" (no key given)" if mode == "UPSERT" and not keys else "")
     return run
 
 
@@ -337,7 +347,7 @@ def resume_single(spark, sf_dir):
 @query("resume_composite", """
 SELECT * FROM lineitem WHERE l_orderkey > 5000 OR (l_orderkey = 5000 AND l_linenumber > 3)""")
 def resume_composite(spark, sf_dir):
-    """INC-2: lineitem after the composite key ``5000|3`` (tuple comparison)."""
+    """INC-2: lineitem after the composite key ``5000|3`` (FLT-6 tuple comparison, pushed to the scan)."""
     from ..operators.incremental import resume_after
     return resume_after(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "5000|3")
 

@@ -92,7 +92,7 @@ def _part_checked(spark, sf_dir):
 
 @query("error_rows_json")
 def error_rows_json(spark, sf_dir):
-    """DQ-6 / DQ-7: error records with row index over the whole input, row JSON, code and
+    """DQ-6 / DQ-7: error records with row index over the whole input, row JSON (FN-31), code and
     bounded message (JSON text differs between engines, so rows-only)."""
     _, bad = _part_checked(spark, sf_dir)
     return Q.error_rows(bad, 1, ["p_partkey"], ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])

@@ -78,7 +78,7 @@ SELECT mapref, count(mapref) AS times_processed,
        max(dur_us) / 1e6 AS max_job_duration, min(dur_us) / 1e6 AS min_job_duration
 FROM {RUNS_SQL} r GROUP BY mapref""")
 def job_overview(spark, sf_dir):
-    """AG-2 + JN-2: per job runs, average rows and duration extremes."""
+    """AG-2 + JN-2: per job runs, average rows, CEIL of the average (FN-22) and duration extremes."""
     return R.job_overview(RT.log(spark, sf_dir), RT.proc(spark, sf_dir))
 
 
@@ -274,7 +274,7 @@ def log_with_errors(spark, sf_dir):
     p = RT.proc(spark, sf_dir)
     lg = RT.log(spark, sf_dir).select(*keys, "srcrows", "trgrows")
     er = RT.errors(spark, sf_dir).select(*keys, "errid", "errmsg", "dberrmsg")
-    x = p.join(lg, keys, "left").join(er, keys, "left")
+    x = R.log_with_errors(p, lg, er)
     return x.select("prcid", "mapref", "status", "srcrows", "trgrows", "errid",
                     newline_join("errmsg", "dberrmsg").alias("message"))
 
@@ -289,7 +289,7 @@ def log_mixed(spark, sf_dir):
     p = RT.proc(spark, sf_dir).select("jobid", "sessionid", "prcid", "mapref", "strtdt", "status")
     lg = RT.log(spark, sf_dir).select("joblogid", "jobid", "sessionid", "prcid")
     er = RT.errors(spark, sf_dir).select("sessionid", "prcid", "mapref", "jobid", "errid")
-    x = lg.join(p, ["jobid", "sessionid", "prcid"]).join(er, ["sessionid", "prcid", "mapref", "jobid"], "left")
+    x = R.job_history(lg, p, er)
     return x.select("joblogid", "mapref", "strtdt", "status", "errid")
 
 
@@ -364,7 +364,7 @@ def run_filter(spark, sf_dir):
     and an inclusive date range."""
     runs = RT.file_runs(spark, sf_dir)
     cfg = RT.load_config(spark, sf_dir).select("flupldref", "flnm", "trnctflg")
-    x = runs.join(cfg, "flupldref", "left")
+    x = R.runs_with_config(runs, cfg)
     x = FL.filter_runs(x, equals={"stts": "success", "ldmde": "upsert"}, contains=(["flupldref", "mssg"], "LIC"),
                        date_col="strttm", start="2024-01-05", end="2024-01-12")
     return x.select("runid", "flupldref", "strttm", "stts", "ldmde", "mssg", "flnm", "trnctflg")
@@ -394,3 +394,31 @@ def errors_page(spark, sf_dir):
     errs = Q.error_rows(bad, 1, ["p_partkey"], ["p_partkey", "p_name"])
     return Q.browse_errors(errs, runid=1, code="too_long", text="exceeds", limit=20, offset=10) \
             .select("rwndx", "rrcd", "rrmssg")
+
+
+@query("scalar_functions", f"""
+SELECT e.errid, strftime(p.strtdt, '%Y-%m-%d') AS day_label, (epoch_us(p.enddt) - epoch_us(p.strtdt)) / 1e6 AS seconds,
+       CASE p.status WHEN 'FL' THEN 'Failed' WHEN 'PC' THEN 'Completed' ELSE 'Other' END AS status_label,
+       COALESCE(NULLIF(e.dberrmsg, 'db error 1'), e.errmsg) AS first_message,
+       upper(trim('  ' || p.mapref || ' ')) = upper(p.mapref) AS same_job,
+       CAST(p.strtdt AS DATE) AS run_day,
+       e.errmsg || chr(10) || e.dberrmsg AS full_message,
+       NULLIF(regexp_extract(e.errmsg, '([A-Z]+-[0-9]+)', 1), '') AS error_code,
+       md5(e.errmsg) AS msg_md5, sha256(e.errmsg) AS msg_sha256, substring(e.errmsg, 1, 10) AS short_message
+FROM {E} e JOIN {P} p ON p.prcid = e.prcid AND p.sessionid = e.sessionid""")
+def scalar_functions(spark, sf_dir):
+    """FN-20 day label, FN-21 seconds, FN-23 CASE labels, FN-24 NVL, FN-25 UPPER(TRIM) compare,
+    FN-26 date part, FN-27 newline concat, FN-28 error code, FN-29 MD5, FN-30 SHA-256, FN-32
+    bounded text — over every error row joined to its run."""
+    from ..functions import scalars as SC
+    er = RT.errors(spark, sf_dir).drop("mapref", "jobid")
+    p = RT.proc(spark, sf_dir).select("prcid", "sessionid", "strtdt", "enddt", "status", "mapref")
+    x = er.join(p, ["prcid", "sessionid"])
+    return x.select(
+        "errid", SC.day_label("strtdt").alias("day_label"), SC.seconds_between("strtdt", "enddt").alias("seconds"),
+        SC.label_case("status", {"FL": "Failed", "PC": "Completed"}, "Other").alias("status_label"),
+        SC.nvl(F.nullif(F.col("dberrmsg"), F.lit("db error 1")), "errmsg").alias("first_message"),
+        (SC.norm_upper(F.concat(F.lit("  "), F.col("mapref"), F.lit(" "))) == F.upper("mapref")).alias("same_job"),
+        SC.day_of("strtdt").alias("run_day"), SC.newline_join("errmsg", "dberrmsg").alias("full_message"),
+        SC.error_code("errmsg").alias("error_code"), SC.md5_text("errmsg").alias("msg_md5"),
+        SC.sha256_of("errmsg").alias("msg_sha256"), SC.bounded("errmsg", 10).alias("short_message"))

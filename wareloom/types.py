@@ -44,7 +44,7 @@ class TypeInfo:
 
 
 def resolve(code: str | None) -> TypeInfo:
-    """Resolve a generic type code (case-insensitive) to a ``TypeInfo``."""
+    """TY-1: resolve a generic type code (case-insensitive) to a ``TypeInfo``."""
     if code is None or not str(code).strip():
         return TypeInfo(T.StringType(), _DEFAULT_TEXT_LENGTH)
     raw = str(code).strip()
