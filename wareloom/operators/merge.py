@@ -105,12 +105,17 @@ def _metrics(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
 
 
 def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int = 2, kind: str = DIM,
-              order_by: list[str] | None = None, hash_order: list[str] | None = None) -> MergeResult:
+              order_by: list[str] | None = None, hash_order: list[str] | None = None,
+              include_history: bool = True, next_key: int | None = None) -> MergeResult:
     """SCD-1 / SCD-2 / SCD-3 (run as type 1) / SCD-4 (``kind`` FCT or MRT) merge with SCD-5 counters.
 
     ``src`` holds the mapped data columns (already named like the target). ``ts`` is the
     run time: inserted rows get FROMDT=RECCRDT=RECUPDT=ts; type-2 expiry sets TODT=ts,
     so validity periods are half-open and meet exactly.
+
+    ``include_history=False`` leaves closed rows of ``tgt`` out of the result (the result is then
+    the new current rows plus the rows closed by this run), for stores that keep history
+    append-only (``sources.sinks.DimensionTable``); ``next_key`` then gives the first free SKEY.
     """
     spark = src.sparkSession
     if scd_type == 3:
@@ -132,7 +137,7 @@ def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int
     tgt_data = data_columns(tgt)
     types = {f.name: f.dataType for f in tgt.schema.fields}
     need_key = (F.col("change") == NEW) if scd_type == 1 or not dim else F.col("change").isin(NEW, CHANGED)
-    start = max_key(tgt) + 1
+    start = next_key if next_key is not None else max_key(tgt) + 1
     ins_src = cls.filter(need_key).select(*data, "RWHKEY")
     ins = assign_skey(ins_src, start, keys)
     ins_cols = [F.col("SKEY")]
@@ -145,7 +150,7 @@ def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int
     inserts = ins.select(*ins_cols)
 
     cur = current(tgt) if dim else tgt
-    hist = tgt.filter(~(F.col("CURFLG") == F.lit("Y")) | F.col("CURFLG").isNull()) if dim else None
+    hist = tgt.filter(~(F.col("CURFLG") == F.lit("Y")) | F.col("CURFLG").isNull()) if dim and include_history else None
     if scd_type == 2 and dim:
         chg = cls.filter(F.col("change") == CHANGED).select(*keys, F.lit(True).alias("_hit"))
         j = cur.join(chg, keys, "left")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ts_lit
 from ..operators.keys import number_rows
-from ..sources.sinks import SnapshotTable, scratch_dir
+from ..operators import merge as M
+from ..sources.sinks import DimensionTable, SnapshotTable, scratch_dir
 from ..streaming import ingest as SS
 from .q_merges import KEYS, _TGT_SQL, _money, customer_dimension, sql_scd
 from .registry import query
@@ -89,3 +90,17 @@ def stream_progress(spark, sf_dir):
     """SS-4: per-batch source / target / error counts with running totals."""
     _, prog = _run_stream_scd2(spark, sf_dir)
     return SS.progress(spark, prog)
+
+
+@query("dimension_store_scd2", _money(sql_scd(SQL_CUSTOMER_CHANGES, _TGT_SQL, CUSTOMER_COLS, "c_custkey", _CH, 2)))
+def dimension_store_scd2(spark, sf_dir):
+    """SCD-2 into a dimension stored as current rows + append-only history: the run rewrites
+    only the current rows and appends the rows it closed; read back whole it equals the
+    snapshot merge."""
+    dim = DimensionTable(spark, os.path.join(scratch_dir(spark, "dimension"), "customer"))
+    t0 = customer_dimension(spark, sf_dir)
+    dim.commit(t0, 0)
+    res = M.scd2_merge(customer_changes(spark, sf_dir), dim.read_current(), KEYS, TS,
+                       include_history=False, next_key=dim.next_key())
+    dim.commit(res.target, 1)
+    return portable(dim.read())

@@ -129,3 +129,47 @@ class SnapshotTable:
         local_rows(self.spark, [(int(version), committed_at)], "version long, committed_at string") \
             .coalesce(1).write.mode("append").json(self.log)
         return True
+
+
+class DimensionTable:
+    """A type-2 dimension kept as *current rows* (a ``SnapshotTable``, replaced per run) plus
+    *history* (closed rows, append-only under ``history/v=<version>``).
+
+    A merge then rewrites only the current rows and appends the rows it closed; history, which
+    grows with every run, is never rewritten. Readers see history up to the latest committed
+    version only, so a run that failed between its two writes is invisible and re-runnable.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.current = SnapshotTable(spark, f"{self.root}/current")
+        self.history_dir = f"{self.root}/history"
+
+    def read_current(self) -> DataFrame:
+        return self.current.read()
+
+    def read_history(self) -> DataFrame:
+        v = self.current.latest_version()
+        cur = self.current.read()
+        try:
+            h = self.spark.read.schema(cur.schema.add("v", "long")).parquet(self.history_dir)
+        except Exception:  # no history yet
+            return cur.limit(0)
+        return h.filter(F.col("v") <= F.lit(v)).drop("v")
+
+    def read(self) -> DataFrame:
+        return self.read_history().unionByName(self.read_current())
+
+    def next_key(self, col: str = "SKEY") -> int:
+        """First free surrogate key over current and history (footer aggregates where possible)."""
+        m = [self.read_current().agg(F.max(col).alias("m")).first()["m"],
+             self.read_history().agg(F.max(col).alias("m")).first()["m"]]
+        return max([x for x in m if x is not None] or [0]) + 1
+
+    def commit(self, rows: DataFrame, version: int) -> bool:
+        """``rows`` = new current rows + rows closed by this run (``include_history=False`` merge)."""
+        if self.current.has_version(version):
+            return False
+        closed = rows.filter(~(F.col("CURFLG") == F.lit("Y")) | F.col("CURFLG").isNull())
+        closed.write.mode("overwrite").parquet(f"{self.history_dir}/v={version}")
+        return self.current.commit(rows.filter(F.col("CURFLG") == F.lit("Y")), version)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import merge as M
-from ..sources.sinks import SnapshotTable
+from ..sources.sinks import DimensionTable, SnapshotTable
 from ..session import local_rows
 
 PROGRESS_SCHEMA = "batch_id long, source_rows long, target_rows long, error_rows long"
@@ -50,16 +50,20 @@ def ingest_stream(spark: SparkSession, src_dir: str, schema: T.StructType, trans
     q.awaitTermination()
 
 
-def merge_stream(spark: SparkSession, stream: DataFrame, target: SnapshotTable, keys: list[str], ts,
+def merge_stream(spark: SparkSession, stream: DataFrame, target: SnapshotTable | DimensionTable, keys: list[str], ts,
                  checkpoint: str, progress_dir: str, scd_type: int = 2, kind: str = M.DIM,
                  order_by: list[str] | None = None) -> None:
     """SS-2 / SS-3 / SS-4: micro-batches merged into the snapshot table, one version per batch."""
     def merge_batch(batch: DataFrame, batch_id: int):
         version = batch_id + 1
-        if target.has_version(version):        # already committed before a restart
+        store = target.current if isinstance(target, DimensionTable) else target
+        if store.has_version(version):         # already committed before a restart
             return
-        tgt = target.read()
-        res = M.scd_merge(batch, tgt, keys, ts, scd_type=scd_type, kind=kind, order_by=order_by)
+        if isinstance(target, DimensionTable):  # history stays append-only
+            res = M.scd_merge(batch, target.read_current(), keys, ts, scd_type=scd_type, kind=kind,
+                              order_by=order_by, include_history=False, next_key=target.next_key())
+        else:
+            res = M.scd_merge(batch, target.read(), keys, ts, scd_type=scd_type, kind=kind, order_by=order_by)
         committed = target.commit(res.target, version)
         if committed:
             c = res.counters()
