@@ -128,7 +128,7 @@ def catalogue_missing(spark, sf_dir):
 
 
 @query("type_suggest", f"""
-SELECT g.prcd, g.prval AS generic_value, m.matrix_value AS suggested_value, 0.85 AS confidence
+SELECT g.prcd, g.prval AS generic_value, m.matrix_value AS suggested_value, CAST(0.85 AS DOUBLE) AS confidence
 FROM (SELECT * FROM {CAT_SQL} c WHERE upper(dbtyp) = 'GENERIC' AND curflg = 'Y') g
 JOIN (SELECT * FROM {_matrix_sql()} x WHERE dbtyp = 'MYSQL') m ON m.prcd = g.prcd""")
 def type_suggest(spark, sf_dir):

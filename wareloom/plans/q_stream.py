@@ -83,8 +83,8 @@ cls AS (SELECT s.batch_id, t.SKEY IS NULL OR s.RWHKEY <> t.RWHKEY AS ins
 per AS (SELECT batch_id, count(*) AS source_rows, count(*) FILTER (WHERE ins) AS target_rows, 0 AS error_rows
         FROM cls GROUP BY batch_id)
 SELECT batch_id, source_rows, target_rows, CAST(error_rows AS BIGINT) AS error_rows,
-       sum(source_rows) OVER (ORDER BY batch_id) AS total_source_rows,
-       sum(target_rows) OVER (ORDER BY batch_id) AS total_target_rows
+       CAST(sum(source_rows) OVER (ORDER BY batch_id) AS BIGINT) AS total_source_rows,
+       CAST(sum(target_rows) OVER (ORDER BY batch_id) AS BIGINT) AS total_target_rows
 FROM per""")
 def stream_progress(spark, sf_dir):
     """SS-4: per-batch source / target / error counts with running totals."""
