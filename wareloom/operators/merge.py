@@ -212,10 +212,31 @@ def fact_merge(src, tgt, keys, ts, **kw) -> MergeResult:
     return scd_merge(src, tgt, keys, ts, scd_type=1, **kw)
 
 
-def initial_load(src: DataFrame, keys: list[str], ts, kind: str = DIM, **kw) -> MergeResult:
-    """First load of a target = merge into the empty table."""
-    tgt = empty_target(src.sparkSession, src.select(*data_columns(src)).schema, kind)
-    return scd_merge(src, tgt, keys, ts, scd_type=1, kind=kind, **kw)
+def initial_load(src: DataFrame, keys: list[str], ts, kind: str = DIM, order_by: list[str] | None = None,
+                 hash_order: list[str] | None = None) -> MergeResult:
+    """First load of a target: the same result as a merge into the empty table, without the
+    lookup join (every accepted row is new): de-duplicate, hash, number by key from 1."""
+    t_now = ts_lit(ts)
+    data = data_columns(src)
+    ok, bad = split_null_keys(src.select(*data), keys)
+    dd = dedup_last(ok, keys, order_by)
+    extra = [c for c in (order_by or []) if c not in keys]      # ordering-only columns
+    if extra:
+        dd = dd.drop(*extra)
+        data = [c for c in data if c not in extra]
+    s = dd.withColumn("RWHKEY", row_hash(dd.drop("_dups"), order=hash_order or data))
+    numbered = assign_skey(s.select(*data, "RWHKEY", "_dups"), 1, keys)
+    cols = [F.col("SKEY"), *[F.col(c) for c in data], F.col("RWHKEY")]
+    if _is_dim(kind):
+        cols += [F.lit("Y").alias("CURFLG"), t_now.alias("FROMDT"), F.lit(HIGH_DATE).cast("timestamp_ntz").alias("TODT")]
+    cols += [t_now.alias("RECCRDT"), t_now.alias("RECUPDT")]
+    m = {"source_rows": F.count(F.lit(1)) + F.sum("_dups"), "inserted": F.count(F.lit(1)), "updated": F.lit(0),
+         "expired": F.lit(0), "unchanged": F.lit(0), "new_keys": F.count(F.lit(1)), "duplicates": F.sum("_dups"),
+         "target_rows": F.count(F.lit(1))}
+    rejected = {"error_rows": F.count(F.lit(1)), "source_rows": F.count(F.lit(1))}
+    summary = (_metrics(numbered, m).unionByName(_metrics(bad, rejected))
+               .groupBy("metric").agg(F.sum("value").cast("long").alias("value")))
+    return MergeResult(numbered.select(*cols), summary, bad)
 
 
 # ---------------------------------------------------------------- file loads (LD-*)

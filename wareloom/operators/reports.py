@@ -89,15 +89,22 @@ def report(base: DataFrame, fields, limit: int | None = None) -> DataFrame:
     return out
 
 
-def describe_query(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
-    """RP-6: column names and types of a query without running it (analysis only)."""
-    schema = spark.sql(sql, args=args).schema
+def describe_query(spark: SparkSession, sql: str, args: dict | None = None, count_rows: bool = False) -> DataFrame:
+    """RP-6: column names and types of a query without running it (analysis only); with
+    ``count_rows`` the number of result rows is added (one aggregate over the query)."""
+    q = spark.sql(sql, args=args)
+    schema = q.schema
     rows = []
     for i, f in enumerate(schema.fields):
         p = f.dataType.precision if isinstance(f.dataType, T.DecimalType) else None
         s = f.dataType.scale if isinstance(f.dataType, T.DecimalType) else None
         rows.append((i + 1, f.name, f.dataType.simpleString(), p, s, f.nullable))
-    return local_rows(spark, rows, "position int, name string, type string, precision int, scale int, nullable boolean")
+    desc = local_rows(spark, rows, "position int, name string, type string, precision int, scale int, nullable boolean")
+    if not count_rows:
+        return desc
+    # one aggregate row joined on a constant key (a single-row broadcast, not a cross product)
+    n = q.agg(F.count(F.lit(1)).alias("result_rows")).withColumn("_k", F.lit(1))
+    return desc.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k").drop("_k")
 
 
 def snapshot(df: DataFrame, path: str) -> str:

@@ -74,11 +74,12 @@ def report_limit(spark, sf_dir):
 
 @query("describe")
 def describe(spark, sf_dir):
-    """RP-6: names and types of a report query without reading data (rows only)."""
+    """RP-6: names and types of a report query (analysis only) plus its result row count
+    (rows only)."""
     views(spark, sf_dir, ["lineitem"])
     return RP.describe_query(spark, """SELECT l_returnflag, sum(l_quantity) AS qty,
         CAST(max(l_extendedprice) AS DECIMAL(12,2)) AS top_price, max(l_shipdate) AS last_ship
-        FROM lineitem GROUP BY l_returnflag""")
+        FROM lineitem GROUP BY l_returnflag""", count_rows=True)
 
 
 _RUNS_SQL = """(SELECT event_id AS run_id, user_id % 10 AS report_id, ts AS run_at,
