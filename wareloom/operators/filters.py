@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as _dt
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,16 +60,11 @@ def filter_status(df: DataFrame, col: str, values: list[str]) -> DataFrame:
 
 
 def after_tuple(cols: list[str], values: list) -> Column:
-    """FLT-6: ``(c1, …, cn) > (v1, …, vn)`` in lexicographic order."""
+    """FLT-6: ``(c1, …, cn) > (v1, …, vn)`` in lexicographic order, expanded to
+    ``c1 > v1 OR (c1 = v1 AND (c2 > v2 OR …))`` so the leading comparison reaches the scan."""
+    vals = [v if isinstance(v, Column) else F.lit(v) for v in values]
     cond = None
     for i in reversed(range(len(cols))):
-        gt = F.col(cols[i]) > F.lit(values[i])
-        if cond is None:
-            cond = gt
-        else:
-            cond = gt | ((F.col(cols[i]) == F.lit(values[i])) & cond)
+        gt = F.col(cols[i]) > vals[i]
+        cond = gt if cond is None else gt | ((F.col(cols[i]) == vals[i]) & cond)
     return cond
-
-
-def _date(v):
-    return v if isinstance(v, (_dt.date, _dt.datetime)) else str(v)

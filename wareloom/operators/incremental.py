@@ -29,12 +29,7 @@ def resume_after(df: DataFrame, keys: list[str], value) -> DataFrame:
         return df
     if len(keys) == 1:
         return df.filter(F.col(keys[0]) > _typed(df, keys[0], parts[0]))
-    lits = [_typed(df, k, p) for k, p in zip(keys, parts)]
-    cond = None
-    for i in reversed(range(len(keys))):
-        gt = F.col(keys[i]) > lits[i]
-        cond = gt if cond is None else gt | ((F.col(keys[i]) == lits[i]) & cond)
-    return df.filter(cond)
+    return df.filter(after_tuple(keys, [_typed(df, k, p) for k, p in zip(keys, parts)]))
 
 
 def resume_after_rows(df: DataFrame, n: int, order_by) -> DataFrame:

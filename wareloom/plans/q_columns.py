@@ -13,7 +13,7 @@ from ..types import ColumnSpec
 from .q_merges import _TGT_SQL, KEYS, customer_dimension
 from .registry import query
 from .tables import (CUSTOMER_COLS, SQL_CUSTOMER_CHANGES, SQL_CUSTOMER_MAPPED, TS, customer_changes,
-                     customer_mapped, portable, sql_hash, table)
+                     customer_mapped, sql_hash, table)
 
 
 @query("map_columns_fallback", """
