@@ -104,3 +104,24 @@ def dimension_store_scd2(spark, sf_dir):
                        include_history=False, next_key=dim.next_key())
     dim.commit(res.target, 1)
     return portable(dim.read())
+
+
+def _upsert_oracle():
+    from .registry import ORACLE
+    from . import q_merges  # noqa: F401  (registers load_upsert)
+    return ORACLE["load_upsert"]
+
+
+@query("stream_upsert", _upsert_oracle())
+def stream_upsert(spark, sf_dir):
+    """SS-1 with UPSERT: the incoming part file streamed in key-range batches, every batch
+    upserted into the versioned target (the reference switched to INSERT after the first
+    chunk); equals the one-shot upsert."""
+    from .q_merges import part_incoming, part_target
+    root = scratch_dir(spark, "stream-upsert")
+    src = write_batches(part_incoming(spark, sf_dir), "p_partkey", os.path.join(root, "in"))
+    target = SnapshotTable(spark, os.path.join(root, "target"))
+    target.commit(part_target(spark, sf_dir), 0)
+    SS.ingest_stream(spark, src, spark.read.parquet(src).schema, lambda d: d, target, os.path.join(root, "ckpt"),
+                     mode="UPSERT", keys=["p_partkey"], user="SYSTEM", ts=TS)
+    return portable(target.read())

@@ -34,13 +34,24 @@ def file_stream(spark: SparkSession, src_dir: str, schema: T.StructType, fmt: st
 
 
 def ingest_stream(spark: SparkSession, src_dir: str, schema: T.StructType, transform: Callable[[DataFrame], DataFrame],
-                  target_dir: str, checkpoint: str, fmt: str = "parquet", max_files: int = 1,
-                  mode: str = "append") -> None:
-    """SS-1: run the stream until every present file is processed (``availableNow``)."""
+                  target_dir: str | SnapshotTable, checkpoint: str, fmt: str = "parquet", max_files: int = 1,
+                  mode: str = "append", keys: list[str] | None = None, user: str = "SYSTEM", ts=None) -> None:
+    """SS-1: run the stream until every present file is processed (``availableNow``).
+
+    With a folder, batches are appended (TRUNCATE_LOAD empties it on the first batch). With a
+    ``SnapshotTable`` every batch is loaded with the same mode (INSERT / UPSERT / IF_ABSENT /
+    TRUNCATE_LOAD) into the latest version and committed as version ``batch_id + 1``, so a batch
+    re-run after a restart changes nothing."""
     stream = transform(file_stream(spark, src_dir, schema, fmt, max_files))
 
     def load_batch(batch: DataFrame, batch_id: int):
-        if mode.upper() == "TRUNCATE_LOAD" and batch_id == 0:
+        if isinstance(target_dir, SnapshotTable):
+            version = batch_id + 1
+            if target_dir.has_version(version):
+                return
+            new = M.load(batch, target_dir.read(), mode, keys=keys, user=user, ts=ts)
+            target_dir.commit(new, version)
+        elif mode.upper() == "TRUNCATE_LOAD" and batch_id == 0:
             batch.write.mode("overwrite").parquet(target_dir)
         else:
             batch.write.mode("append").parquet(target_dir)
