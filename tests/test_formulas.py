@@ -39,3 +39,10 @@ def test_row_hash_matches_python_rule(spark):
     assert got == want
     df2 = df.withColumn("RWHKEY", F.lit("x")).withColumn("SKEY", F.lit(9))
     assert df2.select(row_hash(df2).alias("h")).first().h == want      # system columns excluded
+
+
+def test_widget_series_detects_numeric_text(spark):
+    from wareloom.operators.reports import widget_series
+    df = spark.createDataFrame([("a", "x", "12.5", 3), ("b", "y", "n/a", 4)], "l string, t string, v string, n int")
+    rows = widget_series(df).collect()
+    assert [(r.label, r.value) for r in rows] == [("a", 12.5), ("b", 0.0)]

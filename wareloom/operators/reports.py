@@ -148,13 +148,28 @@ def widget_table(spark: SparkSession, sql: str, n: int | None = None, export: bo
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
+def first_numeric_column(df: DataFrame, candidates: list, sample: int = PREVIEW_MAX) -> str | None:
+    """The first column that holds numbers: a numeric type, or text of which at least one value
+    (among the first ``sample`` rows) reads as a number. One aggregate row reaches the driver."""
+    texts = [f.name for f in candidates if isinstance(f.dataType, T.StringType)]
+    readable = {}
+    if texts:
+        r = df.limit(sample).agg(*[F.max(F.col(f"`{c}`").try_cast("double").isNotNull()).alias(f"c{i}")
+                                   for i, c in enumerate(texts)]).first()
+        readable = {c: bool(r[f"c{i}"]) for i, c in enumerate(texts)}
+    for f in candidates:
+        if isinstance(f.dataType, _NUMERIC) or readable.get(f.name):
+            return f.name
+    return None
+
+
 def widget_series(df: DataFrame) -> DataFrame:
     """WD-2: label = first column as text (24 chars), value = first numeric column after it
     (non-numeric or NULL -> 0), first 20 rows of the query's order."""
     fields = df.schema.fields
     label = fields[0].name
     rest = fields[1:] if len(fields) > 1 else fields
-    num = next((f.name for f in rest if isinstance(f.dataType, _NUMERIC)), None)
+    num = first_numeric_column(df, rest)
     if num is None:
         raise ReportError("widget query has no numeric column")
     val = F.coalesce(F.col(num).try_cast("double"), F.lit(0.0))
