@@ -69,3 +69,13 @@ def test_snapshot_table_idempotent(spark, tmp_dir):
     assert t.commit(spark.range(5), 0) is False
     assert t.commit(spark.range(7), 1) is True
     assert t.latest_version() == 1 and t.read().count() == 7 and t.read(0).count() == 3
+
+
+def test_number_in_file_order(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "many")
+    for i in range(3):
+        _write(os.path.join(d, f"f{i}.csv"), "k\n" + "".join(f"{i}-{j}\n" for j in range(4)))
+    df = spark.read.option("header", "true").csv(d)
+    got = sorted((r.row_index, r.k) for r in RD.number_in_file_order(df).collect())
+    assert [g[0] for g in got] == list(range(1, 13))
+    assert [g[1] for g in got] == [f"{i}-{j}" for i in range(3) for j in range(4)]

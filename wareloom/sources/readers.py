@@ -148,6 +148,24 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> D
                     "lines_in_file")
 
 
+def number_in_file_order(df: DataFrame, col: str = "row_index") -> DataFrame:
+    """1-based position of every row over all input files (files in path order, rows in file
+    order), without sorting the data: ``df`` must be a file scan (it reads ``_metadata``). Only a
+    per-split table (one row per file split) is aggregated and broadcast.
+
+    This is the row index the error records of a file load refer to."""
+    raw = df.select("*", F.col("_metadata.file_path").alias("_wl_file"),
+                    F.col("_metadata.file_block_start").alias("_wl_block"),
+                    F.monotonically_increasing_id().alias("_wl_mid"))
+    per = raw.groupBy("_wl_file", "_wl_block").agg(F.count(F.lit(1)).alias("_wl_n"), F.min("_wl_mid").alias("_wl_first"))
+    w = Window.orderBy("_wl_file", "_wl_block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per split: the running total over splits is a small single-task window
+    per = per.withColumn("_wl_off", F.coalesce(F.sum("_wl_n").over(w), F.lit(0)))
+    j = raw.join(F.broadcast(per.select("_wl_file", "_wl_block", "_wl_off", "_wl_first")), ["_wl_file", "_wl_block"])
+    return j.withColumn(col, (F.col("_wl_off") + F.col("_wl_mid") - F.col("_wl_first") + 1).cast("long")) \
+            .drop("_wl_file", "_wl_block", "_wl_mid", "_wl_off", "_wl_first")
+
+
 def skip_rows(lines: DataFrame, header: int = 0, footer: int = 0) -> DataFrame:
     """SRC-7: drop the first ``header`` and last ``footer`` lines of every file."""
     return lines.filter((F.col("line_no") > header) & (F.col("line_no") <= F.col("lines_in_file") - footer))
