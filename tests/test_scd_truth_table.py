@@ -37,6 +37,7 @@ def test_type2(spark):
     skeys = [r.SKEY for r in res.target.collect()]
     assert len(skeys) == len(set(skeys))
     assert res.errors.count() == 1
+    assert [(r.ID, r.NAME) for r in res.duplicates.collect()] == [(4, "p")]
 
 
 def test_type1(spark):

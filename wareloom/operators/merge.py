@@ -41,6 +41,7 @@ class MergeResult:
     target: DataFrame          # new snapshot of the target
     summary: DataFrame         # long form: metric string, value long
     errors: DataFrame          # rejected source rows (NULL business key)
+    duplicates: DataFrame | None = None   # in-batch duplicates that lost to a later row (T1)
     _held: tuple = ()
 
     def counters(self) -> dict:
@@ -82,6 +83,15 @@ def split_null_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
     return df.filter(~anynull), df.filter(anynull)
 
 
+def dropped_duplicates(df: DataFrame, winners: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` that lost the de-duplication (same key, not the winning row); a lazy
+    anti join on all columns, evaluated only when asked for (a row identical to the winner is
+    not reported: it carries nothing that was lost)."""
+    cols = list(df.columns)
+    cond = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cols]
+    return df.alias("l").join(winners.select(*cols).alias("r"), cond, "left_anti")
+
+
 def dedup_last(df: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
     """One row per key: the last by ``order_by`` (ties and no order: the greatest row).
 
@@ -125,6 +135,7 @@ def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int
     data = data_columns(src)
     ok, bad = split_null_keys(src.select(*data), keys)
     dd = dedup_last(ok, keys, order_by)
+    losers = dropped_duplicates(ok, dd.drop("_dups"), keys)
     extra = [c for c in (order_by or []) if c not in tgt.columns]   # ordering-only columns
     if extra:
         dd = dd.drop(*extra)
@@ -193,7 +204,7 @@ def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int
     rejected = {"error_rows": F.count(F.lit(1)), "source_rows": F.count(F.lit(1))}
     summary = (_metrics(cls, m).unionByName(_metrics(bad, rejected))
                .groupBy("metric").agg(F.sum("value").cast("long").alias("value")))
-    return MergeResult(snapshot, summary, bad)
+    return MergeResult(snapshot, summary, bad, losers)
 
 
 def scd1_merge(src, tgt, keys, ts, **kw) -> MergeResult:
@@ -220,6 +231,7 @@ def initial_load(src: DataFrame, keys: list[str], ts, kind: str = DIM, order_by:
     data = data_columns(src)
     ok, bad = split_null_keys(src.select(*data), keys)
     dd = dedup_last(ok, keys, order_by)
+    losers = dropped_duplicates(ok, dd.drop("_dups"), keys)
     extra = [c for c in (order_by or []) if c not in keys]      # ordering-only columns
     if extra:
         dd = dd.drop(*extra)
@@ -236,7 +248,7 @@ def initial_load(src: DataFrame, keys: list[str], ts, kind: str = DIM, order_by:
     rejected = {"error_rows": F.count(F.lit(1)), "source_rows": F.count(F.lit(1))}
     summary = (_metrics(numbered, m).unionByName(_metrics(bad, rejected))
                .groupBy("metric").agg(F.sum("value").cast("long").alias("value")))
-    return MergeResult(numbered.select(*cols), summary, bad)
+    return MergeResult(numbered.select(*cols), summary, bad, losers)
 
 
 # ---------------------------------------------------------------- file loads (LD-*)
