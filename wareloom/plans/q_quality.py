@@ -90,10 +90,15 @@ def _part_checked(spark, sf_dir):
     return Q.validate(p, Q.length_rules({"p_name": 10}))
 
 
-@query("error_rows_json")
+@query("error_rows_json", """
+SELECT 1 AS runid, rwndx,
+       CAST(json_object('p_partkey', p_partkey, 'p_name', p_name, 'p_brand', p_brand, 'p_type', p_type,
+                        'p_size', p_size, 'p_retailprice', p_retailprice) AS VARCHAR) AS rwdtjsn,
+       'TOO_LONG' AS rrcd, 'length of p_name exceeds 10: ' || CAST(length(p_name) AS VARCHAR) AS rrmssg
+FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS rwndx FROM part) p WHERE length(p_name) > 10""")
 def error_rows_json(spark, sf_dir):
     """DQ-6 / DQ-7: error records with row index over the whole input, row JSON (FN-31), code and
-    bounded message (JSON text differs between engines, so rows-only)."""
+    bounded message."""
     _, bad = _part_checked(spark, sf_dir)
     return Q.error_rows(bad, 1, ["p_partkey"], ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
 
