@@ -41,6 +41,25 @@ def get_spark(master: str | None = None, app: str = "wareloom",
     return spark
 
 
+def cluster_settings(input_bytes: int, cores: int) -> dict:
+    """Settings for a large cluster, derived from the bytes a job reads and the cores it has.
+
+    Scan splits of 512 MB keep the task count of a 100 TB scan near 200k; the initial shuffle
+    partition count is sized so a shuffle partition starts near 256 MB (AQE then merges small
+    ones and splits skewed ones); broadcasts stay limited to 64 MB measured at run time."""
+    mb = 1024 * 1024
+    parts = max(2 * cores, min(200_000, input_bytes // (256 * mb) + 1))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(512 * mb),
+        "spark.sql.shuffle.partitions": str(int(parts)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 * mb),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * mb),
+        "spark.sql.autoBroadcastJoinThreshold": str(10 * mb),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
