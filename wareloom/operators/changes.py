@@ -38,8 +38,6 @@ def classify(src: DataFrame, tgt: DataFrame, keys: list[str], hash_col: str = "R
     j = lookup_current(src, tgt, keys, tcols)
     th = F.coalesce(F.col("t_" + hash_col), F.lit(""))
     present = F.col("t_SKEY").isNotNull() if "SKEY" in tgt.columns else F.col("t_" + hash_col).isNotNull()
-    if "SKEY" in tgt.columns and hash_col in tgt.columns:
-        present = F.col("t_SKEY").isNotNull()
     return j.withColumn(out, F.when(~present, F.lit(NEW))
                               .when(F.col(hash_col) != th, F.lit(CHANGED))
                               .otherwise(F.lit(UNCHANGED)))
