@@ -67,3 +67,11 @@ def test_fact_merge_has_no_validity(spark):
     out = M.fact_merge(spark.createDataFrame([(2, "c"), (3, "d")], SCHEMA), tgt, ["ID"], TS).target
     got = sorted((r.ID, r.NAME, r.SKEY) for r in out.collect())
     assert got == [(1, "a", 1), (2, "c", 2), (3, "d", 3)]
+
+
+def test_type2_keeps_columns_the_source_does_not_map(spark):
+    tgt = M.initial_load(spark.createDataFrame([(1, "a", "keep")], "ID long, NAME string, NOTE string"), ["ID"], T0).target
+    res = M.scd2_merge(spark.createDataFrame([(1, "b"), (2, "c")], SCHEMA), tgt, ["ID"], TS)
+    rows = {(r.ID, r.CURFLG): r for r in res.target.collect()}
+    assert rows[(1, "Y")].NAME == "b" and rows[(1, "Y")].NOTE == "keep"
+    assert rows[(2, "Y")].NOTE is None and rows[(1, "N")].NOTE == "keep"

@@ -150,9 +150,16 @@ def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int
     need_key = (F.col("change") == NEW) if scd_type == 1 or not dim else F.col("change").isin(NEW, CHANGED)
     start = next_key if next_key is not None else max_key(tgt) + 1
     ins_src = cls.filter(need_key).select(*data, "RWHKEY")
+    unmapped = [c for c in tgt_data if c not in data]
+    if unmapped and dim and scd_type == 2:
+        # a new version keeps the previous version's values in columns this source does not map
+        prev = (current(tgt) if dim else tgt).select(*keys, *[F.col(c).alias("_p_" + c) for c in unmapped])
+        ins_src = ins_src.join(prev, keys, "left")
     ins = assign_skey(ins_src, start, keys)
     ins_cols = [F.col("SKEY")]
-    ins_cols += [F.col(c) if c in data else F.lit(None).cast(types[c]).alias(c) for c in tgt_data]
+    ins_cols += [F.col(c) if c in data else
+                 (F.col("_p_" + c).alias(c) if "_p_" + c in ins.columns else F.lit(None).cast(types[c]).alias(c))
+                 for c in tgt_data]
     ins_cols += [F.col("RWHKEY")]
     if dim:
         ins_cols += [F.lit("Y").alias("CURFLG"), t_now.alias("FROMDT"),
