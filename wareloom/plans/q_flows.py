@@ -59,14 +59,16 @@ def _file_checked(spark, sf_dir):
 SELECT CAST(p_partkey AS BIGINT) AS part_id, trim('  ' || p_name || ' ') AS part_name,
        COALESCE(NULLIF(trim(CASE WHEN p_size < 10 THEN '' ELSE p_brand END), ''), 'UNKNOWN') AS brand,
        lower(p_type) AS part_type, '  ' || p_name || ' ' || '/' || (CASE WHEN p_size < 10 THEN '' ELSE p_brand END) AS label,
-       CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price, 'SYSTEM' AS CRTDBY, TIMESTAMP '{TS}' AS CRTDDT
+       CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price, 'SYSTEM' AS CRTDBY, TIMESTAMP '{TS}' AS CRTDDT,
+       'SYSTEM' AS UPDTBY, TIMESTAMP '{TS}' AS UPDTDT
 FROM part WHERE length(p_name) <= 10""")
 def file_load_flow(spark, sf_dir):
     """§3.2 end to end: TY-1 spec types, PRJ-4 formulas over the raw row, PRJ-3 defaults, PRJ-6
-    audit, PRJ-7 typing, DQ-2/4/5 rejects, SNK-1 table created from the spec, LD-1 append."""
+    audit, PRJ-7 typing, DQ-2/4/5 rejects, SNK-1 table created from the spec (missing audit
+    columns appended), LD-1 append with audit columns stamped at load."""
     ok, _ = _file_checked(spark, sf_dir)
     created = SK.create_table(spark, SK.scratch_dir(spark, "created"), [c for c in FILE_SPEC])
-    loaded = M.load(ok.drop("rwndx"), created, "INSERT")
+    loaded = M.load(ok.drop("rwndx"), created, "INSERT", user="SYSTEM", ts=TS)   # audit stamped at load
     return portable(loaded)
 
 

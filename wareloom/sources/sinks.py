@@ -29,9 +29,20 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     return os.path.join(base, "wareloom", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def create_table(spark: SparkSession, path: str, spec: list[ColumnSpec], kind: str | None = None) -> DataFrame:
-    """SNK-1: empty table with the declared types (regular columns first, audit last); mapped
-    targets (``kind``) get the system columns."""
+# Audit columns every file-load table gets when its spec lacks them (name, type code).
+DEFAULT_AUDIT = [("CRTDBY", "String100"), ("CRTDDT", "Timestamp"), ("UPDTBY", "String100"), ("UPDTDT", "Timestamp")]
+AUDIT_KIND = {"CRTDBY": "CREATED_BY", "CRTDDT": "CREATED_DATE", "UPDTBY": "UPDATED_BY", "UPDTDT": "UPDATED_DATE"}
+
+
+def create_table(spark: SparkSession, path: str, spec: list[ColumnSpec], kind: str | None = None,
+                 add_audit: bool = True) -> DataFrame:
+    """SNK-1: empty table with the declared types (regular columns first, audit last); the
+    standard audit columns missing from the spec are appended; mapped targets (``kind``) get
+    the system columns instead."""
+    spec = list(spec)
+    if add_audit and not kind:
+        have = {c.target.upper() for c in spec}
+        spec += [ColumnSpec(n, t, audit=AUDIT_KIND[n]) for n, t in DEFAULT_AUDIT if n not in have]
     schema = schema_from_spec(spec)
     if kind:
         from ..operators.merge import target_schema
