@@ -158,3 +158,14 @@ def browse_errors(df: DataFrame, runid=None, code: str | None = None, text: str
     if text:
         out = out.filter(F.lower(F.col("rrmssg")).contains(text.lower()))
     return out.orderBy("rwndx").offset(offset).limit(limit)
+
+
+def mapping_error_rows(bad: DataFrame, keys: list[str], errtyp: str = "TARGET_LOAD", dberrmsg=None) -> DataFrame:
+    """DQ-7: mapping error records: error type (10 chars), message (1000), database message
+    (4000) and the row's key value(s) joined with ``|`` (1000)."""
+    keyval = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("<NULL>")) for k in keys])
+    db = dberrmsg if dberrmsg is not None else F.col("errcode")
+    return bad.select(bounded(F.lit(errtyp), ERRTYPE_LEN).alias("errtyp"),
+                      bounded(F.col("errmsg"), ERRMSG_LEN).alias("errmsg"),
+                      bounded(db, DBERRMSG_LEN).alias("dberrmsg"),
+                      bounded(keyval, KEYVALUE_LEN).alias("keyvalue"))

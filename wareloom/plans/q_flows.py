@@ -219,3 +219,18 @@ def report_snapshot(spark, sf_dir):
     prev = RP.report(table(spark, sf_dir, "orders"), _LIMITED, limit=5000)
     path = RP.snapshot(prev, SK.scratch_dir(spark, "snapshot"))
     return spark.read.parquet(path)
+
+
+@query("mapping_errors", f"""
+SELECT 'TARGET_LOA' AS errtyp,
+       'value of c_acctbal exceeds decimal(6,2): ' || CAST(BAL AS VARCHAR) AS errmsg, 'OVERFLOW' AS dberrmsg,
+       CAST(CUST_ID AS VARCHAR) || '|' || CAST(c_nationkey AS VARCHAR) AS keyvalue
+FROM ({_MAP_SQL_DUCK}) q WHERE CUST_ID > 100 AND TRY_CAST(BAL AS DECIMAL(6,2)) IS NULL""")
+def mapping_errors(spark, sf_dir):
+    """DQ-7: error records of the mapping flow's precision rejects (type bounded to 10
+    characters, message 1000, database message 4000, key value 1000)."""
+    views(spark, sf_dir, ["customer"])
+    src = resume(RD.sql_source(spark, _MAP_SQL, {"skip_nation": 24}), ["CUST_ID"], ResumeState("AUTO", "100"))
+    mapped = P.map_columns(src, {"c_custkey": "CUST_ID", "c_acctbal": "BAL"}, CUSTOMER_COLS)
+    _, bad = Q.validate(mapped, Q.precision_rules({"c_acctbal": T.DecimalType(6, 2)}))
+    return Q.mapping_error_rows(bad, ["c_custkey", "c_nationkey"])
