@@ -69,13 +69,15 @@ def roundtrip_parquet(spark, sf_dir):
     return RD.read_parquet(spark, out, ["p_partkey", "p_name", "p_retailprice"])
 
 
-_BUCKETS = 4
+MIN_BUCKETS = 4
 
 
-def write_report_text(spark, df, path, buckets: int = _BUCKETS):
+def write_report_text(spark, df, path, buckets: int | None = None):
     """Report-style text files, one per bucket: title and rule lines, CSV header, rows,
     ``Total:`` and ``Page`` lines. Rows are spread over buckets by key hash; every file is
     written by one task in section order."""
+    # one file per bucket, as many buckets as shuffle partitions: the work grows across tasks
+    buckets = buckets or max(MIN_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     cols = df.columns
     body = df.select(F.pmod(F.hash(F.col(cols[0])), F.lit(buckets)).alias("bucket"), F.lit(1).alias("section"),
                      F.col(cols[0]).cast("string").alias("sk"),

@@ -20,14 +20,17 @@ from .q_merges import KEYS, _TGT_SQL, _money, customer_dimension, sql_scd
 from .registry import query
 from .tables import CUSTOMER_COLS, SQL_CUSTOMER_CHANGES, TS, customer_changes, portable, sql_hash, table
 
-BATCHES = 4
+BATCHES = 4                 # at least this many micro-batches
+ROWS_PER_BATCH = 1_000_000  # and no batch file above this many rows (one task writes one file)
 
 
 def write_batches(df, key: str, path: str, batches: int = BATCHES) -> str:
-    """Split ``df`` into ``batches`` key ranges and write them one after another (file
-    modification order = key order)."""
+    """Split ``df`` into key ranges and write them one after another (file modification order =
+    key order), one file per range so that ``maxFilesPerTrigger=1`` makes one micro-batch per
+    range. The number of ranges grows with the data, so each file stays bounded."""
     n = number_rows(df, key, col="_rn")
     total = n.agg(F.max("_rn").alias("m")).first()["m"] or 0
+    batches = max(batches, -(-total // ROWS_PER_BATCH))
     size = max(1, -(-total // batches))
     n = n.withColumn("_b", F.floor((F.col("_rn") - 1) / F.lit(size)).cast("int")).drop("_rn")
     for b in range(batches):
@@ -76,7 +79,9 @@ def stream_scd2(spark, sf_dir):
 @query("stream_progress", f"""
 WITH tgt AS ({_TGT_SQL}),
 src AS (SELECT *, {_CH} AS RWHKEY, row_number() OVER (ORDER BY c_custkey) AS rn FROM ({SQL_CUSTOMER_CHANGES}) x),
-sized AS (SELECT *, CAST(floor((rn - 1) / CAST(ceil((SELECT count(*) FROM src) / {BATCHES}) AS BIGINT)) AS BIGINT) AS batch_id
+nb AS (SELECT greatest({BATCHES}, CAST(ceil((SELECT count(*) FROM src) / {ROWS_PER_BATCH}) AS BIGINT)) AS b),
+sized AS (SELECT *, CAST(floor((rn - 1) / CAST(ceil((SELECT count(*) FROM src) / (SELECT b FROM nb)) AS BIGINT))
+                         AS BIGINT) AS batch_id
           FROM src),
 cls AS (SELECT s.batch_id, t.SKEY IS NULL OR s.RWHKEY <> t.RWHKEY AS ins
         FROM sized s LEFT JOIN tgt t ON s.c_custkey = t.c_custkey AND t.CURFLG = 'Y'),
