@@ -25,9 +25,10 @@ def _cols(order_by) -> list[Column]:
 
 
 def number_rows(df: DataFrame, order_by, col: str = "rn", start: int = 1,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, after_max_of: tuple[DataFrame, str] | None = None) -> DataFrame:
     """Add ``col`` = start, start+1, … in the given order (ties broken by the sort; pass a
-    unique order for a deterministic result)."""
+    unique order for a deterministic result). With ``after_max_of=(table, column)`` numbering
+    starts after the table's maximum, read in the same job as the per-partition counts."""
     spark = df.sparkSession
     order = _cols(order_by)
     # without an explicit count AQE may merge small neighbouring ranges (order is kept)
@@ -37,8 +38,15 @@ def number_rows(df: DataFrame, order_by, col: str = "rn", start: int = 1,
                 .withColumn("_wl_pid", F.spark_partition_id())
                 .withColumn("_wl_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
     tagged = cut_lineage(tagged)
-    counts = sorted((r["_wl_pid"], r["_wl_n"]) for r in
-                    tagged.groupBy("_wl_pid").agg(F.count(F.lit(1)).alias("_wl_n")).collect())
+    per = tagged.groupBy("_wl_pid").agg(F.count(F.lit(1)).alias("_wl_n"))
+    if after_max_of is not None:
+        t, c = after_max_of
+        per = per.unionByName(t.agg(F.coalesce(F.max(c), F.lit(0)).cast("long").alias("_wl_n"))
+                               .select(F.lit(-1).alias("_wl_pid"), "_wl_n"))
+    rows = per.collect()
+    counts = sorted((r["_wl_pid"], r["_wl_n"]) for r in rows if r["_wl_pid"] >= 0)
+    if after_max_of is not None:
+        start = next(r["_wl_n"] for r in rows if r["_wl_pid"] < 0) + 1
     offsets, acc = [], start
     for pid, cnt in counts:
         offsets.append((pid, acc))
@@ -52,8 +60,12 @@ def number_rows(df: DataFrame, order_by, col: str = "rn", start: int = 1,
                   .drop("_wl_pid", "_wl_pos", "_wl_off"))
 
 
-def assign_skey(new_rows: DataFrame, start: int, order_by, col: str = "SKEY") -> DataFrame:
-    """KEY-1: next values of the table's key sequence for rows being inserted, in key order."""
+def assign_skey(new_rows: DataFrame, start: int | None, order_by, col: str = "SKEY",
+                target: DataFrame | None = None) -> DataFrame:
+    """KEY-1: next values of the table's key sequence for rows being inserted, in key order;
+    with ``start=None`` the sequence continues after ``target``'s maximum (KEY-2)."""
+    if start is None:
+        return number_rows(new_rows, order_by, col=col, after_max_of=(target, col))
     return number_rows(new_rows, order_by, col=col, start=start)
 
 

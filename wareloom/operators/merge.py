@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from ..functions.hashing import row_hash
 from ..functions.scalars import HIGH_DATE, ts_lit
 from .changes import CHANGED, NEW, UNCHANGED, classify, current
-from .keys import assign_skey, max_key
+from .keys import assign_skey
 from ..session import cut_lineage, local_rows
 
 DIM, FCT, MRT, NRM = "DIM", "FCT", "MRT", "NRM"
@@ -148,14 +148,14 @@ def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int
     tgt_data = data_columns(tgt)
     types = {f.name: f.dataType for f in tgt.schema.fields}
     need_key = (F.col("change") == NEW) if scd_type == 1 or not dim else F.col("change").isin(NEW, CHANGED)
-    start = next_key if next_key is not None else max_key(tgt) + 1
+    start = next_key          # None: continue after max(SKEY) of the target (same job as the counts)
     ins_src = cls.filter(need_key).select(*data, "RWHKEY")
     unmapped = [c for c in tgt_data if c not in data]
     if unmapped and dim and scd_type == 2:
         # a new version keeps the previous version's values in columns this source does not map
         prev = (current(tgt) if dim else tgt).select(*keys, *[F.col(c).alias("_p_" + c) for c in unmapped])
         ins_src = ins_src.join(prev, keys, "left")
-    ins = assign_skey(ins_src, start, keys)
+    ins = assign_skey(ins_src, start, keys, target=tgt)
     ins_cols = [F.col("SKEY")]
     ins_cols += [F.col(c) if c in data else
                  (F.col("_p_" + c).alias(c) if "_p_" + c in ins.columns else F.lit(None).cast(types[c]).alias(c))
@@ -346,7 +346,7 @@ def versioned_upsert(src: DataFrame, tgt: DataFrame, key: str, compare_cols: lis
         F.when(F.col("_close").isNotNull(), F.lit("N")).otherwise(F.col(c)).alias(c) if c == flag else
         F.when(F.col("_close").isNotNull(), t_now).otherwise(F.col(c)).alias(c) if c == updated else
         F.col(c) for c in tgt.columns])
-    numbered = assign_skey(news.select(*s.columns), max_key(tgt, id_col) + 1, [key], col=id_col)
+    numbered = assign_skey(news.select(*s.columns), None, [key], col=id_col, target=tgt)
     types = {f.name: f.dataType for f in tgt.schema.fields}
     ins = numbered.select(*[
         F.col(id_col).cast(types[id_col]).alias(id_col) if c == id_col else
