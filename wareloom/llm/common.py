@@ -16,7 +16,6 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = {ord(c): c.lower() for c in A_Z}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from . import op7_lines
+from . import (op1_toxicity, op2_language, op3_mixing, op5_pii, op6_decontaminate, op7_lines, op8_html, op9_licenses)
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity.op1_toxicity,
+        "op2_language_id": op2_language.op2_language_id,
+        "op3_mix_sources": op3_mixing.op3_mix_sources,
+        "op5_pii": op5_pii.op5_pii,
+        "op6_decontaminate": op6_decontaminate.op6_decontaminate,
         "op7_line_dedup": op7_lines.op7_line_dedup,
+        "op8_html_text": op8_html.op8_html_text,
+        "op9_license_scan": op9_licenses.op9_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_decontaminate": op6_decontaminate.SQL,
         "op7_line_dedup": op7_lines.SQL,
     }
