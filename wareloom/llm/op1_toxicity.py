@@ -35,7 +35,7 @@ from .common import add_columns, cut_lineage, map_columns, remainder, table
 TOKEN = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 PREFIXES = range(4, 9)
-MAX_DOCS, MAX_CANDIDATES, MAX_FEATURES = 20_000, 60_000, 3_000
+MAX_DOCS, MAX_CANDIDATES, MAX_FEATURES, MIN_Z = 20_000, 60_000, 3_000, 6.0
 
 
 def features(word: str) -> list[str]:
@@ -115,9 +115,11 @@ def _bags(vocab, cols):
     return {"toxic": cols["toxic"], "n": n, "hits": hits}
 
 
-def fit(y: np.ndarray, n: np.ndarray, hits: list, size: int, steps: int = 400, l2: float = 0.02) -> dict:
+def fit(y: np.ndarray, n: np.ndarray, hits: list, size: int, steps: int = 500, l2: float = 0.02, keep: float = 0.4) -> dict:
     """Noisy-or maximum likelihood by Adam on sparse bags. y: labels, n: sentences per document,
-    hits: per document the feature lists of its sentences that have any."""
+    hits: per document the feature lists of its sentences that have any. Each step sees a random part
+    of a toxic document's telling sentences (share ``keep``, at least one), so that one sentence alone
+    learns to explain a label that several explain in training."""
     doc = np.array([d for d, s in enumerate(hits) for _ in s], np.int64)
     sent = np.array([k for k, f in enumerate(f for s in hits for f in s) for _ in f], np.int64)
     feat = np.array([i for s in hits for f in s for i in f], np.int64)
@@ -125,14 +127,19 @@ def fit(y: np.ndarray, n: np.ndarray, hits: list, size: int, steps: int = 400, l
     w = np.zeros(size + 2)
     w[size], w[size + 1] = -6.0, -3.0            # sentence bias, leak
     m, v = np.zeros_like(w), np.zeros_like(w)
+    rng, of_toxic = np.random.default_rng(7), np.asarray(y, bool)[doc] if len(doc) else np.zeros(0, bool)
     for t in range(1, steps + 1):
         z = w[size] + np.bincount(sent, w[feat], len(doc))
-        log_not = -np.logaddexp(0, z)                              # log(1 - p) of the telling sentences
+        draw = rng.random(len(doc))
+        least = np.full(len(y), 2.0)
+        np.minimum.at(least, doc, draw)
+        on = ~of_toxic | (draw < keep) | (draw == least[doc])
+        log_not = -np.logaddexp(0, z) * on                         # log(1 - p) of the telling sentences
         total = np.bincount(doc, log_not, len(y)) - plain * np.logaddexp(0, w[size]) - np.logaddexp(0, w[size + 1])
         total = np.minimum(total, -1e-9)
         g_total = np.where(y, np.exp(total) / -np.expm1(total), -1.0)  # d(-loglik)/d(total)
         p = 1 / (1 + np.exp(-z))
-        g_z = -g_total[doc] * p
+        g_z = -g_total[doc] * p * on
         g = np.zeros_like(w)
         g[:size] = np.bincount(feat, g_z[sent], size)
         g[size] = g_z.sum() - (g_total * plain).sum() / (1 + np.exp(-w[size]))
@@ -163,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_cand
     rows = map_columns(sample, partial(_count, only), counted).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect()
     base = totals.get(True, 0) / sum(totals.values())
     z = sorted(((r["pos"] - r["n"] * base) / np.sqrt(r["n"] * base * (1 - base) + 0.25), r["feature"]) for r in rows)[::-1]
-    vocab = {f: i for i, f in enumerate(f for s, f in z[:max_features] if s >= 5)}
+    vocab = {f: i for i, f in enumerate(f for s, f in z[:max_features] if s >= MIN_Z)}
     bags = map_columns(sample, partial(_bags, vocab), "toxic boolean, n long, hits array<array<int>>").collect()
     model = fit(np.array([r["toxic"] for r in bags], bool), np.array([r["n"] for r in bags], float), [r["hits"] for r in bags], len(vocab))
     return model | {"vocab": vocab}

@@ -27,15 +27,22 @@ from pyspark.sql import functions as F
 from .common import add_columns, map_columns, remainder, table
 
 LETTER = re.compile(r"[^\W\d_]")
-SLOTS, PASSAGE, PIECE, LEVEL = 96, 768, 2048, 3
+WORD = re.compile(r"[^\W\d_]+")
+SLOTS, PASSAGE, PIECE, LEVEL = 256, 1024, 2048, 6
 MIN_MARGIN = 0.01
 
 
+def reduced(text: str) -> bytes:
+    """What is encoded: the text's different words, lower-cased, in order of appearance (case, digits, marks and
+    repetition tell nothing about the language, and a repeated word would only compress against itself)."""
+    return " ".join(dict.fromkeys(WORD.findall(text.lower()))).encode("utf-8", "replace")
+
+
 def _passages(size, cols):
     """A passage of at most ``size`` bytes from a place in the text that its hash picks."""
     out = []
     for t, h in zip(cols["text"].to_pylist(), cols["h"].to_pylist()):
-        b = t.encode("utf-8", "replace")
+        b = reduced(t)
         start = h % max(1, len(b) - size + 1)
         out.append(b[start:start + size])
     return {"lang": cols["lang"], "slot": cols["slot"], "h": cols["h"], "passage": out}
@@ -81,7 +88,7 @@ class Coder:
         return cls.made[key]
 
     def costs(self, text: str) -> list[float]:
-        b = text.encode("utf-8", "replace")
+        b = reduced(text)
         pieces = [b[i:i + PIECE] for i in range(0, len(b), PIECE)]
         return [p + sum(len(c.compress(x)) for x in pieces) for p, c in zip(self.prior, self.coders)]
 
@@ -97,7 +104,7 @@ def _predict(key, model, min_margin, cols):
         order = sorted(range(len(costs)), key=lambda i: (costs[i], coder.langs[i]))
         best = costs[order[0]]
         m = (costs[order[1]] - best) / max(costs[order[1]], 1e-9) if len(order) > 1 else 1.0
-        share = 1 / sum(2.0 ** -min(60.0, 8 * (costs[i] - best) / max(1.0, len(t) / 200)) for i in order)
+        share = 1 / sum(2.0 ** -min(60.0, 8 * (costs[i] - best) / max(1.0, len(t) / 400)) for i in order)
         lang.append(coder.langs[order[0]]), score.append(share), margin.append(m)
     return {"lang_pred": lang, "score": score, "margin": margin, "accepted": [m >= min_margin and x != "und" for m, x in zip(margin, lang)]}
 
