@@ -1,9 +1,54 @@
-"""Corpus pipeline (being built)."""
+"""Corpus pipeline: toxicity, line dedup, near-duplicates, benchmark decontamination, mixing.
 
-STAGES = []
+``STAGES`` lists (name, function) in order; a function takes ``(spark, docs, sf_dir)`` and returns a
+DataFrame that is written as Parquet and reread as the next one's ``docs``. All but the last return the
+columns of ``documents``:
+
+* toxicity: documents whose noisy-or score is 0.5 or more go (learned from ``labels``);
+* line_dedup: repeated lines go from the texts, every document stays;
+* near_duplicates: one document of each class stays;
+* decontamination: contaminated documents go;
+* mixing: one row per remaining document with the words the mix takes and the shards that hold its copies.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from wareloom.llm import (op1_toxicity, op3_mixing, op6_decontaminate, op7_lines, op10_near_duplicates)
+from wareloom.llm.common import cut_lineage, table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op1_toxicity.keep_documents(docs, docs, op1_toxicity.train_labels(spark, sf_dir))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op7_lines.drop_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op10_near_duplicates.keep_documents(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op6_decontaminate.keep_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op3_mixing.mix_sources(docs)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates),
+          ("decontamination", decontamination), ("mixing", mixing)]
+
+#: Learned scores, similarity classes and random draws cannot be said in SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    from wareloom.llm.common import table
-    return table(spark, sf_dir, "documents")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are a Parquet table in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -325,12 +325,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, index:
     return add_columns(moved.unionByName(still), partial(_apply, index.min_chars), RESULT).drop("_drop")
 
 
-def keep_documents(docs: DataFrame, **options) -> DataFrame:
-    """Pipeline form: the texts with repeated lines dropped, columns as they came. A document of
-    which no line is left is an emptied copy and goes; documents that were blank before stay."""
+def drop_lines(docs: DataFrame, **options) -> DataFrame:
+    """Pipeline form: every document with its repeated lines dropped, columns as they came; n_chars follows the text. No document
+    goes: one of which nothing is left keeps an empty text."""
     out = dedup_lines(docs, **options)
-    return (out.where(~((F.col("n_dropped") > 0) & (F.length(F.trim("kept_text")) == 0)))
-            .withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
+    return (out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
             .withColumn("text", F.col("kept_text")).select(*docs.columns))
 
 

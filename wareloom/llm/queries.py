@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import (op1_toxicity, op2_language, op3_mixing, op5_pii, op6_decontaminate, op7_lines, op8_html, op9_licenses)
+from . import (op1_toxicity, op2_language, op3_mixing, op4_topk, op5_pii, op6_decontaminate, op7_lines, op8_html,
+               op9_licenses, op10_near_duplicates)
 
 
 def queries() -> dict:
@@ -10,16 +11,19 @@ def queries() -> dict:
         "op1_toxicity": op1_toxicity.op1_toxicity,
         "op2_language_id": op2_language.op2_language_id,
         "op3_mix_sources": op3_mixing.op3_mix_sources,
+        "op4_topk": op4_topk.op4_topk,
         "op5_pii": op5_pii.op5_pii,
         "op6_decontaminate": op6_decontaminate.op6_decontaminate,
         "op7_line_dedup": op7_lines.op7_line_dedup,
         "op8_html_text": op8_html.op8_html_text,
         "op9_license_scan": op9_licenses.op9_license_scan,
+        "op10_near_duplicates": op10_near_duplicates.op10_near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_topk": op4_topk.SQL,
         "op6_decontaminate": op6_decontaminate.SQL,
         "op7_line_dedup": op7_lines.SQL,
     }
