@@ -43,7 +43,7 @@ def test_learns_from_document_labels_and_finds_the_sentence(spark):
 def test_defined_cases(spark):
     rows, labels = corpus(120)
     model = op.learn(docs(spark, rows), labels_of(spark, labels + [(0, 0), (None, 1), (3, None)]))
-    odd = [(1, None), (2, ""), (3, "..."), (4, "villainous " * 20_000), (4, "villainous"), (None, "a scoundrel")]
+    odd = [(1, None), (2, ""), (3, "..."), (4, "villainous " * 20_000), (4, "villainous"), (None, "you are a scoundrel indeed")]
     got = sorted(((r["doc_id"], r["score"], r["n_sentences"]) for r in op.score(docs(spark, odd), model).collect()), key=str)
     by = {(i, n): s for i, s, n in got}
     assert by[(1, 0)] == by[(2, 0)] == by[(3, 0)] < 0.5 and all(0 <= s <= 1 for s in by.values())

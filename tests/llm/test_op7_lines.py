@@ -57,7 +57,7 @@ def test_all_null_ids_keep_the_line(spark):
 def test_empty_table_and_clashing_columns(spark):
     d = docs(spark, ROWS)
     assert op.dedup_lines(d.limit(0)).count() == 0
-    got = op.dedup_lines(with_clashing(d, "n_lines", "_cand", "_drop", "key", "kept_text", "_id", "last_doc"))
+    got = op.dedup_lines(with_clashing(d, "n_lines", "_wl_cand", "_wl_drop", "key", "kept_text", "_wl_id", "_id", "last_doc"))
     assert rows_of(got) == brute(ROWS) and "key" in got.columns
 
 

@@ -12,7 +12,7 @@ catches invented or inflected compounds of a telling stem. Candidates are the fe
 associated with the toxic label; counts are taken in Spark over the training sample.
 
 Training uses at most ``max_docs`` labelled documents (smallest hash of the id first); one text of a
-near-copy group is used (equal minimum 5-word hash), so a copied document does not outweigh others.
+near-copy group is used (equal smallest 5-word hashes), so a copied document does not outweigh others.
 What reaches the driver: ``max_candidates`` feature counts, ``max_features`` weights and the bags of
 the sample as feature indexes.
 
@@ -43,9 +43,10 @@ def features(word: str) -> list[str]:
 
 
 def _copy_key(text: str) -> int:
-    """Smallest hash of the 5-word runs: shared by most near copies."""
-    w = TOKEN.findall(text.lower())
-    return min((xxhash.xxh3_64_intdigest(" ".join(w[i:i + 5])) >> 1 for i in range(max(1, len(w) - 4))), default=0)
+    """Hash of the two smallest 5-word run hashes: shared by most near copies, not by texts that share one passage."""
+    w = re.findall(r"\w+", text.lower())
+    runs = sorted({xxhash.xxh3_64_intdigest(" ".join(w[i:i + 5])) for i in range(max(1, len(w) - 4))})[:2]
+    return xxhash.xxh3_64_intdigest(repr(runs)) >> 1
 
 
 def _with_key(cols):

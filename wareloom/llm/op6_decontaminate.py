@@ -48,9 +48,10 @@ def _count_terms(terms, cols):
 
 
 def anchor_positions(words: list[str], df: dict, window: int = WINDOW) -> list[int]:
-    """Positions such that every window of ``words`` holds its rarest term's position."""
+    """Positions such that every window of ``words`` holds that of its rarest term. Terms no document holds come last: they
+    have no postings (and a window with one has no exact match, but may have a proximity match)."""
     k = min(window, len(words))
-    rank = [(df.get(w, 0), w, i) for i, w in enumerate(words)]
+    rank = [(df.get(w) or float("inf"), w, i) for i, w in enumerate(words)]
     return sorted({min(rank[s:s + k])[2] for s in range(len(words) - k + 1)})
 
 

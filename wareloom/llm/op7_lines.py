@@ -279,13 +279,13 @@ def _screen(filters, shards, min_chars, cols):
     for n in per:
         out.append([flat[k + i] for i in range(n) if hit[k + i]])
         k += n
-    return {"_cand": out}
+    return {"_wl_cand": out}
 
 
 def _apply(min_chars, cols):
-    """Drop the lines whose key is in ``_drop``; count lines and hash what stays."""
+    """Drop the lines whose key is in ``_wl_drop``; count lines and hash what stays."""
     n, dropped, text, sha = [], [], [], []
-    for t, drop in zip(cols["text"].to_pylist(), cols["_drop"].to_pylist()):
+    for t, drop in zip(cols["text"].to_pylist(), cols["_wl_drop"].to_pylist()):
         lines = _lines(t)
         gone = set(drop or ())
         keep = [x for x in lines if line_key(x, min_chars) not in gone] if gone else lines
@@ -308,21 +308,21 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, index:
     only in the largest doc_id holding it. Without an ``index`` the documents themselves are
     indexed."""
     index = index or LineIndex.of(docs, min_docs, min_chars, keep_members=False)
-    docs = docs.select(*[c for c in docs.columns if c not in ("_cand", "_drop")]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.select(*[c for c in docs.columns if c not in ("_wl_cand", "_wl_drop", "_wl_id", "_wl_more")]).withColumn("doc_id", F.col("doc_id").cast("long"))
     screened = None
     for group in index.filter_groups(max_filter_bytes):
-        part = add_columns(docs if screened is None else screened.withColumnRenamed("_cand", "_more"),
-                           partial(_screen, group, index.shards, index.min_chars), "_cand array<binary>")
-        screened = part if screened is None else part.withColumn("_cand", F.concat("_cand", "_more")).drop("_more")
+        part = add_columns(docs if screened is None else screened.withColumnRenamed("_wl_cand", "_wl_more"),
+                           partial(_screen, group, index.shards, index.min_chars), "_wl_cand array<binary>")
+        screened = part if screened is None else part.withColumn("_wl_cand", F.concat("_wl_cand", "_wl_more")).drop("_wl_more")
     refs = index.repeated
-    drops = (screened.where(F.size("_cand") > 0).select(F.col("doc_id").alias("_id"), F.explode("_cand").alias("key"))
+    drops = (screened.where(F.size("_wl_cand") > 0).select(F.col("doc_id").alias("_wl_id"), F.explode("_wl_cand").alias("key"))
              .join(refs, "key")
-             .where(F.col("last_doc").isNotNull() & (F.col("_id").isNull() | (F.col("_id") < F.col("last_doc"))))
-             .groupBy("_id").agg(F.collect_set("key").alias("_drop")))
-    moved = (screened.where(F.size("_cand") > 0)
-             .join(drops, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_cand"))
-    still = screened.where(F.size("_cand") == 0).drop("_cand").withColumn("_drop", F.lit(None).cast("array<binary>"))
-    return add_columns(moved.unionByName(still), partial(_apply, index.min_chars), RESULT).drop("_drop")
+             .where(F.col("last_doc").isNotNull() & (F.col("_wl_id").isNull() | (F.col("_wl_id") < F.col("last_doc"))))
+             .groupBy("_wl_id").agg(F.collect_set("key").alias("_wl_drop")))
+    moved = (screened.where(F.size("_wl_cand") > 0)
+             .join(drops, F.col("doc_id").eqNullSafe(F.col("_wl_id")), "left").drop("_wl_id", "_wl_cand"))
+    still = screened.where(F.size("_wl_cand") == 0).drop("_wl_cand").withColumn("_wl_drop", F.lit(None).cast("array<binary>"))
+    return add_columns(moved.unionByName(still), partial(_apply, index.min_chars), RESULT).drop("_wl_drop")
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
