@@ -30,3 +30,18 @@ def test_topk_plans_partial_group_limit(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 30
     assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
+
+
+def test_numbering_runs_no_collect_per_partition(spark):
+    """Offsets stay in Spark: the plan does not grow with the number of partitions."""
+    from wareloom.operators.keys import number_rows
+    df = spark.range(0, 5000, 1, 7)
+    few, many = number_rows(df, "id", num_partitions=4), number_rows(df, "id", num_partitions=400)
+    assert sorted(r["rn"] for r in many.collect()) == list(range(1, 5001))
+    assert len(many._jdf.queryExecution().optimizedPlan().toString()) < 1.2 * len(few._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_null_groups_are_numbered(spark):
+    from wareloom.operators.windows import number_within_groups
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, v int")
+    assert sorted((r["g"] or "", r["v"], r["seq"]) for r in number_within_groups(df, ["g"], ["v"]).collect()) == [("", 1, 1), ("", 2, 2), ("a", 3, 1)]

@@ -18,8 +18,21 @@ def test_delimiter_sniffing_and_bad_lines(spark, tmp_dir):
         df = RD.read_delimited(spark, p)
         rows = sorted(tuple(r) for r in df.collect())
         assert df.columns == ["a", "b"]
-        assert ("1", " x ") in rows and ("3", "y", ) not in rows    # malformed line dropped
-        assert len(rows) == 2
+        assert rows == [("1", " x "), ("2", None)] and df.count() == 2     # the line with three fields is set aside
+        assert [r["line"] for r in RD.read_delimited_checked(spark, p)[1].collect()] == [f"3{sep}y{sep}extra"]
+
+
+def test_short_lines_are_kept_whatever_is_read(spark, tmp_dir):
+    p = _write(os.path.join(tmp_dir, "s.csv"), 'k,Net Price,n\n1,2,3\n4\n5,6,7,8,9\n"a,b",1,2\n')
+    df = RD.read_delimited(spark, p)
+    assert df.count() == 3 and sorted(r["k"] for r in df.select("k").collect()) == ["1", "4", "a,b"]
+    assert sorted((r["k"], r["n"]) for r in df.collect()) == [("1", "3"), ("4", None), ("a,b", "2")]
+
+
+def test_header_names_with_blanks_and_data_equal_to_the_header(spark, tmp_dir):
+    p = _write(os.path.join(tmp_dir, "h.txt"), "T\nk,Net Price\n1,2\nk,Net Price\n")
+    df = RD.parse_lines(RD.skip_rows(RD.numbered_lines(spark, p), header=1))
+    assert df.columns == ["k", "Net Price"] and sorted(tuple(r) for r in df.collect()) == [("1", "2"), ("k", "Net Price")]
 
 
 def test_json_flatten(spark, tmp_dir):

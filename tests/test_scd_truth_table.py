@@ -75,3 +75,13 @@ def test_type2_keeps_columns_the_source_does_not_map(spark):
     rows = {(r.ID, r.CURFLG): r for r in res.target.collect()}
     assert rows[(1, "Y")].NAME == "b" and rows[(1, "Y")].NOTE == "keep"
     assert rows[(2, "Y")].NOTE is None and rows[(1, "N")].NOTE == "keep"
+
+
+def test_two_current_rows_of_a_key_do_not_multiply(spark):
+    tgt = _target(spark)
+    tgt = tgt.unionByName(tgt.filter("ID = 1").withColumn("SKEY", F.lit(90).cast("long")))
+    for merge in (M.scd1_merge, M.scd2_merge):
+        res = merge(spark.createDataFrame([(1, "b")], SCHEMA), tgt, ["ID"], TS)
+        c = res.counters()
+        assert c["source_rows"] == 1 and c["new_keys"] == 0
+        assert res.target.filter("ID = 1 AND NAME = 'b'").count() == (2 if merge is M.scd1_merge else 1)

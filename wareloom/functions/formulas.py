@@ -30,10 +30,16 @@ def concat(*vals) -> Column:
 
 
 def coalesce(*vals) -> Column:
-    """FN-2: first value that is neither NULL nor empty text; NULL when none."""
+    """FN-2: first value that is neither NULL nor empty text; NULL when none. Arguments of one type
+    keep it; ``coalesce_text`` takes mixed types."""
     return F.coalesce(*[F.when(_s(v) != F.lit(""), _c(v)) for v in vals])
 
 
+def coalesce_text(*vals) -> Column:
+    """FN-2 over arguments of different types: the first value that is neither NULL nor empty, as text."""
+    return F.coalesce(*[F.nullif(_s(v), F.lit("")) for v in vals])
+
+
 def split(v, delim: str, index: int = 0) -> Column:
     """FN-3: literal delimiter, 0-based index, negative counts from the end, out of range -> NULL."""
     parts = F.split(_s(v), _quote(delim), -1)

@@ -52,11 +52,6 @@ def add_seconds(ts, seconds) -> Column:
     return F.timestamp_add("MICROSECOND", F.round(_c(seconds) * 1e6).cast("long"), _c(ts))
 
 
-def ceil_avg_sum(total: Column, count: Column) -> Column:
-    """FN-22 over an exact total: CEIL(total / count) as an integer."""
-    return F.ceil(F.try_divide(total.cast("double"), count)).cast("long")
-
-
 def error_code(msg) -> Column:
     """FN-28: first ``ABC-123`` style code in a message, else NULL."""
     return F.nullif(F.regexp_extract(_c(msg), r"([A-Z]+-[0-9]+)", 1), F.lit(""))

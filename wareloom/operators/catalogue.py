@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..types import ColumnSpec, schema_from_spec
+from ..types import MONEY_SCALE, MONEY_SIZES, NUMERIC_SIZES, STRING_SIZES, ColumnSpec, schema_from_spec
 from ..session import local_rows
 
 GENERIC = "GENERIC"
@@ -31,6 +31,19 @@ MATRIX = {
     "DATE": ("DATE", "DATE", "DATE", "DATE", "DATE", "DATE"),
     "TIMESTAMP": ("TIMESTAMP", "TIMESTAMP", "DATETIME", "DATETIME2", "TIMESTAMP_NTZ", "TIMESTAMP"),
 }
+# The sized families follow one rule each (length, or precision and scale).
+for _code in ("Date", "DATE"):
+    MATRIX[_code] = MATRIX["DATE"]
+for _code in ("timestamp", "Timestamp"):
+    MATRIX[_code] = MATRIX["TIMESTAMP"]
+for _n in STRING_SIZES:
+    MATRIX[f"String{_n}"] = ((f"VARCHAR2({_n})",) + (f"VARCHAR({_n})",) * 5 if _n < 4000 else
+                             ("VARCHAR2(4000)", "VARCHAR(4000)", "TEXT", "VARCHAR(MAX)", "VARCHAR(4000)", "VARCHAR(4000)"))
+for _n in NUMERIC_SIZES:
+    MATRIX[f"Numeric{_n}"] = (f"NUMBER({_n})", f"NUMERIC({_n})", f"DECIMAL({_n},0)", f"DECIMAL({_n},0)", f"NUMBER({_n},0)", f"NUMERIC({_n})")
+for _n in MONEY_SIZES:
+    _ps = f"({_n},{MONEY_SCALE})"
+    MATRIX[f"Money{_n}"] = (f"NUMBER{_ps}", f"NUMERIC{_ps}", f"DECIMAL{_ps}", f"DECIMAL{_ps}", f"NUMBER{_ps}", f"NUMERIC{_ps}")
 # Suggestion confidence for the two long-supported databases, and otherwise.
 CONFIDENCE_HIGH, CONFIDENCE_OTHER = 0.98, 0.85
 HIGH_PRIORITY_CODES = ("INT", "VARCHAR", "DATE")
@@ -127,10 +140,6 @@ def type_impact(details: DataFrame, codes: DataFrame, code_col: str = "trgcldtyp
                                     .when(F.col("columns_using") <= 10, "MEDIUM").otherwise("HIGH"))
 
 
-# Sized string family used for nearest-fit text types.
-STRING_SIZES = (1, 3, 5, 10, 20, 30, 50, 100, 250, 4000)
-
-
 def _string_code(n: Column) -> Column:
     out = F.lit("VARCHAR_LARGE")
     for s in reversed(STRING_SIZES):

@@ -26,10 +26,19 @@ def lookup_current(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[s
     """
     t = current(tgt)
     cols = cols if cols is not None else [c for c in t.columns if c not in keys]
-    t = t.select(*keys, *[F.col(c).alias(prefix + c) for c in cols])
+    t = first_current(t, keys, cols).select(*keys, *[F.col(c).alias(prefix + c) for c in cols])
     return src.join(t, keys, "left")
 
 
+def first_current(rows: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """One row per key of a table that may hold several current rows for it: the first hit (smallest SKEY,
+    else the smallest row). The aggregate shuffles on the key the lookup joins on, so it adds no exchange."""
+    first = [F.col("SKEY")] if "SKEY" in rows.columns else []
+    rest = [F.col(c) for c in cols if c != "SKEY"]
+    return (rows.groupBy(*keys).agg(F.min(F.struct(*first, *rest)).alias("_f"))
+            .select(*keys, *[F.col("_f." + c).alias(c) for c in cols]) if first or rest else rows.select(*keys).distinct())
+
+
 def classify(src: DataFrame, tgt: DataFrame, keys: list[str], hash_col: str = "RWHKEY",
              out: str = "change") -> DataFrame:
     """HSH-3: NEW when no current target row, CHANGED when the hashes differ (a NULL

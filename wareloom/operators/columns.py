@@ -41,8 +41,8 @@ def map_columns(df: DataFrame, mapping: dict[str, str], target_cols: list[str])
 
 
 def clean_text(c: Column) -> Column:
-    """Trim and turn empty text into NULL (file values)."""
-    return F.nullif(F.trim(c), F.lit(""))
+    """Strip white space of any kind at both ends and turn empty text into NULL (file values)."""
+    return F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
 def map_file_columns(df: DataFrame, spec: list[ColumnSpec], keep_source: bool = False) -> DataFrame:
@@ -78,7 +78,7 @@ def derive(df: DataFrame, formulas: dict[str, Column | Callable], defaults: dict
     for k, f in formulas.items():
         c = f(df) if callable(f) and not isinstance(f, Column) else f
         if k in defaults:
-            c = F.coalesce(c, F.lit(defaults[k]))
+            c = F.coalesce(c, F.lit(defaults[k]).cast(df.select(c.alias("c")).schema["c"].dataType))
         cols[k] = c
     return df.withColumns(cols)
 
@@ -135,7 +135,7 @@ def convert(c: Column, src_type: T.DataType, dtype: T.DataType) -> Column:
     if isinstance(src_type, T.StringType) and isinstance(dtype, T.StringType):
         return c
     if isinstance(src_type, T.StringType):
-        c = F.nullif(F.trim(c), F.lit(""))
+        c = clean_text(c)
         c = F.when(~F.lower(c).isin("nan", "none", "null"), c)
         if isinstance(dtype, T.DateType):
             return F.to_date(parse_timestamp(c))
@@ -153,20 +153,26 @@ def cast_to_spec(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
 
 
 def json_safe(df: DataFrame) -> DataFrame:
-    """PRJ-8: decimals -> double, timestamps / dates -> ISO text, intervals -> seconds."""
-    out = []
-    for f in df.schema.fields:
-        c, t = F.col(f.name), f.dataType
-        if isinstance(t, T.DecimalType):
-            c = c.cast("double")
-        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-        elif isinstance(t, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(t, T.DayTimeIntervalType):
-            c = F.extract(F.lit("SECOND"), c)  # pragma: no cover - rarely used
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    """PRJ-8: decimals -> double, timestamps / dates -> ISO text, intervals -> seconds, also inside structs
+    and arrays."""
+    return df.select(*[_portable(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def _portable(c: Column, t: T.DataType) -> Column:
+    if isinstance(t, T.DecimalType):
+        return c.cast("double")
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    if isinstance(t, T.DateType):
+        return F.date_format(c, "yyyy-MM-dd")
+    if isinstance(t, T.DayTimeIntervalType):       # whole length, not the seconds field
+        return (F.extract(F.lit("DAY"), c) * 86400 + F.extract(F.lit("HOUR"), c) * 3600
+                + F.extract(F.lit("MINUTE"), c) * 60 + F.extract(F.lit("SECOND"), c)).cast("double")
+    if isinstance(t, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_portable(c[f.name], f.dataType).alias(f.name) for f in t.fields]))
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _portable(x, t.elementType))
+    return c
 
 
 def field_alias(alias: str | None, name: str | None, position: int) -> str:

@@ -70,19 +70,3 @@ def match_within(left: DataFrame, right: DataFrame, key: str, left_ts: str, righ
     j = lb.alias("l").join(rb.alias("r"), (F.col(f"l.{key}") == F.col(f"r.{rk}")) & (F.col("l._b") == F.col("r._b")))
     gap = F.abs(epoch(f"r.{right_ts}") - epoch(f"l.{left_ts}"))
     return j.filter(gap <= F.lit(us)).drop(F.col("l._b")).drop(F.col("r._b"))
-
-
-def full_merge(src: DataFrame, tgt: DataFrame, keys: list[str]) -> DataFrame:
-    """JN-12: target ⟗ source by key; source columns prefixed ``s_``, target ``t_``, key coalesced."""
-    s = src.select(*keys, *[F.col(c).alias("s_" + c) for c in src.columns if c not in keys], F.lit(True).alias("_s"))
-    t = tgt.select(*keys, *[F.col(c).alias("t_" + c) for c in tgt.columns if c not in keys], F.lit(True).alias("_t"))
-    return t.join(s, keys, "full_outer")
-
-
-def status_chain(base: DataFrame, links: list[tuple[DataFrame, Column, str]]) -> DataFrame:
-    """JN-3: chained left joins; each link is (frame, ON condition, alias). Conditions on the
-    joined side belong in the ON clause so unmatched base rows are kept."""
-    out = base
-    for frame, cond, alias in links:
-        out = out.join(frame.alias(alias), cond, "left")
-    return out

@@ -3,17 +3,16 @@
 A global ``ROW_NUMBER() OVER (ORDER BY k)`` pulls every row into one task. Here the rows are
 range-partitioned on the order, sorted inside each partition, materialised once in the
 shared checkpoint folder (so the numbering cannot change if a task is re-run), counted per
-partition (one small row per partition) and numbered as ``start + offset(partition) +
-position``. Work stays spread over all tasks; only the per-partition counts reach the driver.
+partition and numbered as ``start + offset(partition) + position``. The counts (one row per
+partition) are summed and joined inside Spark; nothing reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from ..session import local_rows
 
 _POS_MASK = (1 << 33) - 1   # monotonically_increasing_id keeps the row position in the low 33 bits
 
@@ -29,7 +28,6 @@ def number_rows(df: DataFrame, order_by, col: str = "rn", start: int = 1,
     """Add ``col`` = start, start+1, … in the given order (ties broken by the sort; pass a
     unique order for a deterministic result). With ``after_max_of=(table, column)`` numbering
     starts after the table's maximum, read in the same job as the per-partition counts."""
-    spark = df.sparkSession
     order = _cols(order_by)
     # without an explicit count AQE may merge small neighbouring ranges (order is kept)
     ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
@@ -38,23 +36,21 @@ def number_rows(df: DataFrame, order_by, col: str = "rn", start: int = 1,
                 .withColumn("_wl_pid", F.spark_partition_id())
                 .withColumn("_wl_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
     tagged = cut_lineage(tagged)
+    return _add_offsets(tagged, col, start, after_max_of)
+
+
+def _add_offsets(tagged: DataFrame, col: str, start: int, after_max_of) -> DataFrame:
+    """Number rows that carry their partition id and position: the running total over the per-partition
+    counts is a window over one row per partition, joined back by partition id."""
     per = tagged.groupBy("_wl_pid").agg(F.count(F.lit(1)).alias("_wl_n"))
     if after_max_of is not None:
         t, c = after_max_of
+        start = 1
         per = per.unionByName(t.agg(F.coalesce(F.max(c), F.lit(0)).cast("long").alias("_wl_n"))
                                .select(F.lit(-1).alias("_wl_pid"), "_wl_n"))
-    rows = per.collect()
-    counts = sorted((r["_wl_pid"], r["_wl_n"]) for r in rows if r["_wl_pid"] >= 0)
-    if after_max_of is not None:
-        start = next(r["_wl_n"] for r in rows if r["_wl_pid"] < 0) + 1
-    offsets, acc = [], start
-    for pid, cnt in counts:
-        offsets.append((pid, acc))
-        acc += cnt
-    if not offsets:
-        return tagged.drop("_wl_pid", "_wl_pos").withColumn(col, F.lit(None).cast("long"))
-    # Bounded by the number of partitions, so broadcasting it is safe.
-    off = local_rows(spark, offsets, "_wl_pid int, _wl_off long")
+    before = Window.orderBy("_wl_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = per.select("_wl_pid", (F.coalesce(F.sum("_wl_n").over(before), F.lit(0)) + start).alias("_wl_off"))
+    # one row per range partition, so broadcasting it is bounded
     return (tagged.join(F.broadcast(off), "_wl_pid")
                   .withColumn(col, (F.col("_wl_off") + F.col("_wl_pos")).cast("long"))
                   .drop("_wl_pid", "_wl_pos", "_wl_off"))
@@ -69,12 +65,6 @@ def assign_skey(new_rows: DataFrame, start: int | None, order_by, col: str = "SK
     return number_rows(new_rows, order_by, col=col, start=start)
 
 
-def max_key(tgt: DataFrame, col: str = "SKEY") -> int:
-    """KEY-2: highest key in use (0 for an empty table). One scalar reaches the driver."""
-    v = tgt.agg(F.max(col).alias("m")).first()["m"]
-    return int(v) if v is not None else 0
-
-
 def slices(df: DataFrame, order_by, size: int, col: str = "slice_id") -> DataFrame:
     """WN-2: row number over an order and the slice it falls in (``floor((rn-1)/size)``)."""
     out = number_rows(df, order_by, col="rn")

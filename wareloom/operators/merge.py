@@ -42,14 +42,16 @@ class MergeResult:
     summary: DataFrame         # long form: metric string, value long
     errors: DataFrame          # rejected source rows (NULL business key)
     duplicates: DataFrame | None = None   # in-batch duplicates that lost to a later row (T1)
-    _held: tuple = ()
 
     def counters(self) -> dict:
         return {r["metric"]: r["value"] for r in self.summary.collect()}
 
-    def release(self):
-        for d in self._held:
-            d.unpersist()
+
+@dataclass
+class LoadResult:
+    target: DataFrame          # new snapshot of the target
+    rejected: DataFrame        # source rows set aside, with reject_reason
+    summary: DataFrame         # metric string, value long: source_rows, accepted_rows, rejected_rows, duplicates
 
 
 def _is_dim(kind: str) -> bool:
@@ -95,8 +97,8 @@ def dropped_duplicates(df: DataFrame, winners: DataFrame, keys: list[str]) -> Da
 def dedup_last(df: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
     """One row per key: the last by ``order_by`` (ties and no order: the greatest row).
 
-    Written as ``max(struct(order…, rest…))`` per key, a hash aggregate with a map-side
-    partial step: a key held by a third of all rows is reduced inside every map task before
+    Written as ``max(struct(order…, rest…))`` per key, an aggregate (sorted by key, as the buffer is a
+    struct) with a map-side partial step: a key held by a third of all rows is reduced inside every map task before
     the shuffle instead of being sorted in one task. Adds ``_dups`` (rows dropped per key).
     """
     order_by = list(order_by or [])
@@ -260,14 +262,15 @@ def initial_load(src: DataFrame, keys: list[str], ts, kind: str = DIM, order_by:
 
 # ---------------------------------------------------------------- file loads (LD-*)
 
-def align(df: DataFrame, tgt_schema: T.StructType) -> DataFrame:
-    """LD-6: target column order and names (case repaired), missing columns NULL, cast to the target type."""
+def align(df: DataFrame, tgt_schema: T.StructType, strict: bool = True) -> DataFrame:
+    """LD-6: target column order and names (case repaired), missing columns NULL, cast to the target type
+    (``strict=False``: a value that cannot be cast is NULL)."""
     lower = {c.lower(): c for c in df.columns}
     cols = []
     for f in tgt_schema.fields:
         src = lower.get(f.name.lower())
         c = F.col(src) if src is not None else F.lit(None)
-        cols.append(c.cast(f.dataType).alias(f.name))
+        cols.append((c.cast(f.dataType) if strict or src is None else c.try_cast(f.dataType)).alias(f.name))
     return df.select(*cols)
 
 
@@ -284,25 +287,59 @@ def stamp_load(df: DataFrame, user: str, ts) -> DataFrame:
     return out
 
 
-def load(df: DataFrame, tgt: DataFrame, mode: str, keys: list[str] | None = None, user: str = "SYSTEM",
-         ts=None, order_by: list[str] | None = None) -> DataFrame:
-    """LD-1 INSERT, LD-2 TRUNCATE_LOAD, LD-3 UPSERT (LD-4: no key -> INSERT), LD-7 IF_ABSENT.
-
-    Returns the new snapshot of ``tgt``.
-    """
+def split_castable(df: DataFrame, tgt_schema: T.StructType, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` that fit the target (``align``ed) and the others with ``reject_reason``: a value that cannot be
+    cast to its column's type, or a NULL in a key column. One bad value costs its row, not the load."""
+    lower = {c.lower(): c for c in df.columns}
+    reasons = []
+    for f in tgt_schema.fields:
+        src = lower.get(f.name.lower())
+        if src is not None and df.schema[src].dataType != f.dataType:
+            reasons.append(F.when(F.col(f"`{src}`").isNotNull() & F.col(f"`{src}`").try_cast(f.dataType).isNull(),
+                                  F.lit(f"{f.name}: not {f.dataType.simpleString()}")))
+    for k in keys or []:
+        src = lower.get(k.lower())
+        if src is not None:
+            reasons.append(F.when(F.col(f"`{src}`").isNull(), F.lit(f"{k}: NULL key")))
+    why = F.array_join(F.filter(F.array(*reasons), lambda x: x.isNotNull()), "; ") if reasons else F.lit("")
+    marked = df.withColumn("reject_reason", why)
+    good = align(marked.where("reject_reason = ''").drop("reject_reason"), tgt_schema, strict=False)
+    return good, marked.where("reject_reason <> ''")
+
+
+def load_checked(df: DataFrame, tgt: DataFrame, mode: str, keys: list[str] | None = None, user: str = "SYSTEM",
+                 ts=None, order_by: list[str] | None = None) -> LoadResult:
+    """LD-1 INSERT, LD-2 TRUNCATE_LOAD, LD-3 UPSERT (LD-4: no key -> INSERT), LD-7 IF_ABSENT, with the rows
+    that could not be loaded and the counts."""
     mode = mode.upper()
-    src = align(df, tgt.schema)
+    if mode not in ("INSERT", "TRUNCATE_LOAD", "UPSERT", "IF_ABSENT"):
+        raise ValueError(f"unknown load mode {mode}")
+    keyed = mode == "IF_ABSENT" or (mode == "UPSERT" and bool(keys))
+    src, rejected = split_castable(df, tgt.schema, keys if keyed else None)
     if ts is not None:
         src = stamp_load(src, user, ts)
+    dups = F.lit(0)
     if mode == "TRUNCATE_LOAD":
-        return src
-    if mode == "INSERT" or (mode == "UPSERT" and not keys):
-        return tgt.unionByName(src)
-    if mode == "IF_ABSENT":
-        return tgt.unionByName(src.join(tgt.select(*keys), keys, "left_anti"))
-    if mode != "UPSERT":
-        raise ValueError(f"unknown load mode {mode}")
-    src = dedup_last(src, keys, order_by).drop("_dups")
+        out = src
+    elif not keyed:
+        out = tgt.unionByName(src)
+    else:
+        src = dedup_last(src, keys, order_by)          # a key twice in one batch is one row
+        dups = F.sum("_dups")
+        one = src.drop("_dups")
+        out = tgt.unionByName(one.join(tgt.select(*keys), keys, "left_anti")) if mode == "IF_ABSENT" else _upsert(one, tgt, keys)
+    counts = _metrics(src, {"accepted_rows": F.count(F.lit(1)), "duplicates": F.coalesce(dups, F.lit(0))}).unionByName(
+        _metrics(rejected, {"rejected_rows": F.count(F.lit(1))})).unionByName(_metrics(df, {"source_rows": F.count(F.lit(1))}))
+    return LoadResult(out, rejected, counts)
+
+
+def load(df: DataFrame, tgt: DataFrame, mode: str, keys: list[str] | None = None, user: str = "SYSTEM",
+         ts=None, order_by: list[str] | None = None) -> DataFrame:
+    """The new snapshot of ``load_checked`` (rejected rows are left out)."""
+    return load_checked(df, tgt, mode, keys, user, ts, order_by).target
+
+
+def _upsert(src: DataFrame, tgt: DataFrame, keys: list[str]) -> DataFrame:
     s = src.select(*keys, *[F.col(c).alias("_s_" + c) for c in src.columns if c not in keys],
                    F.lit(True).alias("_s_hit"))
     j = tgt.withColumn("_t_hit", F.lit(True)).join(s, keys, "full_outer")
@@ -319,9 +356,9 @@ def load(df: DataFrame, tgt: DataFrame, mode: str, keys: list[str] | None = None
 
 
 def load_counts(df: DataFrame, tgt: DataFrame, keys: list[str]) -> DataFrame:
-    """LD-7 counters: created (key absent from target) and skipped (key present)."""
+    """LD-7 counters per distinct key of the batch: created (absent from target) and skipped (present)."""
     t = tgt.select(*keys).distinct().withColumn("_hit", F.lit(True))
-    j = df.select(*keys).join(t, keys, "left")
+    j = df.select(*keys).distinct().join(t, keys, "left")
     return _metrics(j, {"created": F.count_if(F.col("_hit").isNull()),
                         "skipped": F.count_if(F.col("_hit").isNotNull())})
 

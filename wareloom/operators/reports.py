@@ -148,14 +148,14 @@ def widget_table(spark: SparkSession, sql: str, n: int | None = None, export: bo
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def first_numeric_column(df: DataFrame, candidates: list, sample: int = PREVIEW_MAX) -> str | None:
-    """The first column that holds numbers: a numeric type, or text of which at least one value
-    (among the first ``sample`` rows) reads as a number. One aggregate row reaches the driver."""
+def first_numeric_column(df: DataFrame, candidates: list) -> str | None:
+    """The first column that holds numbers: a numeric type, or text of which at least one value reads as a
+    number. One aggregate over the whole query; one row reaches the driver."""
     texts = [f.name for f in candidates if isinstance(f.dataType, T.StringType)]
     readable = {}
     if texts:
-        r = df.limit(sample).agg(*[F.max(F.col(f"`{c}`").try_cast("double").isNotNull()).alias(f"c{i}")
-                                   for i, c in enumerate(texts)]).first()
+        r = df.agg(*[F.max(F.col(f"`{c}`").try_cast("double").isNotNull()).alias(f"c{i}")
+                     for i, c in enumerate(texts)]).first()
         readable = {c: bool(r[f"c{i}"]) for i, c in enumerate(texts)}
     for f in candidates:
         if isinstance(f.dataType, _NUMERIC) or readable.get(f.name):
@@ -163,40 +163,41 @@ def first_numeric_column(df: DataFrame, candidates: list, sample: int = PREVIEW_
     return None
 
 
-def widget_series(df: DataFrame) -> DataFrame:
+def widget_series(df: DataFrame, limit: int | None = SERIES_ROWS) -> DataFrame:
     """WD-2: label = first column as text (24 chars), value = first numeric column after it
-    (non-numeric or NULL -> 0), first 20 rows of the query's order."""
+    (non-numeric or NULL -> 0). ``limit``: how many rows of the query's order a chart shows (None: all)."""
     fields = df.schema.fields
     label = fields[0].name
     rest = fields[1:] if len(fields) > 1 else fields
     num = first_numeric_column(df, rest)
     if num is None:
         raise ReportError("widget query has no numeric column")
-    val = F.coalesce(F.col(num).try_cast("double"), F.lit(0.0))
-    return df.limit(SERIES_ROWS).select(F.substring(F.col(label).cast("string"), 1, LABEL_CHARS).alias("label"),
-                                        val.alias("value"))
+    val = F.coalesce(F.col(f"`{num}`").try_cast("double"), F.lit(0.0))
+    rows = df if limit is None else df.limit(limit)
+    return rows.select(F.substring(F.col(f"`{label}`").cast("string"), 1, LABEL_CHARS).alias("label"), val.alias("value"))
 
 
 def widget_kpi(series: DataFrame) -> DataFrame:
-    """WD-3: sum of the series values."""
+    """WD-3: sum of the series values (pass the whole series)."""
     return series.agg(F.sum("value").alias("kpi"))
 
 
 def widget_share(series: DataFrame) -> DataFrame:
-    """WD-4: each value's share of the total (the series has at most 20 rows)."""
-    return series.withColumn("share", F.try_divide(F.col("value"), F.sum("value").over(Window.partitionBy())))
+    """WD-4: each value's share of the total of the whole series (a one-row aggregate joined back)."""
+    total = series.agg(F.sum("value").alias("_total"))
+    return series.join(F.broadcast(total)).withColumn("share", F.try_divide(F.col("value"), F.col("_total"))).drop("_total")
 
 
 def dashboard(spark: SparkSession, widgets: list[dict]) -> dict[str, DataFrame]:
-    """WD-5: every widget with SQL becomes a DataFrame (TABLE -> rows, others -> series);
-    empty SQL is skipped; no widget with SQL is an error."""
+    """WD-5: every widget with SQL becomes a DataFrame (TABLE -> rows, others -> series; KPI and PIE total the
+    whole query); empty SQL is skipped; no widget with SQL is an error."""
     out = {}
     for w in widgets:
         sql = (w.get("adhocSql") or "").strip()
         if not sql:
             continue
         kind = (w.get("widgetType") or "TABLE").upper()
-        df = widget_table(spark, sql) if kind == "TABLE" else widget_series(spark.sql(sql))
+        df = widget_table(spark, sql) if kind == "TABLE" else widget_series(spark.sql(sql), None if kind in ("KPI", "PIE") else SERIES_ROWS)
         if kind == "KPI":
             df = widget_kpi(df)
         elif kind == "PIE":

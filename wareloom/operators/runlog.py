@@ -31,25 +31,26 @@ def runs_with_process(log: DataFrame, proc: DataFrame) -> DataFrame:
 
 
 def mapping_totals(maps: DataFrame, jobs: DataFrame, flows: DataFrame, scheds: DataFrame) -> DataFrame:
-    """AG-1 over JN-3: mapping → job → flow → schedule left joins (conditions on the joined
-    side kept in ON), COUNT plus six conditional sums."""
-    m = maps.filter(F.col("curflg") == "Y").alias("m")
-    j = jobs.alias("j")
-    f = flows.filter(F.col("curflg") == "Y").alias("f")
-    s = scheds.filter(F.col("curflg") == "Y").alias("s")
-    x = (m.join(j, (F.col("j.mapref") == F.col("m.mapref")) & (F.col("j.curflg") == F.col("m.curflg")), "left")
-          .join(f, F.col("f.jobid") == F.col("j.jobid"), "left")
-          .join(s, F.col("s.jobflwid") == F.col("f.jobflwid"), "left"))
-
-    def flag(c):
-        return F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return x.agg(F.count(F.col("m.mapref")).alias("total_mappings"),
-                 flag(F.col("m.lgvrfyflg") == "Y").alias("logic_verified"),
-                 flag(F.col("m.stflg") == "A").alias("active_mappings"),
-                 flag(F.col("j.mapref").isNotNull()).alias("total_jobs"),
-                 flag(F.col("j.stflg") == "A").alias("active_jobs"),
-                 flag(F.col("f.jobid").isNotNull()).alias("job_flow_created"),
-                 flag(F.col("s.jobflwid").isNotNull()).alias("schedule_created"))
+    """AG-1 over JN-3: mappings with their jobs, flows and schedules, counted along the left-join chain. Every
+    level is counted below its parent first (schedules per flow, flows per job, jobs per mapping), so
+    the chain's rows are never formed: each count is multiplied up instead."""
+    s = scheds.where("curflg = 'Y'").groupBy("jobflwid").agg(F.count(F.lit(1)).alias("n_s"))
+    f = (flows.where("curflg = 'Y'").select("jobid", "jobflwid").join(s, "jobflwid", "left")
+         .groupBy("jobid").agg(F.sum(F.coalesce("n_s", F.lit(1))).alias("rows_f"), F.sum(F.coalesce("n_s", F.lit(0))).alias("with_s")))
+    j = (jobs.where("curflg = 'Y'").select("mapref", "jobid", "stflg").join(f, "jobid", "left")
+         .withColumn("rows_j", F.coalesce("rows_f", F.lit(1)))
+         .groupBy("mapref").agg(F.sum("rows_j").alias("rows_j"), F.sum(F.when(F.col("stflg") == "A", F.col("rows_j")).otherwise(0)).alias("active_j"),
+                                F.sum(F.coalesce("rows_f", F.lit(0))).alias("with_f"), F.sum(F.coalesce("with_s", F.lit(0))).alias("with_s")))
+    m = maps.where("curflg = 'Y'").join(j, "mapref", "left").withColumn("r", F.coalesce("rows_j", F.lit(1)))
+
+    def total(value, when=None):
+        v = F.coalesce(value, F.lit(0))
+        return F.coalesce(F.sum(v if when is None else F.when(when, v).otherwise(0)), F.lit(0)).cast("long")
+    r = F.col("r")
+    return m.agg(total(r, F.col("mapref").isNotNull()).alias("mapping_rows"), total(r, F.col("lgvrfyflg") == "Y").alias("verified_rows"),
+                 total(r, F.col("stflg") == "A").alias("active_rows"), total(F.col("rows_j")).alias("job_rows"),
+                 total(F.col("active_j")).alias("active_job_rows"), total(F.col("with_f")).alias("flow_rows"),
+                 total(F.col("with_s")).alias("schedule_rows"))
 
 
 def job_overview(log: DataFrame, proc: DataFrame) -> DataFrame:
@@ -116,16 +117,6 @@ def job_stats(runs: DataFrame) -> DataFrame:
         (F.count_if(F.col("status") == FAILED) > 0).alias("has_failed_logs"))
 
 
-def job_log_nested(log: DataFrame) -> DataFrame:
-    """AG-9 as nested rows per (job, day): the day's log entries newest first.
-
-    A list per job would put a job's entire history into one row (and one task); per day
-    the list is bounded by a day's runs, and ``job_log_flat`` gives the flat form."""
-    entry = F.struct(F.col("prcdt"), F.col("joblogid"), F.col("srcrows"), F.col("trgrows"))
-    return log.groupBy(F.col("mapref").alias("job_name"), F.to_date("prcdt").alias("log_day")).agg(
-        F.sort_array(F.collect_list(entry), asc=False).alias("logs"))
-
-
 def job_log_flat(log: DataFrame) -> DataFrame:
     """AG-9 flat: every log row with its position in the job's newest-first list."""
     from .windows import number_within_groups
@@ -138,25 +129,21 @@ REQUEST_STATES = ("NEW", "QUEUED", "PROCESSING", "CLAIMED")
 
 def requests_by_type(req: DataFrame) -> DataFrame:
     """AG-10: active requests by type (from the reference prefix) and upper-cased status."""
-    rtype = (F.when(F.col("mapref").like("FLUPLD:%"), "FILE_UPLOAD")
-              .when(F.col("mapref").like("REPORT:%"), "REPORT").otherwise("JOBS"))
-    x = req.filter(F.upper("status").isin(*REQUEST_STATES))
-    return x.groupBy(rtype.alias("request_type"), F.upper("status").alias("status")).agg(
-        F.count(F.lit(1)).alias("count"))
+    prefix = F.split_part("mapref", F.lit(":"), F.lit(1))
+    kind = F.when(~F.contains("mapref", F.lit(":")), "JOBS").when(prefix == "FLUPLD", "FILE_UPLOAD").when(prefix == "REPORT", "REPORT").otherwise("JOBS")
+    open_ = req.withColumn("state", F.upper("status")).where(F.col("state").isin(*REQUEST_STATES))
+    return open_.groupBy(kind.alias("kind"), "state").agg(F.count(F.lit(1)).alias("requests"))
 
 
 def schedule_rollup(scheds: DataFrame, flows: DataFrame, value_cols: list[str], max_cols: list[str] = ()) -> DataFrame:
     """AG-11: per flow: MIN ids, value of an enabled schedule else MIN (``value_cols``) or else
     MAX (``max_cols``), MAX(flag)."""
-    s = scheds.filter(F.col("curflg") == "Y")
-    f = flows.filter(F.col("curflg") == "Y").select("jobflwid")
-    x = s.join(f, "jobflwid")
+    live = scheds.where("curflg = 'Y'").join(flows.where("curflg = 'Y'").select("jobflwid"), "jobflwid", "left_semi")
     on = F.col("schflg") == "Y"
-    aggs = [F.min("jobschid").alias("jobschid"), F.min("dpnd_jobschid").alias("dpnd_jobschid")]
-    aggs += [F.coalesce(F.max(F.when(on, F.col(c))), F.min(c)).alias(c) for c in value_cols]
-    aggs += [F.coalesce(F.max(F.when(on, F.col(c))), F.max(c)).alias(c) for c in max_cols]
-    aggs += [F.max("schflg").alias("schflg")]
-    return x.groupBy("jobflwid").agg(*aggs)
+    pick = [F.coalesce(F.max(F.when(on, F.col(c))), fallback(c)).alias(c) for cs, fallback in ((value_cols, F.min), (max_cols, F.max)) for c in cs]
+    return live.groupBy(F.col("jobflwid").alias("flow")).agg(
+        F.min("jobschid").alias("first_schedule"), F.min("dpnd_jobschid").alias("first_dependency"), *pick,
+        F.when(F.bool_or(on), "Y").otherwise("N").alias("enabled"))
 
 
 def usage_counts(cat: DataFrame, used: DataFrame, key: str, used_key: str, name: str) -> DataFrame:

@@ -60,7 +60,6 @@ def top_k(df: DataFrame, key: str | list[str], order, k: int, col: str = "rank")
 def number_within_groups(df: DataFrame, keys: list[str], order, col: str = "seq",
                          num_partitions: int | None = None) -> DataFrame:
     """1-based ordinal inside each group in ``order`` without sorting a group in one task."""
-    spark = df.sparkSession
     order = _cols(order)
     kcols = [F.col(k) for k in keys]
     ranged = df.repartitionByRange(num_partitions, *kcols, *order) if num_partitions else \
@@ -73,7 +72,11 @@ def number_within_groups(df: DataFrame, keys: list[str], order, col: str = "seq"
     # at most one row per (partition, group): the offsets of a group span only the partitions it touches
     w = Window.partitionBy(*keys).orderBy("_wl_pid").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_wl_off", F.coalesce(F.sum("_wl_n").over(w), F.lit(0)))
-    out = tagged.join(per.select("_wl_pid", *keys, "_wl_off", "_wl_first"), ["_wl_pid", *keys])
+    per = per.select(F.col("_wl_pid").alias("_wl_p"), *[F.col(k).alias(f"_wl_k{i}") for i, k in enumerate(keys)], "_wl_off", "_wl_first")
+    same = F.col("_wl_pid") == F.col("_wl_p")
+    for i, k in enumerate(keys):                       # a NULL group is a group
+        same = same & F.col(k).eqNullSafe(F.col(f"_wl_k{i}"))
+    out = tagged.join(per, same).drop("_wl_p", *[f"_wl_k{i}" for i in range(len(keys))])
     return out.withColumn(col, (F.col("_wl_off") + F.col("_wl_pos") - F.col("_wl_first") + 1).cast("long")) \
               .drop("_wl_pid", "_wl_pos", "_wl_off", "_wl_first")
 

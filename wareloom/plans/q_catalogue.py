@@ -32,18 +32,18 @@ def _sample_sql() -> str:
 
 
 CAT_SQL = f"""({_sample_sql()}
-UNION ALL SELECT DISTINCT 'Datatype', 'STRING' || CAST(p_size AS VARCHAR), 'String of ' || CAST(p_size * 10 AS VARCHAR),
+UNION ALL SELECT DISTINCT 'Datatype', 'String' || CAST(p_size AS VARCHAR), 'String of ' || CAST(p_size * 10 AS VARCHAR),
   'VARCHAR(' || CAST(p_size * 10 AS VARCHAR) || ')', 'GENERIC', 'Y' FROM part
-UNION ALL SELECT DISTINCT 'Datatype', 'STRING' || CAST(p_size AS VARCHAR), 'String of ' || CAST(p_size * 10 AS VARCHAR),
+UNION ALL SELECT DISTINCT 'Datatype', 'String' || CAST(p_size AS VARCHAR), 'String of ' || CAST(p_size * 10 AS VARCHAR),
   'VARCHAR(' || CAST(p_size * 10 AS VARCHAR) || ')', 'POSTGRESQL', 'Y' FROM part WHERE p_size % 2 = 0
-UNION ALL SELECT DISTINCT 'Datatype', 'STRING' || CAST(p_size AS VARCHAR), 'String of ' || CAST(p_size * 10 AS VARCHAR),
+UNION ALL SELECT DISTINCT 'Datatype', 'String' || CAST(p_size AS VARCHAR), 'String of ' || CAST(p_size * 10 AS VARCHAR),
   'VARCHAR2(' || CAST(p_size * 10 AS VARCHAR) || ')', 'ORACLE', 'Y' FROM part WHERE p_size % 5 = 0)"""
 
 
 def catalogue(spark, sf_dir):
     sample = local_rows(spark, [("Datatype", c, f"{c} type", v, d, "Y") for c, v, d in SAMPLE], CT.CATALOGUE_SCHEMA)
     sizes = table(spark, sf_dir, "part").select("p_size").distinct()
-    code = F.concat(F.lit("STRING"), F.col("p_size").cast("string"))
+    code = F.concat(F.lit("String"), F.col("p_size").cast("string"))
     desc = F.concat(F.lit("String of "), (F.col("p_size") * 10).cast("string"))
 
     def rows(prefix, db, cond=None):
@@ -57,7 +57,7 @@ def catalogue(spark, sf_dir):
 
 
 _TYPE_CASE = """CASE p_type WHEN 'STANDARD' THEN 'VARCHAR' WHEN 'ECONOMY' THEN 'DECIMAL' WHEN 'MEDIUM' THEN 'INTEGER'
-  WHEN 'PROMO' THEN 'DATE' WHEN 'LARGE' THEN 'STRING' || CAST(p_size AS VARCHAR) ELSE 'CLOB' END"""
+  WHEN 'PROMO' THEN 'DATE' WHEN 'LARGE' THEN 'String' || CAST(p_size AS VARCHAR) ELSE 'CLOB' END"""
 _DB_CASE = "CASE p_size % 3 WHEN 0 THEN 'POSTGRESQL' WHEN 1 THEN 'ORACLE' ELSE 'MYSQL' END"
 SPEC_SQL = f"(SELECT p_partkey, p_brand AS mapref, {_TYPE_CASE} AS trgcldtyp, {_DB_CASE} AS dbtyp FROM part)"
 
@@ -67,7 +67,7 @@ def column_specs(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     t = F.col("p_type")
     code = (F.when(t == "STANDARD", "VARCHAR").when(t == "ECONOMY", "DECIMAL").when(t == "MEDIUM", "INTEGER")
-             .when(t == "PROMO", "DATE").when(t == "LARGE", F.concat(F.lit("STRING"), F.col("p_size").cast("string")))
+             .when(t == "PROMO", "DATE").when(t == "LARGE", F.concat(F.lit("String"), F.col("p_size").cast("string")))
              .otherwise("CLOB"))
     m = F.col("p_size") % 3
     db = F.when(m == 0, "POSTGRESQL").when(m == 1, "ORACLE").otherwise("MYSQL")

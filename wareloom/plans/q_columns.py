@@ -9,6 +9,7 @@ from ..functions import formulas as fx
 from ..functions.hashing import row_hash
 from ..operators import changes as C
 from ..operators import columns as P
+from ..sources.readers import number_in_file_order
 from ..types import ColumnSpec
 from .q_merges import _TGT_SQL, KEYS, customer_dimension
 from .registry import query
@@ -32,10 +33,14 @@ def map_columns_fallback(spark, sf_dir):
                          ["c_custkey", "cust_name", "segment", "note"])
 
 
-def _part_file(spark, sf_dir):
-    """``part`` as a delimited file would arrive: every value text, padded, some blanks."""
+def _part_file(spark, sf_dir, numbered: str | None = None):
+    """``part`` as a delimited file would arrive: every value text, padded, some blanks; ``numbered`` adds the row's
+    position in the file."""
     p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").cast("string").alias("PARTKEY"),
+    if numbered:
+        p = number_in_file_order(p, numbered)
+    return p.select(*([numbered] if numbered else []),
+                    F.col("p_partkey").cast("string").alias("PARTKEY"),
                     F.concat(F.lit("  "), F.col("p_name"), F.lit(" ")).alias("Name"),
                     F.when(F.col("p_size") < 10, F.lit("")).otherwise(F.col("p_brand")).alias("brand"),
                     F.col("p_type").alias("TYPE"),

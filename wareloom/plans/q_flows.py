@@ -43,8 +43,7 @@ FILE_SPEC = [
 
 
 def _file_checked(spark, sf_dir):
-    from ..operators.keys import number_rows
-    f = number_rows(_part_file(spark, sf_dir), "PARTKEY", col="rwndx")
+    f = _part_file(spark, sf_dir, numbered="rwndx")
     x = P.transform_file(f.withColumnRenamed("rwndx", "_rwndx"), FILE_SPEC + [ColumnSpec("rwndx", "BIGINT", "_rwndx")],
                          None, TS)
     types = {c.target: c.dtype for c in FILE_SPEC}
@@ -198,11 +197,11 @@ _NL = "CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END"
 
 
 @query("order_nulls_last", f"""
-SELECT c_custkey, {_NL} AS bal FROM customer ORDER BY bal DESC NULLS LAST, c_custkey LIMIT 100""")
+SELECT c_custkey, {_NL} AS bal FROM customer ORDER BY bal DESC NULLS LAST, c_custkey DESC""")
 def order_nulls_last(spark, sf_dir):
-    """ST-1: descending with NULLs last (top 100 of that order)."""
+    """ST-1: descending with NULLs last, the whole table."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_NL).alias("bal"))
-    return c.orderBy(F.col("bal").desc_nulls_last(), F.col("c_custkey")).limit(100)
+    return W.order_nulls_last(c, ["bal", "c_custkey"])
 
 
 @query("top_n", f"SELECT * FROM {RT.REQ_SQL} r ORDER BY requested_at DESC, request_id LIMIT 10")

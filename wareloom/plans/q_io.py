@@ -115,13 +115,26 @@ def header_footer_pattern(spark, sf_dir):
     return _typed(RD.parse_lines(lines, sep=","))
 
 
-@query("manifest")
+@query("manifest", """
+SELECT f.format, f.folder, (SELECT count(*) FROM part) AS row_count, true AS all_hashed
+FROM (VALUES ('CSV', 'csv'), ('JSON', 'json'), ('PARQUET', 'parquet')) AS f (format, folder)""")
 def manifest(spark, sf_dir):
-    """SNK-7 + SNK-8: export in CSV, json, csv (duplicate dropped) and PARQUET; one manifest row
-    per written file (rows only: file bytes differ between engines)."""
+    """SNK-7 + SNK-8: export in CSV, json, csv (duplicate dropped) and PARQUET; per format the folder of its manifest rows,
+    the rows read back from exactly the listed files, and whether every file has size and hash."""
     d = SK.scratch_dir(spark, "export")
     SK.export(table(spark, sf_dir, "part"), ["CSV", "json", "csv", "PARQUET"], d)
-    return SK.manifest(spark, d)
+    files = SK.manifest(spark, d)
+    per = files.groupBy("format").agg(F.min(F.split("relative_path", "/")[0]).alias("folder"),
+                                      F.bool_and((F.length("sha256") == 64) & (F.col("bytes") > 0)).alias("all_hashed"),
+                                      F.sort_array(F.collect_set("relative_path")).alias("_paths"))
+    readers = {"CSV": lambda p: spark.read.option("header", "true").csv(p), "JSON": lambda p: spark.read.json(p), "PARQUET": lambda p: spark.read.parquet(p)}
+    parts = []
+    for fmt, read in readers.items():
+        rows = read(os.path.join(d, fmt.lower())).select(F.col("_metadata.file_name").alias("name"))
+        listed = files.where(F.col("format") == fmt).select(F.element_at(F.split("relative_path", "/"), -1).alias("name"))
+        parts.append(rows.join(listed, "name", "left_semi").agg(F.count(F.lit(1)).alias("row_count")).withColumn("format", F.lit(fmt)))
+    counts = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return per.join(counts, "format").select("format", "folder", "row_count", "all_hashed")
 
 
 @query("table_info", """

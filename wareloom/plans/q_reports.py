@@ -137,8 +137,16 @@ FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 20)"""
 
 
 def _series(spark, sf_dir):
+    return RP.widget_series(_widget_query(spark, sf_dir))
+
+
+def _widget_query(spark, sf_dir):
     views(spark, sf_dir, ["orders"])
-    return RP.widget_series(spark.sql(_WIDGET_SQL))
+    return spark.sql(_WIDGET_SQL)
+
+
+_WHOLE_SQL = """(SELECT substring(CAST(o_custkey AS VARCHAR), 1, 24) AS label, CAST(count(*) AS DOUBLE) AS value
+FROM orders GROUP BY o_custkey)"""
 
 
 @query("widget_series", f"SELECT * FROM {_SERIES_SQL} s")
@@ -147,16 +155,16 @@ def widget_series(spark, sf_dir):
     return _series(spark, sf_dir)
 
 
-@query("widget_kpi", f"SELECT sum(value) AS kpi FROM {_SERIES_SQL} s")
+@query("widget_kpi", f"SELECT sum(value) AS kpi FROM {_WHOLE_SQL} s")
 def widget_kpi(spark, sf_dir):
-    """WD-3: KPI = sum of the series."""
-    return RP.widget_kpi(_series(spark, sf_dir))
+    """WD-3: KPI = sum over the whole query."""
+    return RP.widget_kpi(RP.widget_series(_widget_query(spark, sf_dir), None))
 
 
-@query("widget_share", f"SELECT label, value, value / sum(value) OVER () AS share FROM {_SERIES_SQL} s")
+@query("widget_share", f"SELECT label, value, value / sum(value) OVER () AS share FROM {_WHOLE_SQL} s")
 def widget_share(spark, sf_dir):
-    """WD-4: share of total per series point."""
-    return RP.widget_share(_series(spark, sf_dir))
+    """WD-4: share of the whole query's total per row."""
+    return RP.widget_share(RP.widget_series(_widget_query(spark, sf_dir), None))
 
 
 @query("preferred_row", """

@@ -1,8 +1,8 @@
 """Bound queries: streaming ingest and streaming merge (SS-*).
 
-The source tables are written as a sequence of files (in key order, one file per batch) to a
-fresh folder under the shared checkpoint folder, then consumed with ``maxFilesPerTrigger=1``.
-The streamed result must equal the batch result.
+The source tables arrive in parts as files in a fresh folder under the shared checkpoint folder; the
+stream is restarted from its checkpoint after each arrival. The streamed result must equal the
+batch result.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import os
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ts_lit
-from ..operators.keys import number_rows
 from ..operators import merge as M
 from ..sources.sinks import DimensionTable, SnapshotTable, scratch_dir
 from ..streaming import ingest as SS
@@ -20,22 +19,15 @@ from .q_merges import KEYS, _TGT_SQL, _money, customer_dimension, sql_scd
 from .registry import query
 from .tables import CUSTOMER_COLS, SQL_CUSTOMER_CHANGES, TS, customer_changes, portable, sql_hash, table
 
-BATCHES = 4                 # at least this many micro-batches
-ROWS_PER_BATCH = 1_000_000  # and no batch file above this many rows (one task writes one file)
+ARRIVALS = 4     # how often new files arrive, whatever the table's size
 
 
-def write_batches(df, key: str, path: str, batches: int = BATCHES) -> str:
-    """Split ``df`` into key ranges and write them one after another (file modification order =
-    key order), one file per range so that ``maxFilesPerTrigger=1`` makes one micro-batch per
-    range. The number of ranges grows with the data, so each file stays bounded."""
-    n = number_rows(df, key, col="_rn")
-    total = n.agg(F.max("_rn").alias("m")).first()["m"] or 0
-    batches = max(batches, -(-total // ROWS_PER_BATCH))
-    size = max(1, -(-total // batches))
-    n = n.withColumn("_b", F.floor((F.col("_rn") - 1) / F.lit(size)).cast("int")).drop("_rn")
-    for b in range(batches):
-        n.filter(F.col("_b") == b).drop("_b").coalesce(1).write.mode("append").parquet(path)
-    return path
+def arrivals(df, part, path: str, run) -> None:
+    """Write the rows of each arrival (``part`` = 0, 1, ...; all its tasks write files) and run the stream after each: every
+    run starts from the checkpoint the last one left and finds one micro-batch."""
+    for n in range(ARRIVALS):
+        df.where(part == n).write.mode("append").parquet(path)
+        run()
 
 
 def _events_mapped(df):
@@ -44,25 +36,55 @@ def _events_mapped(df):
                      F.lit("STREAM").alias("CRTDBY"), ts_lit(TS).alias("CRTDDT"))
 
 
-@query("stream_ingest", f"""
+_EVENTS_SQL = f"""
 SELECT event_id AS evt_id, upper(event_type) AS evt_type, ts AS evt_ts, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS amount,
-       'STREAM' AS CRTDBY, TIMESTAMP '{TS}' AS CRTDDT FROM events""")
+       'STREAM' AS CRTDBY, TIMESTAMP '{TS}' AS CRTDDT FROM events"""
+
+
+@query("stream_ingest", _EVENTS_SQL)
 def stream_ingest(spark, sf_dir):
-    """SS-1: event files streamed (one file per trigger), mapped and appended."""
+    """SS-1: event files streamed, mapped and appended."""
+    return _ingest_events(spark, sf_dir, "append")
+
+
+def _ingest_events(spark, sf_dir, mode, deliveries=1):
     root = scratch_dir(spark, "stream-ingest")
-    src = write_batches(table(spark, sf_dir, "events"), "event_id", os.path.join(root, "in"))
-    schema = spark.read.parquet(src).schema
-    SS.ingest_stream(spark, src, schema, _events_mapped, os.path.join(root, "out"), os.path.join(root, "ckpt"))
-    return portable(spark.read.parquet(os.path.join(root, "out")))
+    src, out, events = os.path.join(root, "in"), os.path.join(root, "out"), table(spark, sf_dir, "events")
+    arrivals(events, F.col("event_id") % ARRIVALS, src, lambda: SS.ingest_stream(spark, src, events.schema, _events_mapped, out, os.path.join(root, "ckpt"),
+                                                               mode=mode, deliveries=deliveries))
+    return portable(SS.read_ingested(spark, out))
+
+
+@query("stream_replay", _EVENTS_SQL)
+def stream_replay(spark, sf_dir):
+    """SS-3: every micro-batch is delivered twice (a restart before the checkpoint was written) and the stream restarts
+    between arrivals; the rows equal the one-shot load."""
+    return _ingest_events(spark, sf_dir, "append", deliveries=2)
+
+
+@query("stream_truncate_load", """
+SELECT p_partkey, p_name, p_size FROM part""")
+def stream_truncate_load(spark, sf_dir):
+    """SS-1 with TRUNCATE_LOAD: the first micro-batch replaces the target's old rows, the later ones add to it (into a versioned
+    table, every batch delivered twice); equals the one-shot load."""
+    root = scratch_dir(spark, "stream-truncate")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    src, target = os.path.join(root, "in"), SnapshotTable(spark, os.path.join(root, "target"))
+    target.commit(rows.withColumn("p_name", F.lit("old")), 0)
+    arrivals(rows, F.col("p_partkey") % ARRIVALS, src, lambda: SS.ingest_stream(spark, src, rows.schema, lambda d: d, target, os.path.join(root, "ckpt"),
+                                                              mode="TRUNCATE_LOAD", deliveries=2))
+    return target.read()
 
 
 def _run_stream_scd2(spark, sf_dir):
     root = scratch_dir(spark, "stream-scd2")
-    src = write_batches(customer_changes(spark, sf_dir), "c_custkey", os.path.join(root, "in"))
-    target = SnapshotTable(spark, os.path.join(root, "target"))
+    src, rows = os.path.join(root, "in"), customer_changes(spark, sf_dir)
+    target = DimensionTable(spark, os.path.join(root, "target"))
     target.commit(customer_dimension(spark, sf_dir), 0)
-    stream = SS.file_stream(spark, src, spark.read.parquet(src).schema)
-    SS.merge_stream(spark, stream, target, KEYS, TS, os.path.join(root, "ckpt"), os.path.join(root, "progress"))
+    top = table(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("m")).first()["m"] or 0
+    part = F.least(F.lit(ARRIVALS - 1), F.expr(f"c_custkey * {ARRIVALS - 1} div {top + 1}"))   # in key order, new customers last
+    arrivals(rows, part, src, lambda: SS.merge_stream(
+        spark, SS.file_stream(spark, src, rows.schema), target, KEYS, TS, os.path.join(root, "ckpt"), os.path.join(root, "progress"), deliveries=2))
     return target, os.path.join(root, "progress")
 
 
@@ -78,11 +100,7 @@ def stream_scd2(spark, sf_dir):
 
 @query("stream_progress", f"""
 WITH tgt AS ({_TGT_SQL}),
-src AS (SELECT *, {_CH} AS RWHKEY, row_number() OVER (ORDER BY c_custkey) AS rn FROM ({SQL_CUSTOMER_CHANGES}) x),
-nb AS (SELECT greatest({BATCHES}, CAST(ceil((SELECT count(*) FROM src) / {ROWS_PER_BATCH}) AS BIGINT)) AS b),
-sized AS (SELECT *, CAST(floor((rn - 1) / CAST(ceil((SELECT count(*) FROM src) / (SELECT b FROM nb)) AS BIGINT))
-                         AS BIGINT) AS batch_id
-          FROM src),
+sized AS (SELECT *, {_CH} AS RWHKEY, least({ARRIVALS - 1}, c_custkey * {ARRIVALS - 1} // (SELECT max(c_custkey) + 1 FROM customer)) AS batch_id FROM ({SQL_CUSTOMER_CHANGES}) x),
 cls AS (SELECT s.batch_id, t.SKEY IS NULL OR s.RWHKEY <> t.RWHKEY AS ins
         FROM sized s LEFT JOIN tgt t ON s.c_custkey = t.c_custkey AND t.CURFLG = 'Y'),
 per AS (SELECT batch_id, count(*) AS source_rows, count(*) FILTER (WHERE ins) AS target_rows, 0 AS error_rows
@@ -119,14 +137,14 @@ def _upsert_oracle():
 
 @query("stream_upsert", _upsert_oracle())
 def stream_upsert(spark, sf_dir):
-    """SS-1 with UPSERT: the incoming part file streamed in key-range batches, every batch
+    """SS-1 with UPSERT: the incoming part file arriving in parts, every batch
     upserted into the versioned target (the reference switched to INSERT after the first
     chunk); equals the one-shot upsert."""
     from .q_merges import part_incoming, part_target
     root = scratch_dir(spark, "stream-upsert")
-    src = write_batches(part_incoming(spark, sf_dir), "p_partkey", os.path.join(root, "in"))
+    src, rows = os.path.join(root, "in"), part_incoming(spark, sf_dir)
     target = SnapshotTable(spark, os.path.join(root, "target"))
     target.commit(part_target(spark, sf_dir), 0)
-    SS.ingest_stream(spark, src, spark.read.parquet(src).schema, lambda d: d, target, os.path.join(root, "ckpt"),
-                     mode="UPSERT", keys=["p_partkey"], user="SYSTEM", ts=TS)
+    arrivals(rows, F.col("p_partkey") % ARRIVALS, src, lambda: SS.ingest_stream(spark, src, rows.schema, lambda d: d, target, os.path.join(root, "ckpt"),
+                                                              mode="UPSERT", keys=["p_partkey"], user="SYSTEM", ts=TS))
     return portable(target.read())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -48,7 +49,7 @@ def cluster_settings(input_bytes: int, cores: int) -> dict:
     partition count is sized so a shuffle partition starts near 256 MB (AQE then merges small
     ones and splits skewed ones); broadcasts stay limited to 64 MB measured at run time."""
     mb = 1024 * 1024
-    parts = max(2 * cores, min(200_000, input_bytes // (256 * mb) + 1))
+    parts = max(2 * cores, input_bytes // (256 * mb) + 1)
     return {
         "spark.sql.files.maxPartitionBytes": str(512 * mb),
         "spark.sql.shuffle.partitions": str(int(parts)),
@@ -63,14 +64,16 @@ def cluster_settings(input_bytes: int, cores: int) -> dict:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when nothing is set (local tests) a scratch
-    folder is created and registered.
+    The cluster's setting always wins. Only a local session without one gets a scratch folder; on a
+    cluster a machine-local folder would not be seen by the other machines, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.startswith("local") or sc.master.startswith("local-cluster") and not conf_dir:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="wareloom-ckpt-", dir=os.environ.get("WARELOOM_SCRATCH", "/tmp"))
     sc.setCheckpointDir(conf_dir)
@@ -106,6 +109,13 @@ def local_rows(spark: SparkSession, rows, schema) -> DataFrame:
     rows = list(rows)
     if not rows:
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])
+    # one text literal, not one expression per value: the plan stays small however many rows there are
+    plain = all(isinstance(v, (str, int, bool, type(None))) for r in rows for v in r)
+    if plain and all(isinstance(f.dataType, (T.StringType, T.LongType, T.IntegerType, T.BooleanType)) for f in st.fields):
+        text = json.dumps([dict(zip((f"c{i}" for i in range(len(st))), r)) for r in rows])
+        inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(st.fields)])
+        one = spark.range(1).select(F.explode(F.from_json(F.lit(text), T.ArrayType(inner))).alias("_r"))
+        return one.select(*[F.col(f"_r.c{i}").alias(f.name) for i, f in enumerate(st.fields)])
     arr = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)])
                     for r in rows])
     return spark.range(1).select(F.explode(arr).alias("_r")).select("_r.*")

@@ -36,14 +36,41 @@ def sniff_delimiter(line: str | None) -> str:
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, quote: str = '"',
                    encoding: str = "utf-8", header: bool = True, null_value: str | None = None) -> DataFrame:
     """SRC-1: delimiter sniffed from the first line (tab, ``,``, ``;``, ``|``, else ``,``);
-    header row; malformed lines (wrong field count) dropped; every value read as text."""
+    header row; every value read as text. A line with too few fields is kept with NULLs; a line with
+    too many is left out (``read_delimited_checked`` returns those lines)."""
+    return read_delimited_checked(spark, path, sep, quote, encoding, header, null_value)[0]
+
+
+def read_delimited_checked(spark: SparkSession, path: str, sep: str | None = None, quote: str = '"', encoding: str = "utf-8",
+                           header: bool = True, null_value: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): rejects holds the lines with too many fields as ``line``. Whole lines are parsed whatever
+    columns are read later, so the answer does not depend on column pruning."""
     sep = sep or sniff_delimiter(first_line(spark, path, encoding))
-    r = (spark.read.option("sep", sep).option("header", str(header).lower()).option("quote", quote)
-              .option("encoding", encoding).option("mode", "DROPMALFORMED").option("inferSchema", "false")
-              .option("enforceSchema", "false"))
+    opts = {"sep": sep, "header": str(header).lower(), "quote": quote, "encoding": encoding}
     if null_value is not None:
-        r = r.option("nullValue", null_value)
-    return r.csv(path)
+        opts["nullValue"] = null_value
+    names = spark.read.options(**opts).option("inferSchema", "false").option("enforceSchema", "false").csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(_LINE, T.StringType())])
+    raw = (spark.read.options(**opts).schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _LINE)
+           .option("enforceSchema", "true").option("columnPruning", "false").csv(path))
+    # a parser with one more column: a line fills that column, or fits it exactly, when it has too many fields
+    wider = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(names) + 1)] + [T.StructField("bad", T.StringType())])
+
+    def too_long(c):
+        again = F.from_csv(c, _ddl(wider), {"sep": sep, "quote": quote, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+        return F.coalesce(again["bad"].isNull() | again[f"f{len(names)}"].isNotNull(), F.lit(False))
+
+    rows = raw.where(F.col(_LINE).isNull() | ~too_long(F.col(_LINE))).select(*[F.col(f"`{n}`") for n in names])
+    lines = spark.read.option("encoding", encoding).text(path)
+    return rows, lines.where((F.trim("value") != "") & too_long(F.col("value"))).select(F.col("value").alias("line"))
+
+
+_LINE = "_wl_line"
+
+
+def _ddl(schema: T.StructType) -> str:
+    """Schema text with quoted names (a header may hold blanks and punctuation)."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
@@ -75,27 +102,27 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 
 def detect_row_tag(spark: SparkSession, path: str) -> str:
-    """SRC-5: the most frequent element that holds child elements (ties: smaller name).
+    """SRC-5 (one scan): the most frequent element that holds child elements (ties: smaller name).
 
     Leaf elements are counted separately (``<t>text</t>`` or ``<t/>``) and left out, so a flat
     record element wins over its own fields (which repeat just as often)."""
     lines = spark.read.text(path)
-    opened = lines.select(F.explode(F.regexp_extract_all("value", F.lit(r"<([A-Za-z_][\w.-]*)"), 1)).alias("tag")) \
-                  .groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    leaves = lines.select(F.explode(F.regexp_extract_all(
-        "value", F.lit(r"<([A-Za-z_][\w.-]*)(?:\s[^>]*)?(?:/>|>[^<]*</\1\s*>)"), 1)).alias("tag")) \
-        .groupBy("tag").agg(F.count(F.lit(1)).alias("leaf"))
-    x = opened.join(leaves, "tag", "left").select("tag", (F.col("n") - F.coalesce("leaf", F.lit(0))).alias("inner"))
+    tags = F.concat(
+        F.transform(F.regexp_extract_all("value", F.lit(r"<([A-Za-z_][\w.-]*)"), 1), lambda t: F.struct(t.alias("tag"), F.lit(1).alias("n"))),
+        F.transform(F.regexp_extract_all("value", F.lit(r"<([A-Za-z_][\w.-]*)(?:\s[^>]*)?(?:/>|>[^<]*</\1\s*>)"), 1),
+                    lambda t: F.struct(t.alias("tag"), F.lit(-1).alias("n"))))
+    x = lines.select(F.explode(tags).alias("t")).groupBy("t.tag").agg(F.sum("t.n").alias("inner"))
     best = x.filter(F.col("inner") > 1).orderBy(F.col("inner").desc(), F.col("tag")).first()
     return best["tag"] if best else "row"
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str | None = None, attribute_mode: bool = False,
-             columns: dict[str, str] | None = None) -> DataFrame:
-    """SRC-4: one row per ``row_tag`` element; columns are child elements, or attributes in
+             columns: dict[str, str] | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """SRC-4 (with a ``schema`` no inference pass runs): one row per ``row_tag`` element; columns are child elements, or attributes in
     attribute mode, or an explicit column -> ``child/sub`` path map. Values as text."""
     tag = row_tag or detect_row_tag(spark, path)
-    df = (spark.read.format("xml").option("rowTag", tag).option("inferSchema", "false")
+    r = spark.read.format("xml") if schema is None else spark.read.format("xml").schema(schema)
+    df = (r.option("rowTag", tag).option("inferSchema", "false")
                .option("attributePrefix", "_").option("valueTag", "_VALUE").load(path))
     if columns:
         return df.select(*[F.col(".".join(f"`{p}`" for p in p_.split("/"))).alias(c) for c, p_ in columns.items()])
@@ -142,8 +169,7 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> D
     w = Window.partitionBy("file").orderBy("block")
     per = (per.withColumn("_off", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
               .withColumn("lines_in_file", F.sum("_n").over(Window.partitionBy("file"))))
-    # one row per file split: bounded by the number of splits, safe to broadcast
-    j = raw.join(F.broadcast(per), ["file", "block"])
+    j = raw.join(per, ["file", "block"])      # one row per file split; broadcast only if it proves small
     return j.select("value", "file", (F.col("_off") + F.col("_mid") - F.col("_first") + 1).alias("line_no"),
                     "lines_in_file")
 
@@ -151,7 +177,7 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> D
 def number_in_file_order(df: DataFrame, col: str = "row_index") -> DataFrame:
     """1-based position of every row over all input files (files in path order, rows in file
     order), without sorting the data: ``df`` must be a file scan (it reads ``_metadata``). Only a
-    per-split table (one row per file split) is aggregated and broadcast.
+    per-split table (one row per file split) is aggregated and joined.
 
     This is the row index the error records of a file load refer to."""
     raw = df.select("*", F.col("_metadata.file_path").alias("_wl_file"),
@@ -161,7 +187,7 @@ def number_in_file_order(df: DataFrame, col: str = "row_index") -> DataFrame:
     w = Window.orderBy("_wl_file", "_wl_block").rowsBetween(Window.unboundedPreceding, -1)
     # one row per split: the running total over splits is a small single-task window
     per = per.withColumn("_wl_off", F.coalesce(F.sum("_wl_n").over(w), F.lit(0)))
-    j = raw.join(F.broadcast(per.select("_wl_file", "_wl_block", "_wl_off", "_wl_first")), ["_wl_file", "_wl_block"])
+    j = raw.join(per.select("_wl_file", "_wl_block", "_wl_off", "_wl_first"), ["_wl_file", "_wl_block"])
     return j.withColumn(col, (F.col("_wl_off") + F.col("_wl_mid") - F.col("_wl_first") + 1).cast("long")) \
             .drop("_wl_file", "_wl_block", "_wl_mid", "_wl_off", "_wl_first")
 
@@ -192,8 +218,13 @@ def parse_lines(lines: DataFrame, sep: str | None = None, header: bool = True, q
     names = [n.strip().strip(quote) for n in text.split(sep)] if header else \
         [f"_c{i}" for i in range(len(text.split(sep)))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    body = lines.filter(F.col("value") != F.lit(text)) if header else lines
-    parsed = body.select(F.from_csv(F.col("value"), schema.simpleString(), {"sep": sep, "quote": quote}).alias("r"))
+    body = lines
+    if header:      # the first line left of every file is its header; an equal line further down is data
+        body = lines.filter(F.col("value") != F.lit(text))
+        if "line_no" in lines.columns:
+            heads = lines.groupBy("file").agg(F.min("line_no").alias("_wl_head"))
+            body = lines.join(heads, "file").where("line_no <> _wl_head").drop("_wl_head")
+    parsed = body.select(F.from_csv(F.col("value"), _ddl(schema), {"sep": sep, "quote": quote}).alias("r"))
     return parsed.select("r.*")
 
 

@@ -11,11 +11,12 @@ import os
 import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.columns import json_safe
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..types import ColumnSpec, schema_from_spec
 from ..session import local_rows
 
@@ -78,18 +79,15 @@ def write_report(df: DataFrame, fmt: str, path: str, mode: str = "overwrite") ->
 
 
 def export(df: DataFrame, formats: list[str] | None, out_dir: str) -> dict[str, str]:
-    """SNK-7: formats upper-cased and de-duplicated in order (default CSV); the frame is cached
-    once and written once per format."""
+    """SNK-7: formats upper-cased and de-duplicated in order (default CSV); the rows
+    are computed once (a table in the shared folder) and written once per format."""
     seen = []
     for f in formats or ["CSV"]:
         u = str(f).strip().upper()
         if u and u not in seen:
             seen.append(u)
-    cached = df.persist()
-    try:
-        return {f: write_report(cached, f, os.path.join(out_dir, EXTENSIONS.get(f, f.lower()))) for f in seen}
-    finally:
-        cached.unpersist()
+    rows = cut_lineage(df, "export") if len(seen) > 1 else df
+    return {f: write_report(rows, f, os.path.join(out_dir, EXTENSIONS.get(f, f.lower()))) for f in seen}
 
 
 def manifest(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -115,7 +113,9 @@ class SnapshotTable:
     def versions(self) -> DataFrame:
         try:
             return self.spark.read.schema("version long, committed_at string").json(self.log)
-        except Exception:  # no log yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":    # unreadable is not the same as absent
+                raise
             return local_rows(self.spark, [], "version long, committed_at string")
 
     def latest_version(self) -> int | None:
@@ -164,8 +164,10 @@ class DimensionTable:
         cur = self.current.read()
         try:
             h = self.spark.read.schema(cur.schema.add("v", "long")).parquet(self.history_dir)
-        except Exception:  # no history yet
-            return cur.limit(0)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return cur.limit(0)                         # no history yet
         return h.filter(F.col("v") <= F.lit(v)).drop("v")
 
     def read(self) -> DataFrame:

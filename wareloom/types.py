@@ -30,10 +30,10 @@ _FIXED = {
     "NUMBER": (T.DecimalType(18, 2), None),
 }
 # Sized string, numeric and money families.
-_STRING_SIZES = (1, 3, 5, 10, 20, 30, 50, 100, 250, 4000)
-_NUMERIC_SIZES = (1, 3, 5, 10, 20, 30)
-_MONEY_SIZES = (10, 12, 18, 28)
-_MONEY_SCALE = 6
+STRING_SIZES = (1, 3, 5, 10, 20, 30, 50, 100, 250, 4000)
+NUMERIC_SIZES = (1, 3, 5, 10, 20, 30)
+MONEY_SIZES = (10, 12, 18, 28)
+MONEY_SCALE = 6
 _DEFAULT_TEXT_LENGTH = 255
 
 
@@ -60,7 +60,7 @@ def resolve(code: str | None) -> TypeInfo:
         return TypeInfo(T.DecimalType(int(m.group(1)), 0))
     m = re.fullmatch(r"MONEY(\d+)", up)
     if m:
-        return TypeInfo(T.DecimalType(int(m.group(1)), _MONEY_SCALE))
+        return TypeInfo(T.DecimalType(int(m.group(1)), MONEY_SCALE))
     m = re.fullmatch(r"(?:INTEGER|INT)\s*(?:\(\s*(\d+)\s*\))?", up) or re.fullmatch(r"INTEGER(\d+)", up)
     if m:
         n = int(m.group(1)) if m.group(1) else 10
@@ -89,8 +89,8 @@ def max_length(code: str | None) -> int | None:
 
 def known_codes() -> list[str]:
     """All generic codes the resolver knows by name (used by the catalogue operators)."""
-    return (list(_FIXED) + [f"String{n}" for n in _STRING_SIZES] + [f"Numeric{n}" for n in _NUMERIC_SIZES]
-            + [f"Money{n}" for n in _MONEY_SIZES])
+    return (list(_FIXED) + [f"String{n}" for n in STRING_SIZES] + [f"Numeric{n}" for n in NUMERIC_SIZES]
+            + [f"Money{n}" for n in MONEY_SIZES])
 
 
 @dataclass
