@@ -218,11 +218,11 @@ def op4_topk(spark, sf_dir) -> DataFrame:
 
 
 SQL = """
-WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
            FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id AS vec_id,
-             CAST(list_sum(list_transform(list_zip(q.v, c.v), z -> coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+             CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
       FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, coalesce(score, 0) AS score FROM r WHERE rank <= 20
