@@ -43,29 +43,25 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, quote
 
 def read_delimited_checked(spark: SparkSession, path: str, sep: str | None = None, quote: str = '"', encoding: str = "utf-8",
                            header: bool = True, null_value: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects): rejects holds the lines with too many fields as ``line``. Whole lines are parsed whatever
-    columns are read later, so the answer does not depend on column pruning."""
+    """(rows, rejects): rejects holds the lines with too many fields as ``line``. Lines are parsed with spare columns after
+    the header's; a line is too long when a spare one holds a value (empty fields at its end carry nothing and are
+    ignored). The filter reads the spare columns, so the answer does not depend on the columns read later."""
     sep = sep or sniff_delimiter(first_line(spark, path, encoding))
     opts = {"sep": sep, "header": str(header).lower(), "quote": quote, "encoding": encoding}
     if null_value is not None:
         opts["nullValue"] = null_value
     names = spark.read.options(**opts).option("inferSchema", "false").option("enforceSchema", "false").csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(_LINE, T.StringType())])
-    raw = (spark.read.options(**opts).schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _LINE)
-           .option("enforceSchema", "true").option("columnPruning", "false").csv(path))
-    # a parser with one more column: a line fills that column, or fits it exactly, when it has too many fields
-    wider = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(names) + 1)] + [T.StructField("bad", T.StringType())])
-
-    def too_long(c):
-        again = F.from_csv(c, _ddl(wider), {"sep": sep, "quote": quote, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
-        return F.coalesce(again["bad"].isNull() | again[f"f{len(names)}"].isNotNull(), F.lit(False))
-
-    rows = raw.where(F.col(_LINE).isNull() | ~too_long(F.col(_LINE))).select(*[F.col(f"`{n}`") for n in names])
+    spare = [f"_wl_spare{i}" for i in range(SPARE_FIELDS)]
+    wider = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *spare]])
+    raw = (spark.read.options(**opts).schema(wider).option("mode", "PERMISSIVE").option("enforceSchema", "true")
+           .option("columnPruning", "false").csv(path))
+    rows = raw.where(F.coalesce(*spare).isNull()).select(*[F.col(f"`{n}`") for n in names])
+    line = F.from_csv(F.col("value"), _ddl(wider), {"sep": sep, "quote": quote, "mode": "PERMISSIVE"})
     lines = spark.read.option("encoding", encoding).text(path)
-    return rows, lines.where((F.trim("value") != "") & too_long(F.col("value"))).select(F.col("value").alias("line"))
+    return rows, lines.where(F.coalesce(*[line[c] for c in spare]).isNotNull()).select(F.col("value").alias("line"))
 
 
-_LINE = "_wl_line"
+SPARE_FIELDS = 10
 
 
 def _ddl(schema: T.StructType) -> str:
