@@ -13,11 +13,13 @@ to their weighted Jaccard similarity. Points come in ascending order, so a proce
 as its next point is later than every component's minimum.
 
 Classes: exact copies (equal words) are collapsed first. ``BANDS`` bands of ``ROWS`` components give buckets;
-a pair at 0.8 meets in none of them with probability 3e-6. Inside a bucket members are compared with the bucket's
-centre, not with each other: first each text with the smallest centre it has, then, where a bucket still holds several
-components, with the bucket's first and last member, and finally all pairs that are still in different components
-(the only way left in which a link could matter). So a group of n copies costs about n comparisons, and no
-link that would join two classes is skipped. Links are verified by the exact overlap of the multisets.
+a pair at 0.8 meets in none of them with probability 3e-6. Members of a bucket are compared with the bucket's hub (the
+member that shares most buckets: of a group of edited copies the least edited one), not with each other. Two members that are not
+both linked to the hub can only be linked if they share an element that the hub does not have, or if one is markedly shorter
+than the hub (``_left_over``); so only such members go on: they are compared with the hub of those that share the element, and
+what is left after that, in different components and sharing an element outside both hubs, pair by pair. A group of n edited
+copies thus costs about n comparisons, and no link that would join two classes is skipped. Links are verified by the exact
+overlap of the multisets.
 
 A text's runs are read again only for texts that share a bucket; they are recognised by a bitmap of fixed size,
 so nothing that grows with the corpus is broadcast or collected.
@@ -209,116 +211,160 @@ def _runs_of(bits, batches):
 
 
 def _overlap(cols):
-    ok = []
+    """Overlap of the two multisets, whether it makes a link, and what of the first is not in the second."""
+    out = {k: [] for k in ("common", "na", "nb", "linked", "rest")}
     for a, b in zip(cols["ea"], cols["eb"]):
         x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-        if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
-            ok.append(False)
-            continue
-        z = np.sort(np.concatenate([x, y]), kind="stable")
-        o = int((z[1:] == z[:-1]).sum())
-        ok.append(9 * o >= 4 * (len(x) + len(y)))        # o / (|x| + |y| - o) >= 0.8, in integers
-    return {"a": cols["a"], "b": cols["b"], "linked": ok}
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        inside = y[at] == x
+        o = int(inside.sum())
+        for k, v in (("common", o), ("na", len(x)), ("nb", len(y)), ("linked", 9 * o >= 4 * (len(x) + len(y))), ("rest", x[~inside].view(np.int64))):
+            out[k].append(v)                              # o / (na + nb - o) >= 0.8, in integers
+    return {"a": cols["a"], "b": cols["b"]} | out
 
 
-def verify(pairs: DataFrame, elements: DataFrame) -> DataFrame:
-    """Pairs (a, b) with ``linked``: weighted Jaccard similarity of at least 0.8, exactly."""
+COMPARED = "a long, b long, common long, na long, nb long, linked boolean, rest array<long>"
+
+
+def compare(pairs: DataFrame, elements: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the exact overlap of their multisets; ``linked``: weighted Jaccard similarity of at least 0.8."""
     ea, eb = elements.select(F.col("rid").alias("a"), F.col("elements").alias("ea")), elements.select(F.col("rid").alias("b"), F.col("elements").alias("eb"))
-    return map_columns(pairs.select("a", "b").join(ea, "a").join(eb, "b").select("a", "b", "ea", "eb"), _overlap, "a long, b long, linked boolean")
+    return cut_lineage(map_columns(pairs.select("a", "b").join(ea, "a").join(eb, "b").select("a", "b", "ea", "eb"), _overlap, COMPARED), "near-compared")
+
+
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Number of edges and the sum of their hashes: equal for equal sets, one small job."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node of the connected component. Large-star / small-star rounds; every round is a
     table in the shared folder, so a lost executor costs one round at most."""
     e = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    for _ in range(max_rounds):
+    state = _fingerprint(e)
+    for _ in range(max_rounds if state[0] else 0):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))      # neighbours above meet the minimum
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        new = cut_lineage(small.select("e.*").where("a <> b").distinct(), "links")
-        if new.count() == e.count() and new.join(e, ["a", "b"], "left_anti").isEmpty():
+        e = cut_lineage(small.select("e.*").where("a <> b").distinct(), "links")
+        now = _fingerprint(e)
+        if now == state:
             break
-        e = new
+        state = now
     return e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
-def _with_roots(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    return buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _rooted(df: DataFrame, roots: DataFrame, col: str, out: str) -> DataFrame:
+    """``df`` with the component of the node in ``col`` (itself when it has no link)."""
+    r = roots.select(F.col("node").alias(col), F.col("root").alias(out))
+    return df.join(r, col, "left").withColumn(out, F.coalesce(out, col))
+
+
+def _linked(compared: DataFrame) -> DataFrame:
+    return compared.where("linked").select("a", "b")
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    p = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    t = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return p.join(t, ["a", "b"], "left_anti")
+
+
+def _with_hub(groups: DataFrame, weight: DataFrame, elements: DataFrame) -> DataFrame:
+    """Every member of a group (key, node) compared with the group's hub: the member that shares most buckets."""
+    w = groups.join(weight, "node")
+    hub = w.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("n"))).alias("h")).select("key", (-F.col("h.n")).alias("b"))
+    pairs = groups.join(hub, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    return compare(pairs, elements)
+
+
+def _left_over(compared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What can still be linked among the members of one hub, after comparing each with it: (pairs, groups).
+
+    Two members that have nothing in common outside the hub share at most what each has in common with the hub. If one of them
+    (y) is not linked to the hub, they can only be linked when the other is at most ``9/4 common(y) - |y|`` long, which is
+    shorter than the hub: those are ``pairs``. All others share an element outside the hub: ``groups`` (key, node)."""
+    g = _rooted(compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common", "na", "linked", "rest"), roots, "node", "root")
+    mixed = g.groupBy("hub").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("hub")
+    g = cut_lineage(g.join(mixed, "hub"), "near-mixed")
+    low, high = F.ceil(F.col("na") * 4 / 5), F.expr("(9 * common) div 4 - na")
+    y = (g.where(~F.col("linked")).withColumn("lo", low).withColumn("hi", high).where("lo <= hi")
+         .select("hub", F.col("node").alias("b"), F.col("root").alias("rb"), F.explode(F.sequence("lo", "hi")).alias("na")))
+    pairs = y.join(g.select("hub", "na", F.col("node").alias("a"), "root"), ["hub", "na"]).where("root <> rb").select("a", "b")
+    parts = g.select("hub", "node", "root", F.explode("rest").alias("e")).select(F.xxhash64("hub", "e").alias("key"), "node", "root")
+    shared = parts.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    return pairs, parts.join(shared, "key").select("key", "node")
 
 
 def classes(table_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) of a ``signed`` table. nodes: digest, node (rid of the first row of equal words), root, first_doc;
-    links: verified (a, b) between different texts."""
+    links: the verified (a, b) between different texts that hold the classes together."""
     texts = cut_lineage(table_.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("rid").alias("node"), F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")), "near-texts")
     rows = (table_.where("digest IS NOT NULL").select("rid", "bands").join(texts.select(F.col("node").alias("rid")), "rid")
-            .select(F.col("rid").alias("node"), F.explode("bands").alias("band")))
-    ends = rows.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    buckets = cut_lineage(rows.join(ends, "band"), "near-buckets")
-
-    bits = bitmap(buckets.select(F.col("node").alias("rid")).distinct())
+            .select(F.col("rid").alias("node"), F.explode("bands").alias("key")))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = cut_lineage(rows.join(shared, "key"), "near-buckets")
+    weight = cut_lineage(buckets.groupBy("node").agg(F.sum("members").alias("weight")), "near-weight")
+    bits = bitmap(weight.select(F.col("node").alias("rid")))
     elements = cut_lineage(table_.select("rid", "text").mapInArrow(partial(_runs_of, bits), "rid long, elements binary"), "near-elements")
 
-    # 1: every text with the smallest centre among its buckets
-    pairs = buckets.groupBy("node").agg(F.min("lo").alias("b")).where("b <> node").select(F.col("node").alias("a"), "b")
-    tested = cut_lineage(verify(pairs, elements), "near-tested")
-    links = tested.where("linked").select("a", "b")
-    roots = cut_lineage(components(links), "near-roots")
-
-    # 2: buckets that hold several components: with the bucket's first and last member
-    open_ = _open(buckets, roots)
-    for end in ("lo", "hi"):
-        center = open_.where(F.col("node") == F.col(end)).select("band", F.col("root").alias("c_root"))
-        pairs = _untested(open_.join(center, "band").where("root <> c_root").select("node", F.col(end).alias("c")), tested)
-        more = cut_lineage(verify(pairs, elements), "near-tested")
-        tested = tested.unionByName(more)
-        links = links.unionByName(more.where("linked").select("a", "b"))
-    roots = cut_lineage(components(links), "near-roots")
-
-    # 3: what is still in different components of one bucket
-    open_ = _open(buckets, roots).select("band", "node", "root")
-    other = open_.select("band", F.col("node").alias("c"), F.col("root").alias("c_root"))
-    pairs = _untested(open_.join(other, "band").where("root < c_root").select("node", "c"), tested)
-    more = cut_lineage(verify(pairs, elements), "near-tested")
-    links = cut_lineage(links.unionByName(more.where("linked").select("a", "b")), "near-links")
-    roots = components(links)
+    # 1: members of a bucket with the bucket's hub
+    first = _with_hub(buckets.select("key", "node"), weight, elements)
+    roots = cut_lineage(components(_linked(first)), "near-roots")
+    pairs, groups = _left_over(first, roots)
+    # 2: members that share something outside the hub, with the hub of those
+    second = _with_hub(groups, weight, elements)
+    short = compare(_untested(pairs, first), elements)
+    roots = _joined(roots, _linked(second).unionByName(_linked(short)))
+    tested = first.select("a", "b").unionByName(second.select("a", "b")).unionByName(short.select("a", "b"))
+    pairs, groups = _left_over(second, roots)
+    # 3: members of different components that share something outside both hubs, with each other
+    size = elements.select(F.col("rid").alias("node"), (F.length("elements") / 8).cast("long").alias("n"))
+    g = cut_lineage(_rooted(groups.distinct(), roots, "node", "root").join(size, "node"), "near-open")
+    other = g.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    cross = g.join(other, (g["key"] == other["key"]) & (g["root"] < other["rb"]) & (5 * F.least("n", "nb") >= 4 * F.greatest("n", "nb"))).select(
+        F.col("node").alias("a"), "b").distinct()
+    third = compare(_untested(cross.unionByName(pairs), tested), elements)
+    links = _linked(first).unionByName(_linked(second)).unionByName(_linked(short)).unionByName(_linked(third))
+    if not _linked(third).isEmpty():
+        roots = _joined(roots, _linked(third))
     return texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), links
 
 
-def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    b = cut_lineage(_with_roots(buckets, roots), "near-open")
-    mixed = b.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    return b.join(mixed, "band")
-
-
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    p = pairs.select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).where("a <> b").distinct()
-    t = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return p.join(t, ["a", "b"], "left_anti")
+def _joined(roots: DataFrame, new: DataFrame) -> DataFrame:
+    """(node, root) after ``new`` links: the links are contracted to the roots they connect, and only those components are
+    worked out."""
+    to_root = roots.withColumnRenamed("root", "r")
+    between = new
+    for end in ("a", "b"):
+        between = between.join(to_root.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+    tops = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    alone = new.select(F.explode(F.array("a", "b")).alias("node")).withColumn("root", F.col("node"))
+    known = roots.unionByName(alone).groupBy("node").agg(F.min("root").alias("root"))     # a root is the smallest node it stands for
+    return cut_lineage(known.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "near-roots")
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(table, rows). table: ``docs`` with a row id, in the shared folder. rows: rid, class_id, n_links (verified links of the row's
-    text to other texts) and keep - whether it is the one row of its class that stays (smallest doc_id, then first row)."""
+    """(table, rows). table: ``docs`` with a row id, in the shared folder. rows: rid, class_id and keep - whether it is the one row
+    of its class that stays (smallest doc_id, then first row)."""
     t = signed(docs)
-    nodes, links = classes(t)
-    both = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    nodes = nodes.join(both.withColumnRenamed("a", "node"), "node", "left").select("digest", "root", "first_doc", "n_links")
-    ids = cut_lineage(t.select("rid", "doc_id", "digest").join(nodes, "digest", "left"), "near-rows")
+    nodes, _ = classes(t)
+    ids = cut_lineage(t.select("rid", "doc_id", "digest").join(nodes.select("digest", "root", "first_doc"), "digest", "left"), "near-rows")
     best = (ids.where("root IS NOT NULL").groupBy("root")
             .agg(F.min("first_doc").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("k")).select("root", "class_id", F.col("k.rid").alias("kept")))
     out = ids.join(best, "root", "left").select(
         "rid", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("kept") == F.col("rid"), F.lit(True)).alias("keep"))
+        F.coalesce(F.col("kept") == F.col("rid"), F.lit(True)).alias("keep"))
     return t, out
 
 
 def op10_near_duplicates(spark, sf_dir) -> DataFrame:
     t, out = grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return t.select("rid", "doc_id", "n_words").join(out, "rid").select("doc_id", "class_id", "n_links", F.col("keep").alias("representative"), "n_words")
+    return t.select("rid", "doc_id", "n_words").join(out, "rid").select("doc_id", "class_id", F.col("keep").alias("representative"), "n_words")
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from .common import add_columns, map_columns, remainder, table
 
 LETTER = re.compile(r"[^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+")
-SLOTS, PASSAGE, PIECE, LEVEL = 256, 1024, 2048, 6
+SLOTS, PASSAGE, PIECE, LEVEL, MIN_MATCH = 256, 1024, 2048, 13, 3    # three-letter matches count: short texts have no longer ones
 MIN_MARGIN = 0.01
 
 
@@ -73,11 +73,11 @@ class Coder:
         total = sum(n for _, n in model.values())
         self.langs = sorted(model)
         self.prior = [-math.log2(model[k][1] / total) / 8 for k in self.langs]
-        params = zstd.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
+        params = zstd.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.coders = []
         for k in self.langs:
             d = zstd.ZstdCompressionDict(model[k][0] or b" ", dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(LEVEL)
+            d.precompute_compress(compression_params=params)
             self.coders.append(zstd.ZstdCompressor(dict_data=d, compression_params=params))
 
     @classmethod
