@@ -77,7 +77,9 @@ def test_classes_against_brute_force(spark):
 
 def test_pipeline_form_keeps_one_of_each_class(spark):
     rows = fixture()
-    kept = [r["doc_id"] for r in op.keep_documents(docs(spark, rows)).collect()]
+    out = op.keep_documents(with_clashing(docs(spark, rows), "digest", "rid"))
+    assert out.columns[-2:] == ["digest", "rid"]
+    kept = [r["doc_id"] for r in out.where("digest = 'extra' AND rid = 'extra'").collect()]
     want = {}
     for i, c in brute(rows):
         want.setdefault(c if c is not None else object(), i)

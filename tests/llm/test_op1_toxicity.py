@@ -71,7 +71,9 @@ def test_clashing_columns(spark):
 def test_pipeline_form(spark):
     rows, labels = corpus(200)
     d = docs(spark, rows)
-    kept = {r["doc_id"] for r in op.keep_documents(d, d, labels_of(spark, labels)).collect()}
+    out = op.keep_documents(with_clashing(d, "score"), d, labels_of(spark, labels))
+    assert {r["score"] for r in out.collect()} == {"extra"}
+    kept = {r["doc_id"] for r in out.collect()}
     assert kept == {i for i, y in labels if not y}
 
 

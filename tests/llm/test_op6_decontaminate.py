@@ -72,7 +72,8 @@ def test_pipeline_form_keeps_clean_documents(spark):
     rows, items = fixture()
     d = docs(spark, rows)
     bad = {r[0] for r in brute(rows, items) if r[5]}
-    kept = op.keep_documents(with_clashing(d, "_bad2"), bench(spark, items))
+    kept = op.keep_documents(with_clashing(d, "_bad", "rid", "contaminated"), bench(spark, items))
+    assert kept.columns == [*d.columns, "_bad", "rid", "contaminated"]
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((i for i, _ in rows if i not in bad), key=str)
 
 

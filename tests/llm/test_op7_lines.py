@@ -91,3 +91,12 @@ def test_random_corpora(spark):
     pool = [f"line {k} " + "x" * rng.choice([30, 40, 60]) for k in range(12)]
     rows = [(rng.randrange(30), "\n".join(rng.choice(pool) for _ in range(rng.randrange(6)))) for _ in range(60)]
     assert rows_of(op.dedup_lines(docs(spark, rows))) == brute(rows)
+
+
+def test_pipeline_form_keeps_documents_and_columns(spark):
+    d = with_clashing(docs(spark, ROWS), "n_lines", "key", "kept_text", "n_dropped")
+    out = op.drop_lines(d)
+    assert out.columns == d.columns and out.count() == len(ROWS) and {r["kept_text"] for r in out.collect()} == {"extra"}
+    got = sorted((str(r["doc_id"]), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in out.collect())
+    assert got == sorted((str(i), h) for i, _, _, h in brute(ROWS))
+    assert all(r["n_chars"] == len(r["text"]) for r in out.collect() if r["text"] is not None)

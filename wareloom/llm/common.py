@@ -60,3 +60,11 @@ def ascii_lower(c: Column) -> Column:
 def remainder(id_column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n (NULL for a NULL id)."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % n
+
+
+def shielded(docs: DataFrame, step) -> DataFrame:
+    """``step(docs)`` with every column beside those of ``documents`` under a name no operator uses; the result has the columns of
+    ``docs`` under their own names again."""
+    hidden = {c: f"_wl_in_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT_COLUMNS}
+    out = step(docs.withColumnsRenamed(hidden))
+    return out.select(*[F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns])

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, cut_lineage, map_columns, remainder, table
+from .common import add_columns, cut_lineage, map_columns, remainder, shielded, table
 
 TOKEN = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -221,4 +221,5 @@ def op1_toxicity(spark, sf_dir) -> DataFrame:
 
 def keep_documents(docs: DataFrame, labels_docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Pipeline form: documents whose score is below ``threshold``, columns as they came."""
-    return score(docs, learn(labels_docs, labels)).where(F.col("score") < threshold).select(*docs.columns)
+    model = learn(labels_docs, labels)
+    return shielded(docs, lambda d: score(d, model).where(F.col("score") < threshold))

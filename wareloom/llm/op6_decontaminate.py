@@ -28,7 +28,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut_lineage, map_columns, table
+from .common import WORD, cut_lineage, map_columns, shielded, table
 
 TOKEN = re.compile(WORD)
 WINDOW = 13
@@ -169,7 +169,7 @@ def keep_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFram
     doc_id go when any of them is contaminated."""
     bad = contamination(docs, benchmark, **options).where("contaminated").select("doc_id").distinct()
     bad = bad.withColumnRenamed("doc_id", "_bad")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    return shielded(docs, lambda d: d.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti"))
 
 
 def op6_decontaminate(spark, sf_dir) -> DataFrame:

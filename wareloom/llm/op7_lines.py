@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, cut_lineage, map_columns
+from .common import add_columns, cut_lineage, map_columns, shielded
 
 BLANK = b" \t\n\x0b\x0c\r"
 SLOTS = 4               # entries per cuckoo bucket
@@ -328,9 +328,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, index:
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
     """Pipeline form: every document with its repeated lines dropped, columns as they came; n_chars follows the text. No document
     goes: one of which nothing is left keeps an empty text."""
-    out = dedup_lines(docs, **options)
-    return (out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
-            .withColumn("text", F.col("kept_text")).select(*docs.columns))
+    def step(d):
+        new = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+        return dedup_lines(d, **options).withColumn("n_chars", new).withColumn("text", F.col("kept_text"))
+
+    return shielded(docs, step)
 
 
 def op7_line_dedup(spark, sf_dir) -> DataFrame:
