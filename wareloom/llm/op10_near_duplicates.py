@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, cut_lineage, map_columns, table
+from .common import add_columns, cut_lineage, map_columns, shielded, table
 from .op6_decontaminate import words_of
 
 SHINGLE, BANDS, ROWS = 5, 24, 4
@@ -369,5 +369,8 @@ def op10_near_duplicates(spark, sf_dir) -> DataFrame:
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """Pipeline form: one document of each class, columns as they came."""
-    t, out = grouped(docs)
-    return t.join(out.where("NOT keep").select("rid"), "rid", "left_anti").select(*docs.columns)
+    def step(d):
+        t, out = grouped(d)
+        return t.join(out.where("NOT keep").select("rid"), "rid", "left_anti")
+
+    return shielded(docs, step)
