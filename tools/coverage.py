@@ -1,6 +1,7 @@
-"""Print the SURVEY §2 coverage table (operator id -> functions -> catalogue queries).
+"""Print the SURVEY §2 coverage table (operator id -> functions -> catalogue queries that call them).
 
-Functions and queries are matched by the operator ids named in their docstrings.
+Every catalogue query is run once on the smallest tables under a profiler; a query covers an
+operator when a function whose docstring names the operator's id was called while it ran.
 usage: python tools/coverage.py > COVERAGE.md
 """
 
@@ -12,9 +13,11 @@ import os
 import pkgutil
 import re
 import sys
+import threading
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+SMALL = "/root/testdata/sf0.001"
 
 
 def survey_ids():
@@ -40,39 +43,64 @@ def expand(doc: str) -> set[str]:
 
 
 def functions():
+    """{operator id: [(module, function or class name)]} of the library's public functions."""
     import wareloom
     out = {}
     for mod in pkgutil.walk_packages(wareloom.__path__, "wareloom."):
-        if ".plans.q_" in mod.name or mod.name.endswith("registry"):
+        if ".plans.q_" in mod.name or mod.name.endswith("registry") or ".llm" in mod.name:
             continue
         m = importlib.import_module(mod.name)
         for name, obj in inspect.getmembers(m, lambda o: inspect.isfunction(o) or inspect.isclass(o)):
             if getattr(obj, "__module__", "") != mod.name or name.startswith("_"):
                 continue
             for i in expand(obj.__doc__ or ""):
-                out.setdefault(i, []).append(f"`{mod.name.split('wareloom.')[1]}.{name}`")
+                out.setdefault(i, []).append((mod.name, name))
     return out
 
 
+def called(run) -> set[tuple[str, str]]:
+    """(module, function) of the library that ``run`` calls, methods as their class."""
+    seen = set()
+
+    def profile(frame, event, _):
+        if event == "call":
+            mod = frame.f_globals.get("__name__", "")
+            if mod.startswith("wareloom."):
+                seen.add((mod, frame.f_code.co_qualname.split(".")[0]))
+
+    threading.setprofile(profile)
+    sys.setprofile(profile)
+    try:
+        run()
+    finally:
+        sys.setprofile(None)
+        threading.setprofile(None)
+    return seen
+
+
 def main():
-    import __spark_entry__ as E
+    from wareloom.session import get_spark
+    from wareloom.plans.registry import load_all
+    qs, orc = load_all()
+    spark = get_spark("local[2]", shuffle_partitions=2)
     ids, titles = survey_ids()
     fns = functions()
-    qs, orc = E.queries(), E.oracle_sql()
-    qmap = {}
+    calls = {}
     for k, f in qs.items():
-        for i in expand(f.__doc__ or ""):
-            qmap.setdefault(i, []).append(k + ("" if k in orc else " (rows only)"))
+        calls[k] = called(lambda: f(spark, SMALL).write.format("noop").mode("overwrite").save())
+        print(k, file=sys.stderr)
     print("# COVERAGE — SURVEY §2 operator inventory\n")
-    print("Generated by `python tools/coverage.py`. Functions and catalogue queries are matched by the operator id")
-    print("named in their docstrings. Every catalogue query except those marked *rows only* is checked against its")
-    print("DuckDB oracle (`oracle_sql()`).\n")
-    print("| ID | Operator | Functions | Catalogue queries |")
+    print("Generated by `python tools/coverage.py`: a query stands beside an operator when running it called one of the")
+    print("operator's functions (those whose docstring names its id); functions in brackets are called by no query. Every catalogue")
+    print("query except those marked *rows only* is checked against its DuckDB oracle (`oracle_sql()`).\n")
+    print("| ID | Operator | Functions | Catalogue queries that call them |")
     print("|---|---|---|---|")
     for i in ids:
-        f = ", ".join(sorted(set(fns.get(i, [])))) or "—"
-        q = ", ".join(sorted(set(qmap.get(i, [])))) or "—"
-        print(f"| {i} | {titles[i]} | {f} | {q} |")
+        f = sorted(set(fns.get(i, [])))
+        q = sorted(k + ("" if k in orc else " (rows only)") for k, c in calls.items() if c & set(f))
+        used = set().union(*calls.values())
+        text = ", ".join(f"`{m.split('wareloom.')[1]}.{n}`" if (m, n) in used else f"[`{m.split('wareloom.')[1]}.{n}`]" for m, n in f)
+        print(f"| {i} | {titles[i]} | {text or '—'} | {', '.join(q[:6]) + (f' and {len(q) - 6} more' if len(q) > 6 else '') or '—'} |")
     print(f"\n{len(qs)} catalogue queries, {len(orc)} with an oracle.")
 
 

@@ -310,7 +310,7 @@ def split_castable(df: DataFrame, tgt_schema: T.StructType, keys: list[str] | No
 def load_checked(df: DataFrame, tgt: DataFrame, mode: str, keys: list[str] | None = None, user: str = "SYSTEM",
                  ts=None, order_by: list[str] | None = None) -> LoadResult:
     """LD-1 INSERT, LD-2 TRUNCATE_LOAD, LD-3 UPSERT (LD-4: no key -> INSERT), LD-7 IF_ABSENT, with the rows
-    that could not be loaded and the counts."""
+    that could not be loaded and the counts. An upsert is one full outer join on the key (JN-12)."""
     mode = mode.upper()
     if mode not in ("INSERT", "TRUNCATE_LOAD", "UPSERT", "IF_ABSENT"):
         raise ValueError(f"unknown load mode {mode}")

@@ -164,16 +164,17 @@ def registered_reader(spark, sf_dir):
 
 
 @query("registered_formula", """
-SELECT p_partkey, reverse(p_brand) AS reversed, p_name || p_brand AS joined, p_size + p_partkey AS added,
+SELECT p_partkey, reverse(p_brand) AS reversed, p_name || p_brand AS joined, p_size + p_partkey AS added, CAST(p_size + 5 AS BIGINT) AS with_const,
        coalesce(CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) END, p_name) AS first_text FROM part""")
 def registered_formula(spark, sf_dir):
-    """UD-3 and FN-12 / FN-2 over types: a registered function is found by name, ``a + b`` joins texts and adds numbers, the first
+    """UD-3, FN-17 and FN-12 / FN-2 over types: a registered function is found by name, ``a + b`` joins texts and adds numbers, the first
     non-empty value of different types is text."""
     p = table(spark, sf_dir, "part")
     fx.register_formula("REVERSED", lambda c: F.reverse(c))
     return p.select("p_partkey", fx.call("reversed", F.col("p_brand")).alias("reversed"),
                     fx.plus_typed(p.schema, "p_name", "p_brand").alias("joined"),
                     fx.plus_typed(p.schema, "p_size", "p_partkey").cast("long").alias("added"),
+                    fx.plus(fx.pos(fx.ref("p_size")), fx.const(5)).cast("long").alias("with_const"),
                     fx.coalesce_text(F.when(F.col("p_size") > 25, F.col("p_size")), "p_name").alias("first_text"))
 
 
