@@ -16,26 +16,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wareloom.llm import (op1_toxicity, op3_mixing, op6_decontaminate, op7_lines, op10_near_duplicates)
-from wareloom.llm.common import cut_lineage, table
+from wareloom.llm.common import cut_lineage, short_batches, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return op1_toxicity.keep_documents(docs, docs, op1_toxicity.train_labels(spark, sf_dir))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return op7_lines.drop_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return op10_near_duplicates.keep_documents(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return op6_decontaminate.keep_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return op3_mixing.mix_sources(docs)
 
 

@@ -29,7 +29,8 @@ def test_learned_languages(spark):
 def test_defined_cases(spark):
     model = op.learn(docs(spark, corpus() + [(900, None, "aa"), (901, "", "bb"), (902, "text without a language", None)]))
     assert sorted(model) == ["aa", "bb", "cc"]
-    odd = [(1, None), (2, ""), (3, "123 ... !"), (4, "ko"), (5, "koritame " * 30_000), (5, "KORITAME SUKO"), (None, "derein")]
+    odd = [(1, None), (2, ""), (3, "123 ... !"), (4, "ko"), (5, "korita mesuko tarime sumeko ritasu komeri " * 5_000),
+           (5, "KORITA MESUKO TARIME SUMEKO RITASU KOMERI"), (None, "derung einsch pfderein schung ungein derpf")]
     got = op.predict(docs(spark, odd), model).collect()
     by = {(r["doc_id"], r["text"]): r for r in got}
     assert all(by[x]["lang_pred"] == "und" and by[x]["score"] == 0 and not by[x]["accepted"] for x in odd[:3])

@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from wareloom.session import cut_lineage, ensure_checkpoint_dir  # noqa: F401  (re-used general helpers)
 
+ROWS_AT_ONCE = 1000
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: Words: runs of anything but ASCII punctuation, blanks and controls (fixed by the contract).
@@ -22,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``ROWS_AT_ONCE`` rows between Spark and Python for tables of whole texts (a setting of the session)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(ROWS_AT_ONCE, int(spark.conf.get(key, "10000")) or ROWS_AT_ONCE)))
+
+
 def fields(schema) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
@@ -30,16 +37,19 @@ def map_columns(df: DataFrame, fn, schema) -> DataFrame:
     """``fn(columns) -> columns`` per Arrow batch; both are dicts of name -> Arrow array or list.
 
     The output has exactly ``schema``; batches keep row placement, so the step needs no shuffle
-    and a lost task is simply run again."""
+    and a lost task is simply run again. Whole texts are long: ``ROWS_AT_ONCE`` rows are taken at a time,
+    which bounds what a Python worker holds."""
     out = to_arrow_schema(fields(schema))
     names = df.columns
 
     def run(batches):
-        for b in batches:
-            got = fn({n: b.column(i) for i, n in enumerate(names)})
-            yield pa.RecordBatch.from_arrays(
-                [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in out],
-                schema=out)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                b = whole.slice(start, ROWS_AT_ONCE)
+                got = fn({n: b.column(i) for i, n in enumerate(names)})
+                yield pa.RecordBatch.from_arrays(
+                    [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in out],
+                    schema=out)
 
     return df.mapInArrow(run, fields(schema))
 

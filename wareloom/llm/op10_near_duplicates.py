@@ -43,7 +43,7 @@ from .op6_decontaminate import words_of
 SHINGLE, BANDS, ROWS = 5, 24, 4
 M = BANDS * ROWS
 GAMMA = np.uint64(0x9E3779B97F4A7C15)
-TOKENS_AT_ONCE = 300_000
+TOKENS_AT_ONCE = 200_000
 BITMAP_BITS = 1 << 23
 
 
@@ -59,7 +59,7 @@ class WordHash(dict):
     """word -> 64-bit hash, remembered per task."""
 
     def __missing__(self, w):
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -203,11 +203,11 @@ def _runs_of(bits, batches):
     known = WordHash()
     for b in batches:
         hit = np.flatnonzero(_in_bitmap(bits, {"rid": b.column("rid")}))
-        texts = b.column("text").take(pa.array(hit)).to_pylist()
-        rids = b.column("rid").take(pa.array(hit)).to_pylist()
-        for i in range(0, len(rids), 500):
-            yield pa.RecordBatch.from_arrays([pa.array(rids[i:i + 500], pa.int64()),
-                                              pa.array([multiset(runs(words_of(t), known)).tobytes() for t in texts[i:i + 500]], pa.binary())], schema=schema)
+        for i in range(0, len(hit), 500):
+            at = pa.array(hit[i:i + 500])
+            texts = b.column("text").take(at).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("rid").take(at), pa.array([multiset(runs(words_of(t), known)).tobytes() for t in texts], pa.binary())],
+                                             schema=schema)
 
 
 def _overlap(cols):

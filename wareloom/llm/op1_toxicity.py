@@ -72,7 +72,7 @@ def _count(only, cols):
 class Lookup:
     """Feature indexes of words, remembered per worker (the store is emptied when it is full)."""
 
-    def __init__(self, vocab: dict[str, int], room: int = 400_000):
+    def __init__(self, vocab: dict[str, int], room: int = 100_000):
         self.vocab, self.known, self.room = vocab, {}, room
 
     def __call__(self, word: str) -> tuple:

@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from . import (op1_toxicity, op2_language, op3_mixing, op4_topk, op5_pii, op6_decontaminate, op7_lines, op8_html,
                op9_licenses, op10_near_duplicates)
+from .common import short_batches
+
+
+def _short(fn):
+    def run(spark, sf_dir):
+        short_batches(spark)
+        return fn(spark, sf_dir)
+    run.__doc__ = fn.__doc__
+    return run
 
 
 def queries() -> dict:
-    return {
+    found = {
         "op1_toxicity": op1_toxicity.op1_toxicity,
         "op2_language_id": op2_language.op2_language_id,
         "op3_mix_sources": op3_mixing.op3_mix_sources,
@@ -19,6 +28,7 @@ def queries() -> dict:
         "op9_license_scan": op9_licenses.op9_license_scan,
         "op10_near_duplicates": op10_near_duplicates.op10_near_duplicates,
     }
+    return {name: _short(fn) for name, fn in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
