@@ -77,6 +77,17 @@ def test_pipeline_form_keeps_clean_documents(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((i for i, _ in rows if i not in bad), key=str)
 
 
+def test_pipeline_form_judges_rows_of_one_doc_id_apart(spark):
+    rng = random.Random(21)
+    item, other = prose(rng, 30), prose(rng, 20, 300)
+    rows = [(None, item), (None, prose(rng, 40)), (None, None), (5, prose(rng, 40)), (5, other), (5, prose(rng, 25)), (6, item), (6, item), (8, "")]
+    want = sorted(((str(i), t) for (i, t), r in ((r, brute([r], [(1, item), (2, other)])[0]) for r in rows) if not r[5]), key=str)
+    assert len(want) == 5 and {i for i, _ in want} == {"None", "5", "8"}
+    for group_words in (2_000_000, 25):
+        kept = op.keep_documents(docs(spark, rows), bench(spark, [(1, item), (2, other)]), group_words=group_words)
+        assert sorted(((str(r["doc_id"]), r["text"]) for r in kept.collect()), key=str) == want
+
+
 def test_anchors_cover_every_window():
     rng = random.Random(1)
     w = prose(rng, 60, 30).split()

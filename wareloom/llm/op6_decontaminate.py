@@ -66,7 +66,7 @@ def _index(anchors, window, cols):
             continue
         post.append([{"term": x, "pos": i, "left": " ".join(w[max(0, i - window + 1):i]), "right": " ".join(w[i + 1:i + window])}
                      for i, x in enumerate(w) if x in anchors])
-    return {"doc_id": cols["doc_id"], "n_words": n, "postings": post}
+    return cols | {"n_words": n, "postings": post}
 
 
 INDEX = "doc_id long, n_words long, postings array<struct<term:string,pos:long,left:string,right:string>>"
@@ -105,11 +105,17 @@ def _groups(items: list, group_words: int):
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near_words: int = 9,
-                 group_words: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+                 group_words: int = 2_000_000, row_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, matches). documents: rid, doc_id, n_words - one row per document row.
-    matches: rid, item_id, first, last (words, for exact ones), exact, agree (equal words around the anchor)."""
+    matches: rid, item_id, first, last (words, for exact ones), exact, agree (equal words around the anchor).
+    ``row_id`` names the column of ``docs`` that is the rid (see ``numbered``); without it the first index numbers the rows."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(row_id).alias("rid")] if row_id else []))
+
+    def index_of(anchors):
+        out = map_columns(docs, partial(_index, anchors, window), INDEX + (", rid long" if row_id else ""))
+        return cut_lineage(out if row_id else out.withColumn("rid", F.monotonically_increasing_id()), "positional-index")
+
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string"), "text")
     items = ((r["item_id"], words_of(r["text"])) for r in rows.orderBy("item_id", "text").toLocalIterator())
     found, first = None, None
@@ -120,17 +126,15 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ne
         rows = [(w[p], i, " ".join(w[max(0, p - window + 1):p]), " ".join(w[p + 1:p + window]), min(window, len(w)))
                 for i, w in group for p in anchor_positions(w, df, window)]
         anchors = spark.createDataFrame(sorted(set(rows)), "term string, item_id string, ileft string, iright string, k int")
-        index = cut_lineage(map_columns(docs, partial(_index, frozenset(r[0] for r in rows), window), INDEX)
-                            .withColumn("rid", F.monotonically_increasing_id()), "positional-index")
+        index = index_of(frozenset(r[0] for r in rows))
         first = first or index
         keys = index.select("rid", "doc_id", "n_words")
         hits = index.where(F.size("postings") > 0).select("rid", F.explode("postings").alias("p")).select("rid", "p.*").join(anchors, "term")
         matches = map_columns(hits, partial(_compare, window, near_words),
                               "rid long, item_id string, first long, last long, exact boolean, agree long")
-        found = matches if found is None else found.unionByName(_same_rows(first, index, keys, matches))
+        found = matches if found is None else found.unionByName(matches if row_id else _same_rows(first, index, keys, matches))
     if first is None:
-        first = cut_lineage(map_columns(docs, partial(_index, frozenset(), window), INDEX)
-                            .withColumn("rid", F.monotonically_increasing_id()), "positional-index")
+        first = index_of(frozenset())
         found = spark.createDataFrame([], "rid long, item_id string, first long, last long, exact boolean, agree long")
     return first.select("rid", "doc_id", "n_words"), found
 
@@ -146,8 +150,8 @@ def _same_rows(first, index, keys, matches):
     return matches.join(to, "rid").drop("rid").withColumnRenamed("to", "rid").select(*matches.columns)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, near_items."""
+def judged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """One row per document row: rid and the columns of ``contamination``."""
     rows, matches = find_matches(docs, benchmark, **options)
     exact = matches.where("exact")
     hit = (exact.groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("runs"), F.collect_set("item_id").alias("items"))
@@ -158,18 +162,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     out = rows.join(hit, "rid", "left").join(near, "rid", "left")
     items = F.array_sort(F.coalesce("items", none))
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        "rid", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) * 20 >= F.greatest(F.col("n_words"), F.lit(1))).alias("contaminated"),
         items.alias("items"), F.array_except(F.array_sort(F.coalesce("near", none)), items).alias("near_items"))
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, near_items."""
+    return judged(docs, benchmark, **options).drop("rid")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a row id (rid), as a table in the shared folder: every later read sees the same ids."""
+    return cut_lineage(docs.withColumn("rid", F.monotonically_increasing_id()), "decontamination-rows")
+
+
 def keep_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Pipeline form: documents that are not contaminated, columns as they came. Rows that share a
-    doc_id go when any of them is contaminated."""
-    bad = contamination(docs, benchmark, **options).where("contaminated").select("doc_id").distinct()
-    bad = bad.withColumnRenamed("doc_id", "_bad")
-    return shielded(docs, lambda d: d.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti"))
+    """Pipeline form: document rows that are not contaminated, columns as they came. Rows are judged apart, whatever their doc_id."""
+    def step(d):
+        t = numbered(d)
+        bad = judged(t, benchmark, row_id="rid", **options).where("contaminated").select("rid")
+        return t.join(bad, "rid", "left_anti")
+
+    return shielded(docs, step)
 
 
 def op6_decontaminate(spark, sf_dir) -> DataFrame:
