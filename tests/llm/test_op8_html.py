@@ -38,6 +38,18 @@ def test_link_lists_outside_an_article_go():
     assert text(body).split("\n") == [f"{P.strip()} {i}" for i in range(6)]
 
 
+def test_split_sections_quotes_and_table_layouts_are_whole():
+    many = "".join(f"<p>{P} {i}</p>" for i in range(9))
+    lines = [f"{P.strip()} {i}" for i in range(9)]
+    assert text(f"<section>{many}</section><section><p>{P} last</p></section>").split("\n") == [*lines, f"{P.strip()} last"]
+    assert text(f"<p>Intro.</p><blockquote>{many}</blockquote><p>Outro.</p>").split("\n") == ["Intro.", *lines, "Outro."]
+    assert text(f"<p>Intro.</p><table><tr><td>Key</td><td>{many}</td></tr></table>").split("\n") == ["Intro.", "Key", *lines]
+    links = "".join(f"<li><a href='#'>Link {i}</a></li>" for i in range(10))
+    layout = f"<table><tr><td><ul>{links}</ul></td></tr><tr><td>{many}</td></tr><tr><td><p>{P} last</p></td></tr></table>"
+    got = [x for x in text(layout).split("\n") if not x.startswith("Link ")]
+    assert got == [*lines, f"{P.strip()} last"] and "Link 0" not in text(layout)
+
+
 def test_broken_markup():
     assert text(f"<article><p><b>{P}<br><p>next<p>last</article></nav></div>") == f"{P.strip()}\nnext\nlast"
     assert text(f"<article><p>{P}") == P.strip()

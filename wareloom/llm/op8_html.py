@@ -4,8 +4,10 @@ The standard library's parser feeds one pass of events; blocks ("lines") are cut
 Each line has a text-to-tag ratio (characters per tag in it); the ratios are smoothed with a Gaussian
 along the page and split into two clusters by a threshold moved to the midpoint of the cluster means.
 The high cluster votes for the container (article, main, section, div, ...) that holds the content:
-the deepest one with ``SHARE`` of the votes, widened to an enclosing article or main. All lines of that
-container are the text, so short paragraphs between long ones stay. Elements that are never content
+the deepest one with ``SHARE`` of the votes, widened to an enclosing article or main; without one, the
+deepest one that holds all votes (lines that are mostly links have none, and a part of a table, a quote or
+a centred block is never the container). All lines of that container are the text, so short paragraphs
+between long ones stay. Elements that are never content
 (navigation, header, footer, aside, forms, scripts, styles, hidden parts, and elements whose class,
 id or role names adverts, notices, menus, sidebars or comments) are left out on the way; outside an
 article, lines of the low cluster that are mostly links go too.
@@ -29,6 +31,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIP = frozenset(("script style noscript template nav header footer aside form head title svg math iframe object canvas audio video button select "
                   "option textarea dialog menu datalist fieldset").split())
 CONTAINER = frozenset("html body main article section div td th table tbody tr center blockquote".split())
+PART = frozenset("td th table tbody tr center blockquote".split())
 BLOCK = CONTAINER | SKIP | frozenset(("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre hr figure figcaption address details summary caption thead tfoot "
                                       "hgroup search").split())
 #: Words of class, id and role attributes that mark what is not the article.
@@ -158,6 +161,17 @@ def threshold(x: np.ndarray) -> float:
     return t
 
 
+def _container(p: Lines, size: np.ndarray, high: np.ndarray, share: float) -> int:
+    """The deepest container with ``share`` of the characters of the high lines."""
+    votes = [0.0] * len(p.kind)
+    for (c, *_), v, h in zip(p.lines, size, high):
+        if h:
+            votes[c] += v
+    for c in range(len(votes) - 1, 0, -1):             # children have larger numbers
+        votes[p.parent[c]] += votes[c]
+    return max((c for c in range(len(votes)) if votes[c] >= share * votes[0]), default=0)
+
+
 def main_text(html) -> tuple[str, int, int]:
     """(text, lines kept, lines seen)."""
     if not html:
@@ -170,18 +184,22 @@ def main_text(html) -> tuple[str, int, int]:
     size = np.array([len(t) for _, t, _, _ in p.lines], float)
     ratio = smooth(size / np.array([max(1, n) for _, _, n, _ in p.lines]))
     high = ratio >= threshold(ratio)
-    votes = [0.0] * len(p.kind)
-    for (c, *_), v, h in zip(p.lines, size, high):
-        if h:
-            votes[c] += v
-    for c in range(len(votes) - 1, 0, -1):             # children have larger numbers
-        votes[p.parent[c]] += votes[c]
-    best = max((c for c in range(len(votes)) if votes[c] >= SHARE * votes[0]), default=0)
+    best = _container(p, size, high, SHARE)
     at = best
     while at > 0:
         if p.kind[at] in ("article", "main"):
             best = at
         at = p.parent[at]
+    if p.kind[best] not in ("article", "main"):
+        held = {0, best}                               # the container holds that of most votes, too
+        at = best
+        while at > 0:
+            at = p.parent[at]
+            held.add(at)
+        text = high & np.array([links < 0.5 * n for (*_, links), n in zip(p.lines, size)])
+        best = _container(p, size, text if text.any() else high, 1.0)
+        while best not in held or p.kind[best] in PART:
+            best = p.parent[best]
     inside = [False] * len(p.kind)
     for c in range(len(inside)):
         inside[c] = c == best or (c > best and p.parent[c] >= 0 and inside[p.parent[c]])
