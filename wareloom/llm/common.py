@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -11,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from wareloom.session import cut_lineage, ensure_checkpoint_dir  # noqa: F401  (re-used general helpers)
 
 ROWS_AT_ONCE = 1000
+FILE_SHIFT = 40            # row ids: 2^40 rows a file, 2^23 files
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: Words: runs of anything but ASCII punctuation, blanks and controls (fixed by the contract).
@@ -78,3 +80,29 @@ def shielded(docs: DataFrame, step) -> DataFrame:
     hidden = {c: f"_wl_in_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT_COLUMNS}
     out = step(docs.withColumnsRenamed(hidden))
     return out.select(*[F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns])
+
+
+def with_row_ids(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """``docs`` with a row id: the number of the row's file (by path) and its place in the file. Every later read gives the same
+    ids, however the files are split, and no text is copied. A frame that is no plain read of files is stored first.
+
+    The numbers of the files are one small row per file, which the driver's own file listing holds too, so they are broadcast."""
+    def scan(df):
+        return df.select("*", F.col("_metadata.file_path").alias("_wl_path"), F.col("_metadata.row_index").alias("_wl_row"))
+
+    docs = docs.drop(name)
+    try:
+        rows = scan(docs)
+    except AnalysisException:
+        rows = scan(cut_lineage(docs, "numbered-rows"))
+    files = rows.select("_wl_path").distinct().withColumn("_wl_file", F.row_number().over(Window.orderBy("_wl_path")).cast("long"))
+    return (rows.join(F.broadcast(files), "_wl_path")
+            .withColumn(name, F.shiftleft("_wl_file", FILE_SHIFT) + F.col("_wl_row")).drop("_wl_path", "_wl_row", "_wl_file"))
+
+
+def shielded_names(docs: DataFrame, replaced: tuple = ()) -> tuple[DataFrame, list]:
+    """``docs`` with every column beside those of ``documents`` under a name no operator uses, and the columns that give the
+    rows back under their own names. Columns named in ``replaced`` are left out."""
+    docs = docs.drop(*replaced)
+    hidden = {c: f"_wl_in_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT_COLUMNS}
+    return docs.withColumnsRenamed(hidden), [F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns]
