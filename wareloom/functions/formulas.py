@@ -35,6 +35,13 @@ def coalesce(*vals) -> Column:
     return F.coalesce(*[F.when(_s(v) != F.lit(""), _c(v)) for v in vals])
 
 
+def coalesce_any(*vals) -> Column:
+    """FN-2 as the catalogue names it: ``coalesce`` where every argument is a constant of one type, else as text, since the types of
+    columns are not known before the formula meets a table (the column's declared type is restored by ``cast_to_spec``)."""
+    kinds = {type(v) for v in vals if v is not None}
+    return coalesce(*vals) if len(kinds) == 1 and kinds <= {int, float, bool} else coalesce_text(*vals)
+
+
 def coalesce_text(*vals) -> Column:
     """FN-2 over arguments of different types: the first value that is neither NULL nor empty, as text."""
     return F.coalesce(*[F.nullif(_s(v), F.lit("")) for v in vals])
@@ -99,10 +106,10 @@ def replace(v, old: str, new: str) -> Column:
 
 
 def plus(a, b, text: bool = False) -> Column:
-    """FN-12: text operands concatenate (NULL -> ''), numeric operands add (NULL -> 0)."""
+    """FN-12: text operands concatenate (NULL -> ''), numeric operands add (NULL -> 0, overflow -> NULL)."""
     if text:
         return concat(a, b)
-    return F.coalesce(_c(a), F.lit(0)) + F.coalesce(_c(b), F.lit(0))
+    return F.try_add(F.coalesce(_c(a), F.lit(0)), F.coalesce(_c(b), F.lit(0)))
 
 
 def plus_typed(schema: T.StructType, a: str, b: str) -> Column:
@@ -113,13 +120,13 @@ def plus_typed(schema: T.StructType, a: str, b: str) -> Column:
 
 
 def minus(a, b) -> Column:
-    """FN-13"""
-    return F.coalesce(_c(a), F.lit(0)) - F.coalesce(_c(b), F.lit(0))
+    """FN-13 (overflow -> NULL)"""
+    return F.try_subtract(F.coalesce(_c(a), F.lit(0)), F.coalesce(_c(b), F.lit(0)))
 
 
 def times(a, b) -> Column:
-    """FN-13"""
-    return F.coalesce(_c(a), F.lit(0)) * F.coalesce(_c(b), F.lit(0))
+    """FN-13 (overflow -> NULL)"""
+    return F.try_multiply(F.coalesce(_c(a), F.lit(0)), F.coalesce(_c(b), F.lit(0)))
 
 
 def divide(a, b) -> Column:
@@ -156,7 +163,7 @@ def ref(name: str) -> Column:
 
 # Name lookup as in the formula catalogue; unknown names give NULL (see ``call``).
 CATALOGUE = {
-    "CONCAT": concat, "COALESCE": coalesce, "SPLIT": split, "UPPER": upper, "LOWER": lower,
+    "CONCAT": concat, "COALESCE": coalesce_any, "SPLIT": split, "UPPER": upper, "LOWER": lower,
     "TRIM": trim, "ABS": abs_, "ROUND": round_, "LEN": len_, "SUBSTRING": substring, "REPLACE": replace,
 }
 # Report formulas are the same list without TRIM, SUBSTRING and REPLACE.

@@ -147,10 +147,25 @@ def _string_code(n: Column) -> Column:
     return F.when(n.isNull(), F.lit("String1")).otherwise(out)
 
 
+def _digits(c: Column) -> tuple[Column, Column]:
+    """Digits before and after the point of a number, counted in its exact decimal text ``ddd.dddE±x`` (NULL for NULL, infinity
+    and not-a-number): the point stands ``x`` digits further right, zeros at either end do not count."""
+    text = c.cast("string")
+    shape = r"^-?([0-9]+)(?:\.([0-9]+))?(?:E([-+]?[0-9]+))?$"
+    part = [F.regexp_extract(text, shape, i) for i in (1, 2, 3)]
+    digits = F.concat(part[0], part[1])
+    point = F.length(part[0]) + F.coalesce(F.nullif(part[2], F.lit("")).cast("int"), F.lit(0))
+    leading = F.length(digits) - F.length(F.regexp_replace(digits, "^0+", ""))
+    last = F.length(F.regexp_replace(digits, "0+$", ""))
+    some = F.when(text.rlike(shape), F.when(last == 0, F.lit(0)))        # zero has no digits
+    return (F.coalesce(some, F.when(text.rlike(shape), F.greatest(point - leading, F.lit(0)))),
+            F.coalesce(some, F.when(text.rlike(shape), F.greatest(last - point, F.lit(0)))))
+
+
 def profile_types(df: DataFrame, table_name: str = "") -> DataFrame:
     """TY-8: nearest-fit type per column measured in one aggregate pass: smallest StringN that
     holds the longest text; integers up to 9 digits INTEGER, up to 18 BIGINT; decimals the
-    smallest (p, s) that holds every value; dates / timestamps by family."""
+    smallest (p, s) that holds every value, DOUBLE beyond 38 digits; dates / timestamps by family."""
     aggs, plan = [], []
     for f in df.schema.fields:
         c, t, n = F.col(f.name), f.dataType, f.name
@@ -158,13 +173,11 @@ def profile_types(df: DataFrame, table_name: str = "") -> DataFrame:
             aggs.append(F.max(F.length(c)).alias(f"{n}__len"))
             plan.append((n, "string"))
         elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            aggs.append(F.max(F.length(F.abs(c).cast("string"))).alias(f"{n}__int"))
+            aggs.append(F.max(F.length(F.regexp_replace(c.cast("string"), "-", ""))).alias(f"{n}__int"))
             plan.append((n, "integer"))
         elif isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
-            txt = c.cast("decimal(38,10)").cast("string")
-            frac = F.regexp_replace(F.regexp_extract(txt, r"\.(\d+)$", 1), "0+$", "")
-            whole = F.regexp_replace(F.regexp_extract(txt, r"^-?(\d+)", 1), "^0+", "")
-            aggs += [F.max(F.length(frac)).alias(f"{n}__scale"), F.max(F.length(whole)).alias(f"{n}__int")]
+            whole, frac = _digits(c)
+            aggs += [F.max(frac).alias(f"{n}__scale"), F.max(whole).alias(f"{n}__int")]
             plan.append((n, "decimal"))
         elif isinstance(t, T.DateType):
             plan.append((n, "date"))
@@ -192,7 +205,8 @@ def profile_types(df: DataFrame, table_name: str = "") -> DataFrame:
             rows.append(F.struct(F.lit(n).alias("column_name"), F.lit("decimal").alias("family"),
                                  F.lit(None).cast("long").alias("max_length"), d.cast("long").alias("int_digits"),
                                  s.cast("long").alias("scale"),
-                                 F.concat(F.lit("DECIMAL("), p.cast("string"), F.lit(","), s.cast("string"), F.lit(")")).alias("code")))
+                                 F.when(p > 38, F.lit("DOUBLE"))       # more digits than any decimal holds
+                                 .otherwise(F.concat(F.lit("DECIMAL("), p.cast("string"), F.lit(","), s.cast("string"), F.lit(")"))).alias("code")))
         else:
             code = {"date": "DATE", "timestamp": "TIMESTAMP"}.get(kind, "VARCHAR")
             rows.append(F.struct(F.lit(n).alias("column_name"), F.lit(kind).alias("family"),

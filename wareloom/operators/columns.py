@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -70,17 +71,32 @@ def apply_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
                            if k in types})
 
 
+@contextmanager
+def _errors_as_null(spark):
+    """Casts, divisions and look-ups that are put together inside give NULL for a value they cannot take, as their ``try_`` forms
+    do. An expression keeps the form it was analysed with; the session's setting is the same afterwards."""
+    key = "spark.sql.ansi.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def derive(df: DataFrame, formulas: dict[str, Column | Callable], defaults: dict | None = None) -> DataFrame:
-    """PRJ-4: all formulas are evaluated against the same (un-derived) row in one step.
-    A formula that yields NULL takes the column's default when one is given."""
+    """PRJ-4: all formulas are evaluated against the same (un-derived) row in one step. A formula that yields NULL or fails on
+    a row (a text that is no number, a division by zero) takes the column's default when one is given, else NULL; the row
+    goes on. (The operators of ``functions.formulas`` also give NULL on an overflow, a plain ``+`` wraps.)"""
     defaults = defaults or {}
     cols = {}
-    for k, f in formulas.items():
-        c = f(df) if callable(f) and not isinstance(f, Column) else f
-        if k in defaults:
-            c = F.coalesce(c, F.lit(defaults[k]).cast(df.select(c.alias("c")).schema["c"].dataType))
-        cols[k] = c
-    return df.withColumns(cols)
+    with _errors_as_null(df.sparkSession):
+        for k, f in formulas.items():
+            c = f(df) if callable(f) and not isinstance(f, Column) else f
+            if k in defaults:
+                c = F.coalesce(c, F.lit(defaults[k]).cast(df.select(c.alias("c")).schema["c"].dataType))
+            cols[k] = c
+        return df.withColumns(cols)
 
 
 def project_fields(df: DataFrame, fields: list[dict]) -> DataFrame:
@@ -153,25 +169,35 @@ def cast_to_spec(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
 
 
 def json_safe(df: DataFrame) -> DataFrame:
-    """PRJ-8: decimals -> double, timestamps / dates -> ISO text, intervals -> seconds, also inside structs
-    and arrays."""
+    """PRJ-8: decimals -> double, timestamps / dates -> ISO text (with the microseconds when there are any), intervals -> seconds
+    (year-month intervals: months), also inside structs, arrays and maps (their keys become text)."""
     return df.select(*[_portable(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
+def _iso(c: Column) -> Column:
+    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(c, "SSSSSS") == "000000", whole).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def _portable(c: Column, t: T.DataType) -> Column:
     if isinstance(t, T.DecimalType):
         return c.cast("double")
     if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        return _iso(c)
     if isinstance(t, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
-    if isinstance(t, T.DayTimeIntervalType):       # whole length, not the seconds field
-        return (F.extract(F.lit("DAY"), c) * 86400 + F.extract(F.lit("HOUR"), c) * 3600
-                + F.extract(F.lit("MINUTE"), c) * 60 + F.extract(F.lit("SECOND"), c)).cast("double")
+    if isinstance(t, T.DayTimeIntervalType):       # whole length, whatever fields the interval has
+        zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", zero, zero + c) / F.lit(1e6)
+    if isinstance(t, T.YearMonthIntervalType):
+        zero = F.lit("1970-01-01").cast("date")
+        return F.months_between(zero + c, zero).cast("long")
     if isinstance(t, T.StructType):
         return F.when(c.isNotNull(), F.struct(*[_portable(c[f.name], f.dataType).alias(f.name) for f in t.fields]))
     if isinstance(t, T.ArrayType):
         return F.transform(c, lambda x: _portable(x, t.elementType))
+    if isinstance(t, T.MapType):
+        return F.transform_keys(F.transform_values(c, lambda k, v: _portable(v, t.valueType)), lambda k, v: _portable(k, t.keyType).cast("string"))
     return c
 
 
@@ -208,6 +234,7 @@ def transform_file(df: DataFrame, spec: list[ColumnSpec], user: str | None = Non
         if c.default is not None:
             v = F.coalesce(v, F.lit(c.default))
         cols.append(v.alias(c.target))
-    out = df.select(*cols)
+    with _errors_as_null(df.sparkSession):      # a formula that fails on a row gives its default, else NULL
+        out = df.select(*cols)
     audit = [c.target for c in spec if c.audit]
     return stamp_audit(out, audit, user, ts) if audit and ts is not None else out

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import after_tuple
-from .keys import number_rows
 
 SEP = "|"
 
@@ -32,11 +31,67 @@ def resume_after(df: DataFrame, keys: list[str], value) -> DataFrame:
     return df.filter(after_tuple(keys, [_typed(df, k, p) for k, p in zip(keys, parts)]))
 
 
+PIVOTS = 32                 # places an interval is cut at in one round
+SORTED_AT_ONCE = 50_000     # an interval of so many rows is sorted
+
+
 def resume_after_rows(df: DataFrame, n: int, order_by) -> DataFrame:
-    """INC-3: skip the first ``n`` rows of an explicit order (distributed numbering)."""
+    """INC-3: skip the first ``n`` rows of an explicit order (column names, ascending, NULLs first), without sorting the rows: the
+    n-th row's key is found by counting the rows between pivots, and the rest is a filter on the scan. Rows equal to that key
+    are interchangeable; as many of them are skipped as belong to the first ``n``."""
     if not n:
         return df
-    return number_rows(df, order_by, col="_rn").filter(F.col("_rn") > n).drop("_rn")
+    cols = [order_by] if isinstance(order_by, str) else list(order_by)
+    found = nth_key(df, cols, n)
+    if found is None:
+        return df.limit(0)
+    key, upto = found
+    me, mark = F.struct(*cols), _key(df, cols, key)
+    later = me > mark
+    if key[0] is not None:
+        later = (F.col(cols[0]) >= F.lit(key[0]).cast(df.schema[cols[0]].dataType)) & later     # reaches the scan
+    rest = df.where(later)
+    return rest.unionByName(df.where(me == mark).limit(upto - n)) if upto > n else rest
+
+
+def _key(df: DataFrame, cols: list[str], values) -> Column:
+    return F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(cols, values)])
+
+
+def nth_key(df: DataFrame, cols: list[str], n: int) -> tuple[tuple, int] | None:
+    """(key, rows up to and with that key) of the ``n``-th row in the order of ``cols``; None when there are fewer rows.
+
+    Every round draws pivots out of the open interval and counts its rows between them in one narrow scan (at most ``PIVOTS``
+    counts reach the driver), so an interval shrinks to about a ``PIVOTS``-th; a short one is sorted."""
+    me = F.struct(*cols)
+    keys = df.select(*cols)
+    low, below = None, 0                                     # rows up to ``low`` are before the interval
+    high = None
+    total = keys.count()
+    if n > total:
+        return None
+    size = total
+    while True:
+        inside = keys
+        if low is not None:
+            inside = inside.where(me > _key(df, cols, low))
+        if high is not None:
+            inside = inside.where(me <= _key(df, cols, high))
+        if size <= SORTED_AT_ONCE:
+            row = inside.orderBy(*cols).offset(n - below - 1).limit(1).first()
+            return tuple(row), below + inside.where(me <= _key(df, cols, row)).count()
+        drawn = inside.select(*cols, F.rand(17).alias("_r")).orderBy("_r").limit(PIVOTS).select(*cols).distinct().orderBy(*cols).collect()
+        top = high if high is not None else tuple(inside.agg(F.max(me).alias("m")).first()["m"])
+        pivots = [*[tuple(r) for r in drawn if tuple(r) != top], top]
+        if len(pivots) == 1:
+            least = tuple(inside.agg(F.min(me).alias("m")).first()["m"])
+            if least == top:                                 # one key only
+                return top, below + size
+            pivots = [least, top]
+        counts = inside.agg(*[F.count_if(me <= _key(df, cols, p)).alias(f"c{i}") for i, p in enumerate(pivots)]).first()
+        at = next(i for i, c in enumerate(counts) if below + c >= n)
+        before = counts[at - 1] if at else 0
+        low, below, high, size = pivots[at - 1] if at else low, below + before, pivots[at], counts[at] - before
 
 
 def high_water(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -17,13 +17,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import row_hash
 from ..functions.scalars import HIGH_DATE, ts_lit
-from .changes import CHANGED, NEW, UNCHANGED, classify, current
+from .changes import CHANGED, NEW, UNCHANGED, classify, current, first_current
 from .keys import assign_skey
 from ..session import cut_lineage, local_rows
 
@@ -116,6 +116,20 @@ def _metrics(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     return agg.selectExpr(f"stack({len(exprs)}, {pairs}) as (metric, value)")
 
 
+def _observed(df: DataFrame, exprs: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """``df`` whose next write also counts ``exprs`` (one job writes and counts). To be put right before the write: the tasks of
+    the writing stage count once, however often a lost executor makes earlier stages run again."""
+    seen = Observation()
+    return df.observe(seen, *[F.coalesce(e, F.lit(0)).cast("long").alias(k) for k, e in exprs.items()]), seen
+
+
+def _summary(spark, counts: dict, bad: DataFrame) -> DataFrame:
+    """Counts taken while writing, and the rejected rows (a scan of the key columns), as (metric, value)."""
+    known = local_rows(spark, [(k, int(v)) for k, v in counts.items()], "metric string, value long")
+    rejected = _metrics(bad, {"error_rows": F.count(F.lit(1)), "source_rows": F.count(F.lit(1))})
+    return known.unionByName(rejected).groupBy("metric").agg(F.sum("value").cast("long").alias("value"))
+
+
 def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int = 2, kind: str = DIM,
               order_by: list[str] | None = None, hash_order: list[str] | None = None,
               include_history: bool = True, next_key: int | None = None) -> MergeResult:
@@ -143,19 +157,33 @@ def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int
         dd = dd.drop(*extra)
         data = [c for c in data if c not in extra]
     s = dd.withColumn("RWHKEY", row_hash(dd.drop("_dups"), order=hash_order or data))
-    # classified source feeds the key numbering, the expiry join and the counters: written once
-    # to the shared folder so a lost executor re-reads it instead of re-running the lookup join
-    cls = cut_lineage(classify(s, tgt, keys), "classified")
+    # classified source feeds the key numbering and the expiry join: written once to the shared folder so a lost executor
+    # re-reads it instead of re-running the lookup join; the counters are taken by the job that writes it
+    need_key = (F.col("change") == NEW) if scd_type == 1 or not dim else F.col("change").isin(NEW, CHANGED)
+    is_new, is_chg = F.col("change") == NEW, F.col("change") == CHANGED
+    overwritten = F.count_if(is_chg) if (scd_type == 1 or not dim) else F.lit(0)
+    counted, seen = _observed(classify(s, tgt, keys), {
+        "source_rows": F.count(F.lit(1)) + F.sum("_dups"),
+        "inserted": F.count_if(need_key),
+        "updated": overwritten,
+        "expired": F.count_if(is_chg) if (scd_type == 2 and dim) else F.lit(0),
+        "unchanged": F.count_if(F.col("change") == UNCHANGED),
+        "new_keys": F.count_if(is_new),
+        "duplicates": F.sum("_dups"),
+        "target_rows": F.count_if(need_key) + overwritten,
+    })
+    cls = cut_lineage(counted, "classified")
 
     tgt_data = data_columns(tgt)
     types = {f.name: f.dataType for f in tgt.schema.fields}
-    need_key = (F.col("change") == NEW) if scd_type == 1 or not dim else F.col("change").isin(NEW, CHANGED)
     start = next_key          # None: continue after max(SKEY) of the target (same job as the counts)
     ins_src = cls.filter(need_key).select(*data, "RWHKEY")
     unmapped = [c for c in tgt_data if c not in data]
     if unmapped and dim and scd_type == 2:
         # a new version keeps the previous version's values in columns this source does not map
-        prev = (current(tgt) if dim else tgt).select(*keys, *[F.col(c).alias("_p_" + c) for c in unmapped])
+        # (the first of several current versions, as in the lookup: one source row makes one new version)
+        hold = [c for c in ("SKEY",) if c in tgt.columns]
+        prev = first_current(current(tgt), keys, [*hold, *unmapped]).select(*keys, *[F.col(c).alias("_p_" + c) for c in unmapped])
         ins_src = ins_src.join(prev, keys, "left")
     ins = assign_skey(ins_src, start, keys, target=tgt)
     ins_cols = [F.col("SKEY")]
@@ -199,20 +227,7 @@ def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int
     parts = [kept, inserts.select(*tgt.columns)] if hist is None else [hist, kept, inserts.select(*tgt.columns)]
     snapshot = reduce(lambda a, b: a.unionByName(b), parts)
 
-    is_new, is_chg = F.col("change") == NEW, F.col("change") == CHANGED
-    m = {
-        "source_rows": F.count(F.lit(1)) + F.sum("_dups"),
-        "inserted": F.count_if(need_key),
-        "updated": F.count_if(is_chg) if (scd_type == 1 or not dim) else F.lit(0),
-        "expired": F.count_if(is_chg) if (scd_type == 2 and dim) else F.lit(0),
-        "unchanged": F.count_if(F.col("change") == UNCHANGED),
-        "new_keys": F.count_if(is_new),
-        "duplicates": F.sum("_dups"),
-        "target_rows": F.count_if(need_key) + (F.count_if(is_chg) if (scd_type == 1 or not dim) else F.lit(0)),
-    }
-    rejected = {"error_rows": F.count(F.lit(1)), "source_rows": F.count(F.lit(1))}
-    summary = (_metrics(cls, m).unionByName(_metrics(bad, rejected))
-               .groupBy("metric").agg(F.sum("value").cast("long").alias("value")))
+    summary = _summary(spark, seen.get, bad)
     return MergeResult(snapshot, summary, bad, losers)
 
 
@@ -310,14 +325,17 @@ def split_castable(df: DataFrame, tgt_schema: T.StructType, keys: list[str] | No
 def load_checked(df: DataFrame, tgt: DataFrame, mode: str, keys: list[str] | None = None, user: str = "SYSTEM",
                  ts=None, order_by: list[str] | None = None) -> LoadResult:
     """LD-1 INSERT, LD-2 TRUNCATE_LOAD, LD-3 UPSERT (LD-4: no key -> INSERT), LD-7 IF_ABSENT, with the rows
-    that could not be loaded and the counts. An upsert is one full outer join on the key (JN-12)."""
+    that could not be loaded and the counts. An upsert is one full outer join on the key (JN-12); it updates the columns that
+    ``df`` has (and the audit columns), a target column the file does not map keeps its value."""
     mode = mode.upper()
     if mode not in ("INSERT", "TRUNCATE_LOAD", "UPSERT", "IF_ABSENT"):
         raise ValueError(f"unknown load mode {mode}")
     keyed = mode == "IF_ABSENT" or (mode == "UPSERT" and bool(keys))
     src, rejected = split_castable(df, tgt.schema, keys if keyed else None)
+    mapped = {c.upper() for c in df.columns}
     if ts is not None:
         src = stamp_load(src, user, ts)
+        mapped |= {*CREATED_COLUMNS, *UPDATED_COLUMNS}
     dups = F.lit(0)
     if mode == "TRUNCATE_LOAD":
         out = src
@@ -327,7 +345,7 @@ def load_checked(df: DataFrame, tgt: DataFrame, mode: str, keys: list[str] | Non
         src = dedup_last(src, keys, order_by)          # a key twice in one batch is one row
         dups = F.sum("_dups")
         one = src.drop("_dups")
-        out = tgt.unionByName(one.join(tgt.select(*keys), keys, "left_anti")) if mode == "IF_ABSENT" else _upsert(one, tgt, keys)
+        out = tgt.unionByName(one.join(tgt.select(*keys), keys, "left_anti")) if mode == "IF_ABSENT" else _upsert(one, tgt, keys, mapped)
     counts = _metrics(src, {"accepted_rows": F.count(F.lit(1)), "duplicates": F.coalesce(dups, F.lit(0))}).unionByName(
         _metrics(rejected, {"rejected_rows": F.count(F.lit(1))})).unionByName(_metrics(df, {"source_rows": F.count(F.lit(1))}))
     return LoadResult(out, rejected, counts)
@@ -339,7 +357,7 @@ def load(df: DataFrame, tgt: DataFrame, mode: str, keys: list[str] | None = None
     return load_checked(df, tgt, mode, keys, user, ts, order_by).target
 
 
-def _upsert(src: DataFrame, tgt: DataFrame, keys: list[str]) -> DataFrame:
+def _upsert(src: DataFrame, tgt: DataFrame, keys: list[str], mapped: set[str]) -> DataFrame:
     s = src.select(*keys, *[F.col(c).alias("_s_" + c) for c in src.columns if c not in keys],
                    F.lit(True).alias("_s_hit"))
     j = tgt.withColumn("_t_hit", F.lit(True)).join(s, keys, "full_outer")
@@ -348,7 +366,7 @@ def _upsert(src: DataFrame, tgt: DataFrame, keys: list[str]) -> DataFrame:
     for c in tgt.columns:
         if c in keys:
             out.append(F.col(c))
-        elif c.upper() in created:
+        elif c.upper() in created or c.upper() not in mapped:     # set by the insert only
             out.append(F.when(F.col("_t_hit").isNotNull(), F.col(c)).otherwise(F.col("_s_" + c)).alias(c))
         else:
             out.append(F.when(F.col("_s_hit").isNotNull(), F.col("_s_" + c)).otherwise(F.col(c)).alias(c))
@@ -369,8 +387,10 @@ def versioned_upsert(src: DataFrame, tgt: DataFrame, key: str, compare_cols: lis
                      id_col: str = "id", flag: str = "curflg", created: str = "reccrdt",
                      updated: str = "recupdt") -> DataFrame:
     """VER-1: per code, equal compared columns -> nothing; otherwise the current version is
-    closed (flag 'N', updated = ts) and a new version inserted with the next id."""
+    closed (flag 'N', updated = ts) and a new version inserted with the next id. Source rows without a code are left out
+    (``split_null_keys`` returns them)."""
     t_now = ts_lit(ts)
+    src, _ = split_null_keys(src, [key])
     cur = tgt.filter(F.col(flag) == "Y")
     old = tgt.filter(~(F.col(flag) == "Y") | F.col(flag).isNull())
     s = dedup_last(src, [key]).drop("_dups")

@@ -124,6 +124,14 @@ def job_log_flat(log: DataFrame) -> DataFrame:
     return number_within_groups(x, ["job_name"], [F.col("prcdt").desc(), F.col("joblogid").desc()], col="log_seq")
 
 
+def job_log_nested(log: DataFrame, page_rows: int = 100) -> DataFrame:
+    """AG-9: each job's log as lists, newest first: one row per (job, page) with the next ``page_rows`` log rows. Rows are numbered
+    inside their job over a range partitioning, so a job's history spans many tasks and no list is longer than a page."""
+    x = job_log_flat(log).withColumn("page", F.expr(f"(log_seq - 1) div {page_rows} + 1"))
+    entry = F.struct("log_seq", "joblogid", "prcdt", "srcrows", "trgrows")
+    return x.groupBy("job_name", "page").agg(F.sort_array(F.collect_list(entry)).alias("log"))
+
+
 REQUEST_STATES = ("NEW", "QUEUED", "PROCESSING", "CLAIMED")
 
 

@@ -6,6 +6,8 @@ import json
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,19 +82,46 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+_scratch: ContextVar[tuple] = ContextVar("wareloom_scratch", default=())    # lists of paths, innermost block last
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Stage tables that ``cut_lineage`` writes inside the block are deleted when it ends, so a job's disk does not grow with
+    the number of its steps. What is needed afterwards is stored with ``cut_lineage(..., keep=True)``: it belongs to the
+    enclosing block, or stays when there is none. Frames over deleted tables must not be used after the block."""
+    paths: list[str] = []
+    token = _scratch.set((*_scratch.get(), paths))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for p in paths:
+            delete_path(spark, p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared folder, through the file system Spark itself uses."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut_lineage(df: DataFrame, name: str = "stage", keep: bool = False) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
     The written table is reliable storage (a lost executor re-reads it instead of recomputing
     the lineage), it is columnar (later projections read only the columns they need), and
     everything that depends on row placement is kept in explicit columns, so re-reading it in
-    any split layout gives the same result.
+    any split layout gives the same result. See ``scratch_tables`` for how long it stays.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, "wareloom-stages", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    blocks = _scratch.get()[:-1] if keep else _scratch.get()
+    if blocks:
+        blocks[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
