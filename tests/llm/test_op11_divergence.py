@@ -79,7 +79,8 @@ def test_counts_given_out_in_pieces(spark, monkeypatch):
     assert len(parts) > 5
     n = Counter()
     for r in (r for p in parts for r in p):
-        n[r["lang"], r["source"], r["term"]] += r["n"]
+        for source, c in zip(r["sources"], r["counts"]):
+            n[r["lang"], source, r["term"] and r["term"].decode()] += c
     want = Counter()
     for _, t, lang, s in rows:
         want.update((lang or "", s or "", w) for w in TERM.findall((t or "").translate(AZ)))

@@ -22,8 +22,9 @@ term; equal values rank by the UTF-8 order of the item; an empty table gives no
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ ENTRIES_AT_ONCE, BYTES_AT_ONCE = 200_000, 64 << 20
 #: Terms are runs of letters: A-Z, a-z and everything past ASCII. Every byte of a character past ASCII is above 0x7F, so the
 #: split of the UTF-8 bytes is the split of the code points.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
+_COUNTS = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -45,29 +46,35 @@ def terms_of(text: bytes) -> list[bytes]:
 
 
 def _count(batches):
-    """Counts per (lang, source, term) of the documents a task reads, given out whenever they reach a bound; a row without a term
-    per group counts its documents."""
-    docs, occurrences, groups, size = {}, {}, Counter(), 0
+    """One row per (lang, term) of the documents a task reads: in how many of them, and how often by source. Given out whenever the
+    counts held reach a bound; the row without a term has the number of documents by source."""
+    docs, occurrences, groups, size = defaultdict(Counter), defaultdict(Counter), Counter(), 0
 
     def rows():
-        out = [(g[0], g[1], None, n, 0) for g, n in groups.items()]
-        for g, c in occurrences.items():
-            d = docs[g]
-            out.extend((g[0], g[1], t.decode("utf-8", "replace"), d[t], n) for t, n in c.items())
-        cols = list(zip(*out)) if out else [[]] * 5
+        by_term = defaultdict(lambda: ([], []))
+        for (lang, source), c in occurrences.items():
+            for t, n in c.items():
+                names, counts = by_term[lang, t]
+                names.append(source)
+                counts.append(n)
+        for (lang, source), n in groups.items():
+            names, counts = by_term[lang, None]
+            names.append(source)
+            counts.append(n)
+        lang, term = zip(*by_term) if by_term else ((), ())
+        names, counts = zip(*by_term.values()) if by_term else ((), ())
+        seen = [docs[g][t] if t is not None else 0 for g, t in by_term]
         docs.clear(), occurrences.clear(), groups.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _COUNTS)], schema=_COUNTS)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((lang, term, seen, names, counts), _COUNTS)], schema=_COUNTS)
 
     for b in batches:
-        lang, source, text = b.column("lang"), b.column("source"), b.column("text")
+        langs, sources, texts = (b.column(c) for c in ("lang", "source", "text"))
         for i in range(b.num_rows):
-            g, t = (lang[i].as_py(), source[i].as_py()), text[i].as_py()
+            lang, source, t = langs[i].as_py(), sources[i].as_py(), texts[i].as_py()
             found = terms_of(t)
-            groups[g] += 1
-            if g not in docs:
-                docs[g], occurrences[g] = Counter(), Counter()
-            occurrences[g].update(found)
-            docs[g].update(set(found))
+            groups[lang, source] += 1
+            occurrences[lang, source].update(found)
+            docs[lang].update(set(found))
             size += len(t)
             if size > BYTES_AT_ONCE or i % 64 == 63 and sum(map(len, occurrences.values())) > ENTRIES_AT_ONCE:
                 yield rows()
@@ -80,12 +87,13 @@ def term_table(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     without a term lists every source of the language (with its number of documents)."""
     d = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")],
                     F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    counted = d.mapInArrow(_count, "lang string, source string, term string, docs long, n long")
+    counted = (d.mapInArrow(_count, "lang string, term binary, docs long, sources array<string>, counts array<long>")
+               .withColumn("term", F.col("term").cast("string")))
     # already added up per task, so one exchange by (lang, term) serves both aggregates
-    by_source = (counted.repartition("lang", "term").groupBy("lang", "term", "source")
-                 .agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
-    entry = F.struct("source", F.when(F.col("term").isNull(), F.col("docs")).otherwise(F.col("n")).alias("c"))
-    whole = by_source.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.sort_array(F.collect_list(entry)).alias("profile"))
+    by_source = (counted.repartition("lang", "term").select("lang", "term", "docs", F.posexplode("sources").alias("i", "source"), "counts")
+                 .groupBy("lang", "term", "source").agg(F.sum(F.expr("if(i = 0, docs, 0)")).alias("docs"), F.sum(F.expr("counts[i]")).alias("n")))
+    whole = (by_source.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"),
+                                                   F.sort_array(F.collect_list(F.struct("source", F.col("n").alias("c")))).alias("profile")))
     return cut_lineage(whole.where((F.col("docs") >= min_docs) | F.col("term").isNull()).select("lang", "term", "n", "profile"), "divergence-terms")
 
 
@@ -97,6 +105,53 @@ def _p(count: str, total: str, kept: str):
 _F = "((p - q) * (p - q)) div q"
 
 
+_SHARED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("x", pa.int64()), ("y", pa.int64()), ("m", pa.int64())])
+
+
+def _shared_cells(batches):
+    """Cells (count in one source, count in another) with both above zero, of the profiles a task reads. Held are at most
+    ``ENTRIES_AT_ONCE`` counts and one batch; every pair of sources is given in one direction, smaller name first."""
+    held, entries = [], 0
+
+    def flush():
+        lang = pa.chunked_array([b.column("lang") for b in held]).combine_chunks().dictionary_encode()
+        m = np.concatenate([b.column("m").to_numpy() for b in held])
+        profile = pa.chunked_array([b.column("profile") for b in held]).combine_chunks()
+        length = profile.value_lengths().to_numpy()
+        flat = profile.flatten()
+        names, source = np.unique(flat.field("source").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        values, count = np.unique(flat.field("c").to_numpy(), return_inverse=True)
+        start = np.cumsum(length) - length
+        row = np.repeat(np.arange(len(length)), length)
+        of_lang = lang.indices.to_numpy()
+        rank = np.argsort(np.argsort([n.encode() for n in names.tolist()])) if len(names) else names     # order of the UTF-8 bytes
+        for g, name in enumerate(lang.dictionary.to_pylist()):
+            for s in np.unique(source[of_lang[row] == g]):
+                at = np.flatnonzero((source == s) & (of_lang[row] == g))              # this source's counts: one per profile
+                n = length[row[at]]
+                whole = np.repeat(start[row[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())    # all counts of those profiles
+                mine = np.repeat(at, n)
+                later = rank[source[whole]] > rank[s]
+                whole, mine = whole[later], mine[later]
+                key = (source[whole] * len(values) + count[mine]) * len(values) + count[whole]
+                cell, first, back = np.unique(key, return_index=True, return_inverse=True)
+                if len(cell):
+                    total = np.zeros(len(cell), np.int64)
+                    np.add.at(total, back, m[row[whole]])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([name] * len(cell)), pa.array([names[s]] * len(cell)), pa.array(names[source[whole[first]]].tolist()),
+                        pa.array(values[count[mine[first]]]), pa.array(values[count[whole[first]]]), pa.array(total)], schema=_SHARED)
+
+    for b in batches:
+        held.append(b)
+        entries += len(b.column("profile").flatten())
+        if entries >= ENTRIES_AT_ONCE:
+            yield from flush()
+            held, entries = [], 0
+    if held:
+        yield from flush()
+
+
 class Cells:
     """The kept terms of a corpus by their counts."""
 
@@ -137,10 +192,8 @@ class Cells:
         g = self.groups
         other = g.select("lang", F.col("source").alias("item"), F.col("total").alias("item_total"))
         pairs = g.select("lang", "source", "total", "kept").join(other, "lang").where("source <> item")
-        one, two = F.col("a"), F.col("b")
-        shared = (self.profiles.select("lang", "m", "profile", F.posexplode("profile").alias("i", "a"))
-                  .select("lang", "m", "a", F.explode(F.expr("slice(profile, i + 2, size(profile))")).alias("b"))
-                  .groupBy("lang", one["source"].alias("source"), two["source"].alias("item"), one["c"].alias("x"), two["c"].alias("y")).agg(F.sum("m").alias("m")))
+        shared = (self.profiles.where("size(profile) > 1").select("lang", "m", "profile").mapInArrow(_shared_cells, "lang string, source string, item string, x long, y long, m long")
+                  .groupBy("lang", "source", "item", "x", "y").agg(F.sum("m").alias("m")))
         both = shared.unionByName(shared.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), F.col("y").alias("x"), F.col("x").alias("y"), "m"))
 
         def spread(df, *cells):
