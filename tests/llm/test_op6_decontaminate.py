@@ -60,21 +60,32 @@ def test_empty_tables_and_clashing_columns(spark):
 
 
 def test_proximity_matches(spark):
+    """One word replaced, inserted or removed anywhere in a window, the rarest word included, leaves a proximity match."""
     rng = random.Random(9)
-    item = prose(rng, 13)
-    w = item.split()
-    w[3] = "changed"
-    r = op.contamination(docs(spark, [(1, prose(rng, 20) + " " + " ".join(w))]), bench(spark, [(4, item)])).collect()[0]
-    assert not r["contaminated"] and r["near_items"] == ["4"]
+    item, other = prose(rng, 13, 5000), prose(rng, 6, 5000)
+    rows = []
+    for k in range(13):
+        w = item.split()
+        rows.append((k, " ".join([prose(rng, 5), *w[:k], "changed", *w[k + 1:], prose(rng, 20)])))
+        if 0 < k < 12:
+            rows.append((100 + k, " ".join([prose(rng, 20), *w[:k], "put in", *w[k:], prose(rng, 3)])))
+            rows.append((200 + k, " ".join([*w[:k], *w[k + 1:], prose(rng, 20)])))
+    rows += [(300, other), (301, prose(rng, 9) + " " + " ".join([*other.split()[:3], "changed", *other.split()[4:]])), (302, prose(rng, 60, 5000))]
+    rows += [(400, " ".join([item.split()[0], prose(rng, 9), item.split()[5], prose(rng, 9), item.split()[9]]))]       # words, but not together
+    d = docs(spark, rows)
+    got = {r["doc_id"]: (r["contaminated"], r["near_items"], r["items"]) for r in op.contamination(d, bench(spark, [(4, item), (5, other)])).collect()}
+    assert [i for i in got if i < 300 and got[i] != (False, ["4"], [])] == []
+    assert got[300] == (True, [], ["5"]) and got[301] == (False, ["5"], []) and got[302] == got[400] == (False, [], [])
 
 
 def test_pipeline_form_keeps_clean_documents(spark):
     rows, items = fixture()
     d = docs(spark, rows)
-    bad = {r[0] for r in brute(rows, items) if r[5]}
+    clean = [r for r in rows if not brute([r], items)[0][5]]
     kept = op.keep_documents(with_clashing(d, "_bad", "rid", "contaminated"), bench(spark, items))
     assert kept.columns == [*d.columns, "_bad", "rid", "contaminated"]
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((i for i, _ in rows if i not in bad), key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(clean, key=str)      # row by row: one of the two with id 7
+    assert [i for i, _ in clean].count(7) == 1
 
 
 def test_pipeline_form_judges_rows_of_one_doc_id_apart(spark):
@@ -88,11 +99,29 @@ def test_pipeline_form_judges_rows_of_one_doc_id_apart(spark):
         assert sorted(((str(r["doc_id"]), r["text"]) for r in kept.collect()), key=str) == want
 
 
-def test_anchors_cover_every_window():
+def test_seeds_are_the_rarest_of_every_window():
     rng = random.Random(1)
     w = prose(rng, 60, 30).split()
-    df = {x: rng.randrange(50) for x in w}
-    a = op.anchor_positions(w, df)
+    n = {x: rng.randrange(50) for x in w}
+    seeds = op.seed_positions(w, n)
     for s in range(len(w) - 12):
-        rare = min((df[w[i]] or 99, w[i], i) for i in range(s, s + 13))[2]
-        assert rare in a
+        assert set(sorted(i for i in range(s, s + 13) if n[w[i]])) >= {x[2] for x in sorted((n[w[i]], w[i], i) for i in range(s, s + 13) if n[w[i]])[:4]} <= set(seeds)
+    assert op.seed_positions(["absent"], {}) == []
+
+
+def test_postings_hold_every_occurrence():
+    import pyarrow as pa
+    texts = ["b a b", None, "x", "a A, b!"]
+    batch = pa.RecordBatch.from_pydict({"rid": [7, 8, 9, 10], "text": texts})
+    rows = [r for b in op._postings({"a": 0, "b": 1}, [batch]) for r in b.to_pylist()]
+    assert rows == [{"term": -1, "rids": [7, 8, 9, 10], "at": [3, 0, 1, 3]}, {"term": 0, "rids": [7, 10, 10], "at": [1, 0, 1]},
+                    {"term": 1, "rids": [7, 7, 10], "at": [0, 2, 2]}]
+
+
+def test_common_words_only(spark):
+    """Items of nothing but words every document holds, over one long and many short documents."""
+    rng = random.Random(2)
+    item = " ".join(rng.choice(["the", "of", "and"]) for _ in range(16))
+    rows = [(k, " ".join(rng.choice(["the", "of", "and"]) for _ in range(40))) for k in range(60)] + [(99, "the " * 3000 + item + " of" * 3000)]
+    items = [(1, item), (2, "the " * 13), (3, "of the")]
+    assert got(op.contamination(docs(spark, rows), bench(spark, items))) == brute(rows, items)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wareloom.session import cut_lineage, ensure_checkpoint_dir  # noqa: F401  (re-used general helpers)
+from wareloom.session import cut_lineage, ensure_checkpoint_dir, scratch_tables  # noqa: F401  (re-used general helpers)
 
 ROWS_AT_ONCE = 1000
 FILE_SHIFT = 40            # row ids: 2^40 rows a file, 2^23 files
