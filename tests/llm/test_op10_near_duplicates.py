@@ -107,6 +107,69 @@ def test_links_between_outliers_of_a_group(spark):
     assert sorted(((r["doc_id"], r["class_id"]) for r in t.join(out, "rid").collect()), key=str) == brute(rows)
 
 
+def members_of(monkeypatch):
+    """Notes how many comparisons are made."""
+    made = []
+    plain = op.compare
+
+    def counted(pairs, elements):
+        out = plain(pairs, elements)
+        made.append(out.count())
+        return out
+    monkeypatch.setattr(op, "compare", counted)
+    return made
+
+
+def test_texts_of_shared_passages_meet_few_times(spark, monkeypatch):
+    """Texts put together from passages that hundreds share fall into the same buckets, though hardly any are linked."""
+    made = members_of(monkeypatch)
+    rng = random.Random(8)
+    passages = [prose(rng, 30, 5000) for _ in range(6)]
+    rows = [(k, " ".join([*rng.sample(passages, 4), prose(rng, rng.randrange(1, 45), 5000)])) for k in range(400)]
+    d, out = op.grouped(docs(spark, rows))
+    got = [(r["doc_id"], r["class_id"]) for r in d.join(out, "rid").collect()]
+    assert sorted(got, key=str) == brute(rows)
+    assert sum(made) < 50 * len(rows)              # all pairs would be 200 a row
+
+
+def test_excerpts_of_one_text_against_brute_force(spark, monkeypatch):
+    """Excerpts lie wholly inside the longest of them and can only be told apart by their own elements."""
+    made = members_of(monkeypatch)
+    rng = random.Random(31)
+    base = prose(rng, 1500, 9000).split()
+    rows = [(0, " ".join(base))]
+    for k in range(500):
+        at, n = rng.randrange(1400), rng.randrange(60, 120)
+        rows.append((k + 1, " ".join(base[at:at + n])))
+    d, out = op.grouped(docs(spark, rows))
+    got = [(r["doc_id"], r["class_id"]) for r in d.join(out, "rid").collect()]
+    assert sorted(got, key=str) == brute(rows)
+    assert sum(made) < 60 * len(rows)
+
+
+def test_components_raise_when_they_do_not_settle(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r["root"] for r in op.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        op.components(chain, max_rounds=1)
+
+
+def test_a_root_moves_with_its_component(spark):
+    roots = spark.createDataFrame([(12, 11), (13, 11), (3, 2)], "node long, root long")
+    new = spark.createDataFrame([(13, 3), (30, 20)], "a long, b long")
+    got = {r["node"]: r["root"] for r in op._joined(roots, new).collect()}
+    assert {n: got.get(n, n) for n in (2, 3, 11, 12, 13, 20, 30)} == {2: 2, 3: 2, 11: 2, 12: 2, 13: 2, 20: 20, 30: 20}
+
+
+def test_tables_in_between_are_deleted(spark):
+    import os
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(f"{base}/wareloom-stages")) if os.path.exists(f"{base}/wareloom-stages") else set()
+    op.grouped(docs(spark, fixture()[:40]))
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(f"{base}/wareloom-stages")) - before}
+    assert left <= {"near-result", "numbered-rows"}
+
+
 def test_empty_and_clashing(spark):
     d = docs(spark, fixture())
     t, out = op.grouped(d.limit(0))

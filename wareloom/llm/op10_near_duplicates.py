@@ -16,28 +16,29 @@ Classes: exact copies (equal words) are collapsed first. ``BANDS`` bands of ``RO
 a pair at 0.8 meets in none of them with probability 3e-6. Members of a bucket are compared with the bucket's hub (the
 member that shares most buckets: of a group of edited copies the least edited one), not with each other. Two members that are not
 both linked to the hub can only be linked if they share an element that the hub does not have, or if one is markedly shorter
-than the hub (``_left_over``); so only such members go on: they are compared with the hub of those that share the element, and
-what is left after that, in different components and sharing an element outside both hubs, pair by pair. A group of n edited
-copies thus costs about n comparisons, and no link that would join two classes is skipped. Links are verified by the exact
-overlap of the multisets.
-
-A text's runs are read again only for texts that share a bucket; they are recognised by a bitmap of fixed size,
+than the hub (``_left_over``); only such members go on, in groups by the rarest elements that could make up a link, and
+meet the hub of their group, and so on until no group holds two components. Pairs are only formed in groups of at most ``FEW``
+members. A group of n edited copies costs n comparisons, texts that merely share a passage drop out before the second. Every
+comparison is the exact multiset overlap, classes are connected components by contraction, and tables are deleted level by level,
 so nothing that grows with the corpus is broadcast or collected.
 
-Defined cases: NULL texts and texts without a word have no runs and form classes of their own; rows sharing a
-doc_id are separate documents; the class id is the smallest doc_id of the class."""
+Defined cases: NULL texts and texts without a word have no runs and form classes of their own; rows sharing a doc_id are separate
+documents; equal rows are copies of each other; the class id is the smallest doc_id of the class, NULL when it has none; the row that
+stays is the one with the smallest doc_id, then the first one; a very long text is compared whole; an empty table gives no rows;
+further columns pass through the pipeline form whatever their names."""
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import add_columns, cut_lineage, map_columns, shielded, table
+from .common import cut_lineage, map_columns, scratch_tables, shielded, table, with_row_ids
 from .op6_decontaminate import words_of
 
 SHINGLE, BANDS, ROWS = 5, 24, 4
@@ -45,6 +46,7 @@ M = BANDS * ROWS
 GAMMA = np.uint64(0x9E3779B97F4A7C15)
 TOKENS_AT_ONCE = 200_000
 BITMAP_BITS = 1 << 23
+FEW = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -168,11 +170,11 @@ def _sign(cols):
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """The documents with rid, n_words, digest (equal for equal words) and bands, as a table in the shared folder."""
-    new = ("rid", "n_words", "digest", "bands")
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in new])
-    out = add_columns(docs, _sign, "n_words long, digest binary, bands array<long>")
-    return cut_lineage(out.withColumn("rid", F.monotonically_increasing_id()), "near-signed")
+    """rid, doc_id, n_words, digest (equal for equal words) and bands of documents that have a row id; no texts."""
+    d = docs.select("rid", "doc_id", "text")
+    return cut_lineage(map_columns(d, lambda cols: {"rid": cols["rid"], "doc_id": cols["doc_id"]} | _sign(cols),
+                                   T.StructType([d.schema["rid"], d.schema["doc_id"]]
+                                                + T.StructType.fromDDL("n_words long, digest binary, bands array<long>").fields)), "near-signed")
 
 
 # ------------------------------------------------------------------ links
@@ -210,26 +212,35 @@ def _runs_of(bits, batches):
                                              schema=schema)
 
 
+def _inside(a, b):
+    """The two element lists, and which elements of the first are in the second."""
+    x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+    return x, y, y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
 def _overlap(cols):
-    """Overlap of the two multisets, whether it makes a link, and what of the first is not in the second."""
-    out = {k: [] for k in ("common", "na", "nb", "linked", "rest")}
+    """Overlap of the two multisets, and whether it makes a link."""
+    out = {k: [] for k in ("common", "na", "nb", "linked")}
     for a, b in zip(cols["ea"], cols["eb"]):
-        x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        inside = y[at] == x
+        x, y, inside = _inside(a, b)
         o = int(inside.sum())
-        for k, v in (("common", o), ("na", len(x)), ("nb", len(y)), ("linked", 9 * o >= 4 * (len(x) + len(y))), ("rest", x[~inside].view(np.int64))):
+        for k, v in (("common", o), ("na", len(x)), ("nb", len(y)), ("linked", 9 * o >= 4 * (len(x) + len(y)))):
             out[k].append(v)                              # o / (na + nb - o) >= 0.8, in integers
     return {"a": cols["a"], "b": cols["b"]} | out
 
 
-COMPARED = "a long, b long, common long, na long, nb long, linked boolean, rest array<long>"
+COMPARED = "a long, b long, common long, na long, nb long, linked boolean"
+
+
+def _with_elements(pairs: DataFrame, elements: DataFrame) -> DataFrame:
+    ea, eb = elements.select(F.col("rid").alias("a"), F.col("elements").alias("ea")), elements.select(F.col("rid").alias("b"), F.col("elements").alias("eb"))
+    return pairs.join(ea, "a").join(eb, "b")
 
 
 def compare(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """Pairs (a, b) with the exact overlap of their multisets; ``linked``: weighted Jaccard similarity of at least 0.8."""
-    ea, eb = elements.select(F.col("rid").alias("a"), F.col("elements").alias("ea")), elements.select(F.col("rid").alias("b"), F.col("elements").alias("eb"))
-    return cut_lineage(map_columns(pairs.select("a", "b").join(ea, "a").join(eb, "b").select("a", "b", "ea", "eb"), _overlap, COMPARED), "near-compared")
+    both = _with_elements(pairs.select("a", "b"), elements).select("a", "b", "ea", "eb")
+    return cut_lineage(map_columns(both, _overlap, COMPARED), "near-compared")
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -254,6 +265,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        if state[0]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
@@ -267,41 +281,69 @@ def _linked(compared: DataFrame) -> DataFrame:
     return compared.where("linked").select("a", "b")
 
 
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    p = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    t = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return p.join(t, ["a", "b"], "left_anti")
-
-
-def _with_hub(groups: DataFrame, weight: DataFrame, elements: DataFrame) -> DataFrame:
-    """Every member of a group (key, node) compared with the group's hub: the member that shares most buckets."""
+def _hub_pairs(groups: DataFrame, weight: DataFrame) -> DataFrame:
+    """Every member of a group (key, node) with the group's hub: the member that shares most buckets, the smallest of equals."""
     w = groups.join(weight, "node")
     hub = w.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("n"))).alias("h")).select("key", (-F.col("h.n")).alias("b"))
-    pairs = groups.join(hub, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    return compare(pairs, elements)
-
-
-def _left_over(compared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What can still be linked among the members of one hub, after comparing each with it: (pairs, groups).
-
-    Two members that have nothing in common outside the hub share at most what each has in common with the hub. If one of them
-    (y) is not linked to the hub, they can only be linked when the other is at most ``9/4 common(y) - |y|`` long, which is
-    shorter than the hub: those are ``pairs``. All others share an element outside the hub: ``groups`` (key, node)."""
-    g = _rooted(compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common", "na", "linked", "rest"), roots, "node", "root")
-    mixed = g.groupBy("hub").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("hub")
+    return groups.join(hub, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _outside(cols):
+    """The elements by which a member of a hub can still meet another member: all of its own for a short one, else those the
+    hub lacks."""
+    out = []
+    for a, b, whole in zip(cols["ea"], cols["eb"], cols["whole"].to_pylist()):
+        x, _, inside = _inside(a, b)
+        out.append((x if whole else x[~inside]).view(np.int64))
+    return {k: cols[k] for k in ("hub", "node", "root", "whole", "least")} | {"e": out}
+
+
+def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> DataFrame:
+    """(key, node): groups that hold every pair of members of one hub that can still be linked, after each was compared with it.
+
+    Let x and y be members of different components, so at least one is not linked to the hub. A link needs an overlap of
+    4/9 (|x| + |y|), which is 4/5 of either at least. Two cases:
+
+    * they share an element that the hub lacks. Of x's elements outside the hub they share ``least`` = 4/5 |x| - common(x, hub)
+      or more (1 at least);
+    * all they share is in the hub, at most common(y, hub) for the y that is not linked to it: then |y| <= 5/4 of that, and
+      |x| <= 9/4 common(y, hub) - |y|. This is only possible in a hub with such a short y, among members up to that length;
+      of x's elements they share ``least`` = 4/5 |x| or more.
+
+    In either case, with the elements in one order (rarest first), a member need only show the first ``n - least + 1`` of its
+    n elements (prefix filtering). Elements that no member of another component has come first and are left out; a member
+    whose other elements are fewer than ``least`` shows none."""
+    g = _rooted(compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common", "na", "linked"), roots, "node", "root")
+    reach = F.when(~F.col("linked") & (4 * F.col("na") <= 5 * F.col("common")), F.greatest(F.expr("(9 * common) div 4 - na"), F.col("na")))
+    mixed = (g.groupBy("hub").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(reach).alias("reach")).where("r0 <> r1").select("hub", "reach"))
+    most = F.expr("(4 * na + 4) div 5")
     g = cut_lineage(g.join(mixed, "hub"), "near-mixed")
-    low, high = F.ceil(F.col("na") * 4 / 5), F.expr("(9 * common) div 4 - na")
-    y = (g.where(~F.col("linked")).withColumn("lo", low).withColumn("hi", high).where("lo <= hi")
-         .select("hub", F.col("node").alias("b"), F.col("root").alias("rb"), F.explode(F.sequence("lo", "hi")).alias("na")))
-    pairs = y.join(g.select("hub", "na", F.col("node").alias("a"), "root"), ["hub", "na"]).where("root <> rb").select("a", "b")
-    parts = g.select("hub", "node", "root", F.explode("rest").alias("e")).select(F.xxhash64("hub", "e").alias("key"), "node", "root")
-    shared = parts.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    return pairs, parts.join(shared, "key").select("key", "node")
-
-
-def classes(table_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links) of a ``signed`` table. nodes: digest, node (rid of the first row of equal words), root, first_doc;
-    links: the verified (a, b) between different texts that hold the classes together."""
+    cases = (g.select("hub", "node", "root", F.lit(False).alias("whole"), F.greatest(most - F.col("common"), F.lit(1)).cast("long").alias("least"))
+             .unionByName(g.where("na <= reach").select("hub", "node", "root", F.lit(True).alias("whole"), most.cast("long").alias("least"))))
+    both = _with_elements(cases.withColumn("a", F.col("node")).withColumn("b", F.col("hub")), elements)
+    shown = cut_lineage(map_columns(both.select("hub", "node", "root", "whole", "least", "ea", "eb"), _outside,
+                                    "hub long, node long, root long, whole boolean, least long, e array<long>").where("size(e) >= least"), "near-outside")
+    parts = shown.select("hub", "node", "root", "whole", "least", F.explode("e").alias("e")).withColumn("key", F.xxhash64("hub", "whole", "e"))
+    shared = parts.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("holders")).where("r0 <> r1").select("key", "holders")
+    of_member = Window.partitionBy("hub", "whole", "node")
+    rare = parts.join(shared, "key").withColumn("n", F.count(F.lit(1)).over(of_member)).withColumn(
+        "nth", F.row_number().over(of_member.orderBy("holders", "key"))).where("nth <= n - least + 1")
+    kept = cut_lineage(rare.select("key", "node", "root"), "near-groups")
+    still = kept.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("members")).where("r0 <> r1").select("key", "members")
+    return cut_lineage(kept.join(still, "key").select("key", "node", "root", "members"), "near-groups")
+
+
+def _few_pairs(groups: DataFrame) -> DataFrame:
+    """The pairs of different components inside groups of at most ``FEW`` members."""
+    few = groups.where(F.col("members") <= FEW).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("m"))
+    pairs = few.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
+    return pairs.where("x.root <> y.root").select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
+def classes(table_: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) of a ``signed`` table over ``docs`` (rid, text). nodes: digest, node (rid of the first row of equal words), root,
+    first_doc; links: the verified (a, b) between different texts that hold the classes together."""
+    spark = table_.sparkSession
     texts = cut_lineage(table_.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("rid").alias("node"), F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")), "near-texts")
     rows = (table_.where("digest IS NOT NULL").select("rid", "bands").join(texts.select(F.col("node").alias("rid")), "rid")
@@ -310,28 +352,30 @@ def classes(table_: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = cut_lineage(rows.join(shared, "key"), "near-buckets")
     weight = cut_lineage(buckets.groupBy("node").agg(F.sum("members").alias("weight")), "near-weight")
     bits = bitmap(weight.select(F.col("node").alias("rid")))
-    elements = cut_lineage(table_.select("rid", "text").mapInArrow(partial(_runs_of, bits), "rid long, elements binary"), "near-elements")
-
-    # 1: members of a bucket with the bucket's hub
-    first = _with_hub(buckets.select("key", "node"), weight, elements)
-    roots = cut_lineage(components(_linked(first)), "near-roots")
-    pairs, groups = _left_over(first, roots)
-    # 2: members that share something outside the hub, with the hub of those
-    second = _with_hub(groups, weight, elements)
-    short = compare(_untested(pairs, first), elements)
-    roots = _joined(roots, _linked(second).unionByName(_linked(short)))
-    tested = first.select("a", "b").unionByName(second.select("a", "b")).unionByName(short.select("a", "b"))
-    pairs, groups = _left_over(second, roots)
-    # 3: members of different components that share something outside both hubs, with each other
-    size = elements.select(F.col("rid").alias("node"), (F.length("elements") / 8).cast("long").alias("n"))
-    g = cut_lineage(_rooted(groups.distinct(), roots, "node", "root").join(size, "node"), "near-open")
-    other = g.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    cross = g.join(other, (g["key"] == other["key"]) & (g["root"] < other["rb"]) & (5 * F.least("n", "nb") >= 4 * F.greatest("n", "nb"))).select(
-        F.col("node").alias("a"), "b").distinct()
-    third = compare(_untested(cross.unionByName(pairs), tested), elements)
-    links = _linked(first).unionByName(_linked(second)).unionByName(_linked(short)).unionByName(_linked(third))
-    if not _linked(third).isEmpty():
-        roots = _joined(roots, _linked(third))
+    elements = cut_lineage(docs.select("rid", "text").mapInArrow(partial(_runs_of, bits), "rid long, elements binary"), "near-elements")
+
+    # members of a bucket with the bucket's hub; then, as long as some can be linked past a hub, members of finer groups with the
+    # hub of those. A hub comes before all members of its groups in (weight, node), so groups run out.
+    level, links, roots = buckets.select("key", "node"), [], None
+    pairs, few = _hub_pairs(level, weight), None
+    while True:
+        with scratch_tables(spark):
+            found = compare(pairs, elements)
+            new = _linked(found)
+            if few is not None:
+                new = new.unionByName(_linked(compare(few, elements)))
+            links.append(cut_lineage(new.distinct(), "near-links", keep=True))
+            roots = cut_lineage(components(links[-1]) if roots is None else _joined(roots, links[-1]), "near-roots", keep=True)
+            groups = _left_over(found, roots, elements)
+            few = cut_lineage(_few_pairs(groups), "near-few", keep=True)      # one job each: the tables of this level go
+            pairs = cut_lineage(_hub_pairs(groups.where(F.col("members") > FEW).select("key", "node"), weight), "near-pairs", keep=True)
+        if pairs.isEmpty():
+            break
+    if not few.isEmpty():
+        with scratch_tables(spark):
+            links.append(cut_lineage(_linked(compare(few, elements)), "near-links", keep=True))
+            roots = cut_lineage(_joined(roots, links[-1]), "near-roots", keep=True)
+    links = reduce(DataFrame.unionByName, links)
     return texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), links
 
 
@@ -343,34 +387,37 @@ def _joined(roots: DataFrame, new: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         between = between.join(to_root.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
     tops = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    alone = new.select(F.explode(F.array("a", "b")).alias("node")).withColumn("root", F.col("node"))
+    # a root that comes under another one moves as well, whether or not it is an end of a new link itself
+    alone = new.unionByName(between).select(F.explode(F.array("a", "b")).alias("node")).withColumn("root", F.col("node"))
     known = roots.unionByName(alone).groupBy("node").agg(F.min("root").alias("root"))     # a root is the smallest node it stands for
-    return cut_lineage(known.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "near-roots")
+    return known.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(table, rows). table: ``docs`` with a row id, in the shared folder. rows: rid, class_id and keep - whether it is the one row
-    of its class that stays (smallest doc_id, then first row)."""
-    t = signed(docs)
-    nodes, _ = classes(t)
-    ids = cut_lineage(t.select("rid", "doc_id", "digest").join(nodes.select("digest", "root", "first_doc"), "digest", "left"), "near-rows")
-    best = (ids.where("root IS NOT NULL").groupBy("root")
-            .agg(F.min("first_doc").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("k")).select("root", "class_id", F.col("k.rid").alias("kept")))
-    out = ids.join(best, "root", "left").select(
-        "rid", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce(F.col("kept") == F.col("rid"), F.lit(True)).alias("keep"))
-    return t, out
+    """(docs, rows). docs: the documents with a row id. rows: rid, n_words, class_id and keep - whether it is the one row of its
+    class that stays (smallest doc_id, then first row). All tables in between are deleted."""
+    docs = with_row_ids(docs)
+    with scratch_tables(docs.sparkSession):
+        t = signed(docs)
+        nodes, _ = classes(t, docs)
+        ids = cut_lineage(t.select("rid", "doc_id", "n_words", "digest").join(nodes.select("digest", "root", "first_doc"), "digest", "left"), "near-rows")
+        best = (ids.where("root IS NOT NULL").groupBy("root")
+                .agg(F.min("first_doc").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("k")).select("root", "class_id", F.col("k.rid").alias("kept")))
+        out = ids.join(best, "root", "left").select(
+            "rid", "n_words", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+            F.coalesce(F.col("kept") == F.col("rid"), F.lit(True)).alias("keep"))
+        return docs, cut_lineage(out, "near-result", keep=True)
 
 
 def op10_near_duplicates(spark, sf_dir) -> DataFrame:
-    t, out = grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return t.select("rid", "doc_id", "n_words").join(out, "rid").select("doc_id", "class_id", F.col("keep").alias("representative"), "n_words")
+    docs, out = grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("rid", "doc_id").join(out, "rid").select("doc_id", "class_id", F.col("keep").alias("representative"), "n_words")
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """Pipeline form: one document of each class, columns as they came."""
     def step(d):
-        t, out = grouped(d)
-        return t.join(out.where("NOT keep").select("rid"), "rid", "left_anti")
+        numbered, out = grouped(d)
+        return numbered.join(out.where("NOT keep").select("rid"), "rid", "left_anti")
 
     return shielded(docs, step)
