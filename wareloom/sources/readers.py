@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from ..session import local_rows
+from .splits import fields_of, json_array_elements, line_fields, quoted_records
 
 # Delimiters tried in order on the first line; default when none occurs.
 DELIMITERS = ("\t", ",", ";", "|")
@@ -36,32 +37,74 @@ def sniff_delimiter(line: str | None) -> str:
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, quote: str = '"',
                    encoding: str = "utf-8", header: bool = True, null_value: str | None = None) -> DataFrame:
     """SRC-1: delimiter sniffed from the first line (tab, ``,``, ``;``, ``|``, else ``,``);
-    header row; every value read as text. A line with too few fields is kept with NULLs; a line with
-    too many is left out (``read_delimited_checked`` returns those lines)."""
+    header row; every value read as text. A record with too few fields is kept with NULLs; one with
+    too many is left out (``read_delimited_checked`` returns those)."""
     return read_delimited_checked(spark, path, sep, quote, encoding, header, null_value)[0]
 
 
 def read_delimited_checked(spark: SparkSession, path: str, sep: str | None = None, quote: str = '"', encoding: str = "utf-8",
                            header: bool = True, null_value: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects): rejects holds the lines with too many fields as ``line``. Lines are parsed with spare columns after
-    the header's; a line is too long when a spare one holds a value (empty fields at its end carry nothing and are
-    ignored). The filter reads the spare columns, so the answer does not depend on the columns read later."""
+    """(rows, rejects): rejects holds the records with too many fields as ``line``, however many there are (empty fields at the end
+    carry nothing and are ignored), and the lines after a quote that is never closed. Quoted fields may hold separators, doubled
+    quotes and line breaks; a large file is read by many tasks either way (``splits``). Empty values are NULL, and those equal to
+    ``null_value``. Repeated header names are numbered: ``a``, ``a.1``."""
     sep = sep or sniff_delimiter(first_line(spark, path, encoding))
-    opts = {"sep": sep, "header": str(header).lower(), "quote": quote, "encoding": encoding}
-    if null_value is not None:
-        opts["nullValue"] = null_value
-    names = spark.read.options(**opts).option("inferSchema", "false").option("enforceSchema", "false").csv(path).columns
-    spare = [f"_wl_spare{i}" for i in range(SPARE_FIELDS)]
-    wider = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *spare]])
-    raw = (spark.read.options(**opts).schema(wider).option("mode", "PERMISSIVE").option("enforceSchema", "true")
-           .option("columnPruning", "false").csv(path))
-    rows = raw.where(F.coalesce(*spare).isNull()).select(*[F.col(f"`{n}`") for n in names])
-    line = F.from_csv(F.col("value"), _ddl(wider), {"sep": sep, "quote": quote, "mode": "PERMISSIVE"})
     lines = spark.read.option("encoding", encoding).text(path)
-    return rows, lines.where(F.coalesce(*[line[c] for c in spare]).isNotNull()).select(F.col("value").alias("line"))
+    if lines.where(F.contains("value", F.lit(quote))).isEmpty():
+        return _read_unquoted(spark, path, lines, sep, encoding, header, null_value)
+    records, unclosed = quoted_records(spark, path, sep, quote, encoding)
+    first = records.where("head").select("fields").first()
+    if first is None:
+        return local_rows(spark, [], "value string"), unclosed.select(F.col("value").alias("line"))
+    names = header_names(first["fields"], header)
+    body = records.where("NOT head") if header else records
+    rows, long = _fit(body, names, null_value)
+    return rows, long.unionByName(unclosed.select(F.col("value").alias("line")))
+
+
+def header_names(fields: list[str], header: bool = True) -> list[str]:
+    """Column names of a header record; a repeated name gets a number, a missing one its place."""
+    if not header:
+        return [f"_c{i}" for i in range(len(fields))]
+    out, seen = [], {}
+    for i, f in enumerate(fields):
+        name = f.strip() or f"Unnamed: {i}"
+        n = seen.get(name, 0)
+        seen[name] = n + 1
+        out.append(f"{name}.{n}" if n else name)
+    return out
+
 
+def _fit(records: DataFrame, names: list[str], null_value: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, too long) of records with ``value`` and ``fields``."""
+    beyond = F.exists(F.slice("fields", F.lit(len(names) + 1), F.size("fields")), lambda x: x != "")
 
-SPARE_FIELDS = 10
+    def value(i):
+        v = F.nullif(F.get("fields", F.lit(i)), F.lit(""))
+        return F.nullif(v, F.lit(null_value)) if null_value else v
+    return (records.where(~beyond).select(*[value(i).alias(n) for i, n in enumerate(names)]),
+            records.where(beyond).select(F.col("value").alias("line")))
+
+
+def _read_unquoted(spark, path, lines, sep, encoding, header, null_value):
+    """Files without a quote: Spark's own reader, which keeps a line whose number of fields differs from the header's."""
+    plain = {"sep": sep, "header": str(header).lower(), "quote": "", "encoding": encoding}
+    if null_value is not None:
+        plain["nullValue"] = null_value
+    top = lines.where("value <> ''").first()
+    if top is None:
+        return local_rows(spark, [], "value string"), lines.limit(0).select(F.col("value").alias("line"))
+    names = header_names(top["value"].split(sep), header)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_wl_line"]])
+    raw = (spark.read.options(**plain).schema(schema).option("mode", "PERMISSIVE").option("enforceSchema", "true")
+           .option("columnNameOfCorruptRecord", "_wl_line").option("columnPruning", "false").csv(path))
+
+    def too_long(c):
+        parts = F.split(c, "\\Q" + sep + "\\E", -1)
+        return F.exists(F.slice(parts, F.lit(len(names) + 1), F.size(parts)), lambda x: x != "")
+    some = F.coalesce(F.length(F.col(f"`{names[0]}`")), F.lit(0)) >= 0        # Spark reads the line text only beside a column
+    rows = raw.where(some & F.coalesce(~too_long(F.col("_wl_line")), F.lit(True))).select(*[F.col(f"`{n}`") for n in names])
+    return rows, lines.where(too_long(F.col("value"))).select(F.col("value").alias("line"))
 
 
 def _ddl(schema: T.StructType) -> str:
@@ -70,27 +113,48 @@ def _ddl(schema: T.StructType) -> str:
 
 
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
-    """Nested structs become ``a.b`` columns (recursively); arrays and maps stay as they are."""
+    """Nested structs become ``a.b`` columns (recursively); arrays and maps stay as they are. Where a nested value and a plain
+    column come to the same name, they are one column: the nested value, where there is one, else the plain one."""
+    found: dict[str, list] = {}
+
     def walk(dt: T.StructType, prefix: list[str]):
-        out = []
         for f in dt.fields:
             path = prefix + [f.name]
             if isinstance(f.dataType, T.StructType):
-                out += walk(f.dataType, path)
+                walk(f.dataType, path)
             else:
-                out.append(F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path)))
-        return out
-    return df.select(*walk(df.schema, []))
+                found.setdefault(sep.join(path), []).append((len(path), F.col(".".join(f"`{p}`" for p in path)), f.dataType))
+    walk(df.schema, [])
+
+    def one(parts):
+        if len(parts) == 1:
+            return parts[0][1]
+        deepest = sorted(parts, key=lambda p: -p[0])
+        same = len({p[2].simpleString() for p in parts}) == 1
+        return F.coalesce(*[c if same else c.cast("string") for _, c, _ in deepest])
+    return df.select(*[one(parts).alias(name) for name, parts in found.items()])
 
 
 def read_json_flat(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
-    """SRC-2: a list of objects, one object, or JSON lines; nested objects flattened."""
+    """SRC-2: a list of objects, one object, or JSON lines; nested objects flattened. Files that hold a list are read by many tasks
+    (``read_json_array``); ``multiline`` forces Spark's own reader with or without whole files."""
     if multiline is None:
+        top = spark.read.option("lineSep", "}").text(path).where(F.trim(F.col("value"), F.lit(" \t\r\n")) != "").first()
+        if top is not None and top["value"].lstrip().startswith("["):
+            return flatten(read_json_array(spark, path))
         line = (first_line(spark, path) or "").strip()
-        multiline = line.startswith("[") or not (line.startswith("{") and line.endswith("}"))
+        multiline = not (line.startswith("{") and line.endswith("}"))
     return flatten(spark.read.option("multiLine", str(multiline).lower()).json(path))
 
 
+def read_json_array(spark: SparkSession, path: str) -> DataFrame:
+    """The objects of JSON array files, cut out of the splits by many tasks, stored as JSON lines and read with Spark's reader."""
+    from .sinks import scratch_dir
+    out = scratch_dir(spark, "json-elements")
+    json_array_elements(spark, path).write.text(out)
+    return spark.read.json(out)
+
+
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """SRC-3: column subset pruned at the scan."""
     df = spark.read.parquet(path)
@@ -203,25 +267,27 @@ def skip_matching(lines: DataFrame, header_pattern: str | None = None, footer_pa
 
 
 def parse_lines(lines: DataFrame, sep: str | None = None, header: bool = True, quote: str = '"') -> DataFrame:
-    """Lines left after skipping -> columns. The header is the first remaining line of the
+    """Lines left after skipping -> columns (``parse_lines_checked`` also returns the lines with too many fields)."""
+    return parse_lines_checked(lines, sep, header, quote)[0]
+
+
+def parse_lines_checked(lines: DataFrame, sep: str | None = None, header: bool = True, quote: str = '"') -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) as in ``read_delimited_checked``, of records on one line each. The header is the first remaining line of the
     first file (one line reaches the driver); header lines are removed from every file."""
-    first = lines.orderBy("file", "line_no").select("value").first() if "line_no" in lines.columns \
-        else lines.select("value").first()
+    numbered = "line_no" in lines.columns
+    first = lines.orderBy("file", "line_no").select("value").first() if numbered else lines.select("value").first()
     if first is None:
-        return local_rows(lines.sparkSession, [], "value string")
+        return local_rows(lines.sparkSession, [], "value string"), local_rows(lines.sparkSession, [], "line string")
     text = first["value"]
     sep = sep or sniff_delimiter(text)
-    names = [n.strip().strip(quote) for n in text.split(sep)] if header else \
-        [f"_c{i}" for i in range(len(text.split(sep)))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    names = header_names(fields_of(text, sep, quote), header)
     body = lines
     if header:      # the first line left of every file is its header; an equal line further down is data
         body = lines.filter(F.col("value") != F.lit(text))
-        if "line_no" in lines.columns:
+        if numbered:
             heads = lines.groupBy("file").agg(F.min("line_no").alias("_wl_head"))
             body = lines.join(heads, "file").where("line_no <> _wl_head").drop("_wl_head")
-    parsed = body.select(F.from_csv(F.col("value"), _ddl(schema), {"sep": sep, "quote": quote}).alias("r"))
-    return parsed.select("r.*")
+    return _fit(body.where("value <> ''").select("value", line_fields(F.col("value"), sep, quote).alias("fields")), names)
 
 
 def sql_source(spark: SparkSession, query: str, params: dict | None = None) -> DataFrame:

@@ -62,10 +62,10 @@ def write_report(df: DataFrame, fmt: str, path: str, mode: str = "overwrite") ->
     numbers), SNK-5 XML (``<Report><Row>``, blanks in names -> ``_``, NULL -> empty), SNK-6 Parquet."""
     f = fmt.upper()
     if f == "CSV":
-        df.write.mode(mode).option("header", "true").csv(path)
+        df.write.mode(mode).option("header", "true").option("escape", '"').csv(path)      # a quote in a value is doubled
     elif f == "TXT":
         df.write.mode(mode).option("header", "true").option("sep", "|").option("nullValue", "") \
-          .option("emptyValue", "").csv(path)
+          .option("emptyValue", "").option("escape", '"').csv(path)
     elif f == "JSON":
         json_safe(df).write.mode(mode).option("ignoreNullFields", "false").json(path)
     elif f == "XML":
