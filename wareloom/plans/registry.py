@@ -9,7 +9,7 @@ QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
 _MODULES = ("q_merges", "q_columns", "q_quality", "q_runlog", "q_reports", "q_catalogue", "q_text", "q_flows",
-            "q_io", "q_stream", "q_edges", "q_values", "q_files")
+            "q_io", "q_stream", "q_edges", "q_values", "q_files", "q_targets")
 
 
 def query(name: str, sql: str | None = None):

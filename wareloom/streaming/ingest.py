@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import merge as M
+from ..sources.buckets import BucketedTable
 from ..sources.sinks import DimensionTable, SnapshotTable
-from ..session import local_rows
+from ..session import local_rows, path_exists
 
 PROGRESS_SCHEMA = "batch_id long, source_rows long, target_rows long, error_rows long"
 
@@ -80,25 +81,32 @@ def read_ingested(spark: SparkSession, target_dir: str) -> DataFrame:
     return spark.read.parquet(target_dir).drop("batch_id")
 
 
-def merge_stream(spark: SparkSession, stream: DataFrame, target: SnapshotTable | DimensionTable, keys: list[str], ts,
+def merge_stream(spark: SparkSession, stream: DataFrame, target: SnapshotTable | DimensionTable | BucketedTable, keys: list[str], ts,
                  checkpoint: str, progress_dir: str, scd_type: int = 2, kind: str = M.DIM,
                  order_by: list[str] | None = None, deliveries: int = 1) -> None:
     """SS-2 / SS-3 / SS-4: micro-batches merged into the table, one version per batch. The batch's progress row is written
-    under the batch's own folder before the commit: a crash between the two runs the batch again and writes both again."""
+    under the batch's own folder before the commit: a crash between the two runs the batch again and writes both again. A
+    ``BucketedTable`` reads and rewrites only the buckets of the batch's keys; as part of them may be merged already when a batch is
+    run again, the progress row of the first run stands."""
     def merge_batch(batch: DataFrame, batch_id: int):
         version = batch_id + 1
         store = target.current if isinstance(target, DimensionTable) else target
         if store.has_version(version):         # already committed before a restart
             return
-        if isinstance(target, DimensionTable):  # history stays append-only
-            res = M.scd_merge(batch, target.read_current(), keys, ts, scd_type=scd_type, kind=kind,
+        if isinstance(target, (DimensionTable, BucketedTable)):  # history stays append-only
+            rows = target.read_touched(batch) if isinstance(target, BucketedTable) else target.read_current()
+            res = M.scd_merge(batch, rows, keys, ts, scd_type=scd_type, kind=kind,
                               order_by=order_by, include_history=False, next_key=target.next_key())
         else:
             res = M.scd_merge(batch, target.read(), keys, ts, scd_type=scd_type, kind=kind, order_by=order_by)
+        run = f"{progress_dir}/run={batch_id}"
+        if isinstance(target, BucketedTable) and path_exists(spark, f"{run}/_SUCCESS"):
+            target.commit(res.target, version)
+            return
         c = res.counters()
         local_rows(spark, [(int(batch_id), int(c.get("source_rows", 0)), int(c.get("target_rows", 0)),
                                 int(c.get("error_rows", 0)))], PROGRESS_SCHEMA) \
-            .coalesce(1).write.mode("overwrite").parquet(f"{progress_dir}/run={batch_id}")
+            .coalesce(1).write.mode("overwrite").parquet(run)
         target.commit(res.target, version)
 
     _run(stream, merge_batch, checkpoint, deliveries)
