@@ -17,7 +17,7 @@ a pair at 0.8 meets in none of them with probability 3e-6. Members of a bucket a
 member that shares most buckets: of a group of edited copies the least edited one), not with each other. Two members that are not
 both linked to the hub can only be linked if they share an element that the hub does not have, or if one is markedly shorter
 than the hub (``_left_over``); only such members go on, in groups by the rarest elements that could make up a link, and
-meet the hub of their group, and so on until no group holds two components. Pairs are only formed in groups of at most ``FEW``
+meet the ``HUBS`` first members of their group, and so on until no group holds two components. Pairs are only formed in groups of at most ``FEW``
 members. A group of n edited copies costs n comparisons, texts that merely share a passage drop out before the second. Every
 comparison is the exact multiset overlap, classes are connected components by contraction, and tables are deleted level by level,
 so nothing that grows with the corpus is broadcast or collected.
@@ -46,7 +46,7 @@ M = BANDS * ROWS
 GAMMA = np.uint64(0x9E3779B97F4A7C15)
 TOKENS_AT_ONCE = 200_000
 BITMAP_BITS = 1 << 23
-FEW = 32
+FEW, HUBS = 32, 12
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -226,10 +226,10 @@ def _overlap(cols):
         o = int(inside.sum())
         for k, v in (("common", o), ("na", len(x)), ("nb", len(y)), ("linked", 9 * o >= 4 * (len(x) + len(y)))):
             out[k].append(v)                              # o / (na + nb - o) >= 0.8, in integers
-    return {"a": cols["a"], "b": cols["b"]} | out
+    return {k: cols[k] for k in ("a", "b", "last")} | out
 
 
-COMPARED = "a long, b long, common long, na long, nb long, linked boolean"
+COMPARED = "a long, b long, last boolean, common long, na long, nb long, linked boolean"
 
 
 def _with_elements(pairs: DataFrame, elements: DataFrame) -> DataFrame:
@@ -239,7 +239,9 @@ def _with_elements(pairs: DataFrame, elements: DataFrame) -> DataFrame:
 
 def compare(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """Pairs (a, b) with the exact overlap of their multisets; ``linked``: weighted Jaccard similarity of at least 0.8."""
-    both = _with_elements(pairs.select("a", "b"), elements).select("a", "b", "ea", "eb")
+    if "last" not in pairs.columns:
+        pairs = pairs.withColumn("last", F.lit(False))
+    both = _with_elements(pairs.select("a", "b", "last"), elements).select("a", "b", "last", "ea", "eb")
     return cut_lineage(map_columns(both, _overlap, COMPARED), "near-compared")
 
 
@@ -281,11 +283,15 @@ def _linked(compared: DataFrame) -> DataFrame:
     return compared.where("linked").select("a", "b")
 
 
-def _hub_pairs(groups: DataFrame, weight: DataFrame) -> DataFrame:
-    """Every member of a group (key, node) with the group's hub: the member that shares most buckets, the smallest of equals."""
+def _hub_pairs(groups: DataFrame, weight: DataFrame, hubs: int) -> DataFrame:
+    """Every member of a group (key, node) with the group's hubs that come before it, the ``hubs`` members that share most buckets (of
+    equals the smallest). ``last``: the hub is the last one of a group, so the member met all of them."""
     w = groups.join(weight, "node")
-    hub = w.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("n"))).alias("h")).select("key", (-F.col("h.n")).alias("b"))
-    return groups.join(hub, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    best = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
+    top = (w.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= hubs)
+           .withColumn("last", F.col("nth") == F.max("nth").over(Window.partitionBy("key"))).select("key", F.col("node").alias("b"), F.col("weight").alias("wb"), "last"))
+    before = F.struct(-F.col("wb"), F.col("b")) < F.struct(-F.col("weight"), F.col("node"))
+    return w.join(top, "key").where(before).groupBy(F.col("node").alias("a"), "b").agg(F.bool_or("last").alias("last"))
 
 
 def _outside(cols):
@@ -299,7 +305,7 @@ def _outside(cols):
 
 
 def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> DataFrame:
-    """(key, node): groups that hold every pair of members of one hub that can still be linked, after each was compared with it.
+    """(key, node): groups that hold every pair of members of one (last) hub that can still be linked, after each was compared with it.
 
     Let x and y be members of different components, so at least one is not linked to the hub. A link needs an overlap of
     4/9 (|x| + |y|), which is 4/5 of either at least. Two cases:
@@ -313,7 +319,7 @@ def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> Da
     In either case, with the elements in one order (rarest first), a member need only show the first ``n - least + 1`` of its
     n elements (prefix filtering). Elements that no member of another component has come first and are left out; a member
     whose other elements are fewer than ``least`` shows none."""
-    g = _rooted(compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common", "na", "linked"), roots, "node", "root")
+    g = _rooted(compared.where("last").select(F.col("a").alias("node"), F.col("b").alias("hub"), "common", "na", "linked"), roots, "node", "root")
     reach = F.when(~F.col("linked") & (4 * F.col("na") <= 5 * F.col("common")), F.greatest(F.expr("(9 * common) div 4 - na"), F.col("na")))
     mixed = (g.groupBy("hub").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(reach).alias("reach")).where("r0 <> r1").select("hub", "reach"))
     most = F.expr("(4 * na + 4) div 5")
@@ -355,9 +361,9 @@ def classes(table_: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     elements = cut_lineage(docs.select("rid", "text").mapInArrow(partial(_runs_of, bits), "rid long, elements binary"), "near-elements")
 
     # members of a bucket with the bucket's hub; then, as long as some can be linked past a hub, members of finer groups with the
-    # hub of those. A hub comes before all members of its groups in (weight, node), so groups run out.
-    level, links, roots = buckets.select("key", "node"), [], None
-    pairs, few = _hub_pairs(level, weight), None
+    # hubs of those. A hub comes before all members of its groups in (weight, node), so groups run out.
+    links, roots, few, tried = [], None, None, []
+    pairs = _hub_pairs(buckets.select("key", "node"), weight, 1)
     while True:
         with scratch_tables(spark):
             found = compare(pairs, elements)
@@ -367,8 +373,12 @@ def classes(table_: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             links.append(cut_lineage(new.distinct(), "near-links", keep=True))
             roots = cut_lineage(components(links[-1]) if roots is None else _joined(roots, links[-1]), "near-roots", keep=True)
             groups = _left_over(found, roots, elements)
-            few = cut_lineage(_few_pairs(groups), "near-few", keep=True)      # one job each: the tables of this level go
-            pairs = cut_lineage(_hub_pairs(groups.where(F.col("members") > FEW).select("key", "node"), weight), "near-pairs", keep=True)
+            few = _few_pairs(groups)
+            for t in tried:                                      # pairs of few groups are tried once
+                few = few.join(t, ["a", "b"], "left_anti")
+            few = cut_lineage(few, "near-few", keep=True)
+            tried.append(few)
+            pairs = cut_lineage(_hub_pairs(groups.where(F.col("members") > FEW).select("key", "node"), weight, HUBS), "near-pairs", keep=True)
         if pairs.isEmpty():
             break
     if not few.isEmpty():
