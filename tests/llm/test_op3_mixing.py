@@ -81,3 +81,31 @@ def test_empty_and_clashing(spark):
     assert [r["taken"] for r in op.mix_sources(only_empty).collect()] == [0, 0]
     c = op.mix_sources(with_clashing(d, "size", "src", "bucket", "target", "h", "words"))
     assert sorted(map(str, c.collect())) == sorted(map(str, op.mix_sources(d).collect()))
+
+
+def test_block_orders_are_permutations_and_no_rotations():
+    for n in [*range(1, 60), 1000, 32_768]:
+        step, shift = op.block_order(n, [op.SEED, 3])
+        order = [(step * b + shift) % n for b in range(n)]
+        assert sorted(order) == list(range(n))
+        if n > 6:
+            assert step % n not in (1, n - 1)
+    assert op.block_order(101, [1, 0]) != op.block_order(101, [2, 0])
+
+
+def test_shards_are_shuffled_inside(spark):
+    rows = fixture()
+    d = op.draw_mix(docs(spark, rows), block_words=64, shard_words=1000).where("shard IS NOT NULL").collect()
+    shards = {}
+    for r in d:
+        shards.setdefault(r["shard"], []).append((r["place"], r["src"], r["bucket"], r["nth"]))
+    assert len(shards) > 3
+    assert all(sorted(p for p, *_ in s) == list(range(1, len(s) + 1)) for s in shards.values())
+    big = max(shards.values(), key=len)
+    assert [x[1:] for x in sorted(big)] != sorted(x[1:] for x in big) and len({x[1] for x in sorted(big)[:max(4, len(big) // 4)]}) > 1
+
+
+def test_rows_without_an_id_are_spread(spark):
+    rows = [(None, f"text number {i} of many", None, "a") for i in range(400)]
+    d = op.draw_mix(docs(spark, rows), block_words=64, shard_words=1000)
+    assert d.select("bucket").distinct().count() > 300
