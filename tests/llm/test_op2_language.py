@@ -45,6 +45,17 @@ def test_narrow_margins_are_rejected(spark):
     assert not r["accepted"] and r["lang_pred"] in SYLLABLES
 
 
+def test_every_word_counts(spark):
+    """A long text in one language with few different words, and a short list of many different words of another."""
+    model = op.learn(docs(spark, corpus()))
+    rng = random.Random(6)
+    few = ["".join(rng.choice(SYLLABLES["aa"]) for _ in range(3)) for _ in range(8)]
+    many = " ".join("".join(rng.choice(SYLLABLES["bb"]) for _ in range(3)) for _ in range(25))
+    text = " ".join(rng.choice(few) for _ in range(1600)) + " " + many
+    got = {r["doc_id"]: r["lang_pred"] for r in op.predict(docs(spark, [(1, text), (2, many), (3, many + " " + few[0])]), model).collect()}
+    assert got == {1: "aa", 2: "bb", 3: "bb"}
+
+
 def test_without_training_rows(spark):
     model = op.learn(docs(spark, [(1, "some text")]))
     assert [r["lang_pred"] for r in op.predict(docs(spark, [(1, "some text")]), model).collect()] == ["und"]

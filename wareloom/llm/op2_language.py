@@ -3,20 +3,20 @@
 Learning: for every language a dictionary of ``slots`` passages is gathered from the labelled
 training rows: each (language, slot) keeps the passage of the row with the smallest hash (an
 aggregate with a map-side partial step; ``slots * passage_bytes`` bytes a language, whatever the
-corpus holds). The number of training rows of a language gives its prior cost in bits.
+corpus holds).
 
-Prediction: the whole text is encoded in pieces of ``piece_bytes`` with each language's dictionary;
-the language with the smallest total of bytes plus prior wins. ``score`` is the share of the winner
+Prediction: every word of the whole text is encoded, in pieces of ``PIECE`` bytes, with each language's dictionary;
+the language with the smallest total of bytes wins. ``score`` is the share of the winner
 when the per-piece bit costs are read as evidence; ``margin`` is the relative saving over the
 runner-up and ``accepted`` is false when it is below ``min_margin`` (a narrow decision is rejected;
 ``lang_pred`` still names the best guess, as the contract asks).
 
 Defined cases: NULL text or text without a letter -> ``und``, score 0, not accepted; ties go to the
-smaller language name; with no labelled row every text is ``und``."""
+smaller language name; with no labelled row every text is ``und``; a very long text is encoded whole, piece by piece; repeated rows
+get equal predictions; an empty table gives no rows; columns named as the new ones are replaced, others pass through."""
 
 from __future__ import annotations
 
-import math
 import re
 from functools import partial
 
@@ -33,9 +33,8 @@ MIN_MARGIN = 0.01
 
 
 def reduced(text: str) -> bytes:
-    """What is encoded: the text's different words, lower-cased, in order of appearance (case, digits, marks and
-    repetition tell nothing about the language, and a repeated word would only compress against itself)."""
-    return " ".join(dict.fromkeys(WORD.findall(text.lower()))).encode("utf-8", "replace")
+    """What is encoded: all words of the text, lower-cased, in order (case, digits and marks tell nothing about the language)."""
+    return " ".join(WORD.findall(text.lower())).encode("utf-8", "replace")
 
 
 def _passages(size, cols):
@@ -70,9 +69,7 @@ class Coder:
     made: dict = {}
 
     def __init__(self, model: dict):
-        total = sum(n for _, n in model.values())
         self.langs = sorted(model)
-        self.prior = [-math.log2(model[k][1] / total) / 8 for k in self.langs]
         params = zstd.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.coders = []
         for k in self.langs:
@@ -90,7 +87,7 @@ class Coder:
     def costs(self, text: str) -> list[float]:
         b = reduced(text)
         pieces = [b[i:i + PIECE] for i in range(0, len(b), PIECE)]
-        return [p + sum(len(c.compress(x)) for x in pieces) for p, c in zip(self.prior, self.coders)]
+        return [float(sum(len(c.compress(x)) for x in pieces)) for c in self.coders]
 
 
 def _predict(key, model, min_margin, cols):
