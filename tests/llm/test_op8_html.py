@@ -50,6 +50,33 @@ def test_split_sections_quotes_and_table_layouts_are_whole():
     assert got == [*lines, f"{P.strip()} last"] and "Link 0" not in text(layout)
 
 
+def test_several_articles_stay_whole():
+    long, short = f"{P} {P}".strip(), "A short one."
+    assert text(f"<article><p>{long}</p></article><article><p>{short}</p></article>").split("\n") == [" ".join(long.split()), short]
+    many = [f"{(P * (1 + k % 3)).strip()} {k}" for k in range(8)]
+    assert text(MENU + "".join(f"<article><p>{x}</p></article>" for x in many) + "<footer>f</footer>").split("\n") == many
+    cards = "".join(f"<article><a href='#'>Teaser {i}</a></article>" for i in range(5))
+    assert text(f"<main><h1>Title</h1><article><p>{P}</p></article></main>{cards}").split("\n") == ["Title", P.strip()]
+
+
+def test_names_count_as_a_whole():
+    body = "<article>" + "".join(f"<p {a}>{P} {i}</p>" for i, a in enumerate(["class='notice-period'", "class='related-work'", "id='search-algorithms'", "class='comment-culture'"]))
+    body += "".join(f"<div {a}>gone</div>" for a in ["class='cookie-notice'", "id='siteHeader'", "class='related-posts'", "class='x ad-slot'", "class='comment-list'", "role='search'"]) + "</article>"
+    assert text(body).split("\n") == [f"{P.strip()} {i}" for i in range(4)]
+
+
+def test_formulas_and_forms():
+    assert text(f"<article><p>{P} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>").endswith("words. x=2")
+    page_form = f"<form action='/'><input type='hidden'><nav>menu</nav><article><p>{P}</p><p>More.</p></article><label>Name</label><select><option>1</option></select><button>Go</button></form>"
+    assert text(page_form) == text(page_form.replace("</form>", "")) == f"{P.strip()}\nMore."
+    assert text(f"<article><p>{P}</p><form><p>Your name</p><input></form><p>Last.</p></article>") == f"{P.strip()}\nLast."
+
+
+def test_smoothing_keeps_the_order_of_two_lines():
+    x = op.smooth(op.np.array([100.0, 10.0]))
+    assert x[0] > x[1] and op.np.allclose(op.smooth(op.np.full(9, 4.0)), 4.0)
+
+
 def test_broken_markup():
     assert text(f"<article><p><b>{P}<br><p>next<p>last</article></nav></div>") == f"{P.strip()}\nnext\nlast"
     assert text(f"<article><p>{P}") == P.strip()

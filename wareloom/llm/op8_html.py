@@ -3,18 +3,19 @@
 The standard library's parser feeds one pass of events; blocks ("lines") are cut at block-level tags.
 Each line has a text-to-tag ratio (characters per tag in it); the ratios are smoothed with a Gaussian
 along the page and split into two clusters by a threshold moved to the midpoint of the cluster means.
-The high cluster votes for the container (article, main, section, div, ...) that holds the content:
-the deepest one with ``SHARE`` of the votes, widened to an enclosing article or main; without one, the
-deepest one that holds all votes (lines that are mostly links have none, and a part of a table, a quote or
-a centred block is never the container). All lines of that container are the text, so short paragraphs
-between long ones stay. Elements that are never content
-(navigation, header, footer, aside, forms, scripts, styles, hidden parts, and elements whose class,
-id or role names adverts, notices, menus, sidebars or comments) are left out on the way; outside an
-article, lines of the low cluster that are mostly links go too.
+On a page with ``main`` or ``article`` elements the regions are the outermost of them (those in ``main``, when there is one),
+and all text of a region is kept if it has a line of the high cluster or is not mostly links. On other pages
+the high cluster votes for the container (section, div, ...) that holds the content: the deepest one that holds all
+votes (lines that are mostly links have none, and a part of a table, a quote or a centred block is never the container). All
+lines of that container are the text, so short paragraphs between long ones stay; lines of the low cluster that are mostly links go.
+Elements that are never content (navigation, header, footer, aside, forms, scripts, styles, hidden parts, and elements whose class, id or
+role is the name of an advert, notice, menu, sidebar or comments, alone or with words of place: ``site-header``, not
+``notice-period``) are left out on the way. A form that holds more text than the rest of the page is the page: only its fields go.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by
 one newline. Defined cases: NULL or empty html gives an empty text; broken markup never fails (an
-unclosed element ends with its parent); pages are independent rows, so repeated pages give equal rows."""
+unclosed element ends with its parent); a very long page is read whole, in one pass; pages are independent rows, so repeated
+pages give equal rows; an empty table gives no rows; columns named as the new ones are replaced, others pass through."""
 
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ from .common import add_columns, table
 
 SIGMA, SHARE = 1.5, 0.85
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset(("script style noscript template nav header footer aside form head title svg math iframe object canvas audio video button select "
+SKIP = frozenset(("script style noscript template nav header footer aside form head title svg iframe object canvas audio video button select "
                   "option textarea dialog menu datalist fieldset").split())
 CONTAINER = frozenset("html body main article section div td th table tbody tr center blockquote".split())
 PART = frozenset("td th table tbody tr center blockquote".split())
@@ -40,14 +41,22 @@ NOT_CONTENT = frozenset((
     "breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus cookie cookies consent gdpr notice notices notification alert popup modal "
     "overlay toast newsletter subscribe signup subscription share sharing social related recommended recommendations footer header masthead topbar toolbar "
     "pagination pager widget widgets login search contentinfo complementary toc skip").split())
+#: Words that may stand beside them in a name.
+BESIDE = frozenset((
+    "site page main global top bottom left right primary secondary list lists section box container wrapper wrap area block bar item items form forms link links inner "
+    "outer panel unit slot text icon icons button buttons row col column module posts post articles stories thread count field input message").split())
+FIELDS = frozenset("label legend input".split())
+FIELD_TAGS = FIELDS | frozenset("script style noscript template select option button textarea".split())
 STATE = ("with", "has", "no", "is", "js", "without")
 NAME = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WHOLE = ("html", "body", "main")
 
 
-def not_content(tag: str, attrs) -> bool:
+def not_content(tag: str, attrs, in_form: bool = False) -> bool:
     if tag in SKIP:
+        return not (in_form and tag in ("form", "fieldset"))
+    if in_form and tag in FIELDS:
         return True
     for k, v in attrs:
         if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and HIDDEN.search(v)):
@@ -55,7 +64,7 @@ def not_content(tag: str, attrs) -> bool:
         if k in ("class", "id", "role") and v and tag not in WHOLE:
             for name in v.split():
                 words = [w.lower() for w in NAME.split(name) if w]
-                if words and words[0] not in STATE and not NOT_CONTENT.isdisjoint(words):
+                if words and words[0] not in STATE and not NOT_CONTENT.isdisjoint(words) and NOT_CONTENT.union(BESIDE).issuperset(words):
                     return True
     return False
 
@@ -63,8 +72,9 @@ def not_content(tag: str, attrs) -> bool:
 class Lines(HTMLParser):
     """Collects (container, text, tags, link characters) per block, content candidates only."""
 
-    def __init__(self):
+    def __init__(self, in_form: bool = False):
         super().__init__(convert_charrefs=True)
+        self.in_form, self.forms, self.form_chars = in_form, 0, 0      # whether forms are read, open forms, characters in them
         self.parent, self.kind = [-1], ["root"]       # containers seen, by number
         self.stack = [("root", 0, False)]             # open elements: tag, container, not content
         self.lines, self.buf, self.tags, self.links, self.in_link = [], [], 0, 0, 0
@@ -93,7 +103,8 @@ class Lines(HTMLParser):
                 self.buf.append(" ")
             return
         top = self.stack[-1]
-        out = top[2] or not_content(tag, attrs)
+        out = top[2] or not_content(tag, attrs, self.in_form)
+        self.forms += tag == "form"
         if tag == "a":
             self.in_link += 1
         if tag in CONTAINER and not out:
@@ -119,6 +130,7 @@ class Lines(HTMLParser):
             return
         if tag == "a" and self.in_link:
             self.in_link -= 1
+        self.forms -= tag == "form" and self.forms > 0
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
                 del self.stack[i:]
@@ -127,6 +139,8 @@ class Lines(HTMLParser):
                 return                                 # a stray end tag does not close its surroundings
 
     def handle_data(self, data):
+        if self.forms and self.stack[-1][0] not in FIELD_TAGS:
+            self.form_chars += len(data.split())
         if not self.stack[-1][2]:
             self.buf.append(data)
             if self.in_link:
@@ -139,12 +153,12 @@ class Lines(HTMLParser):
 
 
 def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Gaussian smoothing along the page, mirrored at both ends."""
+    """Gaussian smoothing along the page; at the ends over the lines that are there."""
     r = min(len(x) - 1, int(3 * sigma))
     if r < 1:
         return x
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    return np.convolve(np.pad(x, r, mode="reflect"), k / k.sum(), mode="valid")
+    return np.convolve(x, k, mode="full")[r:-r] / np.convolve(np.ones(len(x)), k, mode="full")[r:-r]
 
 
 def threshold(x: np.ndarray) -> float:
@@ -172,6 +186,46 @@ def _container(p: Lines, size: np.ndarray, high: np.ndarray, share: float) -> in
     return max((c for c in range(len(votes)) if votes[c] >= share * votes[0]), default=0)
 
 
+def _regions(p: Lines, size: np.ndarray, links: np.ndarray, high: np.ndarray) -> set[int]:
+    """The outermost main or article elements with content of their own (those of ``main``, if there is one)."""
+    top = []                                           # per container: the outermost main or article around it, else -1
+    for c in range(len(p.kind)):
+        above = top[p.parent[c]] if p.parent[c] >= 0 else -1
+        top.append(above if above >= 0 else c if p.kind[c] in ("article", "main") else -1)
+    of_line = np.array([top[c] for c, *_ in p.lines])
+    found = set()
+    for r in sorted(set(of_line.tolist()) - {-1}):
+        at = of_line == r
+        if high[at].any() or links[at].sum() < 0.5 * size[at].sum():
+            found.add(r)
+    mains = {r for r in found if p.kind[r] == "main"}
+    return mains or found
+
+
+def _kept(p: Lines) -> list[str]:
+    size = np.array([len(t) for _, t, _, _ in p.lines], float)
+    links = np.array([n for *_, n in p.lines], float)
+    ratio = smooth(size / np.array([max(1, n) for _, _, n, _ in p.lines]))
+    high = ratio >= threshold(ratio)
+    regions = _regions(p, size, links, high)
+    whole = bool(regions)
+    if not whole:
+        held = {0}                                     # the container holds that of most votes, too
+        at = best = _container(p, size, high, SHARE)
+        while at > 0:
+            held.add(at)
+            at = p.parent[at]
+        text = high & (links < 0.5 * size)
+        best = _container(p, size, text if text.any() else high, 1.0)
+        while best not in held or p.kind[best] in PART:
+            best = p.parent[best]
+        regions = {best}
+    inside = []
+    for c in range(len(p.kind)):
+        inside.append(c in regions or (p.parent[c] >= 0 and inside[p.parent[c]]))
+    return [t for (c, t, _, n), h, m in zip(p.lines, high, size) if inside[c] and (whole or h or n < 0.5 * m)]
+
+
 def main_text(html) -> tuple[str, int, int]:
     """(text, lines kept, lines seen)."""
     if not html:
@@ -179,32 +233,14 @@ def main_text(html) -> tuple[str, int, int]:
     p = Lines()
     p.feed(html)
     p.done()
+    if p.form_chars > sum(len(t.split()) for _, t, _, _ in p.lines):       # the page stands in a form
+        q = Lines(in_form=True)
+        q.feed(html)
+        q.done()
+        p = q if q.lines else p
     if not p.lines:
         return "", 0, 0
-    size = np.array([len(t) for _, t, _, _ in p.lines], float)
-    ratio = smooth(size / np.array([max(1, n) for _, _, n, _ in p.lines]))
-    high = ratio >= threshold(ratio)
-    best = _container(p, size, high, SHARE)
-    at = best
-    while at > 0:
-        if p.kind[at] in ("article", "main"):
-            best = at
-        at = p.parent[at]
-    if p.kind[best] not in ("article", "main"):
-        held = {0, best}                               # the container holds that of most votes, too
-        at = best
-        while at > 0:
-            at = p.parent[at]
-            held.add(at)
-        text = high & np.array([links < 0.5 * n for (*_, links), n in zip(p.lines, size)])
-        best = _container(p, size, text if text.any() else high, 1.0)
-        while best not in held or p.kind[best] in PART:
-            best = p.parent[best]
-    inside = [False] * len(p.kind)
-    for c in range(len(inside)):
-        inside[c] = c == best or (c > best and p.parent[c] >= 0 and inside[p.parent[c]])
-    article = p.kind[best] in ("article", "main")
-    kept = [t for (c, t, _, links), h, n in zip(p.lines, high, size) if inside[c] and (article or h or links < 0.5 * n)]
+    kept = _kept(p)
     return "\n".join(kept), len(kept), len(p.lines)
 
 
