@@ -37,6 +37,17 @@ def test_labels_of_the_method(spark):
     assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in by.values())
 
 
+def test_repeated_bigrams_and_similar_licenses(spark):
+    gpl, lgpl = (next(t for x, t in op.TEMPLATES if x == label and "under the terms" in t) for label in ("gpl", "lgpl"))
+    you = "you can redistribute it and or modify it "
+    rows = [(1, "the license " * 10), (2, "of the " * 40 + "software " * 40), (3, gpl), (4, you + lgpl), (5, gpl + " . " + op.TEMPLATES[0][1]), (6, gpl + " " + "filler " * 70 + lgpl),
+            (7, (gpl + " x ") * 30), (8, " ".join(reversed(gpl.split())))]
+    by = {r["doc_id"]: r for r in op.scan(docs(spark, rows)).collect()}
+    assert [by[i]["labels"] for i in range(1, 9)] == ["", "", "gpl", "gpl,lgpl", "gpl,mit", "gpl,lgpl", "gpl", ""]
+    assert [by[i]["base_labels"] for i in (3, 4)] == ["gpl", "gpl"]              # the base phrase stands in both
+    assert by[1]["score"] < 0.3 and by[3]["score"] == 1.0
+
+
 def test_random_words(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([" ", "-", ". "]).join(rng.choice(["MIT", "license", "general", "public", "Apache", "x"]) for _ in range(rng.randrange(30)))) for i in range(200)]
@@ -50,5 +61,5 @@ def test_empty_and_clashing(spark):
 
 
 def test_no_python_in_the_plan(spark):
-    plan = op.scan(docs(spark, ROWS))._jdf.queryExecution().toString()
+    plan = op.spans(docs(spark, ROWS))._jdf.queryExecution().toString() + op.winners(op.spans(docs(spark, ROWS)).where("found"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

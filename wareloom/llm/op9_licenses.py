@@ -3,15 +3,21 @@
 All rolling word bigrams of a text are hashed and joined to the bigrams of the templates. A hit at
 word ``p`` of the text and ``t`` of the template votes for the diagonal ``p - t``. On one diagonal the
 votes of a template that stands there word for word add up to all its bigrams; small insertions and
-losses shift the rest to a near diagonal, so neighbouring diagonals (gap <= ``DIAGONAL_GAP``) of one
-template are merged. A merged span is verified by the words themselves (the hash only finds
-candidates), by the share of the template's bigrams it covers (>= ``MIN_COVER``) and by its length.
+losses shift the rest to a near diagonal, so the diagonals within ``DIAGONAL_GAP`` of each other vote together: the distinct places of
+the template they cover are counted, however often a bigram is repeated. A span is verified by the words themselves (the hash only
+finds candidates), by the share of the template's bigrams it covers (>= ``MIN_COVER``), by what stands in order on its own diagonal
+(>= ``MIN_OWN`` of that) and by its length. Of spans that overlap, the one whose template is covered best stays, so a notice is
+not also labelled by a similar license.
 
 The base phrases are templates too: a place counts when one diagonal has all the phrase's bigrams.
 The template table is fixed and small (a few hundred bigrams), so it is broadcast.
 
-One scan: a document keeps one row even without a hit, so nothing is joined back to the texts; rows
-of one doc_id stay apart. NULL or empty text has 0 words, no places, no labels and score 0."""
+One scan: a document keeps one row even without a hit, so nothing is joined back to the texts; the spans are a narrow table in the
+shared folder, deleted once the result is stored. Spans compete inside stretches of ``STRETCH`` words of a document.
+
+Defined cases: rows of one doc_id stay apart; NULL or empty text has 0 words, no places, no labels and score 0; a very long text is
+scanned whole; equal rows get equal results; of equally covered spans the longer template's, then the first listed stays; an empty
+table gives no rows; further columns are not read."""
 
 from __future__ import annotations
 
@@ -20,7 +26,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, table
+from .common import NOT_WORD, cut_lineage, scratch_tables, table
 
 #: Base phrases and their labels.
 BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
@@ -40,9 +46,25 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("bsl", "boost software license version 1 0"),
+    ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain"),
+    ("artistic", "you may copy modify and distribute this package under the terms of the artistic license"),
+    ("wtfpl", "do what the fuck you want to public license"),
 ]
-DIAGONAL_GAP = 2
+DIAGONAL_GAP = 3
 MIN_COVER = 0.6
+MIN_OWN = 1 / 3
+STRETCH = 64               # words; longer than any span
 
 
 def template_bigrams(spark) -> DataFrame:
@@ -73,32 +95,49 @@ def hits(docs: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """Verified spans (rid, doc_id, n_words, base, label, first, last word, cover) and one row with NULL label for a
+    """Candidate spans (rid, doc_id, n_words, tid, base, label, first, last word, cover, votes, found) and one row with NULL label for a
     document without any candidate."""
+    place = F.expr("shiftleft(1L, t)")                                     # templates have fewer than 63 bigrams
     votes = (hits(docs).withColumn("diagonal", F.col("p") - F.col("t"))
              .groupBy("rid", "doc_id", "n_words", "tid", "base", "label", "t_words", "diagonal")
-             .agg(F.count_distinct("t").alias("votes"), F.min("p").alias("lo"), F.max("p").alias("hi")))
-    w = Window.partitionBy("rid", "tid").orderBy("diagonal")
-    gap = F.col("diagonal") - F.lag("diagonal").over(w)
-    return (votes.withColumn("new", F.when(F.col("base") | gap.isNull() | (gap > DIAGONAL_GAP), 1).otherwise(0))
-            .withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy("rid", "doc_id", "n_words", "tid", "base", "label", "t_words", "run")
-            .agg(F.sum("votes").alias("votes"), F.min("lo").cast("long").alias("first"), (F.max("hi") + 1).cast("long").alias("last"))
-            .withColumn("cover", F.least(F.lit(1.0), F.col("votes") / (F.col("t_words") - 1)))
-            .withColumn("found", F.when(F.col("base"), F.col("cover") == 1.0).otherwise(
-                (F.col("cover") >= MIN_COVER) & (F.col("last") - F.col("first") + 1 <= F.col("t_words") * 1.5 + 4))))
+             .agg(F.bit_or(place).alias("own"), F.min("p").alias("lo"), F.max("p").alias("hi")))
+    near = Window.partitionBy("rid", "tid").orderBy("diagonal").rangeBetween(-DIAGONAL_GAP, DIAGONAL_GAP)
+    both = votes.select(
+        "rid", "doc_id", "n_words", "tid", "base", "label", "t_words", "diagonal", F.bit_count("own").cast("long").alias("own"),
+        *[F.when(F.col("base"), F.col(c)).otherwise(agg(F.col(c)).over(near)).alias(c + "_") for c, agg in (("own", F.bit_or), ("lo", F.min), ("hi", F.max))])
+    out = both.select("rid", "doc_id", "n_words", "tid", "base", "label", "t_words", "diagonal", "own", F.bit_count("own_").cast("long").alias("votes"),
+                      F.col("lo_").cast("long").alias("first"), (F.col("hi_") + 1).cast("long").alias("last"))
+    out = out.withColumn("cover", F.col("votes") / (F.col("t_words") - 1))
+    return out.withColumn("found", F.when(F.col("base"), F.col("cover") == 1.0).otherwise(
+        (F.col("cover") >= MIN_COVER) & (F.col("own") >= MIN_OWN * F.col("votes")) & (F.col("last") - F.col("first") + 1 <= F.col("t_words") * 1.5 + 4)))
+
+
+def winners(found: DataFrame) -> DataFrame:
+    """The found spans of the method that no better covered span overlaps."""
+    rank = [F.col(c) for c in ("cover", "votes")] + [-F.col("tid"), F.col("own"), -F.col("diagonal")]
+    here = found.withColumn("rank", F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)])).withColumn(
+        "stretch", F.explode(F.expr(f"sequence(first div {STRETCH}, last div {STRETCH})")))
+    other = here.select("rid", "stretch", F.col("first").alias("f2"), F.col("last").alias("l2"), F.col("rank").alias("rank2"))
+    beaten = (here.join(other, ["rid", "stretch"]).where("f2 <= last AND l2 >= first AND rank2 > rank")
+              .select("rid", "tid", "diagonal").distinct())
+    return found.join(beaten, ["rid", "tid", "diagonal"], "left_anti")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    found, base = F.col("found"), F.col("found") & F.col("base")
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return (spans(docs).groupBy("rid", "doc_id", "n_words")
-            .agg(F.count(F.when(base, 1)).alias("n_base"),
-                 F.min(F.when(base, F.col("first"))).alias("first_word"), F.max(F.when(base, F.col("first"))).alias("last_word"),
-                 joined(F.when(base, F.col("label"))).alias("base_labels"), joined(F.when(found, F.col("label"))).alias("labels"),
-                 F.coalesce(F.max(F.when(found | ~F.col("base"), F.col("cover"))), F.lit(0.0)).alias("score"))
-            .drop("rid"))
+    with scratch_tables(docs.sparkSession):
+        every = cut_lineage(spans(docs), "license-spans")
+        claimed = F.coalesce(F.col("found") & ~F.col("base"), F.lit(False))
+        kept = every.where(~claimed).unionByName(winners(every.where(claimed)).select(*every.columns))
+        found, base = F.col("found"), F.col("found") & F.col("base")
+        joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+        out = (kept.groupBy("rid", "doc_id", "n_words")
+               .agg(F.count(F.when(base, 1)).alias("n_base"),
+                    F.min(F.when(base, F.col("first"))).alias("first_word"), F.max(F.when(base, F.col("first"))).alias("last_word"),
+                    joined(F.when(base, F.col("label"))).alias("base_labels"), joined(F.when(found, F.col("label"))).alias("labels"),
+                    F.coalesce(F.max(F.when(found | ~F.col("base"), F.col("cover"))), F.lit(0.0)).alias("score"))
+               .drop("rid"))
+        return cut_lineage(out, "license-scan", keep=True)
 
 
 def op9_license_scan(spark, sf_dir) -> DataFrame:
