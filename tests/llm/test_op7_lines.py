@@ -45,8 +45,20 @@ def test_against_brute_force(spark):
     assert rows_of(op.dedup_lines(docs(spark, ROWS))) == brute(ROWS)
 
 
-def test_filter_groups_do_not_change_the_result(spark):
+def test_keys_brought_to_the_filters_give_the_same_result(spark, monkeypatch):
     assert rows_of(op.dedup_lines(docs(spark, ROWS), max_filter_bytes=1)) == brute(ROWS)
+    monkeypatch.setattr(op, "KEYS_PER_SHARD", 1)
+    monkeypatch.setattr(op.build_filters, "__defaults__", (1,))
+    index = op.LineIndex.of(docs(spark, ROWS))
+    assert index.shards > 2 and rows_of(op.dedup_lines(docs(spark, ROWS), index=index, max_filter_bytes=1)) == brute(ROWS)
+    plan = op.dedup_lines(docs(spark, ROWS), index=index, max_filter_bytes=1)
+    assert rows_of(op.dedup_lines(docs(spark, ROWS).limit(0), index=index, max_filter_bytes=1)) == [] and plan.columns[-4:] == [x.split()[0] for x in op.RESULT.split(", ")]
+
+
+def test_a_third_of_the_rows_without_an_id(spark):
+    rows = [(None if k % 3 == 0 else k, f"{LONG}\nown text of {k}, which nobody else has at all") for k in range(90)]
+    for limit in (1, 32 << 20):
+        assert rows_of(op.dedup_lines(docs(spark, rows), max_filter_bytes=limit)) == brute(rows)
 
 
 def test_all_null_ids_keep_the_line(spark):

@@ -6,15 +6,16 @@ filter per shard over the keys of ``refs`` that reach ``min_docs``. Inserting do
 references; deleting documents takes them away again and removes keys that fall below the
 threshold from the filters, so insert followed by delete restores the former state.
 
-The filters answer "can this line be a repeated one?" in the map task that holds the text:
-documents without a positive line never move. Positive lines are settled against the exact
-counts (a false positive drops nothing). Filters are read in groups of bounded size
-(``max_filter_bytes``), one scan per group, so what a task holds does not grow with the data.
+The filters answer "can this line be a repeated one?"; positive lines are settled against the exact counts (a false positive
+drops nothing). Filters of ``max_filter_bytes`` in all at most go to the map tasks that hold the texts, so documents
+without a positive line never move. Larger ones stay where they are: the 16-byte keys of the lines come to the filters, sorted by
+shard, and a task holds one filter at a time (``_screen_sorted``); a hot shard is dealt over ``SALTS`` tasks. Either way nothing that
+grows with the corpus reaches the driver.
 
-Defined cases: NULL or empty text is one empty line and keeps ``""``; a document is a row, so two
+Defined cases: NULL or empty text is one empty line and keeps ``""``; a document is a row (told by its place in the file), so two
 rows of one doc_id count twice and both keep the line when that doc_id is the largest; a NULL
-doc_id sorts below every id (if only NULL ids hold a line, all of them keep it). Other columns
-pass through."""
+doc_id sorts below every id (if only NULL ids hold a line, all of them keep it); a very long text is split whole; equal rows get equal
+results; an empty table gives no rows. Other columns pass through, whatever their names."""
 
 from __future__ import annotations
 
@@ -27,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, cut_lineage, map_columns, shielded
+from .common import add_columns, cut_lineage, map_columns, shielded, with_row_ids
 
 BLANK = b" \t\n\x0b\x0c\r"
 SLOTS = 4               # entries per cuckoo bucket
 KEYS_PER_SHARD = 40_000  # keys a shard is sized for; the number of shards follows the key count
 MAX_KICKS = 500
+SALTS = 16
+RID = "_wl_rid"
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -207,23 +210,12 @@ class LineIndex:
         """``doc_ids``: a frame with a doc_id column; all rows of these ids leave the index."""
         return self._changed(self.members.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"))
 
-    def filter_groups(self, max_bytes: int) -> list[dict]:
-        """The filters in groups whose slots take ``max_bytes`` at most (one shard at least)."""
-        sizes = self.filters.select("shard", "buckets").orderBy("shard").collect()  # two ints per 40,000 keys
-        groups, size = [[]], 0
-        for r in sizes:
-            b = r["buckets"] * SLOTS * 2
-            if groups[-1] and size + b > max_bytes:
-                groups.append([])
-                size = 0
-            groups[-1].append(r["shard"])
-            size += b
-        out = []
-        for g in groups:
-            rows = self.filters.where(F.col("shard").isin(g)).collect() if g else []
-            out.append({r["shard"]: CuckooFilter(r["buckets"], np.frombuffer(r["slots"], np.uint16).reshape(-1, SLOTS))
-                        for r in rows})
-        return out
+    def small_filters(self, max_bytes: int) -> dict | None:
+        """shard -> filter, if all of them take ``max_bytes`` at most; else None."""
+        size = self.filters.agg(F.sum(F.col("buckets").cast("long") * (SLOTS * 2)).alias("b")).first()["b"] or 0
+        if size > max_bytes:
+            return None
+        return {r["shard"]: CuckooFilter(r["buckets"], np.frombuffer(r["slots"], np.uint16).reshape(-1, SLOTS)) for r in self.filters.collect()}
 
 
 def _update_shard(moved, table):
@@ -282,6 +274,56 @@ def _screen(filters, shards, min_chars, cols):
     return {"_wl_cand": out}
 
 
+def _rid_keys(shards, min_chars, cols):
+    """The distinct line keys of every row, with their shard; a row's keys go to the salt its number picks."""
+    out = {k: [] for k in ("rid", "doc_id", "key")}
+    for r, d, t in zip(*(cols[c].to_pylist() for c in (RID, "doc_id", "text"))):
+        found = {line_key(x, min_chars) for x in _lines(t)}
+        found.discard(None)
+        out["rid"] += [r] * len(found)
+        out["doc_id"] += [d] * len(found)
+        out["key"] += found
+    shard = _shard_of(_as_pairs(out["key"]), shards).astype(np.int32) if out["key"] else np.zeros(0, np.int32)
+    return out | {"shard": shard, "salt": (np.array(out["rid"], np.int64) % SALTS).astype(np.int32)}
+
+
+_SCREENED = "rid long, doc_id long, key binary"
+
+
+def _screen_sorted(batches):
+    """Keys their shard's filter knows, out of rows sorted by shard and salt with the filter first."""
+    at, f = None, None
+    for b in batches:
+        shard, salt, slots = b.column("shard").to_numpy(), b.column("salt").to_numpy(), b.column("slots")
+        start, keep = 0, []
+        place = np.stack([shard, salt], 1)
+        cuts = np.r_[np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1, len(shard)]
+        for end in cuts.tolist():
+            if end == start:
+                continue
+            if (shard[start], salt[start]) != at:
+                at, f = (shard[start], salt[start]), None
+            while start < end and slots[start].is_valid:
+                f = CuckooFilter(b.column("buckets")[start].as_py(), np.frombuffer(slots[start].as_buffer(), np.uint16).reshape(-1, SLOTS))
+                start += 1
+            if start < end and f is not None:
+                known = f.contains(_as_pairs(b.column("key").slice(start, end - start).to_pylist()))
+                keep += (np.flatnonzero(known) + start).tolist()
+            start = end
+        rows = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(c).take(rows) for c in ("rid", "doc_id", "key")], names=["rid", "doc_id", "key"])
+
+
+def screen_by_shard(docs: DataFrame, index: "LineIndex") -> DataFrame:
+    """(rid, doc_id, key) of the lines the filters know, with the keys brought to the filters."""
+    keys = map_columns(docs.select(RID, "doc_id", "text"), partial(_rid_keys, index.shards, index.min_chars), "rid long, doc_id long, key binary, shard int, salt int")
+    tables = index.filters.select(*[F.lit(None).cast(t).alias(c) for c, t in (("rid", "long"), ("doc_id", "long"), ("key", "binary"))], "shard",
+                                  F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "buckets", "slots")
+    both = keys.select("*", F.lit(None).cast("int").alias("buckets"), F.lit(None).cast("binary").alias("slots")).unionByName(tables)
+    return (both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("slots").isNull())
+            .mapInArrow(_screen_sorted, _SCREENED))
+
+
 def _apply(min_chars, cols):
     """Drop the lines whose key is in ``_wl_drop``; count lines and hash what stays."""
     n, dropped, text, sha = [], [], [], []
@@ -307,22 +349,23 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, index:
     A line whose key (>= ``min_chars`` code points) is held by ``min_docs`` documents or more stays
     only in the largest doc_id holding it. Without an ``index`` the documents themselves are
     indexed."""
-    index = index or LineIndex.of(docs, min_docs, min_chars, keep_members=False)
-    docs = docs.select(*[c for c in docs.columns if c not in ("_wl_cand", "_wl_drop", "_wl_id", "_wl_more")]).withColumn("doc_id", F.col("doc_id").cast("long"))
-    screened = None
-    for group in index.filter_groups(max_filter_bytes):
-        part = add_columns(docs if screened is None else screened.withColumnRenamed("_wl_cand", "_wl_more"),
-                           partial(_screen, group, index.shards, index.min_chars), "_wl_cand array<binary>")
-        screened = part if screened is None else part.withColumn("_wl_cand", F.concat("_wl_cand", "_wl_more")).drop("_wl_more")
-    refs = index.repeated
-    drops = (screened.where(F.size("_wl_cand") > 0).select(F.col("doc_id").alias("_wl_id"), F.explode("_wl_cand").alias("key"))
-             .join(refs, "key")
-             .where(F.col("last_doc").isNotNull() & (F.col("_wl_id").isNull() | (F.col("_wl_id") < F.col("last_doc"))))
-             .groupBy("_wl_id").agg(F.collect_set("key").alias("_wl_drop")))
-    moved = (screened.where(F.size("_wl_cand") > 0)
-             .join(drops, F.col("doc_id").eqNullSafe(F.col("_wl_id")), "left").drop("_wl_id", "_wl_cand"))
-    still = screened.where(F.size("_wl_cand") == 0).drop("_wl_cand").withColumn("_wl_drop", F.lit(None).cast("array<binary>"))
-    return add_columns(moved.unionByName(still), partial(_apply, index.min_chars), RESULT).drop("_wl_drop")
+    docs = with_row_ids(docs.select(*[c for c in docs.columns if c.lower() not in ("_wl_cand", "_wl_drop", "_wl_id")]).withColumn("doc_id", F.col("doc_id").cast("long")), RID)
+    index = index or LineIndex.of(docs.select("doc_id", "text"), min_docs, min_chars, keep_members=False)
+    near = index.small_filters(max_filter_bytes)
+    if near is None:
+        moving, still = docs, None
+        candidates = screen_by_shard(docs, index)
+    else:
+        screened = add_columns(docs, partial(_screen, near, index.shards, index.min_chars), "_wl_cand array<binary>")
+        moving, still = screened.where(F.size("_wl_cand") > 0), screened.where(F.size("_wl_cand") == 0)
+        candidates = moving.select(F.col(RID).alias("rid"), "doc_id", F.explode("_wl_cand").alias("key"))
+    drops = (candidates.join(index.repeated, "key")
+             .where(F.col("last_doc").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc"))))
+             .groupBy(F.col("rid").alias("_wl_id")).agg(F.collect_set("key").alias("_wl_drop")))       # a document's own lines
+    out = moving.join(drops, F.col(RID) == F.col("_wl_id"), "left").drop("_wl_id", "_wl_cand")
+    if still is not None:
+        out = out.unionByName(still.drop("_wl_cand").withColumn("_wl_drop", F.lit(None).cast("array<binary>")))
+    return add_columns(out, partial(_apply, index.min_chars), RESULT).drop("_wl_drop", RID)
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
