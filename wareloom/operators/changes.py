@@ -18,15 +18,16 @@ def current(df: DataFrame, flag: str = "CURFLG") -> DataFrame:
 
 
 def lookup_current(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str] | None = None,
-                   prefix: str = "t_") -> DataFrame:
+                   prefix: str = "t_", unique: bool = False) -> DataFrame:
     """JN-1: source rows with the matching current target row (left join on the business key).
 
     Only ``cols`` of the target are carried, so the scan reads just those columns; AQE turns
-    the join into a broadcast when the target side proves small at run time.
+    the join into a broadcast when the target side proves small at run time. ``unique``: the target is known to have one
+    current row per key, so none has to be picked (and the target is not aggregated).
     """
     t = current(tgt)
     cols = cols if cols is not None else [c for c in t.columns if c not in keys]
-    t = first_current(t, keys, cols).select(*keys, *[F.col(c).alias(prefix + c) for c in cols])
+    t = (t if unique else first_current(t, keys, cols)).select(*keys, *[F.col(c).alias(prefix + c) for c in cols])
     return src.join(t, keys, "left")
 
 
@@ -40,11 +41,11 @@ def first_current(rows: DataFrame, keys: list[str], cols: list[str]) -> DataFram
 
 
 def classify(src: DataFrame, tgt: DataFrame, keys: list[str], hash_col: str = "RWHKEY",
-             out: str = "change") -> DataFrame:
+             out: str = "change", unique: bool = False) -> DataFrame:
     """HSH-3: NEW when no current target row, CHANGED when the hashes differ (a NULL
     target hash counts as ''), else UNCHANGED. Carries ``t_SKEY`` and ``t_<hash_col>``."""
     tcols = [c for c in ("SKEY", hash_col) if c in tgt.columns]
-    j = lookup_current(src, tgt, keys, tcols)
+    j = lookup_current(src, tgt, keys, tcols, unique=unique)
     th = F.coalesce(F.col("t_" + hash_col), F.lit(""))
     present = F.col("t_SKEY").isNotNull() if "SKEY" in tgt.columns else F.col("t_" + hash_col).isNotNull()
     return j.withColumn(out, F.when(~present, F.lit(NEW))

@@ -52,6 +52,7 @@ class LoadResult:
     target: DataFrame          # new snapshot of the target
     rejected: DataFrame        # source rows set aside, with reject_reason
     summary: DataFrame         # metric string, value long: source_rows, accepted_rows, rejected_rows, duplicates
+    marked: DataFrame | None = None       # target with _wl_new (row taken from the source) and _wl_dups (rows it stands for, less one)
 
 
 def _is_dim(kind: str) -> bool:
@@ -132,7 +133,7 @@ def _summary(spark, counts: dict, bad: DataFrame) -> DataFrame:
 
 def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int = 2, kind: str = DIM,
               order_by: list[str] | None = None, hash_order: list[str] | None = None,
-              include_history: bool = True, next_key: int | None = None) -> MergeResult:
+              include_history: bool = True, next_key: int | None = None, unique_target: bool = False) -> MergeResult:
     """SCD-1 / SCD-2 / SCD-3 (run as type 1) / SCD-4 (``kind`` FCT or MRT) merge with SCD-5 counters.
 
     ``src`` holds the mapped data columns (already named like the target). ``ts`` is the
@@ -141,7 +142,8 @@ def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int
 
     ``include_history=False`` leaves closed rows of ``tgt`` out of the result (the result is then
     the new current rows plus the rows closed by this run), for stores that keep history
-    append-only (``sources.sinks.DimensionTable``); ``next_key`` then gives the first free SKEY.
+    append-only (``sources.sinks.DimensionTable``); ``next_key`` then gives the first free SKEY. ``unique_target``: the target has one
+    current row per key (merges leave it so; ``BucketedTable`` checks it when it is created), so the lookup picks none.
     """
     spark = src.sparkSession
     if scd_type == 3:
@@ -162,7 +164,7 @@ def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int
     need_key = (F.col("change") == NEW) if scd_type == 1 or not dim else F.col("change").isin(NEW, CHANGED)
     is_new, is_chg = F.col("change") == NEW, F.col("change") == CHANGED
     overwritten = F.count_if(is_chg) if (scd_type == 1 or not dim) else F.lit(0)
-    counted, seen = _observed(classify(s, tgt, keys), {
+    counted, seen = _observed(classify(s, tgt, keys, unique=unique_target), {
         "source_rows": F.count(F.lit(1)) + F.sum("_dups"),
         "inserted": F.count_if(need_key),
         "updated": overwritten,
@@ -183,7 +185,8 @@ def scd_merge(src: DataFrame, tgt: DataFrame, keys: list[str], ts, scd_type: int
         # a new version keeps the previous version's values in columns this source does not map
         # (the first of several current versions, as in the lookup: one source row makes one new version)
         hold = [c for c in ("SKEY",) if c in tgt.columns]
-        prev = first_current(current(tgt), keys, [*hold, *unmapped]).select(*keys, *[F.col(c).alias("_p_" + c) for c in unmapped])
+        now = current(tgt)
+        prev = (now if unique_target else first_current(now, keys, [*hold, *unmapped])).select(*keys, *[F.col(c).alias("_p_" + c) for c in unmapped])
         ins_src = ins_src.join(prev, keys, "left")
     ins = assign_skey(ins_src, start, keys, target=tgt)
     ins_cols = [F.col("SKEY")]
@@ -337,18 +340,41 @@ def load_checked(df: DataFrame, tgt: DataFrame, mode: str, keys: list[str] | Non
         src = stamp_load(src, user, ts)
         mapped |= {*CREATED_COLUMNS, *UPDATED_COLUMNS}
     dups = F.lit(0)
+    new, none = F.lit(True).alias("_wl_new"), F.lit(0).cast("long").alias("_wl_dups")
+    old = tgt.select("*", F.lit(False).alias("_wl_new"), none)
     if mode == "TRUNCATE_LOAD":
-        out = src
+        marked = src.select("*", new, none)
     elif not keyed:
-        out = tgt.unionByName(src)
+        marked = old.unionByName(src.select("*", new, none))
     else:
         src = dedup_last(src, keys, order_by)          # a key twice in one batch is one row
         dups = F.sum("_dups")
-        one = src.drop("_dups")
-        out = tgt.unionByName(one.join(tgt.select(*keys), keys, "left_anti")) if mode == "IF_ABSENT" else _upsert(one, tgt, keys, mapped)
+        one = src.withColumnRenamed("_dups", "_wl_dups").withColumn("_wl_new", F.lit(True))
+        if mode == "IF_ABSENT":
+            marked = old.unionByName(one.join(tgt.select(*keys), keys, "left_anti"))
+        else:
+            marked = _upsert(one, tgt, keys, mapped)
     counts = _metrics(src, {"accepted_rows": F.count(F.lit(1)), "duplicates": F.coalesce(dups, F.lit(0))}).unionByName(
         _metrics(rejected, {"rejected_rows": F.count(F.lit(1))})).unionByName(_metrics(df, {"source_rows": F.count(F.lit(1))}))
-    return LoadResult(out, rejected, counts)
+    return LoadResult(marked.select(*tgt.columns), rejected, counts, marked)
+
+
+def load_into(table, df: DataFrame, version: int, mode: str, keys: list[str] | None = None, user: str = "SYSTEM", ts=None,
+              order_by: list[str] | None = None) -> DataFrame:
+    """LD-* into a ``SnapshotTable`` with its counts (DQ-8): the job that writes the new version also counts what it takes in, the job
+    that writes the rejected rows (``<root>/rejected/v=<version>``) counts them. Returns (metric, value): loaded_rows, duplicates,
+    rejected_rows. A version that is committed is not loaded again and returns the counts of its one load."""
+    where, spark = f"{table.root}/counts/v={version}", df.sparkSession
+    if not table.has_version(version):
+        res = load_checked(df, table.read(), mode, keys, user, ts, order_by)
+        rejected, bad = _observed(res.rejected, {"rejected_rows": F.count(F.lit(1))})
+        rejected.write.mode("overwrite").parquet(f"{table.root}/rejected/v={version}")
+        out, seen = _observed(res.marked, {"loaded_rows": F.count_if("_wl_new"), "duplicates": F.sum("_wl_dups"), "table_rows": F.count(F.lit(1))})
+        table.write(out.drop("_wl_new", "_wl_dups"), version)
+        counts = {**seen.get, **bad.get}
+        local_rows(spark, [(k, int(v)) for k, v in counts.items()], "metric string, value long").coalesce(1).write.mode("overwrite").json(where)
+        table.record(version)
+    return spark.read.schema("metric string, value long").json(where)
 
 
 def load(df: DataFrame, tgt: DataFrame, mode: str, keys: list[str] | None = None, user: str = "SYSTEM",
@@ -358,19 +384,19 @@ def load(df: DataFrame, tgt: DataFrame, mode: str, keys: list[str] | None = None
 
 
 def _upsert(src: DataFrame, tgt: DataFrame, keys: list[str], mapped: set[str]) -> DataFrame:
-    s = src.select(*keys, *[F.col(c).alias("_s_" + c) for c in src.columns if c not in keys],
-                   F.lit(True).alias("_s_hit"))
+    """Full outer join on the key; ``src`` has _wl_new and _wl_dups, which the result keeps (of rows the source touched)."""
+    s = src.select(*keys, *[F.col(c).alias("_s_" + c) for c in src.columns if c not in keys])
     j = tgt.withColumn("_t_hit", F.lit(True)).join(s, keys, "full_outer")
     created = {c.upper() for c in CREATED_COLUMNS}
-    out = []
+    hit, out = F.col("_s__wl_new").isNotNull(), []
     for c in tgt.columns:
         if c in keys:
             out.append(F.col(c))
         elif c.upper() in created or c.upper() not in mapped:     # set by the insert only
             out.append(F.when(F.col("_t_hit").isNotNull(), F.col(c)).otherwise(F.col("_s_" + c)).alias(c))
         else:
-            out.append(F.when(F.col("_s_hit").isNotNull(), F.col("_s_" + c)).otherwise(F.col(c)).alias(c))
-    return j.select(*out)
+            out.append(F.when(hit, F.col("_s_" + c)).otherwise(F.col(c)).alias(c))
+    return j.select(*out, hit.alias("_wl_new"), F.coalesce("_s__wl_dups", F.lit(0)).cast("long").alias("_wl_dups"))
 
 
 def load_counts(df: DataFrame, tgt: DataFrame, keys: list[str]) -> DataFrame:

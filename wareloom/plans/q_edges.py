@@ -98,6 +98,19 @@ def load_summary(spark, sf_dir):
     return M.load_checked(_batch(spark, sf_dir), _target(spark, sf_dir), "UPSERT", ["p_partkey"]).summary
 
 
+@query("load_into_counts", f"""
+SELECT 'loaded_rows' AS metric, count(*) AS value FROM {_GOOD_SQL} g
+UNION ALL SELECT 'duplicates', (SELECT count(*) FROM {_BATCH_SQL} b WHERE p_size <> 'n/a' AND p_partkey IS NOT NULL) - (SELECT count(*) FROM {_GOOD_SQL} g)
+UNION ALL SELECT 'table_rows', (SELECT count(*) FROM (SELECT p_partkey FROM {_TGT_SQL} t UNION SELECT p_partkey FROM {_GOOD_SQL} g) x)
+UNION ALL SELECT 'rejected_rows', count(*) FROM {_BATCH_SQL} b WHERE p_size = 'n/a' OR p_partkey IS NULL""")
+def load_into_counts(spark, sf_dir):
+    """LD-3 / DQ-8 / SS-1: a load into a versioned table, delivered twice; the counts are those its one write took."""
+    t = SK.SnapshotTable(spark, os.path.join(SK.scratch_dir(spark, "load-into"), "part"))
+    t.commit(_target(spark, sf_dir), 0)
+    M.load_into(t, _batch(spark, sf_dir), 1, "UPSERT", ["p_partkey"])
+    return M.load_into(t, _batch(spark, sf_dir), 1, "UPSERT", ["p_partkey"])
+
+
 @query("upsert_null_keys", f"""
 SELECT coalesce(g.p_partkey, t.p_partkey) AS p_partkey, CASE WHEN g.p_partkey IS NULL THEN t.p_name ELSE g.p_name END AS p_name,
        CASE WHEN g.p_partkey IS NULL THEN t.p_size ELSE g.p_size END AS p_size

@@ -25,7 +25,7 @@ def _bucketed(spark, sf_dir, keys, rows, name):
 
 
 def _merge(t, batch, scd_type, version, **how):
-    res = M.scd_merge(batch, t.read_touched(batch), t.keys, TS, scd_type=scd_type, include_history=False, next_key=t.next_key(), **how)
+    res = M.scd_merge(batch, t.read_touched(batch), t.keys, TS, scd_type=scd_type, include_history=False, next_key=t.next_key(), unique_target=t.unique, **how)
     t.commit(res.target, version)
     return res
 

@@ -27,6 +27,7 @@ class BucketedTable:
 
     def __init__(self, spark: SparkSession, name: str, root: str, keys: list[str], buckets: int = 64):
         self.spark, self.name, self.root, self.keys, self.buckets = spark, name, root.rstrip("/"), list(keys), buckets
+        self.unique = False            # known to have one current row per key (merges keep it so)
 
     # -------------------------------------------------------------- layout
 
@@ -41,8 +42,13 @@ class BucketedTable:
          .partitionBy(BUCKET).bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", f"{self.root}/current").saveAsTable(self.name))
         if closed is not None:
             closed.write.mode("overwrite").parquet(f"{self.root}/history/v=0")
+        self.unique = self.is_unique()
         self._mark(0)
 
+    def is_unique(self) -> bool:
+        """One current row per key (counted bucket by bucket: no exchange)."""
+        return self.read_current().groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
     def open(self, schema: T.StructType) -> "BucketedTable":
         """Name a table that an earlier session wrote."""
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name != BUCKET)
@@ -50,6 +56,7 @@ class BucketedTable:
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({cols}, {BUCKET} INT) USING parquet PARTITIONED BY ({BUCKET}) "
                        f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/current'")
         self.spark.catalog.recoverPartitions(self.name)
+        self.unique = self.is_unique()
         return self
 
     def _split(self, rows: DataFrame):

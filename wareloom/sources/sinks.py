@@ -131,14 +131,21 @@ class SnapshotTable:
             raise FileNotFoundError(f"no committed version under {self.root}")
         return self.spark.read.parquet(f"{self.root}/v={v}")
 
+    def write(self, df: DataFrame, version: int) -> None:
+        """The rows of a version, which nobody reads before it is recorded."""
+        df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
+
+    def record(self, version: int, committed_at: str = "") -> None:
+        local_rows(self.spark, [(int(version), committed_at)], "version long, committed_at string") \
+            .coalesce(1).write.mode("append").json(self.log)
+
     def commit(self, df: DataFrame, version: int, committed_at: str = "") -> bool:
         """Write version ``version`` and record it; returns False when it was committed before
         (idempotent re-run of a stream batch)."""
         if self.has_version(version):
             return False
-        df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
-        local_rows(self.spark, [(int(version), committed_at)], "version long, committed_at string") \
-            .coalesce(1).write.mode("append").json(self.log)
+        self.write(df, version)
+        self.record(version, committed_at)
         return True
 
 

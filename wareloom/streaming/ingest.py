@@ -67,7 +67,7 @@ def ingest_stream(spark: SparkSession, src_dir: str, schema: T.StructType, trans
             if target_dir.has_version(version):
                 return
             how = "INSERT" if mode == "TRUNCATE_LOAD" and batch_id > 0 else mode
-            target_dir.commit(M.load(batch, target_dir.read(), how, keys=keys, user=user, ts=ts), version)
+            M.load_into(target_dir, batch, version, how, keys=keys, user=user, ts=ts)      # rejected rows and counts beside the table
         elif mode == "TRUNCATE_LOAD" and batch_id == 0:
             batch.withColumn("batch_id", F.lit(0).cast("long")).write.mode("overwrite").partitionBy("batch_id").parquet(target_dir)
         else:
@@ -96,7 +96,7 @@ def merge_stream(spark: SparkSession, stream: DataFrame, target: SnapshotTable |
         if isinstance(target, (DimensionTable, BucketedTable)):  # history stays append-only
             rows = target.read_touched(batch) if isinstance(target, BucketedTable) else target.read_current()
             res = M.scd_merge(batch, rows, keys, ts, scd_type=scd_type, kind=kind,
-                              order_by=order_by, include_history=False, next_key=target.next_key())
+                              order_by=order_by, include_history=False, next_key=target.next_key(), unique_target=getattr(target, "unique", False))
         else:
             res = M.scd_merge(batch, target.read(), keys, ts, scd_type=scd_type, kind=kind, order_by=order_by)
         run = f"{progress_dir}/run={batch_id}"
