@@ -73,3 +73,20 @@ def test_bounds_never_cut_a_result():
     bound = np.sort(s, axis=1)[:, -5].astype(float)
     hits = op.search_block(q, np.arange(10), bound, c, np.arange(1000, 1200), 20, rot, 4)
     assert {(i, j) for i, j, _ in hits} == {(i, j) for i in range(10) for j in range(200) if s[i, j] >= bound[i]}
+
+
+def test_rounds_drop_queries_that_are_done(spark, monkeypatch):
+    """A few very long vectors settle every query: short blocks meet none, and blocks are joined on their number."""
+    rng = np.random.default_rng(3)
+    d = rng.normal(size=16)
+    rows = [(i, (d * (500 + i)).tolist(), 0) for i in range(1, 41)] + [(100 + i, (d * 0.5 + 0.01 * rng.normal(size=16)).tolist(), 0) for i in range(600)]
+    seen = []
+    plain = op.map_columns
+
+    def spied(df, fn, schema):
+        if schema == op.FOUND:
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, fn, schema)
+    monkeypatch.setattr(op, "map_columns", spied)
+    assert got(op.top_k(table(spark, rows), block_rows=16)) == brute(rows)
+    assert len(seen) < 5 and all("CartesianProduct" not in p and "NestedLoop" not in p for p in seen)      # of 40 blocks

@@ -7,18 +7,19 @@ its first coordinates; rotation keeps inner products, so for any query and row
 
     score <= first ``head`` coordinates' inner product + |query rest| * |row rest|      (Cauchy-Schwarz)
 
-The longest block is scored first and gives every query a lower bound on its k-th score. After that a
-query and a block meet only if ``|query| * longest row of the block`` reaches the query's bound, and
-within a block only rows whose bound reaches it are scored exactly, in integers. The rotation only
+Blocks are taken in rounds of 1, 1, 2, 4, 8, ... blocks, the longest first. Every round tightens each query's lower bound, its k-th
+score so far. Before a round, query blocks none of whose queries can reach its bound with the round's longest row
+(``|query| * longest``) leave for good, so their vectors are not moved to any later block; the search ends when none is left. Within a
+block only queries and rows whose bound reaches are scored exactly, in integers. The rotation only
 decides what is skipped, never a score: results are exact whatever the sample was.
 
-Queries are a stated set (``vec_id % query_every = 0``) taken in blocks against the blocks of all rows.
-Partial top-k lists (k rows per query and block) are merged by a partial-limit window.
+Queries are a stated set (``vec_id % query_every = 0``) taken in blocks against the blocks of all rows, joined on the block's number.
+Partial top-k lists (k rows per query and block) are merged by a partial-limit window after each round.
 
 Defined cases: vectors that are NULL, hold a NULL or a non-finite component take no part; a shorter
 vector counts as followed by zeros; rows sharing a vec_id are separate rows (each excludes itself
 only); equal scores go to the smaller vec_id; fewer than k candidates give all of them; an empty table
-gives an empty result. Scores must fit a long."""
+gives an empty result; repeated rows are rows of their own; further columns are not read. Scores must fit a long."""
 
 from __future__ import annotations
 
@@ -159,13 +160,22 @@ def _search(k, rot, head, cols):
 FOUND = "query_rid long, query_id long, vec_id long, score long"
 
 
-def _bounds(k, cols):
-    """Per query block the k-th best score of the first round (-inf with fewer), in the block's row order."""
-    out = []
-    for rids, best in zip(cols["q_rids"].to_pylist(), cols["best"].to_pylist()):
+def _bounds(cols):
+    """Per query block the k-th best score so far of its rows (-inf with fewer), and the least length of a row that can still reach
+    one of them."""
+    bounds, least = [], []
+    for rids, best, v, n, dim in zip(*(cols[c].to_pylist() for c in ("q_rids", "best", "q_vectors", "q_n", "q_dim"))):
         b = {x["query_rid"]: x["kth"] for x in best or []}
-        out.append(np.array([b.get(int(r), -np.inf) for r in np.frombuffer(rids, np.int64)], np.float64).tobytes())
-    return {c: cols[c] for c in ("qb", "q_n", "q_dim", "q_ids", "q_rids", "q_vectors")} | {"bound": out}
+        bound = np.array([b.get(int(r), -np.inf) for r in np.frombuffer(rids, np.int64)], np.float64)
+        norm = np.sqrt((_matrix(v, n, dim).astype(float) ** 2).sum(axis=1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where(norm > 0, (bound - 1e-6) / (norm * (1 + 1e-9)), np.where(bound <= 1e-6, -np.inf, np.inf))
+        bounds.append(bound.tobytes())
+        least.append(float(need.min(initial=np.inf)))
+    return {c: cols[c] for c in QUERY_BLOCK} | {"bound": bounds, "least": least}
+
+
+QUERY_BLOCK = ("qb", "q_n", "q_dim", "q_ids", "q_rids", "q_vectors")
 
 
 def top_k(vectors: DataFrame, k: int = K, query_every: int = EVERY, block_rows: int = BLOCK_ROWS, head: int = HEAD) -> DataFrame:
@@ -186,21 +196,30 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = EVERY, block_rows:
     find = lambda x: map_columns(x, partial(_search, k, rot, head), FOUND)
     by_query = Window.partitionBy("query_rid").orderBy(F.desc("score"), "vec_id")
 
-    first = cut_lineage(find(q.withColumn("block", F.lit(0)).withColumn("bound", F.lit(None).cast("binary"))
-                             .join(base.where("block = 0"), "block")), "topk-first")
-    if n_blocks > 1:
-        kth = (first.groupBy("query_rid").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("kth")).where(F.col("c") >= k)
-               .select("query_rid", F.col("kth").cast("double").alias("kth")))
-        rid_of = map_columns(q.select("qb", "q_rids"), _query_rids, "qb long, query_rid long")
-        best = rid_of.join(kth, "query_rid").groupBy("qb").agg(F.collect_list(F.struct("query_rid", "kth")).alias("best"))
-        bounded = map_columns(q.join(best, "qb", "left"), partial(_bounds, k),
-                              "qb long, q_n int, q_dim int, q_ids binary, q_rids binary, q_vectors binary, bound binary")
-        pairs = bounded.withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(n_blocks - 1))))
-        rest = find(pairs.join(base, "block"))
-        found = first.unionByName(rest)
-    else:
-        found = first
-    return (found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+    rid_of = cut_lineage(map_columns(q.select("qb", "q_rids"), _query_rids, "qb long, query_rid long"), "topk-query-rows")
+    best, lo, size = None, 0, 1
+    while lo < n_blocks:
+        hi = min(n_blocks, lo + size)
+        if best is None:
+            kth = rid_of.select("qb", "query_rid", F.lit(None).cast("double").alias("kth")).limit(0)
+        else:
+            kth = (best.groupBy("query_rid").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("kth")).where(F.col("c") >= k)
+                   .select("query_rid", F.col("kth").cast("double").alias("kth")).join(rid_of, "query_rid"))
+        per = kth.groupBy("qb").agg(F.collect_list(F.struct("query_rid", "kth")).alias("best"))          # one entry per query of a block
+        bounded = map_columns(q.join(per, "qb", "left"), _bounds, "qb long, q_n int, q_dim int, q_ids binary, q_rids binary, q_vectors binary, bound binary, least double")
+        longest = base.where(F.col("block") == lo).select("longest").first()["longest"]
+        live = cut_lineage(bounded.where(F.col("least") <= longest).drop("least"), "topk-live")
+        if live.isEmpty():
+            break
+        q = live.select(*QUERY_BLOCK)                     # the others cannot be reached by shorter blocks either
+        pairs = live.withColumn("block", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
+        found = find(pairs.join(base.where(F.col("block").between(lo, hi - 1)), "block"))
+        every = found if best is None else best.unionByName(found)
+        best = cut_lineage(every.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).drop("rank"), "topk-best")
+        lo, size = hi, hi
+    if best is None:
+        best = map_columns(rid_of.limit(0), lambda cols: {c: [] for c in ("query_rid", "query_id", "vec_id", "score")}, FOUND)
+    return (best.withColumn("rank", F.row_number().over(by_query))
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
