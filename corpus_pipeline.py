@@ -8,7 +8,13 @@ columns of ``documents``:
 * line_dedup: repeated lines go from the texts, every document stays;
 * near_duplicates: one document of each class stays;
 * decontamination: contaminated documents go;
-* mixing: one row per remaining document with the words the mix takes and the shards that hold its copies.
+* mixing: one row per remaining document with the words the mix takes, the shards that hold its copies and their places there.
+
+Every stage judges rows, not ids: rows without a doc_id or with a repeated one are kept or dropped each for itself (line_dedup and
+near_duplicates order ids, NULL last to stay). NULL and empty texts pass every stage but a toxicity score of 0.5 or more for empty
+texts; an empty table gives an empty table; columns beside those of ``documents`` pass through the first four stages whatever their
+names; very long texts are read whole. Tables a stage writes in between are deleted when its result or a small table it needs
+is stored; a stage's result may be read until the folder of the run is cleared.
 """
 
 from __future__ import annotations
