@@ -17,7 +17,9 @@ What reaches the driver: ``max_candidates`` feature counts, ``max_features`` wei
 the sample as feature indexes.
 
 Defined cases: NULL or empty text scores ``leak``; several labels for one doc_id: toxic if any is; a
-NULL doc_id is never learned from and counts as held out; no labelled rows: every score is 0."""
+NULL doc_id is never learned from and counts as held out; no labelled rows: every score is 0; a very long text is scored whole,
+sentence by sentence; repeated rows get equal scores; an empty table gives no rows; columns named as the new ones are replaced,
+others pass through."""
 
 from __future__ import annotations
 

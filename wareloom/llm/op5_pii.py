@@ -15,7 +15,8 @@
    overlaps one.
 
 Defined cases: NULL text is empty: no spans, hash of the empty string; rows sharing a doc_id are
-judged apart; an empty table gives an empty result and trains nothing."""
+judged apart, equal rows get equal results; a very long text is scanned whole; an empty table gives an empty result and trains
+nothing; further columns are not read."""
 
 from __future__ import annotations
 
