@@ -301,7 +301,7 @@ def _outside(cols):
     for a, b, whole in zip(cols["ea"], cols["eb"], cols["whole"].to_pylist()):
         x, _, inside = _inside(a, b)
         out.append((x if whole else x[~inside]).view(np.int64))
-    return {k: cols[k] for k in ("hub", "node", "root", "away", "whole", "least")} | {"e": out}
+    return {k: cols[k] for k in ("hub", "node", "root", "whole", "least")} | {"e": out}
 
 
 def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> DataFrame:
@@ -318,8 +318,8 @@ def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> Da
       of x's elements they share ``least`` = ``most`` or more.
 
     In either case, with the elements in one order (rarest first), a member need only show the first ``n - least + 1`` of its
-    n elements (prefix filtering). Elements of members at home count only where a member away shows them too; elements that no member
-    of another component has come first and are left out; a member whose other elements are fewer than ``least`` shows none."""
+    n elements (prefix filtering). Elements that no member of another component has come first and are left out; a member
+    whose other elements are fewer than ``least`` shows none. Groups of equal members are one group."""
     g = compared.where("last").select(F.col("a").alias("node"), F.col("b").alias("hub"), "common", "na")
     g = _rooted(_rooted(g, roots, "node", "root"), roots, "hub", "home").withColumn("away", F.col("root") != F.col("home")).drop("home")
     reach = F.when(F.col("away") & (4 * F.col("na") <= 5 * F.col("common")), F.greatest(F.expr("(9 * common) div 4 - na"), F.col("na")))
@@ -330,25 +330,25 @@ def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> Da
                     .withColumn("most", F.expr("(4 * (na + greatest((4 * na + 4) div 5, partner)) + 8) div 9"))
                     .withColumn("inside", F.when(F.col("away"), F.col("common")).otherwise(F.least("common", "common_away")))
                     .select("hub", "node", "root", "away", "na", "reach", "most", "inside"), "near-mixed")
-    cases = (g.select("hub", "node", "root", "away", F.lit(False).alias("whole"), F.greatest(F.col("most") - F.col("inside"), F.lit(1)).cast("long").alias("least"))
-             .unionByName(g.where("na <= reach").select("hub", "node", "root", "away", F.lit(True).alias("whole"), F.col("most").cast("long").alias("least"))))
+    cases = (g.select("hub", "node", "root", F.lit(False).alias("whole"), F.greatest(F.col("most") - F.col("inside"), F.lit(1)).cast("long").alias("least"))
+             .unionByName(g.where("na <= reach").select("hub", "node", "root", F.lit(True).alias("whole"), F.col("most").cast("long").alias("least"))))
     both = _with_elements(cases.withColumn("a", F.col("node")).withColumn("b", F.col("hub")), elements)
-    shown = cut_lineage(map_columns(both.select("hub", "node", "root", "away", "whole", "least", "ea", "eb"), _outside,
-                                    "hub long, node long, root long, away boolean, whole boolean, least long, e array<long>").where("size(e) >= least"), "near-outside")
+    shown = cut_lineage(map_columns(both.select("hub", "node", "root", "whole", "least", "ea", "eb"), _outside,
+                                    "hub long, node long, root long, whole boolean, least long, e array<long>").where("size(e) >= least"), "near-outside")
 
     # exploded rows carry the key and the member's number alone; the members stand in a table of one row each
     member = F.xxhash64("hub", "whole", "node")
     members = shown.select(member.alias("member"), "node", "root", "least")
-    parts = shown.select("away", member.alias("member"), "root", "hub", "whole", F.explode("e").alias("e")).select(
-        "away", "member", "root", F.xxhash64("hub", "whole", "e").alias("key"))
-    away, home = parts.where("away").select("key", "member", "root"), parts.where("NOT away").select("key", "member", "root")
-    met = cut_lineage(away.unionByName(home.join(away.select("key").distinct(), "key", "left_semi")), "near-met")
-    shared = met.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("holders")).where("r0 <> r1").select("key", "holders")
+    parts = shown.select(member.alias("member"), "root", "hub", "whole", F.explode("e").alias("e")).select("member", "root", F.xxhash64("hub", "whole", "e").alias("key"))
+    shared = parts.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("holders")).where("r0 <> r1").select("key", "holders")
     of_member = Window.partitionBy("member")
-    rare = (met.select("key", "member").join(shared, "key").withColumn("n", F.count(F.lit(1)).over(of_member))
+    rare = (parts.select("key", "member").join(shared, "key").withColumn("n", F.count(F.lit(1)).over(of_member))
             .withColumn("nth", F.row_number().over(of_member.orderBy("holders", "key"))).join(members, "member").where("nth <= n - least + 1"))
     kept = cut_lineage(rare.select("key", "node", "root"), "near-groups")
-    still = kept.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("members")).where("r0 <> r1").select("key", "members")
+    # elements of one passage or one edit make groups of the same members: one of those groups stands for all
+    still = (kept.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("members"),
+                                     F.bit_xor(F.xxhash64("node")).alias("h0"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h1")).where("r0 <> r1")
+             .groupBy("members", "h0", "h1").agg(F.min("key").alias("key")).select("key", "members"))
     return cut_lineage(kept.join(still, "key").select("key", "node", "root", "members"), "near-groups")
 
 
