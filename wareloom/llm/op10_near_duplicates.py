@@ -46,7 +46,7 @@ M = BANDS * ROWS
 GAMMA = np.uint64(0x9E3779B97F4A7C15)
 TOKENS_AT_ONCE = 200_000
 BITMAP_BITS = 1 << 23
-FEW, HUBS = 32, 12
+FEW, HUBS = 32, 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
