@@ -106,3 +106,16 @@ def test_clashing_flattened_names(spark, tmp_dir):
     with open(f"{tmp_dir}/c.json", "w") as f:
         f.write('{"a":{"b":1},"a.b":2}\n{"a.b":3}\n')
     assert sorted(r[0] for r in RD.read_json_flat(spark, f"{tmp_dir}/c.json").collect()) == [1, 3]
+
+
+def test_the_number_of_splits_does_not_grow_with_the_files(spark, tmp_dir):
+    """Files of 20 times the size are cut into as many splits (before: splits of 4096 bytes at any size)."""
+    from wareloom.plans import q_files
+    before, n = spark.conf.get(KEY), {}
+    for m in (10_000, 200_000):
+        path = f"{tmp_dir}/{m}"
+        spark.range(m).selectExpr("format_string('%039d', id)").repartition(2).write.text(path)
+        with q_files._many_splits(spark, path):
+            n[m] = SP.split_rows(spark, path).select("file", "block").distinct().count()
+        assert spark.conf.get(KEY) == before
+    assert 20 <= n[10_000] <= 40 and 20 <= n[200_000] <= 40
