@@ -101,3 +101,20 @@ def test_probabilities_are_exact_past_longs(spark, m):
     c, total, kept = 3 * m + 1, 10 * m, 7
     got_ = spark.range(1).selectExpr(f"{c}L AS c", f"{total}L AS total", f"{kept}L AS kept").select(op._p("c", "total", "kept")).first()[0]
     assert got_ == 1 + 10**9 * (c + 1) // (total + kept)
+
+
+def test_a_task_gives_a_term_out_once_up_to_its_bound():
+    """300,000 terms in two sources are counted in one go and given out in short batches (before: again after every 200,000 entries)."""
+    import pyarrow as pa
+
+    def word(i):
+        return b"".join(bytes([97 + i // 26 ** k % 26]) for k in range(4))
+    texts = [b" ".join(word(i) for i in range(s, s + 500)) for s in range(0, 300_000, 500)]
+    t = pa.table({"lang": ["en"] * 1200, "source": ["a"] * 600 + ["b"] * 600, "text": texts + [x.split()[0] for x in texts]})
+    batches = list(op._count(t.to_batches(max_chunksize=100)))
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert len(rows) == 300_001 and max(b.num_rows for b in batches) <= op.ROWS_AT_ONCE
+    got = {r["term"]: (r["docs"], dict(zip(r["sources"], r["counts"]))) for r in rows}
+    assert got[None] == (0, {"a": 600, "b": 600})
+    assert got[word(0)] == (2, {"a": 1, "b": 1}) and got[word(1)] == (1, {"a": 1})
+    assert sum(d for d, _ in got.values()) == 300_600

@@ -34,6 +34,7 @@ from .common import cut_lineage, table
 MIN_DOCS, TOP = 3, 200
 SCALE = 1_000_000_000
 ENTRIES_AT_ONCE, BYTES_AT_ONCE = 200_000, 64 << 20
+TERMS_AT_ONCE, ROWS_AT_ONCE = 500_000, 50_000
 
 #: Terms are runs of letters: A-Z, a-z and everything past ASCII. Every byte of a character past ASCII is above 0x7F, so the
 #: split of the UTF-8 bytes is the split of the code points.
@@ -51,21 +52,29 @@ def _count(batches):
     docs, occurrences, groups, size = defaultdict(Counter), defaultdict(Counter), Counter(), 0
 
     def rows():
-        by_term = defaultdict(lambda: ([], []))
-        for (lang, source), c in occurrences.items():
-            for t, n in c.items():
-                names, counts = by_term[lang, t]
-                names.append(source)
-                counts.append(n)
-        for (lang, source), n in groups.items():
-            names, counts = by_term[lang, None]
-            names.append(source)
-            counts.append(n)
-        lang, term = zip(*by_term) if by_term else ((), ())
-        names, counts = zip(*by_term.values()) if by_term else ((), ())
-        seen = [docs[g][t] if t is not None else 0 for g, t in by_term]
+        for lang in dict.fromkeys(lang for lang, _ in groups):
+            mine = [source for other, source in groups if other == lang]
+            place = {t: i for i, t in enumerate(docs[lang])}
+            last = len(place)                                    # of the row without a term
+            term = pa.array([*place, None], pa.binary())
+            seen = np.append(np.fromiter(docs[lang].values(), np.int64, last), 0)
+            at, of, n = [], [], []
+            for k, source in enumerate(mine):
+                c = occurrences[lang, source]
+                at += [np.fromiter(map(place.__getitem__, c), np.int64, len(c)), [last]]
+                n += [np.fromiter(c.values(), np.int64, len(c)), [groups[lang, source]]]
+                of.append(np.full(len(c) + 1, k))
+            at, of, n = (np.concatenate(x) for x in (at, of, n))
+            order = np.argsort(at, kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(at, minlength=last + 1)))
+            names = pa.array(mine, pa.string()).take(pa.array(of[order]))
+            for i in range(0, last + 1, ROWS_AT_ONCE):
+                j = min(i + ROWS_AT_ONCE, last + 1)
+                lo, hi, ends_here = ends[i], ends[j], pa.array(ends[i:j + 1] - ends[i], pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * (j - i), pa.string()), term.slice(i, j - i), pa.array(seen[i:j]),
+                    pa.ListArray.from_arrays(ends_here, names.slice(lo, hi - lo)), pa.ListArray.from_arrays(ends_here, pa.array(n[order[lo:hi]]))], schema=_COUNTS)
         docs.clear(), occurrences.clear(), groups.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((lang, term, seen, names, counts), _COUNTS)], schema=_COUNTS)
 
     for b in batches:
         langs, sources, texts = (b.column(c) for c in ("lang", "source", "text"))
@@ -76,10 +85,10 @@ def _count(batches):
             occurrences[lang, source].update(found)
             docs[lang].update(set(found))
             size += len(t)
-            if size > BYTES_AT_ONCE or i % 64 == 63 and sum(map(len, occurrences.values())) > ENTRIES_AT_ONCE:
-                yield rows()
+            if size > BYTES_AT_ONCE or i % 64 == 63 and sum(map(len, occurrences.values())) > TERMS_AT_ONCE:
+                yield from rows()
                 size = 0
-    yield rows()
+    yield from rows()
 
 
 def term_table(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
