@@ -200,3 +200,20 @@ def test_multiset_counts_occurrences():
     g = np.array([5, 5, 9], np.uint64)
     a, b = op.multiset(h), op.multiset(g)
     assert len(set(a)) == 4 and len(set(a) & set(b)) == 2
+
+
+def test_members_of_one_component_meet_the_last_hub_alone(spark):
+    """A hub that is not the last of its group is met by members of other components only (before: by every member)."""
+    weight = spark.createDataFrame([(i, 1000 - i) for i in range(90)], "node long, weight long")
+    root = {i: 7 if i in (3, 80) else 0 for i in range(90)}
+    groups = spark.createDataFrame([(1, i, r) for i, r in root.items()], "key long, node long, root long")
+    got = {(r.a, r.b): r.last for r in op._hub_pairs(groups, weight, 64).collect()}
+    want = {(a, b): b == 63 for b in range(64) for a in range(b + 1, 90) if b == 63 or root[a] != root[b]}
+    assert got == want and len(got) < 200
+
+
+def test_only_elements_of_compared_members_are_moved(spark):
+    elements = spark.createDataFrame([(i, b"x") for i in range(50)], "rid long, elements binary")
+    pairs = spark.createDataFrame([(3, 1), (4, 1)], "a long, b long")
+    more = spark.createDataFrame([(9, 3)], "a long, b long")
+    assert sorted(r.rid for r in op._elements_of(elements, pairs, more).collect()) == [1, 3, 4, 9]

@@ -237,6 +237,12 @@ def _with_elements(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     return pairs.join(ea, "a").join(eb, "b")
 
 
+def _elements_of(elements: DataFrame, *pairs: DataFrame) -> DataFrame:
+    """The elements of the members that are in a pair (a, b), stored: the joins that follow move these alone, not all elements."""
+    ends = reduce(DataFrame.unionByName, [p.select(F.explode(F.array("a", "b")).alias("rid")) for p in pairs]).distinct()
+    return cut_lineage(elements.join(ends, "rid", "left_semi"), "near-used")
+
+
 def compare(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """Pairs (a, b) with the exact overlap of their multisets; ``linked``: weighted Jaccard similarity of at least 0.8."""
     if "last" not in pairs.columns:
@@ -284,14 +290,17 @@ def _linked(compared: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(groups: DataFrame, weight: DataFrame, hubs: int) -> DataFrame:
-    """Every member of a group (key, node) with the group's hubs that come before it, the ``hubs`` members that share most buckets (of
-    equals the smallest). ``last``: the hub is the last one of a group, so the member met all of them."""
+    """Every member of a group (key, node, root) with the group's hubs that come before it, the ``hubs`` members that share most buckets
+    (of equals the smallest). ``last``: the hub is the last one of a group, so the member met all of them; only the last hub is also
+    met by members of its own component, which need no link to it but their overlap."""
     w = groups.join(weight, "node")
     best = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
     top = (w.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= hubs)
-           .withColumn("last", F.col("nth") == F.max("nth").over(Window.partitionBy("key"))).select("key", F.col("node").alias("b"), F.col("weight").alias("wb"), "last"))
+           .withColumn("last", F.col("nth") == F.max("nth").over(Window.partitionBy("key")))
+           .select("key", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("root").alias("rb"), "last"))
     before = F.struct(-F.col("wb"), F.col("b")) < F.struct(-F.col("weight"), F.col("node"))
-    return w.join(top, "key").where(before).groupBy(F.col("node").alias("a"), "b").agg(F.bool_or("last").alias("last"))
+    meets = (w.alias("w").join(top.alias("t"), (F.col("w.key") == F.col("t.key")) & before & (F.col("last") | (F.col("root") != F.col("rb")))))
+    return meets.groupBy(F.col("node").alias("a"), "b").agg(F.bool_or("last").alias("last"))
 
 
 def _outside(cols):
@@ -332,7 +341,8 @@ def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> Da
                     .select("hub", "node", "root", "away", "na", "reach", "most", "inside"), "near-mixed")
     cases = (g.select("hub", "node", "root", F.lit(False).alias("whole"), F.greatest(F.col("most") - F.col("inside"), F.lit(1)).cast("long").alias("least"))
              .unionByName(g.where("na <= reach").select("hub", "node", "root", F.lit(True).alias("whole"), F.col("most").cast("long").alias("least"))))
-    both = _with_elements(cases.withColumn("a", F.col("node")).withColumn("b", F.col("hub")), elements)
+    cases = cases.withColumn("a", F.col("node")).withColumn("b", F.col("hub"))
+    both = _with_elements(cases, _elements_of(elements, g.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
     shown = cut_lineage(map_columns(both.select("hub", "node", "root", "whole", "least", "ea", "eb"), _outside,
                                     "hub long, node long, root long, whole boolean, least long, e array<long>").where("size(e) >= least"), "near-outside")
 
@@ -376,27 +386,28 @@ def classes(table_: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # members of a bucket with the bucket's hub; then, as long as some can be linked past a hub, members of finer groups with the
     # hubs of those. A hub comes before all members of its groups in (weight, node), so groups run out.
     links, roots, few, tried = [], None, None, []
-    pairs = _hub_pairs(buckets.select("key", "node"), weight, 1)
+    pairs = _hub_pairs(buckets.select("key", "node", F.col("node").alias("root")), weight, 1)
     while True:
         with scratch_tables(spark):
-            found = compare(pairs, elements)
+            used = elements if few is None else _elements_of(elements, pairs, few)
+            found = compare(pairs, used)
             new = _linked(found)
             if few is not None:
-                new = new.unionByName(_linked(compare(few, elements)))
+                new = new.unionByName(_linked(compare(few, used)))
             links.append(cut_lineage(new.distinct(), "near-links", keep=True))
             roots = cut_lineage(components(links[-1]) if roots is None else _joined(roots, links[-1]), "near-roots", keep=True)
-            groups = _left_over(found, roots, elements)
+            groups = _left_over(found, roots, used)
             few = _few_pairs(groups)
             for t in tried:                                      # pairs of few groups are tried once
                 few = few.join(t, ["a", "b"], "left_anti")
             few = cut_lineage(few, "near-few", keep=True)
             tried.append(few)
-            pairs = cut_lineage(_hub_pairs(groups.where(F.col("members") > FEW).select("key", "node"), weight, HUBS), "near-pairs", keep=True)
+            pairs = cut_lineage(_hub_pairs(groups.where(F.col("members") > FEW).select("key", "node", "root"), weight, HUBS), "near-pairs", keep=True)
         if pairs.isEmpty():
             break
     if not few.isEmpty():
         with scratch_tables(spark):
-            links.append(cut_lineage(_linked(compare(few, elements)), "near-links", keep=True))
+            links.append(cut_lineage(_linked(compare(few, _elements_of(elements, few))), "near-links", keep=True))
             roots = cut_lineage(_joined(roots, links[-1]), "near-roots", keep=True)
     links = reduce(DataFrame.unionByName, links)
     return texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), links
