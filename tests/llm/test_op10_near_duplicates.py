@@ -217,3 +217,60 @@ def test_only_elements_of_compared_members_are_moved(spark):
     pairs = spark.createDataFrame([(3, 1), (4, 1)], "a long, b long")
     more = spark.createDataFrame([(9, 3)], "a long, b long")
     assert sorted(r.rid for r in op._elements_of(elements, pairs, more).collect()) == [1, 3, 4, 9]
+
+
+def test_a_group_of_near_copies_with_a_few_outliers_is_done_at_once(spark, monkeypatch):
+    """Nearly all members of the group are one component: the few others meet all members (before: 64 hubs a level, many levels)."""
+    made = members_of(monkeypatch)
+    rng = random.Random(77)
+    base = prose(rng, 150, 5000).split()
+    rows = [(0, " ".join(base))]
+    for k in range(300):
+        w = list(base)
+        for at in rng.sample(range(10, 140, 5), rng.choice([1, 2, 3, 3, 5] if k % 20 else [7, 8, 9])):
+            w[at] = f"q{rng.randrange(2)}"                       # few places and few words: many copies share an edit
+        rows.append((k + 1, " ".join(w)))
+    d, out = op.grouped(docs(spark, rows))
+    got = [(r["doc_id"], r["class_id"]) for r in d.join(out, "rid").collect()]
+    assert sorted(got, key=str) == brute(rows)
+    assert len(set(c for _, c in got)) > 2 and len(made) <= 3
+
+
+def test_few_beside_the_largest_component_meet_all(spark):
+    """One of a pair is always beside the largest component; a group with more than HUBS of those forms no pairs."""
+    root = {i: i if i in (5, 90, 200) else 0 for i in range(300)}
+    few = [(1, i, r, 3, 0) for i, r in root.items()]
+    many = [(2, i, i if i > op.HUBS else 0, 300 - op.HUBS - 1, 0) for i in range(300)]
+    groups = spark.createDataFrame(few + many, "key long, node long, root long, rest long, big long")
+    got = {(r.a, r.b) for r in op._few_pairs(groups).collect()}
+    assert got == {(max(a, b), min(a, b)) for a in (5, 90, 200) for b in range(300) if a != b}
+
+
+def test_members_of_a_small_component_are_hubs_first(spark):
+    weight = spark.createDataFrame([(i, 100 - i) for i in range(6)], "node long, weight long")
+    roots = spark.createDataFrame([(1, 0), (2, 0), (4, 3)], "node long, root long")
+    ranked = sorted(op._small_first(weight, roots).collect(), key=lambda r: -r.weight)
+    assert [r.node for r in ranked][0] == 5 and {r.node for r in ranked[:3]} == {3, 4, 5}
+
+
+def test_only_members_that_can_link_inside_the_hub_show_those_elements(spark):
+    """A member of 100 elements that has 60 in common with the hub shares too few of them with any other member (before: all it has
+    was shown)."""
+    def member(inside, own):
+        return np.r_[np.arange(inside), np.arange(own.start, own.stop)].astype(np.uint64).tobytes()
+    sets = {0: member(100, range(0)), 1: member(85, range(1000, 1000)), 2: member(60, range(2000, 2040)), 3: member(79, range(0)),
+            4: member(60, range(2030, 2070)), 5: member(78, range(0)), 6: member(83, range(6000, 6017))}
+    elements = spark.createDataFrame([(k, v) for k, v in sets.items()], "rid long, elements binary")
+    n = {k: len(v) // 8 for k, v in sets.items()}
+    common = {k: len(set(np.frombuffer(v, np.uint64)) & set(range(100))) for k, v in sets.items()}
+    linked = {k: 9 * common[k] >= 4 * (n[k] + 100) for k in sets}
+    found = spark.createDataFrame([(k, 0, True, common[k], n[k], 100, linked[k]) for k in sets if k], op.COMPARED)
+    roots = spark.createDataFrame([(k, 0) for k in sets if k and linked[k]] or [(9, 9)], "node long, root long")
+    groups = op._left_over(found, roots, elements).collect()
+    by_key = {}
+    for r in groups:
+        by_key.setdefault(r.key, set()).add(r.node)
+    links = {(a, b) for a in sets for b in sets if 0 < a < b and linked[a] != linked[b]
+             and 9 * len(set(np.frombuffer(sets[a], np.uint64)) & set(np.frombuffer(sets[b], np.uint64))) >= 4 * (n[a] + n[b])}
+    assert links and all(any({a, b} <= m for m in by_key.values()) for a, b in links)
+    assert not any({2, k} <= m for m in by_key.values() for k in (1, 3, 5, 6))

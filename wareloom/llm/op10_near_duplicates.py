@@ -16,9 +16,10 @@ Classes: exact copies (equal words) are collapsed first. ``BANDS`` bands of ``RO
 a pair at 0.8 meets in none of them with probability 3e-6. Members of a bucket are compared with the bucket's hub (the
 member that shares most buckets: of a group of edited copies the least edited one), not with each other. Two members that are not
 both linked to the hub can only be linked if they share an element that the hub does not have, or if one is markedly shorter
-than the hub (``_left_over``); only such members go on, in groups by the rarest elements that could make up a link, and
-meet the ``HUBS`` first members of their group, and so on until no group holds two components. Pairs are only formed in groups of at most ``FEW``
-members. A group of n edited copies costs n comparisons, texts that merely share a passage drop out before the second. Every
+than the hub (``_left_over``); only such members go on, in groups by the rarest elements that could make up a link. In a group that
+holds at most ``HUBS`` members beside those of its largest component, these meet all members of other components, and the group
+is done; in any other group the members meet the ``HUBS`` first ones (smallest components first), and so on until no group is
+left. A group of n edited copies costs n comparisons, texts that merely share a passage drop out before the second. Every
 comparison is the exact multiset overlap, classes are connected components by contraction, and tables are deleted level by level,
 so nothing that grows with the corpus is broadcast or collected.
 
@@ -46,7 +47,8 @@ M = BANDS * ROWS
 GAMMA = np.uint64(0x9E3779B97F4A7C15)
 TOKENS_AT_ONCE = 200_000
 BITMAP_BITS = 1 << 23
-FEW, HUBS = 32, 64
+HUBS = 64
+SIZE_STEP = 1 << 36         # above every weight
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -304,17 +306,17 @@ def _hub_pairs(groups: DataFrame, weight: DataFrame, hubs: int) -> DataFrame:
 
 
 def _outside(cols):
-    """The elements by which a member of a hub can still meet another member: all of its own for a short one, else those the
-    hub lacks."""
+    """The elements by which a member of a hub can still meet another member: those inside the hub where all they share is there
+    (``whole``), else those the hub lacks."""
     out = []
     for a, b, whole in zip(cols["ea"], cols["eb"], cols["whole"].to_pylist()):
         x, _, inside = _inside(a, b)
-        out.append((x if whole else x[~inside]).view(np.int64))
+        out.append(x[inside if whole else ~inside].view(np.int64))
     return {k: cols[k] for k in ("hub", "node", "root", "whole", "least")} | {"e": out}
 
 
 def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> DataFrame:
-    """(key, node): groups that hold every pair of members of one (last) hub that can still be linked, after each was compared with it.
+    """(key, node, root, rest, big): groups that hold every pair of members of one (last) hub that can still be linked, after each was compared with it.
 
     Let x and y be members of different components, so at least one is in another component than the hub ("away", and so not linked to
     it). A link needs an overlap of ``most`` = 4/9 (|x| + |y|), where |y| is 4/5 |x| and the shortest possible partner at least. What x
@@ -323,12 +325,13 @@ def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> Da
     * they share an element that the hub lacks. Of x's elements outside the hub they share ``least`` = ``most`` less what
       they can share inside the hub, or more (1 at least);
     * all they share is in the hub, at most common(y, hub) for the y that is away: then |y| <= 5/4 of that, and
-      |x| <= 9/4 common(y, hub) - |y|. This is only possible in a hub with such a short y, among members up to that length;
-      of x's elements they share ``least`` = ``most`` or more.
+      |x| <= 9/4 common(y, hub) - |y|. This is only possible in a hub with such a short y, among members up to that length that
+      can share ``most`` elements inside the hub; of x's elements inside the hub they share ``least`` = ``most`` or more.
 
     In either case, with the elements in one order (rarest first), a member need only show the first ``n - least + 1`` of its
     n elements (prefix filtering). Elements that no member of another component has come first and are left out; a member
-    whose other elements are fewer than ``least`` shows none. Groups of equal members are one group."""
+    whose other elements are fewer than ``least`` shows none. Groups of equal members are one group. ``big`` is the group's
+    component of most members, ``rest`` the number of its members in other ones."""
     g = compared.where("last").select(F.col("a").alias("node"), F.col("b").alias("hub"), "common", "na")
     g = _rooted(_rooted(g, roots, "node", "root"), roots, "hub", "home").withColumn("away", F.col("root") != F.col("home")).drop("home")
     reach = F.when(F.col("away") & (4 * F.col("na") <= 5 * F.col("common")), F.greatest(F.expr("(9 * common) div 4 - na"), F.col("na")))
@@ -340,7 +343,7 @@ def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> Da
                     .withColumn("inside", F.when(F.col("away"), F.col("common")).otherwise(F.least("common", "common_away")))
                     .select("hub", "node", "root", "away", "na", "reach", "most", "inside"), "near-mixed")
     cases = (g.select("hub", "node", "root", F.lit(False).alias("whole"), F.greatest(F.col("most") - F.col("inside"), F.lit(1)).cast("long").alias("least"))
-             .unionByName(g.where("na <= reach").select("hub", "node", "root", F.lit(True).alias("whole"), F.col("most").cast("long").alias("least"))))
+             .unionByName(g.where("na <= reach AND inside >= most").select("hub", "node", "root", F.lit(True).alias("whole"), F.col("most").cast("long").alias("least"))))
     cases = cases.withColumn("a", F.col("node")).withColumn("b", F.col("hub"))
     both = _with_elements(cases, _elements_of(elements, g.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
     shown = cut_lineage(map_columns(both.select("hub", "node", "root", "whole", "least", "ea", "eb"), _outside,
@@ -356,17 +359,27 @@ def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> Da
             .withColumn("nth", F.row_number().over(of_member.orderBy("holders", "key"))).join(members, "member").where("nth <= n - least + 1"))
     kept = cut_lineage(rare.select("key", "node", "root"), "near-groups")
     # elements of one passage or one edit make groups of the same members: one of those groups stands for all
-    still = (kept.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("members"),
-                                     F.bit_xor(F.xxhash64("node")).alias("h0"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h1")).where("r0 <> r1")
-             .groupBy("members", "h0", "h1").agg(F.min("key").alias("key")).select("key", "members"))
-    return cut_lineage(kept.join(still, "key").select("key", "node", "root", "members"), "near-groups")
+    by_root = kept.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("h0"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h1"))
+    still = (by_root.groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("top"), F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1"))
+             .withColumn("rest", F.col("members") - F.col("top.n")).where("rest > 0").withColumn("big", F.col("top.root"))
+             .groupBy("members", "h0", "h1", "rest", "big").agg(F.min("key").alias("key")).select("key", "rest", "big"))
+    return cut_lineage(kept.join(still, "key").select("key", "node", "root", "rest", "big"), "near-groups")
 
 
 def _few_pairs(groups: DataFrame) -> DataFrame:
-    """The pairs of different components inside groups of at most ``FEW`` members."""
-    few = groups.where(F.col("members") <= FEW).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("m"))
-    pairs = few.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
-    return pairs.where("x.root <> y.root").select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    """All pairs of different components inside groups that hold at most ``HUBS`` members beside the largest component: one of a
+    pair is always among those."""
+    few = groups.where(F.col("rest") <= HUBS)
+    beside = few.where("root <> big").select("key", F.col("node").alias("other"), F.col("root").alias("apart"))
+    return few.join(beside, "key").where("root <> apart").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+
+def _small_first(weight: DataFrame, roots: DataFrame) -> DataFrame:
+    """``weight`` with the members of smaller components before those of larger ones: only they can be linked to all others, so a
+    group runs out of them first."""
+    size = roots.where("node <> root").groupBy("root").agg((F.count(F.lit(1)) + 1).alias("size"))
+    of = _rooted(weight, roots, "node", "root").join(size, "root", "left")
+    return of.select("node", (F.col("weight") - F.coalesce("size", F.lit(1)) * F.lit(SIZE_STEP)).alias("weight"))
 
 
 def classes(table_: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -384,7 +397,7 @@ def classes(table_: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     elements = cut_lineage(docs.select("rid", "text").mapInArrow(partial(_runs_of, bits), "rid long, elements binary"), "near-elements")
 
     # members of a bucket with the bucket's hub; then, as long as some can be linked past a hub, members of finer groups with the
-    # hubs of those. A hub comes before all members of its groups in (weight, node), so groups run out.
+    # hubs of those. A hub comes before all members of its groups in (component's size, weight, node), so groups run out.
     links, roots, few, tried = [], None, None, []
     pairs = _hub_pairs(buckets.select("key", "node", F.col("node").alias("root")), weight, 1)
     while True:
@@ -402,7 +415,8 @@ def classes(table_: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 few = few.join(t, ["a", "b"], "left_anti")
             few = cut_lineage(few, "near-few", keep=True)
             tried.append(few)
-            pairs = cut_lineage(_hub_pairs(groups.where(F.col("members") > FEW).select("key", "node", "root"), weight, HUBS), "near-pairs", keep=True)
+            large = groups.where(F.col("rest") > HUBS).select("key", "node", "root")
+            pairs = cut_lineage(_hub_pairs(large, _small_first(weight, roots), HUBS), "near-pairs", keep=True)
         if pairs.isEmpty():
             break
     if not few.isEmpty():
