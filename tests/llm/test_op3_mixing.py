@@ -109,3 +109,13 @@ def test_rows_without_an_id_are_spread(spark):
     rows = [(None, f"text number {i} of many", None, "a") for i in range(400)]
     d = op.draw_mix(docs(spark, rows), block_words=64, shard_words=1000)
     assert d.select("bucket").distinct().count() > 300
+
+
+def test_no_rows_of_the_driver_go_through_python_workers(spark, monkeypatch):
+    rows = fixture()
+    d = docs(spark, rows)
+    empty = d.limit(0)
+    want = sorted(map(str, op.mix_sources(d, block_words=64, shard_words=1000).collect()))
+    monkeypatch.setattr(spark.sparkContext, "parallelize", lambda *a, **k: (_ for _ in ()).throw(AssertionError("a list became an RDD")))
+    assert sorted(map(str, op.mix_sources(d, block_words=64, shard_words=1000).collect())) == want
+    assert op.mix_sources(empty).count() == 0

@@ -125,3 +125,11 @@ def test_common_words_only(spark):
     rows = [(k, " ".join(rng.choice(["the", "of", "and"]) for _ in range(40))) for k in range(60)] + [(99, "the " * 3000 + item + " of" * 3000)]
     items = [(1, item), (2, "the " * 13), (3, "of the")]
     assert got(op.contamination(docs(spark, rows), bench(spark, items))) == brute(rows, items)
+
+
+def test_no_rows_of_the_driver_go_through_python_workers(spark, monkeypatch):
+    rows, items = [(1, "three short words here"), (2, "nothing of it"), (3, None)], [(10, "three short words"), (11, "lone")]
+    d, b, none = docs(spark, rows), bench(spark, items), bench(spark, [])
+    monkeypatch.setattr(spark.sparkContext, "parallelize", lambda *a, **k: (_ for _ in ()).throw(AssertionError("a list became an RDD")))
+    assert got(op.contamination(d, b)) == brute(rows, items)
+    assert got(op.contamination(d, none)) == brute(rows, [])

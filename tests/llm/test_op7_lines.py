@@ -112,3 +112,35 @@ def test_pipeline_form_keeps_documents_and_columns(spark):
     got = sorted((str(r["doc_id"]), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in out.collect())
     assert got == sorted((str(i), h) for i, _, _, h in brute(ROWS))
     assert all(r["n_chars"] == len(r["text"]) for r in out.collect() if r["text"] is not None)
+
+
+def _python_steps_in_a_row(plan: str) -> int:
+    """Most Python steps between two shuffles, on a path down the plan as Spark prints it."""
+    most, path = 0, []                 # (depth, Python steps since the last shuffle)
+    for line in plan.splitlines():
+        name = line.lstrip(" :+-*")
+        depth = len(line) - len(name)
+        while path and path[-1][0] >= depth:
+            path.pop()
+        above = path[-1][1] if path else 0
+        here = 0 if name.startswith(("Exchange", "ShuffleQueryStage", "BroadcastExchange", "BroadcastQueryStage")) else above + ("InArrow" in name.split(" ")[0])
+        path.append((depth, here))
+        most = max(most, here)
+    return most
+
+
+def test_a_task_has_one_python_step(spark):
+    for limit in (1, 32 << 20):
+        out = op.dedup_lines(docs(spark, ROWS), max_filter_bytes=limit).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+        assert sorted(map(tuple, out.collect()), key=str) == brute(ROWS)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        assert "InArrow" in final and _python_steps_in_a_row(final) == 1, final
+
+
+def test_every_type_of_column_passes_through(spark):
+    extra = "date'2020-01-02' AS d", "timestamp'2020-01-02 03:04:05' AS ts", "1.50BD AS dec", "named_struct('a', 1, 'b', array('x')) AS st", "map('k', 2) AS m", "X'00FF' AS bin", "CAST(NULL AS int) AS n"
+    d = docs(spark, ROWS).selectExpr("*", *extra)
+    out = op.drop_lines(d)
+    assert out.dtypes == d.dtypes
+    assert out.selectExpr("d", "ts", "dec", "st", "m['k']", "bin", "n").distinct().collect() == d.selectExpr("d", "ts", "dec", "st", "m['k']", "bin", "n").distinct().collect()

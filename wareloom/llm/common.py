@@ -65,6 +65,15 @@ def add_columns(df: DataFrame, fn, new) -> DataFrame:
     return map_columns(df, lambda cols: cols | fn(cols), schema)
 
 
+def small_table(spark: SparkSession, rows, schema) -> DataFrame:
+    """Rows the driver holds as a DataFrame. They are handed over as Arrow: a list given to ``createDataFrame`` becomes an RDD that
+    starts a second set of Python workers on the executors."""
+    schema = fields(schema)
+    out = to_arrow_schema(schema)
+    columns = list(zip(*rows)) or [()] * len(out)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out), schema)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, A_Z, A_Z.lower())
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from wareloom.operators.windows import number_within_groups
 
-from .common import cut_lineage, map_columns, scratch_tables, table
+from .common import cut_lineage, map_columns, scratch_tables, small_table, table
 
 SIZE = r"[^\x20\x09-\x0D]+"
 BUCKET_BITS = 12          # 4,096 hash buckets per source
@@ -110,8 +110,8 @@ def draw_mix(docs: DataFrame, block_words: int = 32_768, shard_words: int = 4_00
     owed = [min(round(t), max_epochs * s) for t, s in zip(targets, sizes)]
     blocks = [-(-w // block_words) for w in owed]
     shards = max(1, -(-sum(owed) // shard_words))
-    plan = spark.createDataFrame(
-        [(n, i, s, t, w, b, *block_order(b, [seed, i])) for i, ((n, s), t, w, b) in enumerate(zip(sources, targets, owed, blocks))],
+    plan = small_table(
+        spark, [(n, i, s, t, w, b, *block_order(b, [seed, i])) for i, ((n, s), t, w, b) in enumerate(zip(sources, targets, owed, blocks))],
         "source string, src int, source_size long, target double, owed long, blocks long, step long, shift long")
 
     by_source = Window.partitionBy("src").orderBy("bucket")
@@ -134,8 +134,8 @@ def draw_mix(docs: DataFrame, block_words: int = 32_768, shard_words: int = 4_00
              .select("*", "d.epoch", F.coalesce("d.words", F.lit(0)).cast("long").alias("words"), F.col("d.at").alias("at"),
                      F.expr("(d.block * step + shift) % blocks").alias("pos")).drop("d", "blocks", "step", "shift"))
     leaves = map_columns(spark.range(shards, numPartitions=min(shards, 200)), partial(_leaf_rows, shards, blocks, seed),
-                         "shard long, src int, first long, quota long") if any(blocks) else spark.createDataFrame(
-                             [], "shard long, src int, first long, quota long")
+                         "shard long, src int, first long, quota long") if any(blocks) else small_table(
+                             spark, [], "shard long, src int, first long, quota long")
     taken_blocks = leaves.select("src", "shard", F.explode(F.expr("sequence(first, first + quota - 1)")).alias("pos"))
     placed = cut_lineage(drawn.join(taken_blocks, ["src", "pos"], "left").withColumn("key", F.xxhash64(F.lit(seed), "shard", "src", "at")).drop("at", "pos"), "mix-drawn")
     in_shard = number_within_groups(placed.where("shard IS NOT NULL"), ["shard"], ["key", "src", "bucket", "nth", "epoch"], col="place")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, WORD, cut_lineage, map_columns, scratch_tables, shielded, table, with_row_ids
+from .common import ROWS_AT_ONCE, WORD, cut_lineage, map_columns, scratch_tables, shielded, small_table, table, with_row_ids
 
 TOKEN = re.compile(WORD)
 WINDOW = 13
@@ -143,9 +143,9 @@ def _group_matches(docs: DataFrame, group: list, window: int, near: int) -> tupl
     lists = index.where("term >= 0")
     occurrences = {r["term"]: r["n"] for r in lists.groupBy("term").agg(F.sum(F.size("rids")).alias("n")).collect()}   # one row per term of the group
     coded = [(n, i, [ids[w] for w in ws]) for n, (i, ws) in enumerate(sorted({(i, tuple(ws)) for i, ws in group}))]
-    words = spark.createDataFrame([(n, j, t) for n, _, ws in coded for j, t in enumerate(ws)], "item int, j int, term int")
-    seeds = spark.createDataFrame([(n, j, ws[j]) for n, _, ws in coded for j in seed_positions(ws, occurrences, window)], "item int, j int, term int")
-    items = spark.createDataFrame([(n, i, len(ws), min(2, window, len(ws))) for n, i, ws in coded], "item int, item_id string, n int, least int")
+    words = small_table(spark, [(n, j, t) for n, _, ws in coded for j, t in enumerate(ws)], "item int, j int, term int")
+    seeds = small_table(spark, [(n, j, ws[j]) for n, _, ws in coded for j in seed_positions(ws, occurrences, window)], "item int, j int, term int")
+    items = small_table(spark, [(n, i, len(ws), min(2, window, len(ws))) for n, i, ws in coded], "item int, item_id string, n int, least int")
 
     # a group's terms, seeds and items are bounded by its number of words
     aligned = (lists.join(F.broadcast(seeds), "term").select("item", "j", F.explode(F.arrays_zip("rids", "at")).alias("p"))
@@ -169,7 +169,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ne
     spark = docs.sparkSession
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string"), "text")
     items = ((r["item_id"], words_of(r["text"])) for r in rows.orderBy("item_id", "text").toLocalIterator())
-    first, found = None, spark.createDataFrame([], MATCHES)
+    first, found = None, small_table(spark, [], MATCHES)
     for group in _groups((x for x in items if x[1]), group_words):
         with scratch_tables(spark):
             index, matches = _group_matches(docs, group, window, near_words)

@@ -8,7 +8,8 @@ threshold from the filters, so insert followed by delete restores the former sta
 
 The filters answer "can this line be a repeated one?"; positive lines are settled against the exact counts (a false positive
 drops nothing). Filters of ``max_filter_bytes`` in all at most go to the map tasks that hold the texts, so documents
-without a positive line never move. Larger ones stay where they are: the 16-byte keys of the lines come to the filters, sorted by
+without a positive line never move: the step that screens them finishes them. A task has one Python step, so an executor keeps as many
+Python workers as it has cores. Larger ones stay where they are: the 16-byte keys of the lines come to the filters, sorted by
 shard, and a task holds one filter at a time (``_screen_sorted``); a hot shard is dealt over ``SALTS`` tasks. Either way nothing that
 grows with the corpus reaches the driver.
 
@@ -21,14 +22,16 @@ from __future__ import annotations
 
 import hashlib
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import add_columns, cut_lineage, map_columns, shielded, with_row_ids
+from .common import add_columns, cut_lineage, fields, map_columns, shielded, with_row_ids
 
 BLANK = b" \t\n\x0b\x0c\r"
 SLOTS = 4               # entries per cuckoo bucket
@@ -251,7 +254,7 @@ def _grown(slots, pairs):
 
 # ------------------------------------------------------------------ applying an index to texts
 
-def _screen(filters, shards, min_chars, cols):
+def _screen(filters, shards, min_chars, cols) -> list[list[bytes]]:
     """Keys of each text that its shard's filter knows."""
     per, flat = [], []
     for t in cols["text"].to_pylist():
@@ -271,7 +274,26 @@ def _screen(filters, shards, min_chars, cols):
     for n in per:
         out.append([flat[k + i] for i in range(n) if hit[k + i]])
         k += n
-    return {"_wl_cand": out}
+    return out
+
+
+def _candidates(screen, cols):
+    """(rid, doc_id, key) of the positive lines."""
+    found = screen(cols)
+    at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]).astype(np.int64))
+    return {"rid": cols[RID].take(at), "doc_id": cols["doc_id"].take(at), "key": [k for x in found for k in x]}
+
+
+def _rows_with(positive, screen, cols):
+    """The rows that have a positive line, or those that have none."""
+    at = pa.array(np.flatnonzero([bool(x) is positive for x in screen(cols)]), pa.int64())
+    return {name: c.take(at) for name, c in cols.items()}
+
+
+def _still(screen, min_chars, cols):
+    """The rows without a positive line and what ``_apply`` says of them."""
+    rows = _rows_with(False, screen, cols)
+    return rows | _apply(min_chars, rows)
 
 
 def _rid_keys(shards, min_chars, cols):
@@ -325,9 +347,9 @@ def screen_by_shard(docs: DataFrame, index: "LineIndex") -> DataFrame:
 
 
 def _apply(min_chars, cols):
-    """Drop the lines whose key is in ``_wl_drop``; count lines and hash what stays."""
+    """Drop the lines whose key is in ``_wl_drop`` (none without that column); count lines and hash what stays."""
     n, dropped, text, sha = [], [], [], []
-    for t, drop in zip(cols["text"].to_pylist(), cols["_wl_drop"].to_pylist()):
+    for t, drop in zip(cols["text"].to_pylist(), cols["_wl_drop"].to_pylist() if "_wl_drop" in cols else repeat(None)):
         lines = _lines(t)
         gone = set(drop or ())
         keep = [x for x in lines if line_key(x, min_chars) not in gone] if gone else lines
@@ -353,19 +375,23 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, index:
     index = index or LineIndex.of(docs.select("doc_id", "text"), min_docs, min_chars, keep_members=False)
     near = index.small_filters(max_filter_bytes)
     if near is None:
-        moving, still = docs, None
-        candidates = screen_by_shard(docs, index)
+        moving, candidates = docs, screen_by_shard(docs, index)
     else:
-        screened = add_columns(docs, partial(_screen, near, index.shards, index.min_chars), "_wl_cand array<binary>")
-        moving, still = screened.where(F.size("_wl_cand") > 0), screened.where(F.size("_wl_cand") == 0)
-        candidates = moving.select(F.col(RID).alias("rid"), "doc_id", F.explode("_wl_cand").alias("key"))
+        screen = partial(_screen, near, index.shards, index.min_chars)
+        moving = map_columns(docs, partial(_rows_with, True, screen), docs.schema)
+        candidates = map_columns(docs.select(RID, "doc_id", "text"), partial(_candidates, screen), _SCREENED)
     drops = (candidates.join(index.repeated, "key")
              .where(F.col("last_doc").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc"))))
              .groupBy(F.col("rid").alias("_wl_id")).agg(F.collect_set("key").alias("_wl_drop")))       # a document's own lines
-    out = moving.join(drops, F.col(RID) == F.col("_wl_id"), "left").drop("_wl_id", "_wl_cand")
-    if still is not None:
-        out = out.unionByName(still.drop("_wl_cand").withColumn("_wl_drop", F.lit(None).cast("array<binary>")))
-    return add_columns(out, partial(_apply, index.min_chars), RESULT).drop("_wl_drop", RID)
+    # sorted and merged however few the drops are: a broadcast of them would put two Python steps into one task
+    out = moving.join(drops.hint("merge"), F.col(RID) == F.col("_wl_id"), "left").drop("_wl_id")
+    out = add_columns(out, partial(_apply, index.min_chars), RESULT).drop("_wl_drop", RID)
+    if near is None:
+        return out
+    new = fields(RESULT)
+    rest = docs.select(*[c for c in docs.columns if c.lower() not in {f.name for f in new}])
+    still = map_columns(rest, partial(_still, screen, index.min_chars), T.StructType(rest.schema.fields + new.fields))
+    return out.unionByName(still.drop(RID))
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
