@@ -274,3 +274,46 @@ def test_only_members_that_can_link_inside_the_hub_show_those_elements(spark):
              and 9 * len(set(np.frombuffer(sets[a], np.uint64)) & set(np.frombuffer(sets[b], np.uint64))) >= 4 * (n[a] + n[b])}
     assert links and all(any({a, b} <= m for m in by_key.values()) for a, b in links)
     assert not any({2, k} <= m for m in by_key.values() for k in (1, 3, 5, 6))
+
+
+def left_of(spark, hub, members):
+    """Pairs of groups after members (sets of numbers; each its own component unless linked to the hub) met the hub 0, and the true links
+    between different components."""
+    sets = {0: set(hub)} | {k + 1: set(m) for k, m in enumerate(members)}
+    elements = spark.createDataFrame([(k, np.array(sorted(v), np.uint64).tobytes()) for k, v in sets.items()], "rid long, elements binary")
+
+    def link(a, b):
+        return 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))
+    found = spark.createDataFrame([(k, 0, True, len(sets[k] & sets[0]), len(sets[k]), len(sets[0]), link(k, 0)) for k in sets if k], op.COMPARED)
+    home = [k for k in sets if link(k, 0)]
+    roots = spark.createDataFrame([(k, 0) for k in home], "node long, root long")
+    groups = op._left_over(found, roots, elements).cache()
+    assert groups.where(f"rest > {op.HUBS}").isEmpty()
+    got = [(r.a, r.b) for r in op._few_pairs(groups).collect()]
+    assert len(got) == len(set(got))
+    return set(got), {(a, b) for a in sets for b in sets if a > b > 0 and not (a in home and b in home) and link(a, b)}
+
+
+def test_members_that_share_a_passage_too_short_for_a_link_make_no_pairs(spark):
+    """Members of a group that share a passage the hub lacks, too short for a link, make no pair (before: all pairs of the group, the
+    square of its members)."""
+    for n in (20, 40):
+        passage, own = range(1000, 1012), [range(2000 + 100 * k, 2028 + 100 * k) for k in range(n)]
+        members = [{*range(k, 150 + k), *passage, *own[k]} for k in range(n)]
+        members += [{*members[0]} - {2000} | {7000}, {*members[5]} - {2500} | {7001}]
+        got, links = left_of(spark, range(200), members)
+        assert {(n + 1, 1), (n + 2, 6)} <= links <= got and len(got) <= n
+
+
+def test_pairs_of_groups_hold_every_link(spark):
+    """Members of many sizes, some inside the hub alone, some with passages of all lengths that the hub lacks, against brute force."""
+    rng = random.Random(17)
+    for _ in range(3):
+        hub, beside = list(range(300)), [rng.sample(range(1000, 1120), 60) for _ in range(3)]
+        cores = [rng.sample(hub, rng.choice([90, 200, 225])) for _ in range(4)]
+        members = []
+        for _ in range(48):
+            core, more = rng.choice(cores), rng.choice(beside)
+            members.append({*rng.sample(core, len(core) - rng.randrange(12)), *rng.sample(more, rng.choice([0, 3, 30, 50, 56]))})
+        got, links = left_of(spark, hub, members)
+        assert len(links) > 20 and links <= got

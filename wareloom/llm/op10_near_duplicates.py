@@ -17,8 +17,8 @@ a pair at 0.8 meets in none of them with probability 3e-6. Members of a bucket a
 member that shares most buckets: of a group of edited copies the least edited one), not with each other. Two members that are not
 both linked to the hub can only be linked if they share an element that the hub does not have, or if one is markedly shorter
 than the hub (``_left_over``); only such members go on, in groups by the rarest elements that could make up a link. In a group that
-holds at most ``HUBS`` members beside those of its largest component, these meet all members of other components, and the group
-is done; in any other group the members meet the ``HUBS`` first ones (smallest components first), and so on until no group is
+holds at most ``HUBS`` members beside those of its largest component, these meet all members of other components that their sizes and the
+elements still to come leave open (``_few_pairs``), and the group is done; in any other group the members meet the ``HUBS`` first ones (smallest components first), and so on until no group is
 left. A group of n edited copies costs n comparisons, texts that merely share a passage drop out before the second. Every
 comparison is the exact multiset overlap, classes are connected components by contraction, and tables are deleted level by level,
 so nothing that grows with the corpus is broadcast or collected.
@@ -312,11 +312,11 @@ def _outside(cols):
     for a, b, whole in zip(cols["ea"], cols["eb"], cols["whole"].to_pylist()):
         x, _, inside = _inside(a, b)
         out.append(x[inside if whole else ~inside].view(np.int64))
-    return {k: cols[k] for k in ("hub", "node", "root", "whole", "least")} | {"e": out}
+    return {k: cols[k] for k in ("hub", "node", "root", "whole", "least", "na", "inside")} | {"e": out}
 
 
 def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> DataFrame:
-    """(key, node, root, rest, big): groups that hold every pair of members of one (last) hub that can still be linked, after each was compared with it.
+    """(key, node, root, rest, big, na, inside, remain): groups that hold every pair of members of one (last) hub that can still be linked, after each was compared with it.
 
     Let x and y be members of different components, so at least one is in another component than the hub ("away", and so not linked to
     it). A link needs an overlap of ``most`` = 4/9 (|x| + |y|), where |y| is 4/5 |x| and the shortest possible partner at least. What x
@@ -331,7 +331,9 @@ def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> Da
     In either case, with the elements in one order (rarest first), a member need only show the first ``n - least + 1`` of its
     n elements (prefix filtering). Elements that no member of another component has come first and are left out; a member
     whose other elements are fewer than ``least`` shows none. Groups of equal members are one group. ``big`` is the group's
-    component of most members, ``rest`` the number of its members in other ones."""
+    component of most members, ``rest`` the number of its members in other ones. ``na`` is the member's own size, ``inside`` the most it can
+    share inside the hub (0 where that is what is shown) and ``remain`` how many of its elements come at the group's element or
+    later: two members whose first shared element this is share no more than the smaller ``remain``."""
     g = compared.where("last").select(F.col("a").alias("node"), F.col("b").alias("hub"), "common", "na")
     g = _rooted(_rooted(g, roots, "node", "root"), roots, "hub", "home").withColumn("away", F.col("root") != F.col("home")).drop("home")
     reach = F.when(F.col("away") & (4 * F.col("na") <= 5 * F.col("common")), F.greatest(F.expr("(9 * common) div 4 - na"), F.col("na")))
@@ -342,36 +344,49 @@ def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> Da
                     .withColumn("most", F.expr("(4 * (na + greatest((4 * na + 4) div 5, partner)) + 8) div 9"))
                     .withColumn("inside", F.when(F.col("away"), F.col("common")).otherwise(F.least("common", "common_away")))
                     .select("hub", "node", "root", "away", "na", "reach", "most", "inside"), "near-mixed")
-    cases = (g.select("hub", "node", "root", F.lit(False).alias("whole"), F.greatest(F.col("most") - F.col("inside"), F.lit(1)).cast("long").alias("least"))
-             .unionByName(g.where("na <= reach AND inside >= most").select("hub", "node", "root", F.lit(True).alias("whole"), F.col("most").cast("long").alias("least"))))
+    cases = (g.select("hub", "node", "root", F.lit(False).alias("whole"), F.greatest(F.col("most") - F.col("inside"), F.lit(1)).cast("long").alias("least"), "na", "inside")
+             .unionByName(g.where("na <= reach AND inside >= most").select("hub", "node", "root", F.lit(True).alias("whole"), F.col("most").cast("long").alias("least"),
+                                                                           "na", F.lit(0).cast("long").alias("inside"))))
     cases = cases.withColumn("a", F.col("node")).withColumn("b", F.col("hub"))
     both = _with_elements(cases, _elements_of(elements, g.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
-    shown = cut_lineage(map_columns(both.select("hub", "node", "root", "whole", "least", "ea", "eb"), _outside,
-                                    "hub long, node long, root long, whole boolean, least long, e array<long>").where("size(e) >= least"), "near-outside")
+    shown = cut_lineage(map_columns(both.select("hub", "node", "root", "whole", "least", "na", "inside", "ea", "eb"), _outside,
+                                    "hub long, node long, root long, whole boolean, least long, na long, inside long, e array<long>").where("size(e) >= least"), "near-outside")
 
     # exploded rows carry the key and the member's number alone; the members stand in a table of one row each
     member = F.xxhash64("hub", "whole", "node")
-    members = shown.select(member.alias("member"), "node", "root", "least")
+    members = shown.select(member.alias("member"), "node", "root", "least", "na", "inside")
     parts = shown.select(member.alias("member"), "root", "hub", "whole", F.explode("e").alias("e")).select("member", "root", F.xxhash64("hub", "whole", "e").alias("key"))
     shared = parts.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("holders")).where("r0 <> r1").select("key", "holders")
     of_member = Window.partitionBy("member")
     rare = (parts.select("key", "member").join(shared, "key").withColumn("n", F.count(F.lit(1)).over(of_member))
-            .withColumn("nth", F.row_number().over(of_member.orderBy("holders", "key"))).join(members, "member").where("nth <= n - least + 1"))
-    kept = cut_lineage(rare.select("key", "node", "root"), "near-groups")
-    # elements of one passage or one edit make groups of the same members: one of those groups stands for all
+            .withColumn("nth", F.row_number().over(of_member.orderBy("holders", "key"))).join(members, "member")
+            .withColumn("remain", F.col("n") - F.col("nth") + 1).where("remain >= least"))
+    kept = cut_lineage(rare.select("key", "node", "root", "na", "inside", "remain"), "near-groups")
+    # elements of one passage or one edit make groups of the same members: one of those groups stands for all, with the widest bounds
     by_root = kept.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("h0"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h1"))
-    still = (by_root.groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("top"), F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1"))
-             .withColumn("rest", F.col("members") - F.col("top.n")).where("rest > 0").withColumn("big", F.col("top.root"))
-             .groupBy("members", "h0", "h1", "rest", "big").agg(F.min("key").alias("key")).select("key", "rest", "big"))
-    return cut_lineage(kept.join(still, "key").select("key", "node", "root", "rest", "big"), "near-groups")
+    same = ["members", "h0", "h1", "rest", "big"]
+    sets = (by_root.groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("top"), F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1"))
+            .withColumn("rest", F.col("members") - F.col("top.n")).where("rest > 0").withColumn("big", F.col("top.root")).select("key", *same))
+    still = sets.join(sets.groupBy(same).agg(F.min("key").alias("first")), same).select("key", "first", "rest", "big")
+    return cut_lineage(kept.join(still, "key").groupBy(F.col("first").alias("key"), "node", "root", "rest", "big")
+                       .agg(F.max("na").alias("na"), F.max("inside").alias("inside"), F.max("remain").alias("remain")), "near-groups")
 
 
 def _few_pairs(groups: DataFrame) -> DataFrame:
-    """All pairs of different components inside groups that hold at most ``HUBS`` members beside the largest component: one of a
-    pair is always among those."""
-    few = groups.where(F.col("rest") <= HUBS)
-    beside = few.where("root <> big").select("key", F.col("node").alias("other"), F.col("root").alias("apart"))
-    return few.join(beside, "key").where("root <> apart").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    """The pairs of different components that can still be linked, inside groups that hold at most ``HUBS`` members beside the largest
+    component: one of a pair is always among those.
+
+    A group makes a pair once, and only where the group's element can be the first one the two share: of the overlap that a link of these
+    two sizes needs, the part that cannot lie inside the hub must be found among the elements that remain of both (positional
+    filter). Groups without ``na``, ``inside`` and ``remain`` make all pairs."""
+    few = groups.where(F.col("rest") <= HUBS).drop("rest")
+    bounds = [c for c in ("na", "inside", "remain") if c in few.columns]
+    beside = few.where("root <> big").select("key", F.col("node").alias("other"), F.col("root").alias("apart"), *[F.col(c).alias(f"other_{c}") for c in bounds])
+    meets = few.join(beside, "key").where("root <> apart AND (root = big OR node > other)")
+    if bounds:
+        needed = F.expr("greatest((4 * (na + other_na) + 8) div 9 - least(inside, other_inside), 1)")
+        meets = meets.where((F.least("remain", "other_remain") >= needed) & F.expr("5 * least(na, other_na) >= 4 * greatest(na, other_na)"))
+    return meets.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
 def _small_first(weight: DataFrame, roots: DataFrame) -> DataFrame:
