@@ -317,3 +317,41 @@ def test_pairs_of_groups_hold_every_link(spark):
             members.append({*rng.sample(core, len(core) - rng.randrange(12)), *rng.sample(more, rng.choice([0, 3, 30, 50, 56]))})
         got, links = left_of(spark, hub, members)
         assert len(links) > 20 and links <= got
+
+
+def rows_of_groups(rng, n):
+    """Members of two groups, sizes and bounds such that some pairs stay open; a component of 40 members in the first."""
+    return [(g, i, 0 if g == 1 and i < 40 else i, n - 40 if g == 1 else n - 1, 0, rng.randrange(60, 120), rng.randrange(0, 20), rng.randrange(20, 70))
+            for g in (1, 2) for i in range(n)]
+
+
+GROUPS = "key long, node long, root long, rest long, big long, na long, inside long, remain long"
+
+
+def still_open(x, y):
+    (_, _, rx, _, _, nx, ix, mx), (_, _, ry, _, _, ny, iy, my) = x, y
+    return rx != ry and 5 * min(nx, ny) >= 4 * max(nx, ny) and min(mx, my) >= max((4 * (nx + ny) + 8) // 9 - min(ix, iy), 1)
+
+
+@pytest.mark.parametrize("part", [512, 50])
+def test_a_group_with_many_beside_the_largest_component_makes_its_open_pairs(spark, monkeypatch, part):
+    """More members than HUBS are beside the largest component, though few pairs are open: all of them are made at once, also when the
+    group is dealt out in parts (before: none, the group went on with 64 hubs a level)."""
+    monkeypatch.setattr(op, "PART", part, raising=False)
+    rows = rows_of_groups(random.Random(5), 300)
+    assert min(r[3] for r in rows) > op.HUBS
+    groups = spark.createDataFrame([(k, k * 1000 + i, k * 1000 + r, rest, k * 1000 + big, *more) for k, i, r, rest, big, *more in rows], GROUPS)
+    made = op._few_pairs(groups).collect()
+    want = {(x[0] * 1000 + max(x[1], y[1]), x[0] * 1000 + min(x[1], y[1])) for x in rows for y in rows if x[0] == y[0] and x[1] > y[1] and still_open(x, y)}
+    assert len(made) == len(want) > 1000 and {(r.a, r.b) for r in made} == want
+
+
+def test_a_group_of_mostly_open_pairs_goes_to_the_hubs(spark, monkeypatch):
+    """Such a group makes no more than ``HUBS`` pairs a member, and hubs meet only members that a link to them is open to."""
+    monkeypatch.setattr(op, "PART", 100)
+    rows = [(1, i, i, 599, 0, 100 + 30 * (i % 4 == 0), 0, 100) for i in range(600)]
+    made = op._group_pairs(spark.createDataFrame(rows, GROUPS)).collect()
+    assert any(r.a is None for r in made) and len(made) < 2 * op.HUBS * 600
+    weight = spark.createDataFrame([(i, 1000 - i) for i in range(600)], "node long, weight long")
+    got = {(r.a, r.b): r.last for r in op._hub_pairs(spark.createDataFrame(rows, GROUPS), weight, 64).collect()}
+    assert got == {(a, b): b == 63 for b in range(64) for a in range(b + 1, 600) if b == 63 or still_open(rows[a], rows[b])}

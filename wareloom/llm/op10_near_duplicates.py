@@ -16,10 +16,10 @@ Classes: exact copies (equal words) are collapsed first. ``BANDS`` bands of ``RO
 a pair at 0.8 meets in none of them with probability 3e-6. Members of a bucket are compared with the bucket's hub (the
 member that shares most buckets: of a group of edited copies the least edited one), not with each other. Two members that are not
 both linked to the hub can only be linked if they share an element that the hub does not have, or if one is markedly shorter
-than the hub (``_left_over``); only such members go on, in groups by the rarest elements that could make up a link. In a group that
-holds at most ``HUBS`` members beside those of its largest component, these meet all members of other components that their sizes and the
-elements still to come leave open (``_few_pairs``), and the group is done; in any other group the members meet the ``HUBS`` first ones (smallest components first), and so on until no group is
-left. A group of n edited copies costs n comparisons, texts that merely share a passage drop out before the second. Every
+than the hub (``_left_over``); only such members go on, in groups by the rarest elements that could make up a link. In a group the
+members beside the largest component meet all members of other components that their sizes and the elements still to come leave
+open (``_group_pairs``), and the group is done if these are at most ``HUBS`` for each member; in any other group the members meet the ``HUBS`` first
+ones (smallest components first), twice as many at each level, and so on until no group is left. A group of n edited copies costs n comparisons, texts that merely share a passage drop out before the second. Every
 comparison is the exact multiset overlap, classes are connected components by contraction, and tables are deleted level by level,
 so nothing that grows with the corpus is broadcast or collected.
 
@@ -48,6 +48,7 @@ GAMMA = np.uint64(0x9E3779B97F4A7C15)
 TOKENS_AT_ONCE = 200_000
 BITMAP_BITS = 1 << 23
 HUBS = 64
+PART = 512
 SIZE_STEP = 1 << 36         # above every weight
 
 
@@ -294,14 +295,17 @@ def _linked(compared: DataFrame) -> DataFrame:
 def _hub_pairs(groups: DataFrame, weight: DataFrame, hubs: int) -> DataFrame:
     """Every member of a group (key, node, root) with the group's hubs that come before it, the ``hubs`` members that share most buckets
     (of equals the smallest). ``last``: the hub is the last one of a group, so the member met all of them; only the last hub is also
-    met by members of its own component, which need no link to it but their overlap."""
+    met by members of its own component, which need no link to it but their overlap. Groups with ``na``, ``inside`` and ``remain`` meet the
+    other hubs only where a link is open (see ``_group_pairs``)."""
     w = groups.join(weight, "node")
+    bounds = [c for c in ("na", "inside", "remain") if c in groups.columns]
+    still = F.expr("least(remain, hub_remain) >= greatest((4 * (na + hub_na) + 8) div 9 - least(inside, hub_inside), 1) AND 5 * least(na, hub_na) >= 4 * greatest(na, hub_na)") if bounds else F.lit(True)
     best = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
     top = (w.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= hubs)
            .withColumn("last", F.col("nth") == F.max("nth").over(Window.partitionBy("key")))
-           .select("key", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("root").alias("rb"), "last"))
+           .select("key", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("root").alias("rb"), "last", *[F.col(c).alias(f"hub_{c}") for c in bounds]))
     before = F.struct(-F.col("wb"), F.col("b")) < F.struct(-F.col("weight"), F.col("node"))
-    meets = (w.alias("w").join(top.alias("t"), (F.col("w.key") == F.col("t.key")) & before & (F.col("last") | (F.col("root") != F.col("rb")))))
+    meets = (w.alias("w").join(top.alias("t"), (F.col("w.key") == F.col("t.key")) & before & (F.col("last") | (F.col("root") != F.col("rb")) & still)))
     return meets.groupBy(F.col("node").alias("a"), "b").agg(F.bool_or("last").alias("last"))
 
 
@@ -372,21 +376,66 @@ def _left_over(compared: DataFrame, roots: DataFrame, elements: DataFrame) -> Da
                        .agg(F.max("na").alias("na"), F.max("inside").alias("inside"), F.max("remain").alias("remain")), "near-groups")
 
 
-def _few_pairs(groups: DataFrame) -> DataFrame:
-    """The pairs of different components that can still be linked, inside groups that hold at most ``HUBS`` members beside the largest
-    component: one of a pair is always among those.
+def _open_pairs(batches):
+    """Rows of a task by part of a group: the pairs of a part that can still be linked, or one row without a pair where they are more than its ``most``."""
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    held = None
+
+    def pairs(rows):
+        x, y = ({c: v[at] for c, v in rows.items()} for at in (~rows["beside"], rows["beside"]))
+        x = {c: v[:, None] for c, v in x.items()}
+        needed = np.maximum((4 * (x["na"] + y["na"]) + 8) // 9 - np.minimum(x["inside"], y["inside"]), 1)
+        i, j = np.nonzero((x["root"] != y["root"]) & (x["home"] | (x["node"] > y["node"])) & (np.minimum(x["remain"], y["remain"]) >= needed)
+                          & (5 * np.minimum(x["na"], y["na"]) >= 4 * np.maximum(x["na"], y["na"])))
+        if len(i) > rows["most"][0]:
+            return [None], [None]
+        ends = x["node"][i, 0], y["node"][j]
+        return np.maximum(*ends), np.minimum(*ends)
+
+    def done(rows, cuts):
+        out = [[], [], []]
+        for lo, hi in zip(cuts, cuts[1:]):
+            a, b = pairs({c: v[lo:hi] for c, v in rows.items()})
+            for into, x in zip(out, ([rows["key"][lo]] * len(a), a, b)):
+                into.extend(x)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
+
+    for batch in batches:
+        new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
+        at = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["part"][1:] != held["part"][:-1])) + 1
+        if len(at):
+            yield done(held, [0, *at])
+            held = {c: v[at[-1]:] for c, v in held.items()}
+    if held is not None and len(held["key"]):
+        yield done(held, [0, len(held["key"])])
+
+
+def _group_pairs(groups: DataFrame) -> DataFrame:
+    """(key, a, b): the pairs of different components that can still be linked, group by group; a and b are NULL where a group has more of
+    them than ``HUBS`` for each member. One of a pair is always among the members beside the largest component.
 
     A group makes a pair once, and only where the group's element can be the first one the two share: of the overlap that a link of these
     two sizes needs, the part that cannot lie inside the hub must be found among the elements that remain of both (positional
-    filter). Groups without ``na``, ``inside`` and ``remain`` make all pairs."""
-    few = groups.where(F.col("rest") <= HUBS).drop("rest")
-    bounds = [c for c in ("na", "inside", "remain") if c in few.columns]
-    beside = few.where("root <> big").select("key", F.col("node").alias("other"), F.col("root").alias("apart"), *[F.col(c).alias(f"other_{c}") for c in bounds])
-    meets = few.join(beside, "key").where("root <> apart AND (root = big OR node > other)")
-    if bounds:
-        needed = F.expr("greatest((4 * (na + other_na) + 8) div 9 - least(inside, other_inside), 1)")
-        meets = meets.where((F.least("remain", "other_remain") >= needed) & F.expr("5 * least(na, other_na) >= 4 * greatest(na, other_na)"))
-    return meets.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    filter). Groups without ``na``, ``inside`` and ``remain`` make all pairs. Members are split evenly into parts of about ``PART``, and every part
+    meets every part of those beside the largest component by itself, so neither a task nor the rows moved grow with the square of a group."""
+    bounds = [F.col(c) if c in groups.columns else F.lit(v).cast("long").alias(c) for c, v in (("na", 1), ("inside", 0), ("remain", 1))]
+    size = (groups.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("rest").alias("rest"))
+            .select("key", "members", F.ceil(F.col("members") / PART).alias("parts"), F.greatest(F.ceil(F.col("rest") / PART), F.lit(1)).alias("apart")))
+    spread = F.xxhash64(F.lit(2), "node")
+    rows = (groups.select("key", "node", "root", (F.col("root") == F.col("big")).alias("home"), *bounds).join(size, "key")
+            .withColumn("most", F.expr(f"members * {HUBS} * if(parts * apart > 1, 2, 1) div (parts * apart)")))
+    # a part is known by the number of the members' part and that of the part beside; each side goes to all parts of the other
+    all_ = rows.withColumn("other", F.explode(F.expr("sequence(0L, apart - 1)"))).withColumn("part", F.col("other") * F.col("parts") + F.pmod(spread, "parts"))
+    beside = rows.where("NOT home").withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("part", F.pmod(spread, "apart") * F.col("parts") + F.col("other"))
+    columns = ["key", "part", "beside", "node", "root", "home", "na", "inside", "remain", "most"]
+    both = all_.withColumn("beside", F.lit(False)).select(*columns).unionByName(beside.withColumn("beside", F.lit(True)).select(*columns))
+    return both.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_open_pairs, "key long, a long, b long")
+
+
+def _few_pairs(groups: DataFrame) -> DataFrame:
+    """The different pairs of ``_group_pairs``."""
+    return _group_pairs(groups).where("a IS NOT NULL").select("a", "b").distinct()
 
 
 def _small_first(weight: DataFrame, roots: DataFrame) -> DataFrame:
@@ -413,7 +462,7 @@ def classes(table_: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # members of a bucket with the bucket's hub; then, as long as some can be linked past a hub, members of finer groups with the
     # hubs of those. A hub comes before all members of its groups in (component's size, weight, node), so groups run out.
-    links, roots, few, tried = [], None, None, []
+    links, roots, few, tried, hubs = [], None, None, [], HUBS
     pairs = _hub_pairs(buckets.select("key", "node", F.col("node").alias("root")), weight, 1)
     while True:
         with scratch_tables(spark):
@@ -425,13 +474,15 @@ def classes(table_: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             links.append(cut_lineage(new.distinct(), "near-links", keep=True))
             roots = cut_lineage(components(links[-1]) if roots is None else _joined(roots, links[-1]), "near-roots", keep=True)
             groups = _left_over(found, roots, used)
-            few = _few_pairs(groups)
+            made = cut_lineage(_group_pairs(groups), "near-made")
+            few = made.where("a IS NOT NULL").select("a", "b").distinct()
             for t in tried:                                      # pairs of few groups are tried once
                 few = few.join(t, ["a", "b"], "left_anti")
             few = cut_lineage(few, "near-few", keep=True)
             tried.append(few)
-            large = groups.where(F.col("rest") > HUBS).select("key", "node", "root")
-            pairs = cut_lineage(_hub_pairs(large, _small_first(weight, roots), HUBS), "near-pairs", keep=True)
+            large = groups.join(made.where("a IS NULL").select("key").distinct(), "key", "left_semi").select("key", "node", "root", "na", "inside", "remain")
+            pairs = cut_lineage(_hub_pairs(large, _small_first(weight, roots), hubs), "near-pairs", keep=True)
+            hubs *= 2
         if pairs.isEmpty():
             break
     if not few.isEmpty():
