@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from llm_fixtures import with_clashing
+from pyspark.sql import functions as F
 
 from wareloom.llm import op4_topk as op
 
@@ -90,3 +91,30 @@ def test_rounds_drop_queries_that_are_done(spark, monkeypatch):
     monkeypatch.setattr(op, "map_columns", spied)
     assert got(op.top_k(table(spark, rows), block_rows=16)) == brute(rows)
     assert len(seen) < 5 and all("CartesianProduct" not in p and "NestedLoop" not in p for p in seen)      # of 40 blocks
+
+
+def test_the_sample_does_not_grow_with_the_partitions(spark):
+    """A task sends its share of one sample (before: a sorted limit, for which every task sends as many rows as the whole sample has)."""
+    rows = op.usable(table(spark, fixture(6000, 4), 12)).withColumn("rid", F.monotonically_increasing_id()).cache()
+    sample = op.sampled(rows, rows.count(), 500)
+    assert 350 < sample.count() < 1000
+    assert "TakeOrdered" not in sample._jdf.queryExecution().toString() and "Limit" not in sample._jdf.queryExecution().toString()
+    rot = op.rotation(rows, rows.count(), 500)
+    assert rot.shape[0] == rot.shape[1] and np.allclose(rot.T @ rot, np.eye(len(rot)))
+    assert op.rotation(rows.limit(0), 0).shape == (1, 1)
+
+
+def test_repeated_query_blocks_are_not_broadcast(spark, monkeypatch):
+    """Query blocks are joined once for each block of a round: the driver must not get them all (before: a small stored table was
+    broadcast with all its repeated rows)."""
+    monkeypatch.setattr(op, "BROADCAST", 0, raising=False)
+    plans, plain = [], op.cut_lineage
+
+    def noted(df, name="stage", keep=False):
+        if name == "topk-best":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, name, keep)
+    monkeypatch.setattr(op, "cut_lineage", noted)
+    rows = fixture(300)
+    assert got(op.top_k(table(spark, rows), block_rows=64)) == brute(rows)
+    assert plans and all("strategy=merge" in p for p in plans)

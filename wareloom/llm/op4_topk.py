@@ -33,6 +33,7 @@ from .common import cut_lineage, map_columns, table
 
 K, EVERY, SCALE = 20, 20, 64
 BLOCK_ROWS, QUERY_ROWS, HEAD, SAMPLE = 8192, 512, 16, 4096
+BROADCAST = 4 << 20        # bytes of repeated query blocks that the driver may get
 BLOCK = "block long, longest double, n int, dim int, ids binary, rids binary, vectors binary"
 
 
@@ -77,14 +78,19 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
             .mapInArrow(partial(_pack, size), "longest double, n int, dim int, ids binary, rids binary, vectors binary"))
 
 
-def rotation(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Right singular vectors of the ``sample`` rows with the smallest hash; any orthogonal matrix would give the same results."""
-    got = rows.orderBy(F.xxhash64("vec_id", "rid"), "rid").limit(sample).select("v").collect()
-    dim = max((len(r["v"]) for r in got), default=1)
-    m = np.zeros((max(1, len(got)), dim))
-    for i, r in enumerate(got):
-        m[i, :len(r["v"])] = r["v"]
-    return np.linalg.svd(m, full_matrices=True)[2].T
+def sampled(rows: DataFrame, n: int, sample: int = SAMPLE) -> DataFrame:
+    """About ``sample`` of the ``n`` rows by the hash of their ids, fewer than twice as many but for chance: each task sends its own share of
+    them. (A sorted limit sends ``sample`` rows of every task to the driver.)"""
+    return rows.where(F.pmod(F.xxhash64("vec_id", "rid"), F.lit(max(1, n // sample))) == 0).select("v")
+
+
+def rotation(rows: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray:
+    """Right singular vectors of a sample of the rows, those of the largest singular values first; any orthogonal matrix would give the same results."""
+    got = sampled(rows, n, sample).toArrow().column("v").combine_chunks()
+    size = np.diff(got.offsets.to_numpy()).astype(int)
+    m = np.zeros((max(1, len(size)), int(size.max(initial=1))))
+    m[np.arange(m.shape[1]) < np.pad(size, (0, len(m) - len(size)))[:, None]] = got.flatten().to_numpy()
+    return np.linalg.eigh(m.T @ m)[1][:, ::-1]              # without the left vectors, a square of the sample's size
 
 
 def _matrix(buf, n, dim):
@@ -181,8 +187,8 @@ QUERY_BLOCK = ("qb", "q_n", "q_dim", "q_ids", "q_rids", "q_vectors")
 def top_k(vectors: DataFrame, k: int = K, query_every: int = EVERY, block_rows: int = BLOCK_ROWS, head: int = HEAD) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every query row."""
     rows = cut_lineage(usable(vectors).withColumn("rid", F.monotonically_increasing_id()), "topk-rows")
-    rot = rotation(rows)
     n = rows.count()
+    rot = rotation(rows, n)
     parts = max(1, -(-n // (4 * block_rows)))
     packed = blocks(rows.repartitionByRange(parts, F.desc("norm"), "rid").sortWithinPartitions(F.desc("norm"), "rid"), block_rows)
     packed = cut_lineage(packed.withColumn("at", F.monotonically_increasing_id()), "topk-blocks")
@@ -209,10 +215,13 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = EVERY, block_rows:
         bounded = map_columns(q.join(per, "qb", "left"), _bounds, "qb long, q_n int, q_dim int, q_ids binary, q_rids binary, q_vectors binary, bound binary, least double")
         longest = base.where(F.col("block") == lo).select("longest").first()["longest"]
         live = cut_lineage(bounded.where(F.col("least") <= longest).drop("least"), "topk-live")
-        if live.isEmpty():
+        held = live.agg(F.sum(F.col("q_n").cast("long") * F.col("q_dim") * 8)).first()[0]
+        if held is None:
             break
         q = live.select(*QUERY_BLOCK)                     # the others cannot be reached by shorter blocks either
         pairs = live.withColumn("block", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
+        if held * (hi - lo) > BROADCAST:                  # the stored size of ``live`` says nothing of its rows repeated for each block
+            pairs = pairs.hint("merge")
         found = find(pairs.join(base.where(F.col("block").between(lo, hi - 1)), "block"))
         every = found if best is None else best.unionByName(found)
         best = cut_lineage(every.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).drop("rank"), "topk-best")
